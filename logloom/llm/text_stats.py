@@ -69,21 +69,25 @@ def stats(text: str | None) -> dict[str, float]:
 FEATURES = ("log_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "top_rate", "upper_rate", "loud_rate", "stop_rate", "digit_rate", "long_rate", "short_rate")
 
 
+#: Rates carry the weight of this many typical words, so that short texts are not odd by chance.
+PRIOR_WORDS = 20
+
+
 def features(s: dict[str, float]) -> list[float]:
     """The statistics as rates, in the order of FEATURES."""
-    n = max(1, s["n_words"])
+    n = s["n_words"] + PRIOR_WORDS
     return [
         float(np.log1p(s["n_words"])),
-        s["word_chars"] / n,
+        (s["word_chars"] + 5 * PRIOR_WORDS) / n,
         s["n_symbols"] / n,
-        s["n_dup_lines"] / max(1, s["n_lines"]),
+        s["n_dup_lines"] / (s["n_lines"] + 2),
         s["n_repeat_words"] / n,
-        s["n_distinct"] / n**0.85,  # distinct words grow slower than words
+        (s["n_distinct"] + PRIOR_WORDS) / n**0.9,  # distinct words grow slower than words
         s["top_word"] / n,
         s["n_upper"] / n,
         s["n_loud"] / n,
         s["n_stops"] / n,
-        s["n_digits"] / max(1, s["word_chars"]),
+        s["n_digits"] / (s["word_chars"] + 5 * PRIOR_WORDS),
         s["n_long"] / n,
         s["n_short"] / n,
     ]
