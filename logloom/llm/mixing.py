@@ -116,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         group["more"] = subset(group["size"].tolist(), group["n"].tolist(), left)
         return group[["source", "size", "n", "source_size", "target", "whole", "more"]]
 
-    plan = histogram.join(aim, F.col("source").eqNullSafe(aim["source"])).select(histogram["source"], "size", "n", "source_size", "target")
+    plan = histogram.alias("h").join(aim.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "size", "n", "source_size", "target")
     plan = materialise(plan.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, whole int, more long"), "mix-plan")
     return pick(rows, plan, seed).select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)], F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
