@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents"), with_text=False))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op4_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_digest(round_trip(pages), pages)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc)}
 ORACLES: dict[str, str] = {
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
