@@ -70,7 +70,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_digest(round_trip(pages), pages)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_spans=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
