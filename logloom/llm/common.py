@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions travel to the executors by value: these need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules["logloom"])
-
 #: Arrow batches hold at most this many bytes, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 16 * 1024 * 1024
 

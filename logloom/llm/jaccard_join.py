@@ -26,7 +26,7 @@ BAND = 1.4
 #: Coordinates of a point: counts of the tokens in this many groups.
 AXES = 64
 #: A leaf holds about this many points.
-LEAF = 48
+LEAF = 160
 #: Word hashes that a worker remembers.
 CACHE = 400_000
 
@@ -260,18 +260,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Rows (a, b, links): a link of the forest (links 0), or how many links node a has among two leaves (b null)."""
-    # Leaves: nodes that meet the same smallest node lie together; large crowds are dealt by hash.
-    home = met.join(met.groupBy("key").agg(F.min("node").alias("least")), "key").groupBy("node").agg(F.min("least").alias("home"))
-    home = materialise(home, "join-homes")
-    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
-    leaf = materialise(home.join(crowd, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf")), "join-leaves")
+    # Leaves: nodes that meet the same smallest node, directly or over one other, lie together; large crowds are dealt by hash.
+    home = met.select("key", "node", F.col("node").alias("home"))
+    for _ in range(2):
+        least = home.groupBy("key").agg(F.min("home").alias("least"))
+        near = met.join(least, "key").groupBy("node").agg(F.min("least").alias("home"))
+        home = met.join(near, "node").select("key", "node", "home")
+    near = materialise(near, "join-homes")
+    crowd = near.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
+    leaf = materialise(near.join(crowd, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf")), "join-leaves")
     chosen = leaf.select("node").join(classes, "node").select("node", "id")
-    point = materialise(points(docs, chosen, id_col, text_col, shingle).join(leaf, "node").dropDuplicates(["node"]), "join-points")
+    point = materialise(points(docs, chosen, id_col, text_col, shingle).join(leaf.drop("home"), "node").dropDuplicates(["node"]), "join-points")
     # Boxes: the sizes and the largest count on each axis. Leaves meet through a key and if their boxes allow an overlap.
     box = point.groupBy("leaf").agg(F.min("n").alias("least"), F.count("*").alias("size"), F.array(*[F.max(F.col("axes")[k]) for k in range(AXES)]).alias("box"))
     box = materialise(box, "join-boxes")
-    at = met.join(leaf, "node").select("key", "leaf").distinct()
-    cross = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.leaf") < F.col("y.leaf"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two")).distinct()
+    # Leaves of one home meet anyway: a pair each, however many keys they share. Only those of two homes meet through keys.
+    at = met.join(leaf, "node").select("key", "home", "leaf").distinct()
+    apart = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.home") < F.col("y.home"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two")).distinct()
+    own = leaf.select("home", "leaf").distinct()
+    within = own.alias("x").join(own.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.leaf") < F.col("y.leaf"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two"))
+    cross = apart.unionByName(within)
     reach = F.aggregate(F.zip_with("a.box", "b.box", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
     cross = cross.join(box.alias("a"), F.col("one") == F.col("a.leaf")).join(box.alias("b"), F.col("two") == F.col("b.leaf")).where(reach * (100 + percent) >= percent * (F.col("a.least") + F.col("b.least"))).select("one", "two")
     pair = cross.unionByName(box.where("size > 1").select(F.col("leaf").alias("one"), F.col("leaf").alias("two")))
