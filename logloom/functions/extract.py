@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fingerprint import bound
+
 #: The pattern of rules that read a line as JSON.
 JSON_RULE = "__JSON__"
 #: What a mapping may target, header groups that are no payload, and pattern caps.
@@ -115,11 +117,6 @@ def key_values(text: Column) -> Column:
     return F.zip_with(part(1), plain, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value evaluated once, also where body uses it inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def last_values(pairs: Column) -> Column:
     """map<string,string> in which the last of equal keys counts."""
     later = lambda all_, p, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])
@@ -143,20 +140,22 @@ def flatten_json(text: Column, depth: int = 4) -> Column:
 
 
 def document(values: dict[str, Column], unmapped: Column, product: str = "logloom") -> Column:
-    """The event document of mapped values by target; a port that is no integer is kept as port_raw."""
+    """The event document of mapped values by target; a port that is no integer is kept as port_raw. Each value is evaluated once."""
     null = F.lit(None).cast("string")
-    value = lambda t: values.get(t, null)
 
-    def endpoint(side: str) -> Column:
-        ip, port = value(f"{side}.ip"), value(f"{side}.port")
-        number = port.try_cast("bigint")
-        raw = F.when(number.isNull() & ~port.rlike(r"^[\[{]"), port)
-        return F.when(ip.isNotNull() | port.isNotNull(), F.struct(ip.alias("ip"), number.alias("port"), raw.alias("port_raw")))
+    def build(v: Column) -> Column:
+        def endpoint(side: str) -> Column:
+            ip, port = v[f"{side}.ip"], v[f"{side}.port"]
+            number = port.try_cast("bigint")
+            raw = F.when(number.isNull() & ~port.rlike(r"^[\[{]"), port)
+            return F.when(ip.isNotNull() | port.isNotNull(), F.struct(ip.alias("ip"), number.alias("port"), raw.alias("port_raw")))
+
+        return F.struct(
+            F.lit(CLASS_UID).alias("class_uid"), F.lit(CLASS_NAME).alias("class_name"), F.lit(ACTIVITY_ID).alias("activity_id"), v["severity_id"].try_cast("bigint").alias("severity_id"), v["time"].alias("time"),
+            endpoint("src_endpoint").alias("src_endpoint"), endpoint("dst_endpoint").alias("dst_endpoint"), v["action"].alias("action"), v["message"].alias("message"), F.struct(F.lit(product).alias("product")).alias("metadata"), v["unmapped"].alias("unmapped"),
+        )
 
-    return F.struct(
-        F.lit(CLASS_UID).alias("class_uid"), F.lit(CLASS_NAME).alias("class_name"), F.lit(ACTIVITY_ID).alias("activity_id"), value("severity_id").try_cast("bigint").alias("severity_id"), value("time").alias("time"),
-        endpoint("src_endpoint").alias("src_endpoint"), endpoint("dst_endpoint").alias("dst_endpoint"), value("action").alias("action"), value("message").alias("message"), F.struct(F.lit(product).alias("product")).alias("metadata"), unmapped.alias("unmapped"),
-    )
+    return bound(F.struct(*[values.get(t, null).alias(t) for t in TARGETS], unmapped.alias("unmapped")), build)
 
 
 def regex_document(raw: Column, rule: Rule) -> tuple[Column, Column]:
@@ -164,17 +163,22 @@ def regex_document(raw: Column, rule: Rule) -> tuple[Column, Column]:
     java = translate(rule.pattern)
     group = {name: F.regexp_extract(raw, java.pattern, k) for name, k in java.groups.items()}
     pairs = key_values(group["extension"]) if "extension" in group else F.array().cast("array<struct<key:string,value:string>>")
-    targets = {s: t for s, t in rule.mappings}  # of several mappings of a field the last counts
-    found = last_values(pairs)
-    source = lambda s: F.coalesce(F.try_element_at(found, F.lit(s)), group[s] if s in group else F.lit(None).cast("string"))
-    values: dict[str, Column] = {}
-    for s, t in targets.items():
-        values[t] = F.coalesce(source(s), values[t]) if t in values else source(s)
+    targets = dict(rule.mappings)  # of several mappings of a field the last counts
     extra = [F.struct(F.lit(n).alias("key"), group[n].alias("value")) for n in group if n not in STRUCTURAL and n not in targets]
     known = [*STRUCTURAL, *targets]
-    rest = F.filter(pairs, lambda p: ~p["key"].isin(known))
-    unmapped = last_values(F.concat(F.array(*extra), rest) if extra else rest)
-    return raw.rlike(java.pattern), document(values, unmapped)
+
+    def build(all_: Column) -> Column:
+        def source(s: str) -> Column:
+            last = F.get(F.filter(all_, lambda p: p["key"] == s), F.size(F.filter(all_, lambda p: p["key"] == s)) - 1)["value"]
+            return F.coalesce(last, group[s]) if s in group else last
+
+        values: dict[str, Column] = {}
+        for s, t in targets.items():
+            values[t] = F.coalesce(source(s), values[t]) if t in values else source(s)
+        rest = F.filter(all_, lambda p: ~p["key"].isin(known))
+        return document(values, last_values(F.concat(F.array(*extra), rest) if extra else rest))
+
+    return raw.rlike(java.pattern), bound(pairs, build)
 
 
 def json_document(raw: Column, rule: Rule) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.drift import iso_time
 from ..functions.extract import LINE_CAP, Rule, parse
+from ..functions.fingerprint import bound
 from ..functions.ids import event_id
 
 #: Samples are captured for a fingerprint without an active rule up to this many.
@@ -27,28 +28,30 @@ def normalize(events: DataFrame, rules: Iterable[Rule], parsed_at: Column | None
     """A normalized event for each raw event: status parsed, unparsed (no rule) or parse_error.
 
     The rules are compiled into the plan: one expression for each distinct pattern and mapping,
-    and a lookup from fingerprint to it, so that parsing needs no join and no Python. Missing
+    chosen by fingerprint, so that parsing needs no join and no Python. Missing
     times are filled with the time of receipt.
     """
     rules = active(rules)
     if ignore_quarantine:
         rules = [Rule(r.fingerprint_id, r.version, r.pattern, r.mappings, r.provenance, r.status) for r in rules]
-    fingerprint, null = F.col("fingerprint_id"), F.lit(None)
-    version, parsed, by_body = null.cast("int"), None, {}
+    by_body: dict[tuple, list[Rule]] = {}
     for r in rules:
         by_body.setdefault((r.pattern, r.effective().mappings), []).append(r)
-    for body in by_body.values():
-        here = fingerprint.isin([r.fingerprint_id for r in body])
-        one = parse(F.col("raw_text"), body[0])
-        parsed = F.when(here, one) if parsed is None else parsed.when(here, one)
-        for v in sorted({r.version for r in body}):
-            version = F.when(fingerprint.isin([r.fingerprint_id for r in body if r.version == v]), v).otherwise(version)
+    none = F.lit(None)
+
+    def build(x: Column) -> Column:
+        """Version and parse of a line: x has its text and fingerprint, each evaluated once."""
+        version, parsed = none.cast("int"), F.when(F.lit(False), parse(x["raw"], Rule("", 0, "x^", ())))
+        for body in by_body.values():
+            parsed = parsed.when(x["fingerprint"].isin([r.fingerprint_id for r in body]), parse(x["raw"], body[0]))
+        for r in rules:
+            version = F.when(x["fingerprint"] == r.fingerprint_id, r.version).otherwise(version)
+        return F.struct(version.alias("version"), parsed.alias("parsed"))
+
     at = F.col("received_at") if parsed_at is None else parsed_at
-    out = events.withColumn("rule_version", version)
-    if parsed is None:
-        empty = parse(F.col("raw_text"), Rule("", 0, "x^", ()))
-        parsed = F.when(F.lit(False), empty)
-    out = out.withColumn("p", parsed).withColumn("status", F.when(F.col("rule_version").isNull(), "unparsed").when(F.col("p.error").isNull(), "parsed").otherwise("parse_error"))
+    out = events.withColumn("x", bound(F.struct(F.col("raw_text").alias("raw"), F.col("fingerprint_id").alias("fingerprint")), build))
+    out = out.select("*", F.col("x.version").cast("int").alias("rule_version"), F.col("x.parsed").alias("p"))
+    out = out.withColumn("status", F.when(F.col("rule_version").isNull(), "unparsed").when(F.col("p.error").isNull(), "parsed").otherwise("parse_error"))
     filled = F.col("p.doc").withField("time", F.coalesce("p.doc.time", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
     return out.select(
         event_id(F.col("raw_id"), F.coalesce("rule_version", F.lit(0))).alias("event_id"), "raw_id", F.col("received_at").alias("raw_received_at"), at.alias("parsed_at"), "fingerprint_id", "rule_version", "status",
