@@ -27,6 +27,8 @@ BAND = 1.4
 AXES = 64
 #: A leaf holds about this many points.
 LEAF = 160
+#: The last bits of a key hold how many keys a linked pair of its band shares at least; so many at most.
+SURE = 63
 #: Word hashes that a worker remembers.
 CACHE = 400_000
 
@@ -69,30 +71,30 @@ def edges_of_bands(most: int) -> list[int]:
 
 
 def group_keys(tokens: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Keys of which two sets that link share at least one, unless they are equal.
+    """Keys of which two sets that link share at least as many as the keys' last bits say, unless they are equal.
 
     For each band that the larger set of a pair may lie in, the most tokens that a linked pair
-    can differ in is known; with as many groups and one more, some group is equal in both. As
-    many groups more are added as a set may have empty ones: those give no key, and a set with
-    more empty groups than that gives keys for all its groups.
+    can differ in is known; with as many groups and some more, those more are equal in both. Of
+    these, some may be empty: empty groups give no key, and a set with more of them than were
+    allowed for gives keys for all its groups. Sets that share a group by chance share fewer.
     """
     n, keys = len(tokens), []
     band = int(np.searchsorted(edges, n, side="right")) - 1
     while band + 1 < len(edges) and (edges[band] <= n or 100 * n >= percent * edges[band]):
         differ = (100 - percent) * 2 * (edges[band + 1] - 1) // (100 + percent)
         if differ:
-            spare = 1 + (differ + 1) // 16
-            groups = differ + 1 + spare
+            spare, sure = 1 + (differ + 1) // 16, min(SURE, 2 + differ // 8)
+            groups = differ + spare + sure
             # The groups are ranges of the hash, so sorted tokens lie in them one after another.
             group = ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
             content = np.add.reduceat(mix(tokens ^ M1), starts)
             seed = np.array([band], np.uint64) * M2 + M1
             salt = mix(group[starts] * M3 + seed)
-            keys.append(mix(content + salt))
+            keys.append(mix(content + salt) & ~np.uint64(SURE) | np.uint64(sure))
             if groups - len(starts) > spare:
                 empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), group[starts])
-                keys.append(mix(mix(empty * M3 + seed) ^ M3))
+                keys.append(mix(mix(empty * M3 + seed) ^ M3) & ~np.uint64(SURE) | np.uint64(sure))
         band += 1
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
@@ -156,6 +158,17 @@ def meetings(rows: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "key long, node long")
 
 
+def crowded(met: DataFrame, rounds: int = 2) -> DataFrame:
+    """met without nodes that share too few keys of a band for any link in it, and then without keys of one node alone."""
+    for _ in range(rounds):
+        sure = F.col("key").bitwiseAND(F.lit(SURE))
+        enough = met.groupBy("node", sure.alias("sure")).agg(F.count("*").alias("n")).where("n >= sure").select("node", "sure")
+        kept = met.withColumn("sure", sure).join(enough, ["node", "sure"], "left_semi").select("key", "node")
+        several = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        met = materialise(kept.join(several, "key", "left_semi").select("key", "node"), "join-crowded")
+    return met
+
+
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, n, tokens, axes) of one document for each wanted node; wanted has node and the id of its document."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
@@ -260,13 +273,14 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Rows (a, b, links): a link of the forest (links 0), or how many links node a has among two leaves (b null)."""
-    # Leaves: nodes that meet the same smallest node, directly or over one other, lie together; large crowds are dealt by hash.
+    # Leaves: a node takes the home that most of its keys name, which is their smallest node at first. Near copies share
+    # many keys, others few by chance, so leaves hold near copies and their boxes are tight; large crowds are dealt by hash.
     home = met.select("key", "node", F.col("node").alias("home"))
-    for _ in range(2):
+    for _ in range(3):
         least = home.groupBy("key").agg(F.min("home").alias("least"))
-        near = met.join(least, "key").groupBy("node").agg(F.min("least").alias("home"))
+        votes = met.join(least, "key").groupBy("node", "least").agg(F.count("*").alias("keys"))
+        near = materialise(votes.groupBy("node").agg(F.max_by("least", F.struct("keys", F.negative("least"))).alias("home")), "join-homes")
         home = met.join(near, "node").select("key", "node", "home")
-    near = materialise(near, "join-homes")
     crowd = near.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
     leaf = materialise(near.join(crowd, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf")), "join-leaves")
     chosen = leaf.select("node").join(classes, "node").select("node", "id")
@@ -329,7 +343,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if clash:
         raise ArithmeticError(f"{clash} hashes of sets stand for several sets")
     classes = materialise(classes.select("node", "id"), "join-classes")
-    met = materialise(meetings(rows.where("node IS NOT NULL")), "join-meetings")
+    met = crowded(materialise(meetings(rows.where("node IS NOT NULL")), "join-meetings"))
     found = materialise(tree_links(met, docs, classes, id_col, text_col, shingle, percent), "join-links")
     labels = components(found.where("b IS NOT NULL"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
