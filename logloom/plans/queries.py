@@ -168,7 +168,7 @@ def time_fill(spark, sf_dir):
     return normalized(spark, sf_dir).where("status = 'parsed'").select("event_id", F.col("ocsf.time").alias("time"))
 
 
-@query(WITH + "SELECT event_id, count_if(severity NOT BETWEEN 0 AND 6) + count_if(TRY_CAST(dst_port AS BIGINT) NOT BETWEEN 0 AND 65535) AS problems FROM n WHERE status = 'parsed' GROUP BY event_id HAVING problems > 0")
+@query(WITH + "SELECT event_id, count_if(coalesce(severity NOT BETWEEN 0 AND 6, false)) + count_if(coalesce(TRY_CAST(dst_port AS BIGINT) NOT BETWEEN 0 AND 65535, false)) AS problems FROM n WHERE status = 'parsed' GROUP BY event_id HAVING problems > 0")
 def schema_errors(spark, sf_dir):
     rows = normalized(spark, sf_dir).where("status = 'parsed'").select("event_id", F.size(document_errors(F.col("ocsf"))).cast("long").alias("problems"))
     return rows.where("problems > 0")
@@ -399,7 +399,7 @@ VALUES = """, v AS (SELECT fp, wid, unnest([{'f': 'src_endpoint.ip', 'v': src_ip
 u AS (SELECT * FROM v WHERE fp = 'json' OR (f NOT IN ('severity_id', 'time') AND (fp LIKE 'cef%' OR f NOT IN ('action', 'message')))),
 k AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(v, '^\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}$') THEN 'ipv4' WHEN regexp_matches(v, '^\\d{4}[-/]\\d{2}[-/]\\d{2}') THEN 'timestamp' WHEN regexp_matches(v, '^\\d+$') THEN 'int' ELSE 'free_text' END AS c,
  coalesce(CASE WHEN f LIKE '%.port' THEN TRY_CAST(v AS BIGINT) IS NULL AND v IS NOT NULL WHEN f = 'severity_id' THEN CAST(v AS INT) > 6 END, false) AS bad FROM u),
-fs AS (SELECT fp, wid, f AS field, count_if(v IS NULL) AS nulls, count_if(bad) AS violations, count_if(c = 'ipv4') AS ipv4, count_if(c = 'timestamp') AS ts_values, count_if(c = 'int') AS int_values, count_if(c = 'free_text') AS free_text FROM k GROUP BY ALL)"""
+fs AS (SELECT fp, wid, f AS field, count_if(v IS NULL) AS nulls, count_if(bad) AS violations, count_if(coalesce(c, '') = 'ipv4') AS ipv4, count_if(coalesce(c, '') = 'timestamp') AS ts_values, count_if(coalesce(c, '') = 'int') AS int_values, count_if(coalesce(c, '') = 'free_text') AS free_text FROM k GROUP BY ALL)"""
 BAND = lambda x, a, b, c: f"CASE WHEN {x} < {a} THEN 'none' WHEN {x} < {b} THEN 'minor' WHEN {x} < {c} THEN 'moderate' WHEN {x} IS NOT NULL THEN 'severe' END"
 ROWS = CLOSED + VALUES + f""", r AS (SELECT fs.fp, field, window_start, window_end, events_count, nulls / parsed AS null_rate, CAST(NULL AS DOUBLE) AS match_rate, violations / parsed AS violation_rate, ipv4, ts_values, int_values, free_text, {BAND('violations / parsed', 0.05, 0.2, 0.5)} AS severity FROM fs JOIN b USING (fp, wid)
  UNION ALL SELECT fp, '__rule__', window_start, window_end, events_count, NULL, CASE WHEN parsed + errors > 0 THEN parsed / (parsed + errors) END, NULL, NULL, NULL, NULL, NULL, 'none' FROM b)"""
