@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialise, table
+from logloom.llm.common import bounded, materialise, table
 from logloom.llm.decontamination import decontaminate
 from logloom.llm.jaccard_join import jaccard_join
 from logloom.llm.mixing import mix
 from logloom.llm.pii import find_pii
 from logloom.llm.quality_rules import quality_rules
 
+#: A list of at most this many ids is broadcast, so that texts stay where they are; a longer one is shuffled with them.
+LISTED = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can't express the isolation forest, the added PII spans or the seeded mix: tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -28,7 +30,8 @@ def same_row(left: str, right: str):
 
 def only(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """The rows of docs whose id is (left_semi) or isn't (left_anti) among chosen."""
-    return docs.alias("d").join(chosen.select("doc_id").distinct().alias("c"), same_row("d", "c"), how).select(*COLUMNS)
+    chosen = bounded(materialise(chosen.select("doc_id").distinct(), "pipeline-ids"), LISTED)
+    return docs.alias("d").join(chosen.alias("c"), same_row("d", "c"), how).select(*COLUMNS)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,9 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, Jaccard 0.8) the row with the smallest id stays; of repeated rows, one."""
     found = jaccard_join(docs, shingle=5, percent=80)
-    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi").dropDuplicates(["doc_id"])
+    found = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "pipeline-firsts")
+    out = only(docs, found, "left_semi")
+    return out.dropDuplicates(["doc_id"]) if found.count() > found.distinct().count() else out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """df marked for broadcast if its counted rows are within limit; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def fold(id_column: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; a null id counts as the empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise
+from .common import bounded, materialise
 
 WINDOW = 13
 #: A side with at most this many rows is broadcast (of at most WINDOW words each); a larger one is shuffled.
@@ -31,11 +31,6 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(low, APART), "")
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows are within limit."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """Distinct (item, win): all runs of window words; an item of fewer words is one window."""
     split = items.select(F.col(item_col).cast("string").alias("item"), words(text_col).alias("w")).where(F.size("w") > 0)
@@ -47,7 +42,7 @@ def prefix_tokens(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFra
     """Each distinct win with its rarest word over all documents (key), where it stands in it (off), and its length."""
     tokens = windows.select("win").distinct().select("win", F.posexplode("win").alias("off", "token"))
     vocabulary = tokens.select("token").distinct()
-    seen = docs.select(F.explode(words(text_col)).alias("token")).join(bounded(vocabulary), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    seen = docs.select(F.explode(words(text_col)).alias("token")).join(bounded(vocabulary, BROADCAST_ROWS), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(materialise(seen, "decontamination-counts"), "token", "left")
     rarest = ranked.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("r"))
     # A window with a word that no document has occurs nowhere.
@@ -90,7 +85,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     end = F.col("start") + F.col("len")
     hits = found.select("id", "h", "start", "len").distinct().withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0)))
     hits = hits.groupBy("id", "h").agg(F.sum(F.greatest(end - F.greatest("start", "covered"), F.lit(0))).alias("n_hit"))
-    of = found.select("id", "h", "win").distinct().join(bounded(windows), "win").where("item IS NOT NULL").groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of = found.select("id", "h", "win").distinct().join(bounded(windows, BROADCAST_ROWS), "win").where("item IS NOT NULL").groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     both = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
     facts = hits.alias("x").join(of.alias("o"), both("x", "o"), "left").select("x.*", "o.items")

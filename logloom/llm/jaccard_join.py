@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_arrow, materialise
+from .common import bounded, id_type, map_arrow, materialise
 
 #: Size bands grow by this factor; all sets of a pair of bands are cut into the same groups.
 BAND = 1.4
@@ -29,6 +29,8 @@ AXES = 64
 LEAF = 160
 #: The last bits of a key hold how many keys a linked pair of its band shares at least; so many at most.
 SURE = 63
+#: A list of at most this many ids is broadcast, a longer one shuffled.
+LISTED = 1_000_000
 #: Word hashes that a worker remembers.
 CACHE = 400_000
 
@@ -171,7 +173,7 @@ def crowded(met: DataFrame, rounds: int = 2) -> DataFrame:
 
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, n, tokens, axes) of one document for each wanted node; wanted has node and the id of its document."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(wanted.select("id").distinct(), LISTED), "id", "left_semi")
 
     def make():
         hashes = WordHash()
@@ -197,9 +199,12 @@ def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], di
     side = table.column("side").to_numpy()
     node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
     axes = np.array(table.column("axes").to_pylist(), np.int32).reshape(len(node), -1)
-    first = np.flatnonzero(side == 0)
-    second = np.flatnonzero(side == 1) if (side == 1).any() else first
-    alone = second is first
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+    if alone:
+        second = first
+    elif not len(first) or not len(second):
+        return [], {}
     # Points: summed minima of the counts bound the overlap.
     bound = np.empty((len(first), len(second)), np.int32)
     for i, a in enumerate(first):
@@ -282,23 +287,27 @@ def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         near = materialise(votes.groupBy("node").agg(F.max_by("least", F.struct("keys", F.negative("least"))).alias("home")), "join-homes")
         home = met.join(near, "node").select("key", "node", "home")
     crowd = near.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
-    leaf = materialise(near.join(crowd, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf")), "join-leaves")
+    # A node whose keys all stay in its home meets no other home.
+    outside = met.join(near, "node").groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("key")
+    border = met.join(outside, "key", "left_semi").select("node").distinct().withColumn("border", F.lit(True))
+    leaf = near.join(crowd, "home").join(border, "node", "left").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf"), F.coalesce("border", F.lit(False)).alias("border"))
+    leaf = materialise(leaf, "join-leaves")
     chosen = leaf.select("node").join(classes, "node").select("node", "id")
     point = materialise(points(docs, chosen, id_col, text_col, shingle).join(leaf.drop("home"), "node").dropDuplicates(["node"]), "join-points")
     # Boxes: the sizes and the largest count on each axis. Leaves meet through a key and if their boxes allow an overlap.
     box = point.groupBy("leaf").agg(F.min("n").alias("least"), F.count("*").alias("size"), F.array(*[F.max(F.col("axes")[k]) for k in range(AXES)]).alias("box"))
     box = materialise(box, "join-boxes")
     # Leaves of one home meet anyway: a pair each, however many keys they share. Only those of two homes meet through keys.
-    at = met.join(leaf, "node").select("key", "home", "leaf").distinct()
+    at = met.join(leaf.where("border"), "node").select("key", "home", "leaf").distinct()
     apart = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.home") < F.col("y.home"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two")).distinct()
     own = leaf.select("home", "leaf").distinct()
     within = own.alias("x").join(own.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.leaf") < F.col("y.leaf"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two"))
-    cross = apart.unionByName(within)
+    cross = apart.withColumn("inner", F.lit(False)).unionByName(within.withColumn("inner", F.lit(True)))
     reach = F.aggregate(F.zip_with("a.box", "b.box", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
-    cross = cross.join(box.alias("a"), F.col("one") == F.col("a.leaf")).join(box.alias("b"), F.col("two") == F.col("b.leaf")).where(reach * (100 + percent) >= percent * (F.col("a.least") + F.col("b.least"))).select("one", "two")
-    pair = cross.unionByName(box.where("size > 1").select(F.col("leaf").alias("one"), F.col("leaf").alias("two")))
-    visits = pair.select("one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")), F.struct(F.lit(1).alias("side"), F.col("two").alias("leaf"))))).alias("v"))
-    visits = visits.select("one", "two", "v.side", "v.leaf").join(point, "leaf").select("one", "two", "side", "node", "n", "tokens", "axes")
+    cross = cross.join(box.alias("a"), F.col("one") == F.col("a.leaf")).join(box.alias("b"), F.col("two") == F.col("b.leaf")).where(reach * (100 + percent) >= percent * (F.col("a.least") + F.col("b.least"))).select("one", "two", "inner")
+    pair = cross.unionByName(box.where("size > 1").select(F.col("leaf").alias("one"), F.col("leaf").alias("two"), F.lit(True).alias("inner")))
+    visits = pair.select("one", "two", "inner", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")), F.struct(F.lit(1).alias("side"), F.col("two").alias("leaf"))))).alias("v"))
+    visits = visits.select("one", "two", "inner", "v.side", "v.leaf").join(point, "leaf").where("inner OR border").select("one", "two", "side", "node", "n", "tokens", "axes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["one", "two"]):

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_arrow, materialise
-from .decontamination import bounded
+from .common import bounded, id_type, map_arrow, materialise
 from .jaccard_join import M1, M3, mix
 
 LENGTH, GRAM = 100, 24
