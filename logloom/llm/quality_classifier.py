@@ -119,8 +119,8 @@ def score(table: DataFrame, scaler: Scaler, weights: np.ndarray, extra: str, kin
 def estimate_prior(train: DataFrame, scaler: Scaler, weights: np.ndarray, confidence: float = 0.05) -> float:
     """Share of positives in the unlabelled text, from its scores by a positive-against-unlabelled model.
 
-    Any set of scores holds at least the share prior times its share of the positives. The ratio
-    is taken over the sets above each bin, plus the error of both shares, and the least is kept.
+    Any set of scores holds at least the share prior times its share of the positives. Of the
+    sets above each bin, the one whose ratio plus the error of both shares is least gives the ratio.
     """
     counts = np.zeros((2, BINS))
     for r in score(train, scaler, weights, "positive", "positive boolean").groupBy("positive", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect():
@@ -132,7 +132,8 @@ def estimate_prior(train: DataFrame, scaler: Scaler, weights: np.ndarray, confid
     error = np.sqrt(np.log(4 / confidence) / 2 / n)
     ratio = (share[0] + error[0] + error[1]) / np.maximum(share[1], 1e-9)
     usable = share[1] > 0.1
-    return float(np.clip(ratio[usable].min() if usable.any() else 0.5, 0.02, 0.98))
+    best = int(np.argmin(np.where(usable, ratio, np.inf)))
+    return float(np.clip(share[0][best] / share[1][best] if usable.any() else 0.5, 0.02, 0.98))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_fold: int = 1, steps: int = 16) -> DataFrame:

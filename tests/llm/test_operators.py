@@ -1,0 +1,320 @@
+"""Each operator against brute force or a round trip, on rows with nulls, repeats, ties and clashing columns."""
+
+import hashlib
+import math
+import random
+import sys
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from logloom.llm import pii, warc
+from logloom.llm.decontamination import contamination_digest, decontaminate
+from logloom.llm.jaccard_join import jaccard_join
+from logloom.llm.mixing import mix, subset, targets
+from logloom.llm.quality_classifier import classify_quality
+from logloom.llm.quality_rules import quality_rules
+from logloom.llm.subword_lm import Lattice, read_vocabulary, score_texts
+from logloom.llm.suffix_dedup import suffix_dedup
+from logloom.llm.text_stats import stats
+from logloom.llm.token_counts import count_tokens, split_text
+
+tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, source string, id string, node long, n long, c long, key string, h long"
+
+
+def corpus(seed=5):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(12, 160))) + "." for _ in range(60)]
+    for i in range(12):  # near copies
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += texts[:5] + ["", "   ", "one", "two words", "Ünïcode Wörds Ä é 日本 " * 8, "x" * 3000, "a b " * 4000]
+    rows = [(i, t, f"s{i % 4}" if i % 9 else None) for i, t in enumerate(texts)]
+    return rows + [(900, None, "s1"), (901, None, None), rows[3], rows[3], (None, "null id words here", "s2")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+def frame(spark, rows):
+    """With columns whose names the operators use themselves."""
+    return spark.createDataFrame([(*r, "x", 1, 2, 3, "k", 4) for r in rows], SCHEMA).repartition(3)
+
+
+def by_id(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.doc_id].append(r)
+    return out
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+OPERATORS = {
+    "tokens": lambda d, labels: count_tokens(d, tokenizers.path("byte_bpe_50k.json")),
+    "rules": quality_rules,
+    "classifier": classify_quality,
+    "pii": lambda d, labels: pii.find_pii(d),
+    "jaccard": lambda d, labels: jaccard_join(d),
+    "lm": lambda d, labels: score_texts(d, tokenizers.path("piece_bpe_32k.model")),
+    "decontaminate": lambda d, labels: decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    "mix": lambda d, labels: mix(d),
+    "suffix": lambda d, labels: suffix_dedup(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    empty = frame(spark, []).where("1 = 0")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert OPERATORS[name](empty, labels).count() == 0
+
+
+def test_token_counts(spark, rows):
+    from tokenizers import Tokenizer
+
+    rows = [*rows, (950, "a<|endoftext|>b  c <|endoftext|>\n\n  d", "s1"), (951, "it's 12 " * 9000, "s1")]
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    got = by_id(count_tokens(frame(spark, rows), tokenizers.path("byte_bpe_50k.json"), piece_chars=500, batch_chars=3000))
+    for i, text, _ in rows:
+        n = len(t.encode(text or "", add_special_tokens=False))
+        assert all((r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 1024) for r in got[i])
+    assert sum(map(len, got.values())) == len(rows)
+    assert "".join(split_text("ab cd\nef" * 500, 64)) == "ab cd\nef" * 500
+
+
+def test_rule_counts_and_verdict(spark, rows):
+    bad = [(1000 + i, " ".join(f"w{j}###$$$" for j in range(i, i + 60)), "s0") for i in range(4)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(1000 + i, 0, 0) for i in range(4)] + [(0, None, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules(frame(spark, rows + bad), labels))
+    for i, text, _ in rows:
+        w = (text or "").split(None)
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        for r in got[i]:
+            assert (r.n_words, r.n_repeat_words) == (len(w), len(hit)) and r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
+            assert not (r.base_failed and r.kept)
+    assert not any(r.kept for i, _, _ in bad for r in got[i]) and all(r.kept for i in range(60) for r in got[i])
+    assert stats("a\nb\n\na\n \na #$")["n_dup_lines"] == 1 and stats("a\nb #$")["n_symbols"] == 2
+
+
+def test_classifier_learns_from_positives(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 90))) + "."
+    data = [(i, good() if i % 4 else good().upper().replace(" ", "!! "), "s") for i in range(800)] + [(2000, None, "s"), (2000, None, "s")]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(800) if i % 3], "doc_id long, quality int, toxic int")
+    got = by_id(classify_quality(frame(spark, data), labels))
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i][0].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(800))
+    assert sum(got[i][0].predicted == int(i % 4 > 0) for i in held) / len(held) > 0.95
+    assert abs(got[1][0].prior - 0.75) < 0.12 and len(got[2000]) == 2 and all(0 <= r.score <= 1 for x in got.values() for r in x)
+
+
+def test_pii_base_matches_plain_patterns(spark):
+    import re
+
+    rng = random.Random(3)
+    pieces = ["a.b@c-d.com", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", "@", "é", " ", ".", "-", "99", "+", "a@b.c@d.e", "0" * 30]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        want = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(*m.span(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        assert pii.detect(text) == sorted(want, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+DISGUISED = {
+    "write to john at example dot com now": ["john at example dot com"],
+    "mail john.doe [at] example [dot] co (dot) uk!": ["john.doe [at] example [dot] co (dot) uk"],
+    "call plus one five five five one two three four five six seven ok": ["plus one five five five one two three four five six seven"],
+    "jоhn@exаmple.com": ["jоhn@exаmple.com"],
+    "４１１１ １１１１ １１１１ １１１１": ["４１１１ １１１１ １１１１ １１１１"],
+    "ip one nine two dot one six eight dot one dot nine": ["one nine two dot one six eight dot one dot nine"],
+    "look at example.com": [], "one, two, three": [], "he stood at the dot in a row": [], "meet at noon": [],
+}
+
+
+@pytest.mark.parametrize("text", DISGUISED)
+def test_pii_disguises(text):
+    base, spans = pii.find(text)
+    assert [text[a:b] for a, b, _ in spans] == DISGUISED[text] and set(base) <= set(spans)
+
+
+def test_pii_frame(spark, rows):
+    got = by_id(pii.pii_digest(pii.find_pii(frame(spark, [*rows, (970, "mail a@b.co and +1 (555) 123-4567", "s")]))))
+    assert got[900][0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[900][0].spans == ""
+    assert got[970][0].spans == "email:5:11,phone:16:33" and (got[970][0].n_email, got[970][0].n_phone) == (1, 1)
+    assert pii.mask("mail a@b.co!", [(5, 11, "email")]) == "mail [EMAIL]!"
+
+
+@pytest.mark.parametrize("shingle,percent", [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_join(spark, rows, shingle, percent):
+    got = by_id(jaccard_join(frame(spark, rows), shingle=shingle, percent=percent))
+    sets = {}
+    for i, text, _ in rows:
+        w = words_of(text)
+        sets[i] = frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+    ids = sorted((i for i in sets if i is not None))
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    for i in ids:
+        assert all((r.n_shingles, r.component_id) == (len(sets[i]), root(i)) for r in got[i]), i
+    assert sum(map(len, got.values())) == len(rows)
+
+
+def test_lattice_is_the_sum_over_segmentations():
+    pieces, logp, byte_ids = read_vocabulary(tokenizers.path("piece_bpe_32k.model"))
+    at = {p: i for i, p in enumerate(pieces) if p}
+    words = [b"the", b"segmentation", "日x".encode(), "é😀".encode(), b"a" * 40]
+    for word, got in zip(words, Lattice(pieces, logp, byte_ids).score(words), strict=True):
+        text = "▁" + word.decode()
+        sums = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            for i in range(j):
+                if text[i:j] in at:
+                    sums[j] += sums[i] * math.exp(logp[at[text[i:j]]])
+                elif j == i + 1:
+                    sums[j] += sums[i] * math.exp(sum(logp[byte_ids[b]] for b in text[i:j].encode()))
+        assert got == pytest.approx(math.log10(sums[-1]))
+
+
+@pytest.mark.parametrize("known", [200_000, 20])
+def test_lm_base_score(spark, rows, known, monkeypatch):
+    from logloom.llm import subword_lm
+
+    monkeypatch.setattr(subword_lm, "KNOWN_WORDS", known)
+    got = by_id(score_texts(frame(spark, rows), tokenizers.path("piece_bpe_32k.model")))
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    counts = Counter(w for i, t, _ in rows if fold(i) for w in [*words_of(t), b""])
+    n, v = sum(counts.values()), len(counts)
+    for i, text, _ in rows:
+        w = [*words_of(text), b""]
+        for r in got[i]:
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i) == 0, len(w), sum(counts[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) and r.score < 0
+    assert sum(map(len, got.values())) == len(rows)
+
+
+def test_decontamination_both_ways(spark, rows, monkeypatch):
+    from logloom.llm import decontamination
+
+    items = [(0, rows[0][1]), (1, " ".join(rows[1][1].split()[3:19])), (2, "two words"), (3, None), (4, ""), (1, rows[2][1]), (None, rows[4][1])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in "".join(c.lower() if c.isascii() else c for c in t or "")).split()
+    results = []
+    for limit in (200_000, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+        results.append(by_id(contamination_digest(decontaminate(frame(spark, rows), table))))
+    for i, text, _ in rows:
+        w, hit, found = plain(text), set(), set()
+        for item, t in items:
+            x = plain(t)
+            for k in range(max(1, len(x) - 12) if x else 0):
+                win = x[k : k + 13]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        found |= {str(item)} if item is not None else set()
+        want = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        for got in results:
+            assert all(tuple(r)[1:] == want for r in got[i]), i
+
+
+def test_targets_and_knapsack():
+    assert targets([100, 100, 100]) == pytest.approx([50, 100, 150])
+    t = targets([1000, 10, 10])
+    assert t[1:] == [30.0, 30.0] and sum(t) == pytest.approx(1020)
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 6)))
+        counts = [rng.randint(1, 5) for _ in lengths]
+        budget = rng.randint(0, sum(x * n for x, n in zip(lengths, counts)) + 5)
+        take = subset(lengths, counts, budget)
+        assert all(0 <= k <= n for k, n in zip(take, counts)) and sum(x * k for x, k in zip(lengths, take)) <= max(budget, 0)
+    assert subset([3, 5], [4, 4], 16) in ([2, 2], [2, 2]) and subset([7], [3], 20) == [2]
+
+
+def test_mix(spark, rows, monkeypatch):
+    from logloom.llm import mixing
+
+    rows = [r for r in rows if len(words_of(r[1])) < 1000]  # a document longer than a target can't be taken
+    first = sorted(map(tuple, mix(frame(spark, rows)).collect()), key=str)
+    assert first == sorted(map(tuple, mix(frame(spark, rows[::-1])).collect()), key=str)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)
+    got = mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= max(60, 0.03 * t) for s, t in target.items()) and sum(target.values()) == pytest.approx(sum(len(words_of(t)) for _, t, _ in rows))
+
+
+def test_warc_round_trip(spark):
+    body = "<p>" + "é" * 100 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>"
+    pages = [(5, "http://a/x y", body), (3, "http://b/", body), (7, None, body), (8, "u", None), (9, "u", ""), (10, "u", "tiny"), (11, "u", "tiny"), (3, "http://b/", body), (None, "n", body), (12, "http://c/", "z" * 99)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    captures = warc.round_trip(table, payload=True)
+    got = warc.capture_digest(captures, table).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        text = (next(h for i, _, h in pages if i == r.page_id) or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(text), hashlib.sha256(text).hexdigest())
+        again = len(text) >= 100 and r.page_id != 3
+        assert (r.record_type, r.refers_to) == (("revisit", 3) if again else ("response", None))
+    whole = [r.response.payload for r in captures.collect() if r.response.type == "response"]
+    assert body.encode() in [bytes(x) for x in whole]
+    assert warc.assemble(spark.createDataFrame([], warc.RECORD)).count() == 0
+
+
+def brute_suffix(rows):
+    seen, out = set(), {}
+    for i, text in sorted({(i, t) for i, t, _ in rows if i is not None}, key=lambda r: r[0]):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("crowd,block", [(1000, 1 << 19), (6, 256)])
+def test_suffix_dedup(spark, crowd, block, monkeypatch):
+    suffix_dedup_module = sys.modules["logloom.llm.suffix_dedup"]
+    monkeypatch.setattr(suffix_dedup_module, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup_module, "BLOCK", block)
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ab ") for _ in range(400)) for _ in range(3)]
+    rows = []
+    for i in range(70):
+        t = rng.choice(base)
+        t = t[: rng.randint(0, 399)] + rng.choice(["", "x", "é" * rng.randint(1, 60)]) + t[rng.randint(0, 399) :]
+        rows.append((i, "a" * rng.randint(90, 400) if rng.random() < 0.1 else t * rng.randint(1, 2), "s"))
+    rows += [(200, "", "s"), (201, None, "s"), (202, rows[5][1], "s"), rows[7]]
+    got, want = by_id(suffix_dedup(frame(spark, rows))), brute_suffix(rows)
+    for i, w in want.items():
+        assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == w and r.n_spans == len(r.spans) for r in got[i]), i
+    assert len(got[7]) == 2
