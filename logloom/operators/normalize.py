@@ -95,17 +95,21 @@ def supersession(normalized: DataFrame) -> DataFrame:
 
 def document_errors(doc: Column, product: str = "logloom") -> Column:
     """What is wrong with a document against its schema, as an array of texts; never left out."""
-    port = lambda side: F.when(doc[side]["port"].isNotNull() & ~doc[side]["port"].between(0, 65_535), F.lit(f"{side}.port out of range"))
-    checks = [
-        F.when(doc["class_uid"] != 4001, F.lit("class_uid is not 4001")),
-        F.when(doc["class_name"] != "Network Activity", F.lit("class_name is wrong")),
-        F.when(doc["activity_id"] != 99, F.lit("activity_id is not 99")),
-        F.when(doc["severity_id"].isNotNull() & ~doc["severity_id"].between(0, 6), F.lit("severity_id out of range")),
-        F.when(doc["metadata"]["product"] != product, F.lit("metadata.product is wrong")),
-        F.when(doc["unmapped"].isNull(), F.lit("unmapped is missing")),
-        port("src_endpoint"), port("dst_endpoint"),
-    ]
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+    def build(d: Column) -> Column:
+        port = lambda side: F.when(d[side]["port"].isNotNull() & ~d[side]["port"].between(0, 65_535), F.lit(f"{side}.port out of range"))
+        checks = [
+            F.when(d["class_uid"] != 4001, F.lit("class_uid is not 4001")),
+            F.when(d["class_name"] != "Network Activity", F.lit("class_name is wrong")),
+            F.when(d["activity_id"] != 99, F.lit("activity_id is not 99")),
+            F.when(d["severity_id"].isNotNull() & ~d["severity_id"].between(0, 6), F.lit("severity_id out of range")),
+            F.when(d["metadata"]["product"] != product, F.lit("metadata.product is wrong")),
+            F.when(d["unmapped"].isNull(), F.lit("unmapped is missing")),
+            port("src_endpoint"), port("dst_endpoint"),
+        ]
+        return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+    return bound(doc, build)
 
 
 def canary(normalized: DataFrame, every: int = 100) -> DataFrame:
