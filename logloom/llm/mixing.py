@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,12 +44,52 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out
 
 
+def fill(lengths: list[int], counts: list[int], take: list[int], rest: int, limit: int) -> int:
+    """Add to take until at most limit words are left of rest, or nothing more can come in; returns what is left.
+
+    Long documents go first. Once all documents that fit are taken, a longer one comes in for a
+    taken one, for documents of at most limit words, or for both: single exchanges, best first.
+    """
+    order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
+    for i in order:
+        if rest > limit:
+            k = min(counts[i] - take[i], rest // lengths[i], -(-(rest - limit) // lengths[i]))
+            take[i] += k
+            rest -= k * lengths[i]
+    short = [i for i in order if lengths[i] <= limit]
+    while rest > limit:
+        spare = sum(lengths[i] * take[i] for i in short)
+        into = sorted((lengths[i], i) for i in order if take[i] < counts[i])
+        best = (0, None, None)  # (words gained, out, in)
+        for y, out in [(0, None), *((lengths[i], i) for i in order if take[i] and lengths[i] > limit)]:
+            at = bisect_left(into, (y + rest,))
+            if at < len(into) and into[at][0] - y - rest <= spare:
+                best = (into[at][0] - y, out, into[at][1])
+                break
+            if at and into[at - 1][0] - y > best[0]:
+                best = (into[at - 1][0] - y, out, into[at - 1][1])
+        gain, out, new = best
+        if not gain:
+            break
+        take[new] += 1
+        if out is not None:
+            take[out] -= 1
+        rest -= gain
+        for i in short:  # given back until the budget holds again
+            if rest < 0:
+                k = min(take[i], -(rest // lengths[i]))
+                take[i] -= k
+                rest += k * lengths[i]
+    return rest
+
+
 def subset(lengths: list[int], counts: list[int], budget: int, limit: int = KNAPSACK_WORDS) -> list[int]:
     """How many documents of each length to take so that their words come nearest under budget.
 
     Every length gives its proportional share first. Then single documents are added, those with
-    the largest remainders first, until the budget left is at most limit words, and a bounded
-    knapsack over that rest fills it: bit w of a big integer tells whether w words can be had.
+    the largest remainders first, until the budget left is at most limit words. If more is left,
+    fill() takes as many of each length as fit and exchanges. A bounded knapsack over the rest
+    fills it: bit w of a big integer tells whether w words can be had.
     """
     total = sum(x * n for x, n in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
@@ -62,7 +104,9 @@ def subset(lengths: list[int], counts: list[int], budget: int, limit: int = KNAP
         if take[i] < counts[i] and 0 < lengths[i] <= rest:
             take[i] += 1
             rest -= lengths[i]
-    rest = min(rest, limit)
+    rest = fill(lengths, counts, take, rest, limit)
+    if rest > limit:  # no document that is left fits
+        return take
     items = []  # (index, copies) with copies in powers of two
     for i, x in enumerate(lengths):
         left = min(counts[i] - take[i], rest // x) if x else 0
