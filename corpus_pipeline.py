@@ -23,34 +23,42 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key: ids may be null or repeated, so a row is known by its id and the hash of its text; rows without an id come last."""
+    return docs.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
+
+
 def same_row(left: str, right: str):
     """Rows of one id are told apart by their text."""
-    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+    return F.col(f"{left}.row_key.doc_id").eqNullSafe(F.col(f"{right}.row_key.doc_id")) & (F.col(f"{left}.row_key.text_hash") == F.col(f"{right}.row_key.text_hash"))
 
 
 def only(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose id is (left_semi) or isn't (left_anti) among chosen."""
-    chosen = bounded(materialise(chosen.select("doc_id").distinct(), "pipeline-ids"), LISTED)
+    """The rows of docs whose row_key is (left_semi) or isn't (left_anti) among chosen."""
+    chosen = bounded(materialise(chosen.select("row_key").distinct(), "pipeline-ids"), LISTED)
     return docs.alias("d").join(chosen.alias("c"), same_row("d", "c"), how).select(*COLUMNS)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules reject go. Of rows with one id, all go if one is rejected."""
-    verdict = quality_rules(docs, table(spark, sf_dir, "labels"))
+    """Rows that the rules reject go; other rows of their ids stay."""
+    docs = keyed(docs)
+    verdict = quality_rules(docs, table(spark, sf_dir, "labels"), carry=("row_key",))
     return only(docs, verdict.where("NOT kept"), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard 0.8) the row with the smallest id stays; of repeated rows, one."""
-    found = jaccard_join(docs, shingle=5, percent=80)
-    found = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "pipeline-firsts")
+    """Of each component of near copies (five-word shingles, Jaccard 0.8) the row with the smallest id stays, one without an id only if all are; of rows with equal id and text, one."""
+    docs = keyed(docs)
+    found = jaccard_join(docs, id_col="row_key", shingle=5, percent=80)
+    found = materialise(found.where(F.col("row_key") == F.col("component_id")).select("row_key"), "pipeline-firsts")
     out = only(docs, found, "left_semi")
-    return out.dropDuplicates(["doc_id"]) if found.count() > found.distinct().count() else out
+    return keyed(out).dropDuplicates(["row_key"]).select(*COLUMNS) if found.count() > found.distinct().count() else out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with at least 5 % of their words in passages of the benchmark go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    docs = keyed(docs)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=("row_key",))
     return only(docs, found.where("contaminated"), "left_anti")
 
 
@@ -63,7 +71,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often (repeats) and the words that makes (taken)."""
-    return mix(docs, keep=("text", "lang", "n_chars")).where("repeats > 0").select(*COLUMNS, "repeats", "taken", "target", "source_size")
+    return mix(keyed(docs), id_col="row_key", keep=("doc_id", "text", "lang", "n_chars")).where("repeats > 0").select(*COLUMNS, "repeats", "taken", "target", "source_size")
 
 
 STAGES = [("quality rules", filter_quality), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", decontaminated), ("PII", mask_pii), ("mixing sources", mix_sources)]

@@ -70,13 +70,13 @@ def window_matches(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: st
     return found.select("id", "h", (F.col("pos") - F.col("off")).alias("start"), "len", "win").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, percent: int = 5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, percent: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_words, n_hit (words inside any occurrence of a window), items (sorted ids of the items with one), contaminated.
 
     contaminated: some word is hit, and at least percent % of the words are. Null and empty texts
     have no words; items without words have no windows; repeated rows give repeated rows with
-    equal results; an empty side gives no hits; null item ids are left out of items; other
-    columns are ignored.
+    equal results; an empty side gives no hits; null item ids are left out of items; keep
+    names further columns of docs to return, others are ignored.
     """
     windows = materialise(item_windows(items, item_col, item_text_col, window), "decontamination-windows")
     tokens = materialise(prefix_tokens(windows, docs, text_col), "decontamination-tokens")
@@ -86,12 +86,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = found.select("id", "h", "start", "len").distinct().withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0)))
     hits = hits.groupBy("id", "h").agg(F.sum(F.greatest(end - F.greatest("start", "covered"), F.lit(0))).alias("n_hit"))
     of = found.select("id", "h", "win").distinct().join(bounded(windows, BROADCAST_ROWS), "win").where("item IS NOT NULL").groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     both = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
     facts = hits.alias("x").join(of.alias("o"), both("x", "o"), "left").select("x.*", "o.items")
-    out = rows.alias("d").join(facts.alias("f"), both("d", "f"), "left").select("d.id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = rows.alias("d").join(facts.alias("f"), both("d", "f"), "left").select("d.id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *[f"d.keep_{c}" for c in keep])
     rate = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", rate.alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", rate.alias("contaminated"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -77,17 +77,21 @@ class IsolationForest:
         return 2.0 ** -(total / max(1, len(self.trees)) / self.norm)
 
 
-def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, the counts of the rules (long) and the features of the forest (array<double>)."""
+def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the counts of the rules (long), the features of the forest (array<double>) and the columns keep as keep_*."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [stats(x) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([int(s[c]) for s in found], pa.int64()) for c in COUNTS), pa.array([features(s) for s in found], pa.list_(pa.float64()))], names=["id", *COUNTS, "features"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([int(s[c]) for s in found], pa.int64()) for c in COUNTS), pa.array([features(s) for s in found], pa.list_(pa.float64())), *batch.columns[2:]], names=["id", *COUNTS, "features", *batch.schema.names[2:]])
 
         return each
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, f"id {id_type(docs, id_col)}, {', '.join(f'{c} long' for c in COUNTS)}, features array<double>")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep]), make, f"id {id_type(docs, id_col)}, {', '.join(f'{c} long' for c in COUNTS)}, features array<double>" + kept_schema(docs, keep))
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f", keep_{c} {id_type(docs, c)}" for c in keep)
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -111,7 +115,7 @@ def threshold(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     return (edge + middle) / 2 / len(good)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 8192, keep: float = 0.997, min_words: int = 10, repeat_percent: int = 20, seed: int = 7) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 8192, keep: float = 0.997, min_words: int = 10, repeat_percent: int = 20, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, counts, base_failed, anomaly (double, 0 to 1) and kept.
 
     base_failed: fewer than min_words words, or over repeat_percent % of the words in repeated
@@ -120,18 +124,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     labelled rows with the smallest hashes, of either label; all else covers all rows.
 
     A null text is empty (base_failed). Several labels of one id: the largest counts. No labels:
-    base_failed alone decides. Repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored.
+    base_failed alone decides. Repeated rows give repeated rows; an empty table gives none; carry
+    names further columns of docs to return, others are ignored.
     """
+    carried = [F.col(f"keep_{c}").alias(c) for c in carry]
     table = materialise(
-        rule_statistics(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))),
+        rule_statistics(docs, id_col, text_col, carry).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))),
         "rule-statistics",
     )
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label IS NOT NULL")
     labelled = table.where("NOT base_failed").join(known, "id").select("id", "features", "label")
     rows = labelled.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(fit_rows).select("features").collect()
     if not rows:
-        return table.select(F.col("id").alias(id_col), *COUNTS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"))
+        return table.select(F.col("id").alias(id_col), *COUNTS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"), *carried)
     forest = IsolationForest(seed=seed).fit(np.array([r.features for r in rows])[:, SPLIT_ON])
 
     def make():
@@ -147,5 +152,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for r in binned.groupBy((F.col("label") == 1).alias("good"), F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect():
         histogram[int(r.good), r.bin] += r["count"]
     limit = threshold(histogram[1], histogram[0], keep)
-    scored = map_arrow(table, make, f"id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, anomaly double")
-    return scored.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") <= limit)).alias("kept"))
+    scored = map_arrow(table, make, f"id {kind}, {', '.join(f'{c} long' for c in COUNTS)}{kept_schema(docs, carry)}, base_failed boolean, anomaly double")
+    return scored.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") <= limit)).alias("kept"), *carried)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from logloom.llm.mixing import subset
 
 
@@ -28,3 +29,45 @@ def test_subset_leaves_at_most_the_limit_where_short_documents_can_fill():
         counts = [500, *(rng.randint(1, 5) for _ in lengths[1:])]
         budget = rng.randint(0, sum(x * n for x, n in zip(lengths, counts, strict=True)))
         assert budget - 16 <= words_taken(lengths, counts, budget, 16) <= budget
+
+
+def prose(seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(60)) + "."
+
+
+def test_pipeline_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    passage = " ".join(prose(900).split()[:30])
+    near = lambda text: text + " tail"
+    rows = [(i, prose(i)) for i in range(20)]
+    rows += [(None, prose(100)), (None, prose(101)), (None, "junk"), (None, passage), (None, near(prose(3))), (None, near(prose(101)))]
+    rows += [(50, prose(200)), (50, prose(201)), (50, "junk"), (50, passage), (50, near(prose(200))), (7, prose(7)), (60, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in (*range(20), 50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def run(stage, docs):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        return out, sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    words = lambda t: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4))
+    want = sorted(((i, t) for i, t in rows if len((t or "").split()) >= 10), key=str)
+    docs, got = run(corpus_pipeline.filter_quality, docs)
+    assert got == want
+    parent = list(range(len(want)))
+    for a, (_, x) in enumerate(want):
+        for b, (_, y) in enumerate(want):
+            if 100 * len(words(x) & words(y)) >= 80 * len(words(x) | words(y)):
+                parent = [parent[a] if p == parent[b] else p for p in parent]
+    docs, got = run(corpus_pipeline.drop_near_copies, docs)
+    groups = {p: [want[k] for k in range(len(want)) if parent[k] == p] for p in parent}
+    assert len(got) == len(groups)
+    for group in groups.values():
+        kept = [r for r in got if r in group]
+        assert len(kept) == 1 and kept[0][0] == min((i for i, _ in group if i is not None), default=None)
+    want = sorted((r for r in got if r[1] != passage), key=str)
+    docs, got = run(corpus_pipeline.decontaminated, docs)
+    assert got == want and {i for i, _ in got} >= {None, 50}
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert all((r.doc_id, r.text) in got for r in mixed)
