@@ -98,21 +98,14 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return np.array(column.to_pylist(), float).reshape(len(column), len(FEATURES))[:, SPLIT_ON]
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
-    """From histograms of scores by label, the score above which rows are rejected.
+def threshold(good: np.ndarray, keep: float) -> float:
+    """From the histogram of the good rows' scores, the score above which rows are rejected.
 
-    At least the share keep of the good rows stays. Where bad rows score higher than that, the
-    threshold stands half-way between the good rows' edge and the middle of those bad rows, so
-    that good rows a little odder than the labelled ones stay too. Without good rows: 1 (all stay).
+    The least edge of a bin with which at least the share keep of the good rows stays. Without good rows: 1 (all stay).
     """
     if not good.sum():
         return 1.0
-    edge = int(np.searchsorted(np.cumsum(good), keep * good.sum())) + 1
-    above = bad[edge:]
-    if not above.sum():
-        return max(edge / len(good), 0.75)
-    middle = edge + int(np.searchsorted(np.cumsum(above), above.sum() / 2))
-    return (edge + middle) / 2 / len(good)
+    return (int(np.searchsorted(np.cumsum(good), keep * good.sum())) + 1) / len(good)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 8192, keep: float = 0.997, min_words: int = 10, repeat_percent: int = 20, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -148,9 +141,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     kind = id_type(docs, id_col)
     binned = map_arrow(labelled.select("id", "label", "features"), make, f"id {kind}, label {labelled.schema['label'].dataType.simpleString()}, anomaly double")
-    histogram = np.zeros((2, BINS))
-    for r in binned.groupBy((F.col("label") == 1).alias("good"), F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect():
-        histogram[int(r.good), r.bin] += r["count"]
-    limit = threshold(histogram[1], histogram[0], keep)
+    histogram = np.zeros(BINS)
+    for r in binned.where("label = 1").groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect():
+        histogram[r.bin] += r["count"]
+    limit = threshold(histogram, keep)
     scored = map_arrow(table, make, f"id {kind}, {', '.join(f'{c} long' for c in COUNTS)}{kept_schema(docs, carry)}, base_failed boolean, anomaly double")
     return scored.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") <= limit)).alias("kept"), *carried)

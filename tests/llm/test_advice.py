@@ -1,11 +1,15 @@
 """Cases of the review: whole results where a bound, a null or a repeated id once cut them."""
 
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
 from logloom.llm.mixing import subset
+from logloom.llm.quality_rules import quality_rules
+
+TABLES = "/root/testdata/sf0.01"
 
 
 def words_taken(lengths, counts, budget, limit=65_536):
@@ -71,3 +75,15 @@ def test_pipeline_stages_tell_rows_of_one_id_apart(spark, tmp_path):
     assert got == want and {i for i, _ in got} >= {None, 50}
     mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
     assert all((r.doc_id, r.text) in got for r in mixed)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_rules_reject_all_above_the_calibrated_edge(spark):
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    label = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    got = [r for r in quality_rules(docs, labels).where("NOT base_failed").collect() if r.doc_id in label]
+    good = sorted(r.anomaly for r in got if label[r.doc_id] == 1)
+    edge = good[int(0.997 * len(good))] + 0.001  # a bin's width
+    beyond = [r for r in got if label[r.doc_id] == 0 and r.anomaly > edge]
+    assert beyond and not any(r.kept for r in beyond)
+    assert sum(r.kept for r in got if label[r.doc_id] == 1) >= 0.997 * len(good)
