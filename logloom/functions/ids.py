@@ -30,15 +30,22 @@ def content_hash(raw: Column) -> Column:
     return F.sha2(raw, 256)
 
 
+def merkle_level(hashes: Column) -> Column:
+    """The level above an array of hex hashes: pairs are hashed as bytes, an odd last one with itself."""
+    at = F.sequence(F.lit(0), F.greatest(F.floor((F.size(hashes) - 1) / 2).cast("int"), F.lit(0)))
+    pair = lambda i: F.sha2(F.concat(F.unhex(F.get(hashes, 2 * i)), F.unhex(F.coalesce(F.get(hashes, 2 * i + 1), F.get(hashes, 2 * i)))), 256)
+    return F.transform(at, pair)
+
+
 def merkle_root(leaves: Column) -> Column:
     """Root over an array of hex hashes: pairs are hashed as bytes, an odd last one with itself.
 
     A single leaf is the root; no leaves give null. 40 levels cover any array.
     """
-    def level(hashes: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.floor((F.size(hashes) - 1) / 2).cast("int"), F.lit(0)))
-        pair = lambda i: F.sha2(F.concat(F.unhex(F.get(hashes, 2 * i)), F.unhex(F.coalesce(F.get(hashes, 2 * i + 1), F.get(hashes, 2 * i)))), 256)
-        return F.when(F.size(hashes) > 1, F.transform(at, pair)).otherwise(hashes)
-
     levels = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(leaves))).cast("int"), F.lit(1)))
-    return F.get(F.aggregate(levels, leaves, lambda hashes, _: level(hashes)), F.lit(0))
+    return F.get(F.aggregate(levels, leaves, lambda hashes, _: F.when(F.size(hashes) > 1, merkle_level(hashes)).otherwise(hashes)), F.lit(0))
+
+
+def merkle_subtree(leaves: Column, height: int) -> Column:
+    """The node that stands height levels above an aligned block of at most 2^height hex hashes of a longer row."""
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(height)), leaves, lambda hashes, _: merkle_level(hashes)), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import LINE_CAP
 from ..functions.fingerprint import fingerprint_id
-from ..functions.ids import GENESIS, content_hash, merkle_root, raw_id
+from ..functions.ids import GENESIS, content_hash, merkle_root, merkle_subtree, raw_id
 from ..schemas import ENVELOPE
 
 
@@ -76,3 +76,26 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     }
     out = chain.withColumns(checks)
     return out.select("partition_id", "batch_seq", "count", *checks, (F.col("genesis_ok") & F.col("gap_ok") & F.col("link_ok") & F.col("count_ok") & F.col("root_ok")).alias("ok"))
+
+
+def partition_roots(events: DataFrame, height: int = 10) -> DataFrame:
+    """(partition, root): the Merkle root over all rows of each partition in the order of their offsets.
+
+    Rows are numbered by counts of offset ranges, and sub-trees of 2^height nodes, aligned to that
+    size, are hashed a level of blocks at a time: no task gathers or orders a whole partition.
+    """
+    block = 1 << height
+    rows = events.select("partition", "offset", "content_hash", F.floor(F.col("offset") / block).alias("range"))
+    before = Window.partitionBy("partition").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("partition", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("size", F.sum("n").over(Window.partitionBy("partition")))
+    inside = Window.partitionBy("partition", "range").orderBy("offset", "content_hash")
+    nodes = rows.withColumn("nth", F.row_number().over(inside) - 1).join(ranges, ["partition", "range"]).select("partition", (F.col("before") + F.col("nth")).alias("at"), F.col("content_hash").alias("hash"), "size")
+    most = ranges.agg(F.max("size")).first()[0] or 0
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"])
+    while most > block:
+        parts = nodes.groupBy("partition", F.floor(F.col("at") / block).alias("at")).agg(gathered.alias("h"), F.max("size").alias("size"))
+        # The only block of a partition ends in its root; a block among others always rises by height levels.
+        up = F.when(F.col("size") <= block, merkle_root(F.col("h"))).otherwise(merkle_subtree(F.col("h"), height))
+        nodes = parts.select("partition", "at", up.alias("hash"), F.ceil(F.col("size") / block).alias("size"))
+        most = -(-most // block)
+    return nodes.groupBy("partition").agg(merkle_root(gathered).alias("root"))

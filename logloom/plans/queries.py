@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import drift as D
 from ..functions.extract import SEEDS, Rule, key_values
 from ..functions.fingerprint import fingerprint_id, shape_hash, shape_sequence
-from ..functions.ids import merkle_root
 from ..functions.mutate import corrupt_syslog, mutate
 from ..operators import drift as W
 from ..operators import ingest, legacy, lifecycle, serve
@@ -273,8 +272,7 @@ def chain_verify(spark, sf_dir):
 
 @query()
 def merkle_whole_partitions(spark, sf_dir):
-    rows = events(spark, sf_dir).where("offset < 499").groupBy("partition").agg(F.array_sort(F.collect_list(F.struct("offset", "content_hash"))).alias("h"))  # 499 a partition
-    return rows.select("partition", merkle_root(F.transform("h", lambda x: x["content_hash"])).alias("root"))
+    return ingest.partition_roots(events(spark, sf_dir))
 
 
 # --- samples and rules ----------------------------------------------------------------------
