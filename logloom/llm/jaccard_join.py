@@ -101,8 +101,13 @@ def group_keys(tokens: np.ndarray, percent: int, edges: list[int]) -> np.ndarray
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): h, the hash of the text, tells rows without an id apart; with one it is null."""
+    return docs.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("h"), F.col(text_col).alias("text"))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Per row: id, node (hash of the set; null if empty), check (a second hash), n, keys."""
+    """Per row: id, h (hash of the text where the id is null), node (hash of the set; null if empty), check (a second hash), n, keys."""
 
     def make():
         hashes, edges = WordHash(), edges_of_bands(1024)
@@ -110,7 +115,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal edges
             node, check, size, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 tokens = shingle_set(text, hashes, shingle)
                 if 2 * len(tokens) > edges[-1]:
                     edges = edges_of_bands(4 * len(tokens))
@@ -119,11 +124,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
                 check.append(int(mix(tokens ^ M3).sum(dtype=np.uint64).astype(np.int64)) if some else None)
                 size.append(len(tokens))
                 keys.append(group_keys(tokens, percent, edges).astype(np.int64) if some else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "check", "n", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "check", "n", "keys"])
 
         return each
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, f"id {id_type(docs, id_col)}, node long, check long, n long, keys array<long>")
+    return map_arrow(identified(docs, id_col, text_col), make, f"id {id_type(docs, id_col)}, h long, node long, check long, n long, keys array<long>")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -172,8 +177,9 @@ def crowded(met: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, n, tokens, axes) of one document for each wanted node; wanted has node and the id of its document."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(wanted.select("id").distinct(), LISTED), "id", "left_semi")
+    """(node, n, tokens, axes) of one document for each wanted node; wanted has node and the id (or, if null, h) of its document."""
+    same = F.col("d.id").eqNullSafe(F.col("w.id")) & F.col("d.h").eqNullSafe(F.col("w.h"))
+    chosen = identified(docs, id_col, text_col).alias("d").join(bounded(wanted.select("id", "h").distinct(), LISTED).alias("w"), same, "left_semi").select("id", "text")
 
     def make():
         hashes = WordHash()
@@ -292,7 +298,7 @@ def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     border = met.join(outside, "key", "left_semi").select("node").distinct().withColumn("border", F.lit(True))
     leaf = near.join(crowd, "home").join(border, "node", "left").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf"), F.coalesce("border", F.lit(False)).alias("border"))
     leaf = materialise(leaf, "join-leaves")
-    chosen = leaf.select("node").join(classes, "node").select("node", "id")
+    chosen = leaf.select("node").join(classes, "node").select("node", "id", "h")
     point = materialise(points(docs, chosen, id_col, text_col, shingle).join(leaf.drop("home"), "node").dropDuplicates(["node"]), "join-points")
     # Boxes: the sizes and the largest count on each axis. Leaves meet through a key and if their boxes allow an overlap.
     box = point.groupBy("leaf").agg(F.min("n").alias("least"), F.count("*").alias("size"), F.array(*[F.max(F.col("axes")[k]) for k in range(AXES)]).alias("box"))
@@ -347,17 +353,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives none; other columns are ignored.
     """
     rows = materialise(described(docs, id_col, text_col, shingle, percent), "join-sets")
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"))
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.min("check").alias("low"), F.max("check").alias("high"))
     clash = classes.where("low <> high").count()
     if clash:
         raise ArithmeticError(f"{clash} hashes of sets stand for several sets")
-    classes = materialise(classes.select("node", "id"), "join-classes")
+    classes = classes.withColumn("h", F.when(F.col("id").isNull(), F.col("h")))
+    classes = materialise(classes.select("node", "id", "h"), "join-classes")
     met = crowded(materialise(meetings(rows.where("node IS NOT NULL")), "join-meetings"))
     found = materialise(tree_links(met, docs, classes, id_col, text_col, shingle, percent), "join-links")
     labels = components(found.where("b IS NOT NULL"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     # Only linked classes have labels: the others are components of their own.
-    linked = labels.join(classes, "node").join(counts, "node", "left")
+    linked = labels.join(classes.drop("h"), "node").join(counts, "node", "left")
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = materialise(linked.join(least, "component").select("node", F.col("id").alias("of"), "component_id", "n_links"), "join-components")
     named = classes.join(linked, "node", "left").select("node", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -7,6 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from logloom.llm.jaccard_join import jaccard_join
 from logloom.llm.mixing import subset
 from logloom.llm.quality_rules import quality_rules
 from logloom.plans.queries import QUERIES, events
@@ -116,3 +117,11 @@ def test_merkle_roots_of_any_length(spark):
     rows = [(p, 3 * k + k // 5 * 7, hashlib.sha256(f"{p} {k}".encode()).hexdigest()) for p, n in enumerate((1, 2, 3, 4, 5, 9, 16, 17, 31, 33, 65)) for k in range(n)]
     table = spark.createDataFrame(rows, "partition int, offset long, content_hash string").repartition(3)
     assert {r.partition: r.root for r in partition_roots(table, 2).collect()} == by_partition(table.collect())
+
+
+def test_jaccard_chain_through_a_null_id(spark):
+    w = [f"w{k}" for k in range(200)]
+    chain = [(1, w), (None, w[7:] + [f"x{k}" for k in range(7)]), (3, w[14:] + [f"x{k}" for k in range(14)])]
+    rows = [(i, " ".join(x)) for i, x in chain] + [(None, prose(5)), (None, prose(6)), (9, prose(7))]
+    got = {(r.doc_id, r.n_links): r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=90).collect()}
+    assert got == {(1, 1): 1, (None, 2): 1, (3, 1): 1, (None, 0): None, (9, 0): 9}
