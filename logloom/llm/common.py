@@ -9,10 +9,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arrow batches hold at most this many bytes, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 16 * 1024 * 1024
 
+#: A table is broadcast if it takes at most this many bytes.
+BROADCAST_BYTES = 32 * 1024 * 1024
+#: A key that more than one in so many rows have is hot.
+HOT_SHARE = 2_000
+
 #: The ASCII white space that separates words in every contract: space and \x09-\x0D.
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -28,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,9 +53,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded(df: DataFrame, limit: int) -> DataFrame:
-    """df marked for broadcast if its counted rows are within limit; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= limit else df
+def width(kind: T.DataType, column: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((width(f.dataType, column[f.name]) for f in kind), F.lit(8))
+    if isinstance(kind, T.ArrayType | T.MapType):
+        return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its values, measured, take at most limit bytes; else joins shuffle it."""
+    size = df.agg(F.sum(sum((width(f.dataType, F.col(f.name)) for f in df.schema), F.lit(32)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, times: str) -> DataFrame:
+    """left with the columns of right, which has key once, where there is a match; times says how many rows of left it matches.
+
+    Keys that more than one in HOT_SHARE rows have, of which there are fewer than HOT_SHARE, are
+    broadcast, so that no task holds all rows of one; rows without a key are not shuffled at all.
+    """
+    total = left.count()
+    hot = F.broadcast(right.where(F.col(times) * HOT_SHARE > total))
+    seldom = right.where(F.col(times) * HOT_SHARE <= total)
+    filled = left.where(F.col(key).isNotNull())
+    parts = [filled.join(hot, key), filled.join(hot.select(key), key, "left_anti").join(seldom, key, "left"), left.where(F.col(key).isNull())]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True).drop(times)
 
 
 def fold(id_column: str | Column, buckets: int) -> Column:

@@ -1,12 +1,12 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A document is the set of hashes of its word shingles; documents with equal sets form one class.
-Tokens are hashed into groups. Two sets that differ in few tokens agree wholly in at least one
-group, so classes meet at the root of the tree through (group, content) keys. Classes that meet
-are packed into leaves, whose boxes hold the largest count of each group. Summed minima of the
-coordinates bound the overlap of two leaves, then of two points, and what survives is verified
-on the sets themselves. Components are found from a spanning forest of each pair of leaves, so
-a large group of near copies is never expanded into a table of its pairs.
+Classes that can link at all are found first, by prefixes of the sets in the order of the hashes
+and then, among what is left, in the order of the tokens' frequencies. These classes are points:
+tokens are hashed into groups, and a point is the vector of its group counts. Points are packed
+into leaves and leaves into homes, whose boxes hold the largest count of each group. Homes meet
+through rare tokens that they share; summed minima of the coordinates bound the overlap of two
+homes, then of two leaves, then of two points, and what survives is verified on the sets.
 """
 
 from __future__ import annotations
@@ -19,18 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_type, map_arrow, materialise
+from .common import bounded, id_type, joined_by, map_arrow, materialise
 
-#: Size bands grow by this factor; all sets of a pair of bands are cut into the same groups.
-BAND = 1.4
 #: Coordinates of a point: counts of the tokens in this many groups.
 AXES = 64
-#: A leaf holds about this many points.
-LEAF = 160
-#: The last bits of a key hold how many keys a linked pair of its band shares at least; so many at most.
-SURE = 63
-#: A list of at most this many ids is broadcast, a longer one shuffled.
-LISTED = 1_000_000
+#: A leaf holds about this many points, and fewer if they have more tokens than that.
+LEAF, LEAF_TOKENS = 160, 400_000
+#: Prefixes are longer than they must be by a share of the set, so that a link shares more than one of their tokens.
+SPARE = 16
+#: Tokens met so often in one of SAMPLE rows are dealt apart; at most HOT_KEYS of them, all others by hash.
+SAMPLE, HOT_TIMES, HOT_KEYS = 32, 64, 10_000
 #: Word hashes that a worker remembers.
 CACHE = 400_000
 
@@ -65,40 +63,27 @@ def shingle_set(text: str | None, hashes: WordHash, size: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def edges_of_bands(most: int) -> list[int]:
-    edges = [1]
-    while edges[-1] <= most:
-        edges.append(max(edges[-1] + 1, int(np.ceil(edges[-1] * BAND))))
-    return edges
+def class_hashes(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """Two 64-bit hashes of a set, null if it is empty."""
+    if not len(tokens):
+        return None, None
+    return int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)), int(mix(tokens ^ M3).sum(dtype=np.uint64).astype(np.int64))
 
 
-def group_keys(tokens: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Keys of which two sets that link share at least as many as the keys' last bits say, unless they are equal.
+def prefix_length(n: int, percent: int) -> int:
+    """How many of a set's first tokens are its keys.
 
-    For each band that the larger set of a pair may lie in, the most tokens that a linked pair
-    can differ in is known; with as many groups and some more, those more are equal in both. Of
-    these, some may be empty: empty groups give no key, and a set with more of them than were
-    allowed for gives keys for all its groups. Sets that share a group by chance share fewer.
+    A set of n tokens shares all but at most (100 - percent) % of them with a set that it links
+    with. Of two that link, take the one whose prefix ends first: the tokens of its prefix that
+    the other set has are in the other's prefix too, and these are all but that share.
     """
-    n, keys = len(tokens), []
-    band = int(np.searchsorted(edges, n, side="right")) - 1
-    while band + 1 < len(edges) and (edges[band] <= n or 100 * n >= percent * edges[band]):
-        differ = (100 - percent) * 2 * (edges[band + 1] - 1) // (100 + percent)
-        if differ:
-            spare, sure = 1 + (differ + 1) // 16, min(SURE, 2 + differ // 8)
-            groups = differ + spare + sure
-            # The groups are ranges of the hash, so sorted tokens lie in them one after another.
-            group = ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            starts = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
-            content = np.add.reduceat(mix(tokens ^ M1), starts)
-            seed = np.array([band], np.uint64) * M2 + M1
-            salt = mix(group[starts] * M3 + seed)
-            keys.append(mix(content + salt) & ~np.uint64(SURE) | np.uint64(sure))
-            if groups - len(starts) > spare:
-                empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), group[starts])
-                keys.append(mix(mix(empty * M3 + seed) ^ M3) & ~np.uint64(SURE) | np.uint64(sure))
-        band += 1
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    return min(n, (100 - percent) * n // 100 + 1 + n // SPARE)
+
+
+def least_shared(n: int, percent: int) -> int:
+    """The least number of keys that a set of n tokens shares with a set that it links with, whatever that one's size."""
+    least = -(-percent * n // 100)  # the smallest set that it can link with
+    return max(1, min(1 + least // SPARE, -(-percent * least // 100)))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,92 +92,80 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Per row: id, h (hash of the text where the id is null), node (hash of the set; null if empty), check (a second hash), n, keys."""
+    """Per row: id, h (hash of the text where the id is null), node (hash of the set; null if empty), check (a second hash), n, least, keys."""
 
     def make():
-        hashes, edges = WordHash(), edges_of_bands(1024)
+        hashes = WordHash()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal edges
-            node, check, size, keys = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                tokens = shingle_set(text, hashes, shingle)
-                if 2 * len(tokens) > edges[-1]:
-                    edges = edges_of_bands(4 * len(tokens))
-                some = len(tokens) > 0
-                node.append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)) if some else None)
-                check.append(int(mix(tokens ^ M3).sum(dtype=np.uint64).astype(np.int64)) if some else None)
-                size.append(len(tokens))
-                keys.append(group_keys(tokens, percent, edges).astype(np.int64) if some else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "check", "n", "keys"])
+            sets = [shingle_set(text, hashes, shingle) for text in batch.column(2).to_pylist()]
+            node, check = zip(*map(class_hashes, sets), strict=True)
+            keys = [s[: prefix_length(len(s), percent)].astype(np.int64) for s in sets]
+            columns = [pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), percent) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "h", "node", "check", "n", "least", "keys"])
 
         return each
 
-    return map_arrow(identified(docs, id_col, text_col), make, f"id {id_type(docs, id_col)}, h long, node long, check long, n long, keys array<long>")
+    return map_arrow(identified(docs, id_col, text_col), make, f"id {id_type(docs, id_col)}, h long, node long, check long, n long, least long, keys array<long>")
+
 
+def shared_keys(pairs: DataFrame) -> DataFrame:
+    """(key, node, df) of pairs (key, node) whose key df nodes have, two or more.
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(key, node) of keys that two nodes or more have, from one shuffle; rows are streamed in key order."""
-    pairs = rows.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    One shuffle by key, streamed in its order. Keys that a sample of the nodes shows to be very
+    frequent do not go through it: they are counted after partial aggregation, and the counts are
+    broadcast; there are at most HOT_KEYS of them. Any choice of such keys gives the same result.
+    """
+    hot = pairs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= HOT_TIMES)
+    hot = F.broadcast(materialise(hot.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key"), "join-hot"))
+    often = pairs.join(hot, "key", "left_semi").distinct()
+    counted = materialise(often.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "join-hot-counts")
+    often = often.join(F.broadcast(counted), "key").select("key", "node", "df")
+    seldom = pairs.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        met = False  # the last row's key had another node before it
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the rows of the last key, which may go on
 
-        def several(key: np.ndarray, node: np.ndarray, end: bool) -> pa.RecordBatch:
-            nonlocal last, met
+        def several(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             key, node = key[new], node[new]
-            same = key[1:] == key[:-1]
-            keep = np.zeros(len(key), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if met and len(key):
-                keep[0] = True
-            if not end:  # the last row waits for what follows
-                met = bool(keep[-1])
-                last, key, node, keep = (key[-1:], node[-1:]), key[:-1], node[:-1], keep[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+            starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+            many = np.diff(starts, append=len(key))
+            df = np.repeat(many, many)
+            keep = df > 1
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(df[keep].astype(np.int64))], names=["key", "node", "df"])
 
         for batch in batches:
             if batch.num_rows:
-                key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                yield several(np.concatenate([last[0], key]), np.concatenate([last[1], node]), False)
-        if len(last[0]):
-            yield several(*last, True)
-
-    return pairs.mapInArrow(run, "key long, node long")
+                key, node = (np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest))
+                end = int(np.searchsorted(key, key[-1]))
+                rest = (key[end:], node[end:])
+                if end:
+                    yield several(key[:end], node[:end])
+        if len(rest[0]):
+            yield several(*rest)
 
-
-def crowded(met: DataFrame, rounds: int = 2) -> DataFrame:
-    """met without nodes that share too few keys of a band for any link in it, and then without keys of one node alone."""
-    for _ in range(rounds):
-        sure = F.col("key").bitwiseAND(F.lit(SURE))
-        enough = met.groupBy("node", sure.alias("sure")).agg(F.count("*").alias("n")).where("n >= sure").select("node", "sure")
-        kept = met.withColumn("sure", sure).join(enough, ["node", "sure"], "left_semi").select("key", "node")
-        several = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        met = materialise(kept.join(several, "key", "left_semi").select("key", "node"), "join-crowded")
-    return met
+    return seldom.mapInArrow(run, "key long, node long, df long").unionByName(often)
 
 
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, n, tokens, axes) of one document for each wanted node; wanted has node and the id (or, if null, h) of its document."""
+    """(node, check, n, tokens, axes) of the documents in wanted (id, and h if that is null)."""
     same = F.col("d.id").eqNullSafe(F.col("w.id")) & F.col("d.h").eqNullSafe(F.col("w.h"))
-    chosen = identified(docs, id_col, text_col).alias("d").join(bounded(wanted.select("id", "h").distinct(), LISTED).alias("w"), same, "left_semi").select("id", "text")
+    chosen = identified(docs, id_col, text_col).alias("d").join(bounded(wanted.select("id", "h").distinct()).alias("w"), same, "left_semi").select("text")
 
     def make():
         hashes = WordHash()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes, shingle) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, hashes, shingle) for t in batch.column(0).to_pylist()]
             axes = [np.bincount((s % np.uint64(AXES)).astype(np.int64), minlength=AXES).astype(np.int32) for s in sets]
-            node = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(axes, pa.list_(pa.int32()))], names=["node", "n", "tokens", "axes"])
+            node, check = zip(*map(class_hashes, sets), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(axes, pa.list_(pa.int32()))], names=["node", "check", "n", "tokens", "axes"])
 
         return each
 
-    return map_arrow(chosen, make, "node long, n long, tokens array<long>, axes array<int>")
+    return map_arrow(chosen, make, "node long, check long, n long, tokens array<long>, axes array<int>")
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -200,29 +173,40 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
-def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links between the points of a pair of leaves: a spanning forest of them, and how many each node has."""
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of the two leaves of a visit, and whether they are one leaf."""
     side = table.column("side").to_numpy()
-    node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-    axes = np.array(table.column("axes").to_pylist(), np.int32).reshape(len(node), -1)
-    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = table.column("one")[0].as_py() == table.column("two")[0].as_py()
-    if alone:
-        second = first
-    elif not len(first) or not len(second):
-        return [], {}
-    # Points: summed minima of the counts bound the overlap.
-    bound = np.empty((len(first), len(second)), np.int32)
-    for i, a in enumerate(first):
-        bound[i] = np.minimum(axes[a], axes[second]).sum(axis=1)
-    small, large = np.minimum.outer(n[first], n[second]), np.maximum.outer(n[first], n[second])
-    open_ = (bound >= needed(small, large, percent)) & (100 * small >= percent * large)
-    if alone:
-        open_ = np.triu(open_, 1)
-    i, j = np.nonzero(open_)
+    first = np.flatnonzero(side == 0)
+    return first, first if alone else np.flatnonzero(side == 1), alone
+
+
+def open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of the points of two leaves that may link: summed minima of the counts bound the overlap. Points of one label are passed over."""
+    first, second, alone = sides(table)
+    n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+    axes = table.column("axes").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    found = []
+    for at, a in enumerate(first):
+        others = second[at + 1 :] if alone else second
+        small, large = np.minimum(n[a], n[others]), np.maximum(n[a], n[others])
+        others = others[(100 * small >= percent * large) & (label[a] != label[others])]
+        if len(others):
+            bound = np.minimum(axes[a], axes[others]).sum(axis=1)
+            others = others[bound >= needed(n[a], n[others], percent)]
+            found.append((np.full(len(others), a), others))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links between the points of a pair of leaves: a spanning forest of them, and how many each node has."""
+    i, j = open_pairs(table, percent)
     if not len(i):
         return [], {}
-    used = np.union1d(first[i], second[j])
+    node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+    used = np.union1d(i, j)
     tokens = table.column("tokens").take(pa.array(used)).combine_chunks()
     owner = np.repeat(np.arange(len(used)), n[used])
     _, token, many = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -230,18 +214,18 @@ def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], di
     column = np.cumsum(shared) - 1
     keep = shared[token]
     owner, token = owner[keep], column[token[keep]]
-    width = int(shared.sum())
-    at = {x: k for k, x in enumerate(used)}
+    by_token = np.argsort(token, kind="stable")
+    owner, token = owner[by_token], token[by_token]
     overlap = np.zeros((len(used), len(used)), np.float32)
-    for start in range(0, width, 16_384):  # the sets as columns of 0 and 1, in blocks
-        here = (token >= start) & (token < start + 16_384)
-        block = np.zeros((len(used), min(16_384, width - start)), np.float32)
-        block[owner[here], token[here] - start] = 1
-        overlap += block @ block.T
-    a, b = np.array([at[x] for x in first[i]]), np.array([at[x] for x in second[j]])
+    for start in range(0, int(shared.sum()), 8_192):  # the sets as columns of 0 and 1, in blocks
+        low, high = np.searchsorted(token, [start, start + 8_192])
+        rows, at = np.unique(owner[low:high], return_inverse=True)
+        block = np.zeros((len(rows), 8_192), np.float32)
+        block[at, token[low:high] - start] = 1
+        overlap[np.ix_(rows, rows)] += block @ block.T
+    a, b = np.searchsorted(used, i), np.searchsorted(used, j)
     common = overlap[a, b].astype(np.int64)
-    union = n[used[a]] + n[used[b]] - common
-    linked = 100 * common >= percent * union
+    linked = 100 * common >= percent * (n[i] + n[j] - common)
     forest, counts, parent = [], {}, list(range(len(used)))
 
     def root(x: int) -> int:
@@ -282,38 +266,75 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(pending)
 
 
-def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Rows (a, b, links): a link of the forest (links 0), or how many links node a has among two leaves (b null)."""
-    # Leaves: a node takes the home that most of its keys name, which is their smallest node at first. Near copies share
-    # many keys, others few by chance, so leaves hold near copies and their boxes are tight; large crowds are dealt by hash.
-    home = met.select("key", "node", F.col("node").alias("home"))
-    for _ in range(3):
-        least = home.groupBy("key").agg(F.min("home").alias("least"))
-        votes = met.join(least, "key").groupBy("node", "least").agg(F.count("*").alias("keys"))
-        near = materialise(votes.groupBy("node").agg(F.max_by("least", F.struct("keys", F.negative("least"))).alias("home")), "join-homes")
-        home = met.join(near, "node").select("key", "node", "home")
-    crowd = near.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
-    # A node whose keys all stay in its home meets no other home.
-    outside = met.join(near, "node").groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("key")
-    border = met.join(outside, "key", "left_semi").select("node").distinct().withColumn("border", F.lit(True))
-    leaf = near.join(crowd, "home").join(border, "node", "left").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf"), F.coalesce("border", F.lit(False)).alias("border"))
-    leaf = materialise(leaf, "join-leaves")
-    chosen = leaf.select("node").join(classes, "node").select("node", "id", "h")
-    point = materialise(points(docs, chosen, id_col, text_col, shingle).join(leaf.drop("home"), "node").dropDuplicates(["node"]), "join-points")
-    # Boxes: the sizes and the largest count on each axis. Leaves meet through a key and if their boxes allow an overlap.
-    box = point.groupBy("leaf").agg(F.min("n").alias("least"), F.count("*").alias("size"), F.array(*[F.max(F.col("axes")[k]) for k in range(AXES)]).alias("box"))
-    box = materialise(box, "join-boxes")
-    # Leaves of one home meet anyway: a pair each, however many keys they share. Only those of two homes meet through keys.
-    at = met.join(leaf.where("border"), "node").select("key", "home", "leaf").distinct()
-    apart = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.home") < F.col("y.home"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two")).distinct()
-    own = leaf.select("home", "leaf").distinct()
-    within = own.alias("x").join(own.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.leaf") < F.col("y.leaf"))).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two"))
-    cross = apart.withColumn("inner", F.lit(False)).unionByName(within.withColumn("inner", F.lit(True)))
-    reach = F.aggregate(F.zip_with("a.box", "b.box", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
-    cross = cross.join(box.alias("a"), F.col("one") == F.col("a.leaf")).join(box.alias("b"), F.col("two") == F.col("b.leaf")).where(reach * (100 + percent) >= percent * (F.col("a.least") + F.col("b.least"))).select("one", "two", "inner")
-    pair = cross.unionByName(box.where("size > 1").select(F.col("leaf").alias("one"), F.col("leaf").alias("two"), F.lit(True).alias("inner")))
-    visits = pair.select("one", "two", "inner", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("leaf")), F.struct(F.lit(1).alias("side"), F.col("two").alias("leaf"))))).alias("v"))
-    visits = visits.select("one", "two", "inner", "v.side", "v.leaf").join(point, "leaf").where("inner OR border").select("one", "two", "side", "node", "n", "tokens", "axes")
+def rare_keys(point: DataFrame, percent: int) -> DataFrame:
+    """(node, n, home, keys) of the points that can link with another.
+
+    The tokens of a set are ordered by how many points have them, and only as many of the rarest
+    as a prefix needs become keys; those that no other point has need not be looked for. The home
+    is named by the smallest token that is not much more frequent than most of its set, which
+    near copies have in common, and the size.
+    """
+    met = shared_keys(point.select(F.explode("tokens").alias("key"), "node"))
+    each = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("met")).join(point.select("node", "n"), "node")
+    length = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("n") + F.size("met")
+    usual = F.col("met")[F.floor(F.size("met") / 2).cast("int")]["df"] * 4
+    of = F.array_min(F.transform(F.filter("met", lambda x: x["df"] <= usual), lambda x: x["key"]))
+    each = each.withColumn("length", length.cast("int")).where("length > 0")
+    return each.select("node", "n", F.xxhash64(of, F.floor(F.log2("n") * 3)).alias("home"), F.transform(F.slice("met", F.lit(1), F.col("length")), lambda x: x["key"]).alias("keys"))
+
+
+def packed(point: DataFrame, rare: DataFrame) -> DataFrame:
+    """(node, n, axes, home, leaf): each home's points are dealt into leaves of bounded points and tokens."""
+    parts = rare.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n") / LEAF_TOKENS)).alias("parts"))
+    leaf = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("leaf")
+    return rare.join(parts, "home").select("node", "home", leaf).join(point.select("node", "n", "axes"), "node").select("node", "n", "axes", "home", "leaf")
+
+
+def boxes(members: DataFrame, of: str, *more: str) -> DataFrame:
+    """(of, more, least, box, low, high): of each leaf or home the smallest size, the largest count on each axis and the range of its points' labels."""
+    return members.groupBy(of, *more).agg(F.min("n").alias("least"), F.array(*[F.max(F.col("axes")[k]) for k in range(AXES)]).alias("box"), F.min("label").alias("low"), F.max("label").alias("high"))
+
+
+def near(percent: int):
+    """Whether boxes x and y allow a link that is still looked for: the bound by summed minima, and labels that are not one."""
+    reach = F.aggregate(F.zip_with("x.box", "y.box", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    settled = (F.least("x.low", "y.low") == F.greatest("x.high", "y.high"))
+    return ~settled & (reach * (100 + percent) >= percent * (F.col("x.least") + F.col("y.least")))
+
+
+def leaf_pairs(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """(one, two): leaves whose points may link, found from the homes down; a leaf is not paired with itself."""
+    leaf, home = materialise(boxes(members, "leaf", "home"), "join-leaf-boxes"), materialise(boxes(members, "home"), "join-home-boxes")
+    own = leaf.join(home.where("low <> high").select("home"), "home", "left_semi")
+    inner = own.alias("x").join(own.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.leaf") < F.col("y.leaf")) & near(percent)).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two"))
+    at = members.select("node", "home", "label").join(rare.select("node", F.explode("keys").alias("key")), "node")
+    at = at.groupBy("key", "home").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = at.groupBy("key").agg(F.count("*").alias("homes"), F.min("low").alias("low"), F.max("high").alias("high")).where("homes > 1 AND low <> high").select("key")
+    at = materialise(at.join(apart, "key", "left_semi").select("key", "home"), "join-keys")
+    homes = at.alias("a").join(at.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.home") < F.col("b.home"))).select(F.col("a.home").alias("one"), F.col("b.home").alias("two")).distinct()
+    homes = homes.join(home.alias("x"), F.col("one") == F.col("x.home")).join(home.alias("y"), F.col("two") == F.col("y.home")).where(near(percent)).select("one", "two")
+    across = homes.join(leaf.alias("x"), F.col("one") == F.col("x.home")).join(leaf.alias("y"), F.col("two") == F.col("y.home")).where(near(percent)).select(F.col("x.leaf").alias("one"), F.col("y.leaf").alias("two"))
+    return inner.unionByName(across)
+
+
+def candidates(pair: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(one, two, side, node, label): the points that, by their counts alone, may link with a point of the other leaf."""
+    of = lambda side, leaf: F.struct(F.lit(side).alias("side"), F.col(leaf).alias("leaf"))
+    visits = pair.select("one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(of(0, "one"))).otherwise(F.array(of(0, "one"), of(1, "two")))).alias("v")).select("one", "two", "v.side", "v.leaf")
+    visits = visits.join(members, "leaf").select("one", "two", "side", "node", "n", "axes", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["one", "two"]):
+            used = np.unique(np.concatenate(open_pairs(table, percent)))
+            if len(used):
+                yield from table.select(["one", "two", "side", "node", "label"]).take(pa.array(used)).to_batches()
+
+    return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "one long, two long, side int, node long, label long")
+
+
+def verified(chosen: DataFrame, point: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, links): a link of the forest of two leaves (links 0), or how many links node a has in them (b null)."""
+    visits = chosen.join(point.select("node", "n", "tokens", "axes"), "node").select("one", "two", "side", "node", "n", "tokens", "axes", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["one", "two"]):
@@ -325,6 +346,34 @@ def tree_links(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "a long, b long, links long")
 
 
+def tree_links(members: DataFrame, rare: DataFrame, point: DataFrame, percent: int, count_links: bool) -> DataFrame:
+    """Rows (a, b, links) as in verified(): all counts if count_links, else no more than joins each component.
+
+    Without counts a crowd of near copies costs no more than its points: leaves are settled on
+    their own, one point of each, that with the most links, is compared with that of its home,
+    and leaves are paired only where the components found so far leave something open.
+    """
+    members = members.withColumn("label", F.col("node"))
+    alone = members.select(F.col("leaf").alias("one"), F.col("leaf").alias("two")).distinct()
+    found = verified(candidates(alone, members, percent), point, percent)
+    if count_links:
+        apart = verified(candidates(leaf_pairs(members, rare, percent), members, percent), point, percent)
+        return materialise(found.unionByName(apart), "join-links")
+    found = materialise(found, "join-inner-links")
+    many = found.where("b IS NULL").select(F.col("a").alias("node"), "links")
+    first = members.join(many, "node", "left").select("home", "leaf", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "n", "node").alias("best"))
+    first = materialise(first.groupBy("home", "leaf").agg(F.max("best").alias("best")), "join-firsts")
+    hub = first.groupBy("home").agg(F.max_by("leaf", "best").alias("one"), F.max("best").alias("hub"), F.count("*").alias("leaves")).where("leaves > 1")
+    star = first.join(hub, "home").where("leaf <> one").select("one", F.col("leaf").alias("two"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hub.node")), F.struct(F.lit(1).alias("side"), F.col("best.node")))).alias("v"))
+    star = verified(star.select("one", "two", "v.side", "v.node", F.col("v.node").alias("label")), point, percent)
+    found = materialise(found.unionByName(star).where("b IS NOT NULL"), "join-star-links")
+    labels = components(found)
+    members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    members = materialise(members, "join-labelled")
+    rest = verified(candidates(leaf_pairs(members, rare, percent), members, percent), point, percent)
+    return materialise(found.unionByName(rest), "join-links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that each can reach.
 
@@ -344,29 +393,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, n_shingles, class_id (smallest id with the same set), n_links (other classes that its class links to), component_id (smallest id reachable).
+def told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows whose node, where several sets have one, is made of both hashes of the set."""
+    if clashes is None:
+        return rows
+    both = F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(F.broadcast(clashes.withColumn("clash", F.lit(True))), "node", "left").withColumn("node", both).drop("clash")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """Per row: id, n_shingles, class_id (smallest id with the same set), n_links (other classes that its class links to; null without count_links), component_id (smallest id reachable).
 
     Rows link when 100 * shared >= percent * all distinct shingles. Rows without words link with
     nothing and have null class_id and 0 shingles. Null ids take part, but name a class or
     component only if all its ids are null; repeated rows fall into one class; an empty table
-    gives none; other columns are ignored.
+    gives none; other columns are ignored. Counting the links of a crowd of m distinct near
+    copies visits each pair of its leaves; without count_links the cost grows with m.
     """
     rows = materialise(described(docs, id_col, text_col, shingle, percent), "join-sets")
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.min("check").alias("low"), F.max("check").alias("high"))
-    clash = classes.where("low <> high").count()
-    if clash:
-        raise ArithmeticError(f"{clash} hashes of sets stand for several sets")
-    classes = classes.withColumn("h", F.when(F.col("id").isNull(), F.col("h")))
-    classes = materialise(classes.select("node", "id", "h"), "join-classes")
-    met = crowded(materialise(meetings(rows.where("node IS NOT NULL")), "join-meetings"))
-    found = materialise(tree_links(met, docs, classes, id_col, text_col, shingle, percent), "join-links")
+    filled = rows.where("node IS NOT NULL")
+    same = materialise(filled.groupBy("node", "check").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("least").alias("least"), F.count("*").alias("copies")), "join-classes")
+    clashes = materialise(same.groupBy("node").agg(F.count("*").alias("sets")).where("sets > 1").select("node"), "join-clashes")  # of 2**64 values: next to none
+    clashes = clashes if clashes.count() else None
+    classes = told_apart(same, clashes).withColumn("h", F.when(F.col("id").isNull(), F.col("h")))
+    met = shared_keys(told_apart(filled, clashes).select(F.explode("keys").alias("key"), "node"))
+    alive = met.groupBy("node").agg(F.count("*").alias("met")).join(classes, "node").where("met >= least").select("node", "id", "h")
+    alive = materialise(alive, "join-alive")
+    point = told_apart(points(docs, alive, id_col, text_col, shingle), clashes).join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    point = materialise(point.select("node", "n", "tokens", "axes"), "join-points")
+    rare = materialise(rare_keys(point, percent), "join-rare")
+    members = materialise(packed(point, rare), "join-members")
+    found = tree_links(members, rare, point, percent, count_links)
     labels = components(found.where("b IS NOT NULL"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     # Only linked classes have labels: the others are components of their own.
-    linked = labels.join(classes.drop("h"), "node").join(counts, "node", "left")
+    linked = labels.join(classes.select("node", "id"), "node").join(counts, "node", "left")
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = materialise(linked.join(least, "component").select("node", F.col("id").alias("of"), "component_id", "n_links"), "join-components")
-    named = classes.join(linked, "node", "left").select("node", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.select("id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    linked = materialise(linked.join(least, "component").select("node", "component_id", "n_links"), "join-components")
+    named = materialise(classes.join(linked, "node", "left").where("copies > 1 OR component_id IS NOT NULL").select("node", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies"), "join-named")
+    # A class of its own names itself; of the others, those with very many copies are broadcast.
+    out = joined_by(told_apart(rows, clashes).select("id", "node", F.col("n").alias("n_shingles")), named, "node", "copies")
+    own = F.when(F.col("node").isNotNull(), F.col("id"))
+    links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", own).alias("class_id"), links.cast("long").alias("n_links"), F.coalesce("component_id", "class_id", "id").alias("component_id"))

@@ -28,8 +28,6 @@ LENGTH, GRAM = 100, 24
 BLOCK = 1 << 19
 #: Suffixes are sorted in batches of about this many, and crowds of one anchor are dealt in parts of about CROWD.
 BATCH, CROWD = 40_000, 1_000
-#: A list of at most this many text hashes is broadcast.
-LISTED = 1_000_000
 LOW = np.uint64((1 << 20) - 1)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M1)
 
@@ -250,7 +248,7 @@ def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, id_col: str, t
     lists = dealt.groupBy("node").agg(F.collect_list(F.struct("key", "part", "packed")).alias("found")).join(classes.select("node", "id"), "node")
     names = met.select("node").distinct()
     rows = docs.select(text_hash(text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    rows = rows.join(bounded(names, LISTED), "node", "left_semi").alias("d").join(lists.alias("l"), (F.col("d.node") == F.col("l.node")) & F.col("d.id").eqNullSafe(F.col("l.id"))).select("d.id", "d.node", "d.text", "l.found")
+    rows = rows.join(bounded(names), "node", "left_semi").alias("d").join(lists.alias("l"), (F.col("d.node") == F.col("l.node")) & F.col("d.id").eqNullSafe(F.col("l.id"))).select("d.id", "d.node", "d.text", "l.found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +384,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ArithmeticError(f"{clash} text hashes stand for several texts")
     classes = materialise(classes.select("node", "id"), "suffix-classes")
     spans = materialise(removed_spans(docs, classes, id_col, text_col, length, gram), "suffix-spans")
-    rows = docs.select(text_hash(text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(spans.select("node"), LISTED), "node", "left_semi")
+    rows = docs.select(text_hash(text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(spans.select("node")), "node", "left_semi")
     rows = rows.alias("d").join(spans.join(classes, "node").alias("s"), (F.col("d.node") == F.col("s.node")) & F.col("d.id").eqNullSafe(F.col("s.id"))).select("d.node", "d.text", "s.spans")
 
     def make():

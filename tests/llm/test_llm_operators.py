@@ -157,9 +157,15 @@ def test_pii_frame(spark, rows):
     assert pii.mask("mail a@b.co!", [(5, 11, "email")]) == "mail [EMAIL]!"
 
 
-@pytest.mark.parametrize("shingle,percent", [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_join(spark, rows, shingle, percent):
-    got = by_id(jaccard_join(frame(spark, rows), shingle=shingle, percent=percent))
+@pytest.mark.parametrize("shingle,percent,counted", [(3, 90, True), (5, 80, False), (1, 50, True), (1, 50, False)])
+def test_jaccard_join(spark, rows, shingle, percent, counted, monkeypatch):
+    monkeypatch.setattr("logloom.llm.jaccard_join.LEAF", 3)  # many leaves to a home
+    monkeypatch.setattr("logloom.llm.jaccard_join.SAMPLE", 1)  # some keys go the way of very frequent ones
+    monkeypatch.setattr("logloom.llm.jaccard_join.HOT_TIMES", 4)
+    rng = random.Random(8)
+    crowd = [f"c{k}" for k in range(60)]
+    rows = [*rows, *((1000 + i, " ".join(w if rng.random() > 0.08 else f"e{rng.randrange(40)}" for w in crowd), "s1") for i in range(60))]
+    got = by_id(jaccard_join(frame(spark, rows), shingle=shingle, percent=percent, count_links=counted))
     sets = {}
     for i, text, _ in rows:
         w = words_of(text)
@@ -172,13 +178,17 @@ def test_jaccard_join(spark, rows, shingle, percent):
             x = parent[x]
         return x
 
+    links = defaultdict(set)
     for a in ids:
         for b in ids:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
+                if sets[a] != sets[b]:
+                    links[a].add(sets[b])
+                    links[b].add(sets[a])
     for i in ids:
-        assert all((r.n_shingles, r.component_id) == (len(sets[i]), root(i)) for r in got[i]), i
+        assert all((r.n_shingles, r.component_id, r.n_links) == (len(sets[i]), root(i), len(links[i]) if counted else None) for r in got[i]), i
     assert sum(map(len, got.values())) == len(rows)
 
 
