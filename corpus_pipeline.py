@@ -16,8 +16,6 @@ from logloom.llm.mixing import mix
 from logloom.llm.pii import find_pii
 from logloom.llm.quality_rules import quality_rules
 
-#: A list of at most this many ids is broadcast, so that texts stay where they are; a longer one is shuffled with them.
-LISTED = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can't express the isolation forest, the added PII spans or the seeded mix: tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -35,7 +33,7 @@ def same_row(left: str, right: str):
 
 def only(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """The rows of docs whose row_key is (left_semi) or isn't (left_anti) among chosen."""
-    chosen = bounded(materialise(chosen.select("row_key").distinct(), "pipeline-ids"), LISTED)
+    chosen = bounded(materialise(chosen.select("row_key").distinct(), "pipeline-ids"))
     return docs.alias("d").join(chosen.alias("c"), same_row("d", "c"), how).select(*COLUMNS)
 
 
@@ -49,7 +47,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, Jaccard 0.8) the row with the smallest id stays, one without an id only if all are; of rows with equal id and text, one."""
     docs = keyed(docs)
-    found = jaccard_join(docs, id_col="row_key", shingle=5, percent=80)
+    found = jaccard_join(docs, id_col="row_key", shingle=5, percent=80, count_links=False)
     found = materialise(found.where(F.col("row_key") == F.col("component_id")).select("row_key"), "pipeline-firsts")
     out = only(docs, found, "left_semi")
     return keyed(out).dropDuplicates(["row_key"]).select(*COLUMNS) if found.count() > found.distinct().count() else out
