@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialise, shared_dir  # noqa: F401
+
 #: Arrow batches hold at most this many bytes, so that long texts do not pile up in a worker.
-ARROW_BATCH_BYTES = 16 * 1024 * 1024
+ARROW_BATCH_BYTES = 4 * 1024 * 1024
 
 #: A table is broadcast if it takes at most this many bytes.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
 #: A key that more than one in so many rows have is hot.
 HOT_SHARE = 2_000
+#: Keys met so often in one of SAMPLE rows are dealt apart, at most HOT_KEYS of them; which these are changes no result.
+SAMPLE, HOT_TIMES, HOT_KEYS = 32, 64, 10_000
 
 #: The ASCII white space that separates words in every contract: space and \x09-\x0D.
 WHITE = " \t\n\r\x0b\x0c"
@@ -33,26 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a temporary one serves a local master only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def width(kind: T.DataType, column: Column) -> Column:
     """About how many bytes a value takes."""
     if isinstance(kind, T.StringType | T.BinaryType):
@@ -70,18 +54,34 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def joined_by(left: DataFrame, right: DataFrame, key: str, times: str) -> DataFrame:
-    """left with the columns of right, which has key once, where there is a match; times says how many rows of left it matches.
+def joined_by(left: DataFrame, right: DataFrame, key: str, times: str, how: str = "left", keep: bool = False) -> DataFrame:
+    """left with the columns of right, which has key once, where there is a match; times says how many rows of left it matches (kept if keep).
 
-    Keys that more than one in HOT_SHARE rows have, of which there are fewer than HOT_SHARE, are
-    broadcast, so that no task holds all rows of one; rows without a key are not shuffled at all.
+    A small right side is broadcast whole. Else keys that more than one in HOT_SHARE rows have,
+    of which there are fewer than HOT_SHARE, are broadcast, so that no task holds all rows of one;
+    rows without a key are not shuffled at all.
     """
+    gone = [] if keep else [times]
+    small = bounded(right)
+    if small is not right:
+        return left.join(small, key, how).drop(*gone)
     total = left.count()
     hot = F.broadcast(right.where(F.col(times) * HOT_SHARE > total))
     seldom = right.where(F.col(times) * HOT_SHARE <= total)
     filled = left.where(F.col(key).isNotNull())
-    parts = [filled.join(hot, key), filled.join(hot.select(key), key, "left_anti").join(seldom, key, "left"), left.where(F.col(key).isNull())]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True).drop(times)
+    out = filled.join(hot, key).unionByName(filled.join(hot.select(key), key, "left_anti").join(seldom, key, how))
+    return (out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out).drop(*gone)
+
+
+def in_sample(*row: str) -> Column:
+    """One of SAMPLE rows, by a hash of what tells them apart."""
+    return F.pmod(F.xxhash64(F.lit("sample"), *map(F.col, row)), F.lit(SAMPLE)) == 0
+
+
+def hot_keys(sample: DataFrame, name: str) -> DataFrame:
+    """(key) of the keys met HOT_TIMES times or more in a sample, the most frequent HOT_KEYS of them: for broadcast. Others are dealt by hash."""
+    times = sample.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= HOT_TIMES)
+    return F.broadcast(materialise(times.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key"), name))
 
 
 def fold(id_column: str | Column, buckets: int) -> Column:
@@ -94,8 +94,30 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker lives on and other tasks need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back when a task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with per-task set-up: make() runs once a task and returns the batch function."""
+    """mapInArrow batch by batch with per-task set-up: make() runs once a task and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -105,4 +127,4 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_type, joined_by, map_arrow, materialise
+from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, tidy
 
 #: Coordinates of a point: counts of the tokens in this many groups.
 AXES = 64
@@ -27,10 +27,8 @@ AXES = 64
 LEAF, LEAF_TOKENS = 160, 400_000
 #: Prefixes are longer than they must be by a share of the set, so that a link shares more than one of their tokens.
 SPARE = 16
-#: Tokens met so often in one of SAMPLE rows are dealt apart; at most HOT_KEYS of them, all others by hash.
-SAMPLE, HOT_TIMES, HOT_KEYS = 32, 64, 10_000
 #: Word hashes that a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -109,15 +107,14 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     return map_arrow(identified(docs, id_col, text_col), make, f"id {id_type(docs, id_col)}, h long, node long, check long, n long, least long, keys array<long>")
 
 
-def shared_keys(pairs: DataFrame) -> DataFrame:
+def shared_keys(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     """(key, node, df) of pairs (key, node) whose key df nodes have, two or more.
 
-    One shuffle by key, streamed in its order. Keys that a sample of the nodes shows to be very
+    One shuffle by key, streamed in its order. Keys that a sample of the rows shows to be very
     frequent do not go through it: they are counted after partial aggregation, and the counts are
-    broadcast; there are at most HOT_KEYS of them. Any choice of such keys gives the same result.
+    broadcast. Any choice of such keys gives the same result.
     """
-    hot = pairs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= HOT_TIMES)
-    hot = F.broadcast(materialise(hot.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key"), "join-hot"))
+    hot = hot_keys(sample.select("key"), "join-hot")
     often = pairs.join(hot, "key", "left_semi").distinct()
     counted = materialise(often.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "join-hot-counts")
     often = often.join(F.broadcast(counted), "key").select("key", "node", "df")
@@ -146,7 +143,7 @@ def shared_keys(pairs: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield several(*rest)
 
-    return seldom.mapInArrow(run, "key long, node long, df long").unionByName(often)
+    return seldom.mapInArrow(tidy(run), "key long, node long, df long").unionByName(often)
 
 
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -274,7 +271,8 @@ def rare_keys(point: DataFrame, percent: int) -> DataFrame:
     is named by the smallest token that is not much more frequent than most of its set, which
     near copies have in common, and the size.
     """
-    met = shared_keys(point.select(F.explode("tokens").alias("key"), "node"))
+    tokens = point.select(F.explode("tokens").alias("key"), "node")
+    met = shared_keys(tokens, tokens.where(in_sample("node")))
     each = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("met")).join(point.select("node", "n"), "node")
     length = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("n") + F.size("met")
     usual = F.col("met")[F.floor(F.size("met") / 2).cast("int")]["df"] * 4
@@ -329,7 +327,7 @@ def candidates(pair: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             if len(used):
                 yield from table.select(["one", "two", "side", "node", "label"]).take(pa.array(used)).to_batches()
 
-    return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "one long, two long, side int, node long, label long")
+    return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(tidy(run), "one long, two long, side int, node long, label long")
 
 
 def verified(chosen: DataFrame, point: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +341,7 @@ def verified(chosen: DataFrame, point: DataFrame, percent: int) -> DataFrame:
                 a, b = [x for x, _ in forest] + list(counts), [y for _, y in forest] + [None] * len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(forest) + list(counts.values()), pa.int64())], names=["a", "b", "links"])
 
-    return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "a long, b long, links long")
+    return visits.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(tidy(run), "a long, b long, links long")
 
 
 def tree_links(members: DataFrame, rare: DataFrame, point: DataFrame, percent: int, count_links: bool) -> DataFrame:
@@ -416,7 +414,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clashes = materialise(same.groupBy("node").agg(F.count("*").alias("sets")).where("sets > 1").select("node"), "join-clashes")  # of 2**64 values: next to none
     clashes = clashes if clashes.count() else None
     classes = told_apart(same, clashes).withColumn("h", F.when(F.col("id").isNull(), F.col("h")))
-    met = shared_keys(told_apart(filled, clashes).select(F.explode("keys").alias("key"), "node"))
+    keys = told_apart(filled, clashes).select("id", "h", "node", F.explode("keys").alias("key"))
+    met = shared_keys(keys.select("key", "node"), keys.where(in_sample("id", "h")))
     alive = met.groupBy("node").agg(F.count("*").alias("met")).join(classes, "node").where("met >= least").select("node", "id", "h")
     alive = materialise(alive, "join-alive")
     point = told_apart(points(docs, alive, id_col, text_col, shingle), clashes).join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"])

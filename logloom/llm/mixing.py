@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, materialise
+from .common import joined_by, materialise
 
 #: The weights of the sources in order, repeating, and how often a document may be taken.
 WEIGHTS, MOST = (1, 2, 3), 3
 #: The dynamic programme runs over at most this many words, whatever the size of the source.
 KNAPSACK_WORDS = 65_536
+#: So many documents of a length, at most, are put back before the dynamic programme chooses among them again.
+GIVEN_BACK = 3
 #: A (source, length) group is ranked in slices of about this many documents.
 SLICE_ROWS = 20_000
 
@@ -23,27 +26,6 @@ def word_count(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
-    """Shares of all words by weight, none above most times its source's size.
-
-    What is above goes back to the others by weight until none is; sources without words get 0.
-    """
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out, free, budget = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        unit = budget / sum(weight[i] for i in free)
-        full = [i for i in sorted(free) if weight[i] * unit > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = weight[i] * unit
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            budget -= out[i]
-            free.discard(i)
-    return out
-
-
 def fill(lengths: list[int], counts: list[int], take: list[int], rest: int, limit: int) -> int:
     """Add to take until at most limit words are left of rest, or nothing more can come in; returns what is left.
 
@@ -107,29 +89,56 @@ def subset(lengths: list[int], counts: list[int], budget: int, limit: int = KNAP
     rest = fill(lengths, counts, take, rest, limit)
     if rest > limit:  # no document that is left fits
         return take
-    items = []  # (index, copies) with copies in powers of two
+    for i, x in enumerate(lengths):  # a few of each length go back, as far as the limit holds: more sums can be had with them
+        k = min(take[i], GIVEN_BACK, (limit - rest) // x) if x else 0
+        take[i], rest = take[i] - k, rest + k * x
+    # Copies come in powers of two. Bit w of reach tells whether w words can be had, and by[w] which item made them so first:
+    # without it, what it adds to was to be had from earlier items.
+    items, by, reach, window = [], np.full(rest + 1, -1, np.int32), 1, (1 << (rest + 1)) - 1
     for i, x in enumerate(lengths):
-        left = min(counts[i] - take[i], rest // x) if x else 0
-        power = 1
-        while left > 0:
-            items.append((i, min(power, left)))
-            left -= power
-            power *= 2
-    reach, before, window = 1, [], (1 << (rest + 1)) - 1
-    for at, (i, k) in enumerate(items):
-        before.append(reach)
-        reach = (reach | reach << (k * lengths[i])) & window
-        if reach >> rest & 1:
-            items = items[: at + 1]
-            break
+        left, power = min(counts[i] - take[i], rest // x) if x else 0, 1
+        while left > 0 and not reach >> rest & 1:
+            k = min(power, left)
+            new = (reach << (k * x)) & window & ~reach
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(items)
+            items.append((i, k))
+            reach |= new
+            left, power = left - power, power * 2
     words = reach.bit_length() - 1
-    for (i, k), had in zip(reversed(items), reversed(before), strict=True):
-        if not had >> words & 1:
-            take[i] += k
-            words -= k * lengths[i]
+    while words:
+        i, k = items[by[words]]
+        take[i] += k
+        words -= k * lengths[i]
     return take
 
 
+def ranked_sources(histogram: DataFrame) -> DataFrame:
+    """(source, source_size, nth): the sources numbered from 0 in code-point order, null last; ranges are numbered apart."""
+    sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")).withColumn("last", F.col("source").isNull())
+    ranges = max(1, histogram.sparkSession.sparkContext.defaultParallelism)
+    sources = materialise(sources.repartitionByRange(ranges, "last", "source").withColumn("range", F.spark_partition_id()), "mix-sources")
+    before = sources.groupBy("range").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("last", "source")) - 1
+    return sources.withColumn("in_range", nth).join(F.broadcast(before), "range").select("source", "source_size", (F.col("before") + F.col("in_range")).alias("nth"))
+
+
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sources with target: shares of all words by weight, none above most times its source's size.
+
+    What is above goes back to the others by weight until none is; sources without words get 0.
+    Every round is one sum over the sources, and ends the sources that are full.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    sources = materialise(sources.withColumn("weight", weight), "mix-weights")
+    unit, full = 0.0, -1
+    while True:
+        is_full = F.col("weight") * unit > F.lit(most) * F.col("source_size")
+        now = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(is_full, F.col("source_size")).otherwise(0)).alias("ended"), F.sum(F.when(~is_full, F.col("weight")).otherwise(0)).alias("open"), F.count_if(is_full).alias("full")).first()
+        if now.full == full or not now.open:
+            return sources.select("source", "source_size", F.when(is_full, most * F.col("source_size")).otherwise(F.col("weight") * unit).cast("double").alias("target"))
+        full, unit = now.full, max(unit, (now["all"] - most * now.ended) / now.open)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, source, size (words), source_size, target, repeats (0 to most) and taken words.
 
@@ -138,56 +147,62 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counted by exact length, a bounded knapsack says how many of each length to take, and those
     with the smallest seeded hashes are taken. The same rows give the same mix, in any order.
 
-    A null text has size 0 and is never taken; rows with one id and length are taken or left
-    together; an empty table gives no rows. keep names further columns of docs to return.
+    A text without words, or null, has size 0 and is never taken. Rows without an id are told
+    apart by their texts; of rows alike in id and text, as many are taken as the count says. An
+    empty table gives no rows. keep names further columns of docs to return.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     rows = materialise(rows, "mix-sizes") if not keep else rows
     # One row for each source and length: as many as a source has lengths, however many documents.
     histogram = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
-    sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).collect()  # one row a source
-    sources.sort(key=lambda r: (r.source is None, r.source or ""))
-    aims = targets([r.source_size for r in sources], weights, most)
-    aim = spark.createDataFrame([(r.source, r.source_size, t) for r, t in zip(sources, aims, strict=True)], "source string, source_size long, target double")
+    aim = with_targets(ranked_sources(histogram), weights, most)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         group = group.sort_values("size")
         whole = min(most, int(target // size)) if size else 0
         left = int(target - whole * size) if whole < most else 0
-        group["whole"] = whole
+        group["whole"] = np.where(group["size"] > 0, whole, 0)
         group["more"] = subset(group["size"].tolist(), group["n"].tolist(), left)
         return group[["source", "size", "n", "source_size", "target", "whole", "more"]]
 
     plan = histogram.alias("h").join(aim.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "size", "n", "source_size", "target")
     plan = materialise(plan.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, whole int, more long"), "mix-plan")
-    return pick(rows, plan, seed).select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)], F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return pick(rows, plan).select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)], F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-def pick(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def pick(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with repeats: of each (source, size) all n are taken whole times, and the more of them with the smallest hashes once more.
 
     A large group is cut into slices by hash, so that none is ranked in one task: slices that
-    lie wholly under the cut are taken, and only the slice that holds the cut is ranked.
+    lie wholly under the cut are taken, and only the slice that holds the cut is ranked. Groups
+    that hold many of all rows are broadcast with their plan.
     """
-    on = ["source", "size"]
-    both = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string")))
-    open_plan = plan.where("more > 0 AND more < n").withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS))
+    group = F.struct("source", "size")
+    rows, plan = rows.withColumn("g", group), plan.withColumn("g", group).drop("source", "size")
+    open_plan = plan.where("more > 0 AND more < n").select("g", "n", "more")
     # Where all or none of a length is taken, nothing is ranked.
-    ranked = hashed.select("source", "size", "id", "h").alias("r").join(open_plan.alias("p"), both("r", "p")).select("r.*", "p.more", F.pmod(F.shiftrightunsigned("h", 1), F.col("slices")).alias("slice"))
-    counts = ranked.groupBy(*on, "slice").agg(F.count("*").alias("in_slice"), F.first("more").alias("more"))
-    before = counts.withColumn("before", F.sum("in_slice").over(Window.partitionBy(*on).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("source", "size", "slice", (F.col("more") - F.coalesce("before", F.lit(0))).alias("left"), "in_slice")
-    cut = before.where("left > 0 AND left < in_slice")
-    inside = ranked.alias("r").join(cut.alias("c"), both("r", "c") & (F.col("r.slice") == F.col("c.slice"))).select("r.source", "r.size", "r.slice", "r.id", "r.h", "c.left")
-    last = inside.withColumn("rank", F.row_number().over(Window.partitionBy(*on, "slice").orderBy("h", "id"))).where("rank = left").select("source", "size", "slice", F.col("h").alias("edge_h"), F.col("id").alias("edge_id"))
-    edges = before.alias("b").join(last.alias("l"), both("b", "l") & (F.col("b.slice") == F.col("l.slice")), "left").select("b.source", "b.size", "b.slice", "b.left", "b.in_slice", "l.edge_h", "l.edge_id")
-    edges = edges.groupBy(*on).agg(F.max(F.when(F.col("left") >= F.col("in_slice"), F.col("slice"))).alias("full_slice"), F.max(F.when(F.col("left") > 0, F.struct("slice", "edge_h", "edge_id"))).alias("edge"))
-    plan = plan.alias("p").join(edges.alias("e"), both("p", "e"), "left").select("p.*", "e.full_slice", "e.edge")
-    out = hashed.alias("r").join(plan.alias("p"), both("r", "p"), "left").select("r.*", "p.n", "p.source_size", "p.target", "p.whole", "p.more", "p.full_slice", "p.edge")
-    slice_of = F.pmod(F.shiftrightunsigned("h", 1), F.ceil(F.col("n") / SLICE_ROWS))
-    under = (F.col("h") < F.col("edge.edge_h")) | ((F.col("h") == F.col("edge.edge_h")) & (F.col("id") <= F.col("edge.edge_id")))
-    once = F.when(F.col("more") >= F.col("n"), True).when(F.col("more") <= 0, False).when(slice_of <= F.coalesce("full_slice", F.lit(-1)), True).when((slice_of == F.col("edge.slice")) & F.col("edge.edge_h").isNotNull(), under).otherwise(False)
-    return out.withColumn("repeats", (F.col("whole") + F.when(F.coalesce(once, F.lit(False)), 1).otherwise(0)).cast("long"))
+    ranked = joined_by(rows.select("g", "id", "h"), open_plan, "g", "n", how="inner", keep=True).withColumn("slice", slice_of("n"))
+    counts = ranked.groupBy("g", "slice").agg(F.count("*").alias("in_slice"), F.first("more").alias("more"))
+    earlier = F.sum("in_slice").over(Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = materialise(counts.withColumn("left", F.col("more") - F.coalesce(earlier, F.lit(0))).where("left > 0").select("g", "slice", "left", "in_slice"), "mix-slices")
+    inside = ranked.join(cuts.where("left < in_slice").select("g", "slice", "left"), ["g", "slice"])
+    order, alike = Window.partitionBy("g", "slice").orderBy("h", "id"), Window.partitionBy("g", "slice", "h", "id")
+    inside = inside.withColumn("rank", F.row_number().over(order)).withColumn("first", F.rank().over(order)).withColumn("alike", F.count("*").over(alike))
+    last = inside.where("rank = left").select("g", "slice", F.struct("h", "id").alias("edge"), (F.col("rank") - F.col("first") + 1).alias("quota"), "alike")
+    edges = cuts.join(last, ["g", "slice"], "left").groupBy("g").agg(F.max(F.when(F.col("left") >= F.col("in_slice"), F.col("slice"))).alias("full_slice"), F.max_by(F.struct("slice", "edge"), F.when(F.col("edge").isNotNull(), 1)).alias("cut"), F.max(F.when(F.col("alike") > F.col("quota"), F.col("quota"))).alias("quota"))
+    edges = materialise(edges, "mix-edges")
+    out = joined_by(rows, plan.join(edges, "g", "left"), "g", "n", keep=True)
+    on_edge = F.struct("h", "id") == F.col("cut.edge")
+    under = (F.col("h") < F.col("cut.edge.h")) | ((F.col("h") == F.col("cut.edge.h")) & F.coalesce(F.col("id") <= F.col("cut.edge.id"), F.col("id").isNull()))
+    once = F.when(F.col("more") >= F.col("n"), True).when(F.col("more") <= 0, False).when(F.col("slice") <= F.coalesce("full_slice", F.lit(-1)), True).when(F.col("slice") == F.col("cut.slice"), under).otherwise(False)
+    out = out.withColumn("slice", slice_of("n")).withColumn("once", F.coalesce(once, F.lit(False)))
+    if edges.where("quota IS NOT NULL").limit(1).count():  # rows alike on both sides of a cut: as many as the count says
+        some = F.coalesce(on_edge & (F.col("slice") == F.col("cut.slice")) & F.col("quota").isNotNull(), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("g", "h", "id").orderBy(F.lit(0)))
+        out = out.where(~some).unionByName(out.where(some).withColumn("once", nth <= F.col("quota")))
+    return out.withColumn("repeats", (F.col("whole") + F.when(F.col("once") & (F.col("size") > 0), 1).otherwise(0)).cast("long"))
+
+
+def slice_of(n: str) -> Column:
+    return F.pmod(F.shiftrightunsigned("h", 1), F.ceil(F.col(n) / SLICE_ROWS))

@@ -1,11 +1,13 @@
 """Quality classifier: positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives and unlabelled text train a logistic model on rule statistics. The class
+Trusted positives and unlabelled text train a logistic model on rule statistics and on how much
+more often the words and pairs of words of a text stand in positives than elsewhere. The class
 prior is estimated from scores of a first model that tells positives from unlabelled text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, map_arrow, materialise
+from .common import fold, id_type, map_arrow, materialise, tidy
+from .jaccard_join import M1, WordHash, mix
 from .text_stats import FEATURES, features, stats
 
 BINS = 400
+#: Words are counted in so many hash buckets, and pairs of words in as many.
+BUCKETS = 1 << 15
+#: The model's inputs: the statistics, and the mean evidence of words and of pairs.
+INPUTS = len(FEATURES) + 2
 
 
 @dataclass(frozen=True)
@@ -33,19 +40,80 @@ class Scaler:
         return np.hstack([near, near**2 / 4, far, np.ones((len(rows), 1))])
 
 
+def grams(text: str | None, hashes: WordHash) -> np.ndarray:
+    """Sorted distinct buckets of the words, and from BUCKETS on of the pairs of words, of a text."""
+    words = (text or "").encode().lower().split()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    pairs = mix(h[:-1] * M1 + h[1:]) % np.uint64(BUCKETS) + np.uint64(BUCKETS)
+    return np.unique(np.concatenate([mix(h) % np.uint64(BUCKETS), pairs])).astype(np.uint16)
+
+
 def vectors(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
+    """Per row: id, held_out, the statistics and, as 16-bit numbers, the buckets of its words and pairs."""
+
+    def make():
+        hashes = WordHash()
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(2).to_pylist()
+            found = [features(stats(x)) for x in texts]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array([grams(x, hashes).tobytes() for x in texts], pa.binary())], names=["id", "held_out", "features", "grams"])
+
+        return each
+
+    return map_arrow(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")), make, f"id {id_type(docs, id_col)}, held_out boolean, features array<double>, grams binary")
+
+
+def buckets_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a column, and the row of each."""
+    many = np.array([len(x) // 2 for x in column.to_pylist()], np.int64)
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64)
+    return flat, np.repeat(np.arange(len(many)), many)
+
+
+def gram_counts(train: DataFrame) -> np.ndarray:
+    """counts[0, b] positives and counts[1, b] training rows that have bucket b; a table of fixed size, summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 2 * BUCKETS), np.int64)
+        for batch in batches:
+            flat, row = buckets_of(batch.column(1))
+            positive = np.array(batch.column(0).to_pylist(), bool)
+            counts[0] += np.bincount(flat[positive[row]], minlength=2 * BUCKETS)
+            counts[1] += np.bincount(flat, minlength=2 * BUCKETS)
+        seen = np.flatnonzero(counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["bucket", "p", "u"])
+
+    out = np.zeros((2, 2 * BUCKETS))
+    for r in train.select("positive", "grams").mapInArrow(tidy(run), "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).collect():
+        out[:, r.bucket] = r.p, r.u
+    return out
+
+
+def with_evidence(table: DataFrame, counts: np.ndarray, positives: int, rows: int, prior_rows: float = 2.0) -> DataFrame:
+    """table with the mean evidence of its words and of its pairs behind the statistics; a training row doesn't count itself."""
+    kinds = table.schema["id"].dataType.simpleString()
+
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [features(stats(x)) for x in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["id", "held_out", "features"])
+            held, positive = (np.array(batch.column(c).to_pylist(), bool) for c in ("held_out", "positive"))
+            flat, row = buckets_of(batch.column("grams"))
+            share = positives / max(rows, 1)
+            evidence = np.log((counts[0][flat] - positive[row] + prior_rows) / ((counts[1][flat] - ~held[row]) * share + prior_rows))
+            means = []
+            for part in (flat < BUCKETS, flat >= BUCKETS):
+                n = np.bincount(row[part], minlength=len(batch))
+                means.append(np.bincount(row[part], evidence[part], minlength=len(batch)) / (n + 5))
+            whole = np.hstack([np.array(batch.column("features").to_pylist(), float).reshape(len(batch), -1), np.array(means).T])
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), batch.column("positive"), pa.array(whole.tolist(), pa.list_(pa.float64()))], names=["id", "held_out", "positive", "features"])
 
         return each
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")), make, f"id {id_type(docs, id_col)}, held_out boolean, features array<double>")
+    return map_arrow(table.select("id", "held_out", "positive", "features", "grams"), make, f"id {kinds}, held_out boolean, positive boolean, features array<double>")
 
 
 def rows_of(column: pa.ListArray) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), len(FEATURES))
+    return np.array(column.to_pylist(), float).reshape(len(column), INPUTS)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -57,19 +125,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def sums(train: DataFrame, scaler: Scaler, weights: np.ndarray) -> dict[str, np.ndarray]:
-    """Sums over all training rows that risk, gradient and Hessian need: one short row a task."""
+    """Sums over all training rows that risk, gradient and Hessian need: one short column of numbers a task."""
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
             x, positive = scaler.expand(rows_of(batch.column("features"))), np.array(batch.column("positive").to_pylist(), bool)
             z = x @ weights
             s, p = sigmoid(z), x[positive]
-            flat = [float(len(x)), float(len(p)), softplus(z).sum(), softplus(-z[positive]).sum(), softplus(z[positive]).sum(), *(s @ x), *((s[positive] - 1) @ p), *(s[positive] @ p), *((x.T * (s * (1 - s))) @ x).ravel()]
-            return pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat, pa.float64())], names=["k", "v"])
-
-        return each
+            total = total + np.array([float(len(x)), float(len(p)), softplus(z).sum(), softplus(-z[positive]).sum(), softplus(z[positive]).sum(), *(s @ x), *((s[positive] - 1) @ p), *(s[positive] @ p), *((x.T * (s * (1 - s))) @ x).ravel()])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["k", "v"])
 
-    found = {r.k: r.v for r in map_arrow(train.select("positive", "features"), make, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    found = {r.k: r.v for r in train.select("positive", "features").mapInArrow(tidy(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
     flat, d = np.array([found[k] for k in range(len(found))]), len(weights)
     u, p = max(flat[0], 1), max(flat[1], 1)
     return {"u": flat[0], "p": flat[1], "u_neg": flat[2] / u, "p_pos": flat[3] / p, "p_neg": flat[4] / p, "g_u": flat[5 : 5 + d] / u, "g_pos": flat[5 + d : 5 + 2 * d] / p, "g_neg": flat[5 + 2 * d : 5 + 3 * d] / p, "h_u": flat[5 + 3 * d :].reshape(d, d) / u}
@@ -81,7 +149,7 @@ def fit(train: DataFrame, scaler: Scaler, prior: float, steps: int, ridge: float
     Where the second term falls under -beta, the step climbs back along it, as the non-negative
     estimator asks; otherwise logistic loss makes the risk convex.
     """
-    d = 3 * len(FEATURES) + 1
+    d = 3 * INPUTS + 1
     weights, best, best_weights, rate = np.zeros(d), np.inf, np.zeros(d), 1.0
     for _ in range(steps):
         s = sums(train, scaler, weights)
@@ -150,12 +218,14 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = id_type(docs, id_col)
     table = vectors(docs, id_col, text_col, fold(id_col, folds) == held_fold)
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("known"))
-    table = materialise(table.join(known, "id", "left").select("id", "held_out", (F.coalesce("known", F.lit(False)) & ~F.col("held_out")).alias("positive"), "features"), "quality-vectors")
+    table = materialise(table.join(known, "id", "left").select("id", "held_out", (F.coalesce("known", F.lit(False)) & ~F.col("held_out")).alias("positive"), "features", "grams"), "quality-vectors")
+    size = table.where("NOT held_out").agg(F.count("*").alias("rows"), F.count_if("positive").alias("positives")).first()
+    table = materialise(with_evidence(table, gram_counts(table.where("NOT held_out")), size.positives, size.rows), "quality-inputs")
     train = table.where("NOT held_out")
-    moments = train.where("positive").select(*[f(F.col("features")[k]).alias(f"{name}{k}") for k in range(len(FEATURES)) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    moments = train.where("positive").select(*[f(F.col("features")[k]).alias(f"{name}{k}") for k in range(INPUTS) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if moments["m0"] is None:
         return table.select(F.col("id").alias(id_col), "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
-    scaler = Scaler(np.array([moments[f"m{k}"] for k in range(len(FEATURES))]), np.maximum([moments[f"s{k}"] for k in range(len(FEATURES))], 1e-3))
+    scaler = Scaler(np.array([moments[f"m{k}"] for k in range(INPUTS)]), np.maximum([moments[f"s{k}"] for k in range(INPUTS)], 1e-3))
     prior = estimate_prior(train, scaler, fit(train, scaler, 0.5, steps))
     weights = fit(train, scaler, prior, steps)
     return score(table, scaler, weights, "id held_out", f"id {kind}, held_out boolean").select(F.col("id").alias(id_col), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.lit(prior).alias("prior"))

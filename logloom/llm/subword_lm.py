@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, map_arrow, materialise
+from .common import fold, id_type, map_arrow, materialise, tidy
 
 #: Each task counts words in a table of at most this many, then hands it on.
 TASK_WORDS = 300_000
@@ -188,7 +188,7 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, held_folds: int) ->
             if counts[kind]:
                 yield flush(kind)
 
-    return rows.mapInArrow(run, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
+    return rows.mapInArrow(tidy(run), "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
 def fit_pieces(words: DataFrame, pieces: list[str], logp: np.ndarray, byte_ids: list[int], ends: int, rounds: int) -> np.ndarray:

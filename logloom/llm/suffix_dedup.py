@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_type, map_arrow, materialise
+from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, tidy
 from .jaccard_join import M1, M3, mix
 
 LENGTH, GRAM = 100, 24
@@ -75,13 +75,30 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(packed)
 
 
-def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(text_col, F.lit("")))
+def text_hash(seed: int = 42) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce("text", F.lit("")))
 
 
-def meeting_anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """(key, node, packed) of the anchors that occur at two places or more in distinct texts; streamed in key order."""
-    rows = docs.select(text_hash(text_col).alias("node"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with node, a number for each text, and the hashes of docs, written.
+
+    A 64-bit hash that stands for several texts, as next to none do, is replaced by another one
+    of theirs; a second hash finds it.
+    """
+    hashed = docs.select("id", text_hash().alias("node"), text_hash(1).alias("check"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    hashed = materialise(hashed, "suffix-texts")
+    clash = [r.node for r in hashed.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").collect()]  # of 2**64 values
+    other = lambda node, check: F.when(node.isin(clash), check).otherwise(node) if clash else node
+    return docs.withColumn("node", other(text_hash(), text_hash(1))), hashed.withColumn("node", other(F.col("node"), F.col("check"))).drop("check")
+
+
+def meeting_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, node, packed) of the anchors that occur at two places or more in distinct texts.
+
+    They are streamed in key order. Very frequent ones, as a sample shows them, do not go through
+    that shuffle but are counted after partial aggregation; which these are changes no result.
+    """
+    rows = docs.where(F.octet_length("text") >= length)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -116,7 +133,12 @@ def meeting_anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> D
             yield several(held, True)
 
     schema = "key long, node long, packed long"
-    return map_arrow(rows, make, schema).repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(run, schema)
+    hot = hot_keys(map_arrow(rows.where(in_sample("id", "node")).select("node", "text"), make, schema), "suffix-hot")
+    found = map_arrow(rows.select("node", "text"), make, schema)
+    often = found.join(hot, "key", "left_semi").distinct()
+    met_often = materialise(often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-hot-met")
+    seldom = found.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(tidy(run), schema)
+    return seldom.unionByName(often.join(F.broadcast(met_often), "key", "left_semi"))
 
 
 class Suffixes:
@@ -196,6 +218,28 @@ class Suffixes:
         return order
 
 
+    def neighbours(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order, and how many bytes each suffix has in common with the one before it in its group (-1: the first); both by the bytes themselves.
+
+        Where hashes have misled the sort, the suffixes are sorted once more, by their bytes.
+        """
+        for again in (False, True):
+            x, y = order[:-1], order[1:]
+            a, b = self.bytes[x, self.left :], self.bytes[y, self.left :]
+            column = np.arange(a.shape[1])
+            differ = (a != b) | (column >= np.minimum(self.after[x], self.after[y])[:, None])
+            k = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+            inner = self.group[x] == self.group[y]
+            at = np.minimum(k, a.shape[1] - 1)[:, None]
+            ends = k >= self.after[x]
+            sorted_ = ends | (~(k >= self.after[y]) & (np.take_along_axis(a, at, 1) < np.take_along_axis(b, at, 1))[:, 0])
+            if again or (sorted_ | ~inner).all():
+                break
+            rows = range(len(order))
+            order = np.array(sorted(rows, key=lambda i: (self.group[i], self.bytes[i, self.left : self.left + self.after[i]].tobytes(), i)), np.int64)
+        return order, np.concatenate([[-1], np.where(inner, k, -1)])
+
+
 def repeated(s: Suffixes, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """repeated[i, o]: an earlier row of the group holds the same string that starts o bytes before the anchor.
 
@@ -206,10 +250,7 @@ def repeated(s: Suffixes, first: np.ndarray, last: np.ndarray, length: int) -> n
     out = np.zeros((n, most + 1), bool)
     if not n:
         return out
-    order = s.sort()
-    common = np.zeros(n, np.int64)
-    common[1:] = np.where(s.group[order[1:]] == s.group[order[:-1]], s.extension(order[1:], order[:-1]), -1)
-    common[0] = -1
+    order, common = s.neighbours(s.sort())
     for o in range(most + 1):
         run = np.cumsum(common < length - o)
         here = (last[order] <= o) & (o <= first[order])
@@ -241,13 +282,13 @@ def intervals(pos: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarr
     return row, pos[row] - (high - 1), pos[row] - low + length
 
 
-def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """(key, part, id, node, packed, content) of each meeting anchor: the bytes of all its strings; part is over 0 parts of crowds."""
     crowd = met.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("parts")).where("parts > 2")
     dealt = met.join(crowd, "key", "left").select("key", "node", "packed", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node", "packed"), F.col("parts"))).cast("int").alias("part"))
     lists = dealt.groupBy("node").agg(F.collect_list(F.struct("key", "part", "packed")).alias("found")).join(classes.select("node", "id"), "node")
     names = met.select("node").distinct()
-    rows = docs.select(text_hash(text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+    rows = docs.where(F.octet_length("text") >= length)
     rows = rows.join(bounded(names), "node", "left_semi").alias("d").join(lists.alias("l"), (F.col("d.node") == F.col("l.node")) & F.col("d.id").eqNullSafe(F.col("l.id"))).select("d.id", "d.node", "d.text", "l.found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +304,7 @@ def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, id_col: str, t
                     take = pa.array([i] * len(low[piece]), pa.int32())
                     yield pa.RecordBatch.from_arrays([found.field("key").slice(at, BATCH), found.field("part").slice(at, BATCH), batch.column(0).take(take), batch.column(1).take(take), pa.array(packed[piece]), pa.array([text[a:b] for a, b in zip(low[piece], high[piece], strict=True)], pa.binary())], names=["key", "part", "id", "node", "packed", "content"])
 
-    return rows.mapInArrow(run, f"key long, part int, id {id_type(docs, id_col)}, node long, packed long, content binary")
+    return rows.mapInArrow(tidy(run), f"key long, part int, id {id_type(docs, 'id')}, node long, packed long, content binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.Table]:
@@ -342,7 +383,7 @@ def compare(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(node[rest][r]), pa.array(start), pa.array(start + length), ids.take(pa.array(rest[r])), pa.array(strings, pa.binary())], names=["node", "start", "end", "id", "string"])
 
     order = [F.col("key"), F.col("part"), F.col("id").asc_nulls_last(), F.col("node"), F.col("packed")]
-    return rows.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(run, f"node long, start long, end long, id {kind}, string binary")
+    return rows.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(tidy(run), f"node long, start long, end long, id {kind}, string binary")
 
 
 def crowd_repeats(found: DataFrame) -> DataFrame:
@@ -352,10 +393,10 @@ def crowd_repeats(found: DataFrame) -> DataFrame:
     return strings.join(first, "string").where("place > first").select("node", "start", "end")
 
 
-def removed_spans(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
+def removed_spans(docs: DataFrame, classes: DataFrame, length: int, gram: int) -> DataFrame:
     """(node, spans): for texts in which strings are repeated from earlier, the intervals to remove, not merged."""
-    met = materialise(meeting_anchors(docs, text_col, length, gram), "suffix-anchors")
-    found = materialise(compare(contexts(docs, met, classes, id_col, text_col, length), length, gram), "suffix-repeats")
+    met = materialise(meeting_anchors(docs, length, gram), "suffix-anchors")
+    found = materialise(compare(contexts(docs, met, classes, length), length, gram), "suffix-repeats")
     spans = found.where("string IS NULL").select("node", "start", "end").unionByName(crowd_repeats(found))
     return spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -376,16 +417,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one document and have equal results; an empty table gives none; other columns are ignored.
     length - gram must be at most 255.
     """
-    hashed = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("node"), F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))).alias("check"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"))
-    hashed = materialise(hashed, "suffix-texts")
-    classes = hashed.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"))
-    clash = classes.where("low <> high").count()
-    if clash:
-        raise ArithmeticError(f"{clash} text hashes stand for several texts")
-    classes = materialise(classes.select("node", "id"), "suffix-classes")
-    spans = materialise(removed_spans(docs, classes, id_col, text_col, length, gram), "suffix-spans")
-    rows = docs.select(text_hash(text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(spans.select("node")), "node", "left_semi")
-    rows = rows.alias("d").join(spans.join(classes, "node").alias("s"), (F.col("d.node") == F.col("s.node")) & F.col("d.id").eqNullSafe(F.col("s.id"))).select("d.node", "d.text", "s.spans")
+    docs, hashed = told_apart(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    classes = materialise(hashed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "suffix-classes")
+    spans = materialise(removed_spans(docs, classes, length, gram), "suffix-spans")
+    rows = docs.join(bounded(spans.select("node")), "node", "left_semi")
+    rows = rows.alias("d").join(spans.join(classes.drop("copies"), "node").alias("s"), (F.col("d.node") == F.col("s.node")) & F.col("d.id").eqNullSafe(F.col("s.id"))).select("d.node", "d.text", "s.spans")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -405,10 +441,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return each
 
     facts = materialise(map_arrow(rows, make, "node long, removed long, kept string, cut array<struct<start:long,end:long>>").dropDuplicates(["node"]), "suffix-facts")
-    whole = (F.col("n_bytes") >= length) & ~F.col("d.id").eqNullSafe(F.col("first"))
-    out = hashed.alias("d").join(classes.select("node", F.col("id").alias("first")), "node").join(facts, "node", "left")
+    whole = (F.col("n_bytes") >= length) & ~F.col("id").eqNullSafe(F.col("first"))
+    out = joined_by(hashed, classes.withColumnRenamed("id", "first").join(facts, "node", "left"), "node", "copies")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    out = out.select(F.col("d.id").alias(id_col), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"), F.when(whole, all_of_it).otherwise(F.coalesce("cut", none)).alias("spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
+    out = out.select(F.col("id").alias(id_col), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"), F.when(whole, all_of_it).otherwise(F.coalesce("cut", none)).alias("spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
     out = out.withColumn("n_spans", F.size("spans").cast("long"))
     return out.select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans"] if with_spans else []))

@@ -14,11 +14,11 @@ from .common import id_type, map_arrow
 
 #: A piece of a long text has about this many characters.
 PIECE_CHARS = 16_384
-#: One call of the library gets at most about this many characters.
-BATCH_CHARS = 262_144
-#: A space or line feed right after a letter, digit, full stop or comma of ASCII: no token of
-#: a byte-level vocabulary runs across the start of it, and what follows it is split alike.
-SAFE = re.compile(r"(?<=[A-Za-z0-9.,])[ \n]")
+#: One call of the library gets at most about this many bytes.
+BATCH_BYTES = 262_144
+#: A space or line feed right after a letter or digit of any script, a full stop or a comma, or a mark of CJK
+#: right after a letter or digit: no token of a byte-level vocabulary runs across the start of it, and what follows it is split alike.
+SAFE = re.compile(r"(?<=[^\W_]|[.,])[ \n]|(?<=[^\W_])(?=[\u3001\u3002\uff0c\uff1b\uff1a\uff1f\uff01\u300c\u300d\u300e\u300f])")
 
 
 def split_text(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
@@ -33,7 +33,7 @@ def split_text(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def batch_counter(path: str, content: bytes, piece_chars: int, batch_chars: int) -> Callable[[list[str]], list[int]]:
+def batch_counter(path: str, content: bytes, piece_chars: int, batch_bytes: int) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts for a .json (tokenizers) or .model (sentencepiece) file."""
     if path.endswith(".model"):
         import sentencepiece
@@ -66,8 +66,8 @@ def batch_counter(path: str, content: bytes, piece_chars: int, batch_chars: int)
                 if piece:
                     pending.append(piece)
                     owners.append(i)
-                    size += len(piece)
-                    if size >= batch_chars:
+                    size += len(piece) if piece.isascii() else len(piece.encode())
+                    if size >= batch_bytes:
                         flush()
         if pending:
             flush()
@@ -76,7 +76,7 @@ def batch_counter(path: str, content: bytes, piece_chars: int, batch_chars: int)
     return count
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, piece_chars: int = PIECE_CHARS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, piece_chars: int = PIECE_CHARS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     The vocabulary file is read once on the driver and travels with the function, so that
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         content = file.read()
 
     def make():
-        count = batch_counter(tokenizer_path, content, piece_chars, batch_chars)
+        count = batch_counter(tokenizer_path, content, piece_chars, batch_bytes)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [x or "" for x in batch.column(1).to_pylist()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logloom.llm import pii, warc
 from logloom.llm.decontamination import contamination_digest, decontaminate
 from logloom.llm.jaccard_join import jaccard_join
-from logloom.llm.mixing import mix, subset, targets
+from logloom.llm.mixing import mix, subset, with_targets
 from logloom.llm.quality_classifier import classify_quality
 from logloom.llm.quality_rules import quality_rules
 from logloom.llm.subword_lm import Lattice, read_vocabulary, score_texts
@@ -82,9 +82,9 @@ def test_empty_table(spark, name):
 def test_token_counts(spark, rows):
     from tokenizers import Tokenizer
 
-    rows = [*rows, (950, "a<|endoftext|>b  c <|endoftext|>\n\n  d", "s1"), (951, "it's 12 " * 9000, "s1")]
+    rows = [*rows, (950, "a<|endoftext|>b  c <|endoftext|>\n\n  d", "s1"), (951, "it's 12 " * 9000, "s1"), (952, "日本語の文章、続く。かな「引用」１２３。" * 900, "s1"), (953, "ñandú élève² " * 4000 + "é" * 3000, "s1")]
     t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    got = by_id(count_tokens(frame(spark, rows), tokenizers.path("byte_bpe_50k.json"), piece_chars=500, batch_chars=3000))
+    got = by_id(count_tokens(frame(spark, rows), tokenizers.path("byte_bpe_50k.json"), piece_chars=500, batch_bytes=3000))
     for i, text, _ in rows:
         n = len(t.encode(text or "", add_special_tokens=False))
         assert all((r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 1024) for r in got[i])
@@ -160,8 +160,8 @@ def test_pii_frame(spark, rows):
 @pytest.mark.parametrize("shingle,percent,counted", [(3, 90, True), (5, 80, False), (1, 50, True), (1, 50, False)])
 def test_jaccard_join(spark, rows, shingle, percent, counted, monkeypatch):
     monkeypatch.setattr("logloom.llm.jaccard_join.LEAF", 3)  # many leaves to a home
-    monkeypatch.setattr("logloom.llm.jaccard_join.SAMPLE", 1)  # some keys go the way of very frequent ones
-    monkeypatch.setattr("logloom.llm.jaccard_join.HOT_TIMES", 4)
+    monkeypatch.setattr("logloom.llm.common.SAMPLE", 1)  # some keys go the way of very frequent ones
+    monkeypatch.setattr("logloom.llm.common.HOT_TIMES", 4)
     rng = random.Random(8)
     crowd = [f"c{k}" for k in range(60)]
     rows = [*rows, *((1000 + i, " ".join(w if rng.random() > 0.08 else f"e{rng.randrange(40)}" for w in crowd), "s1") for i in range(60))]
@@ -250,18 +250,53 @@ def test_decontamination_both_ways(spark, rows, monkeypatch):
             assert all(tuple(r)[1:] == want for r in got[i]), i
 
 
-def test_targets_and_knapsack():
-    assert targets([100, 100, 100]) == pytest.approx([50, 100, 150])
-    t = targets([1000, 10, 10])
-    assert t[1:] == [30.0, 30.0] and sum(t) == pytest.approx(1020)
+def test_targets(spark):
+    from logloom.llm.mixing import ranked_sources
+
+    def targets(sizes):
+        rows = spark.createDataFrame([(n, s, 1) for n, s in sizes.items()], "source string, size long, n long").repartition(3)
+        return {r.source: r.target for r in with_targets(ranked_sources(rows)).collect()}
+
+    assert targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 50, "b": 100, "c": 150})
+    got = targets({"B": 1000, "a": 10, None: 10})
+    assert (got["a"], got[None]) == (30.0, 30.0) and sum(got.values()) == pytest.approx(1020)
+    assert targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0} and targets({"\U0001F600": 50, "\uFFEE": 50, "z": 50}) == pytest.approx({"z": 25, "\uFFEE": 50, "\U0001F600": 75})
+
+
+def test_subset_is_the_nearest():
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(300):
         lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 6)))
         counts = [rng.randint(1, 5) for _ in lengths]
         budget = rng.randint(0, sum(x * n for x, n in zip(lengths, counts)) + 5)
         take = subset(lengths, counts, budget)
-        assert all(0 <= k <= n for k, n in zip(take, counts)) and sum(x * k for x, k in zip(lengths, take)) <= max(budget, 0)
-    assert subset([3, 5], [4, 4], 16) in ([2, 2], [2, 2]) and subset([7], [3], 20) == [2]
+        assert all(0 <= k <= n for k, n in zip(take, counts))
+        sums = {0}
+        for x, n in zip(lengths, counts):
+            sums = {s + x * k for s in sums for k in range(n + 1)}
+        best, got = max(s for s in sums if s <= budget), sum(x * k for x, k in zip(lengths, take))
+        assert best - lengths[0] <= got <= best, (lengths, counts, budget)
+    assert subset([3, 5], [4, 4], 16) == [2, 2] and subset([7], [3], 20) == [2]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mix_takes_rows_without_ids_and_alike(spark, monkeypatch, broadcast):
+    from logloom.llm import common, mixing
+
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(common.bounded, "__defaults__", (-1,))
+        monkeypatch.setattr(common, "HOT_SHARE", 3)
+    text = lambda k: " ".join(f"w{k}" for _ in range(10))
+    rows = [(None, text(k), "a") for k in range(40)] + [(1, text(0), "b")] * 100 + [(None, text(k % 3), None) for k in range(60)] + [(5, None, "b"), (6, "", None)]
+    got = mix(frame(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r["size"] and (r["size"] or not r.repeats)
+    assert len(got) == len(rows) and all(0 <= target[s] - taken[s] < 10 for s in target), (taken, target)
 
 
 def test_mix(spark, rows, monkeypatch):
