@@ -42,50 +42,58 @@ class Rule:
 class JavaPattern:
     pattern: str
     groups: dict[str, int]
-    exact: bool  # False: a group may not take part, which regexp_extract can't tell from an empty one
+    #: Of groups that may take no part: two more, of which one takes a character beside the group if, and only if, it does.
+    witnesses: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def value(self, raw: Column, name: str) -> Column:
+        """What a named group takes; null if it takes no part."""
+        taken = F.regexp_extract(raw, self.pattern, self.groups[name])
+        if name not in self.witnesses:
+            return taken
+        before, after = (F.regexp_extract(raw, self.pattern, k) != "" for k in self.witnesses[name])
+        return F.when(before | after, taken)
+
+
+#: An empty group says nothing of whether it took part. What follows it takes the character before or after: only an empty line has neither.
+WITNESS = r"(?:(?<=([\s\S]))|(?=([\s\S]))|)"
+PIECE = re.compile(r"(?P<number>\\[1-9]\d?)|(?P<escape>\\.)|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|\(\?P<(?P<named>\w+)>|\(\?P=(?P<again>\w+)\)|(?P<special>\(\?)|(?P<open>\()|(?P<close>\))|(?P<other>.)", re.S)
 
 
 def translate(pattern: str) -> JavaPattern:
-    """A Python pattern for the JVM: named groups become plain ones with their numbers kept by name."""
-    out, groups, count, i, in_class, exact, stack = [], {}, 0, 0, False, True, []
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-            if pattern[i + 1 : i + 2] == "]" or pattern[i + 1 : i + 3] == "^]":
-                skip = 2 if pattern[i + 1] == "]" else 3
-                out.append(pattern[i : i + skip].replace("]", r"\]"))
-                i += skip
-                continue
-        elif c == "(":
-            named = re.match(r"\(\?P<(\w+)>", pattern[i:])
-            again = re.match(r"\(\?P=(\w+)\)", pattern[i:])
-            if again:
-                out.append(f"\\{groups[again[1]]}")
-                i += again.end()
-                continue
-            if named or pattern[i + 1 : i + 2] != "?":
-                count += 1
-            stack.append(bool(named))
-            if named:
-                groups[named[1]] = count
-                out.append("(")
-                i += named.end()
-                continue
-        elif c == ")" and stack:
-            if stack.pop() and pattern[i + 1 : i + 2] in ("?", "*") or pattern[i + 1 : i + 3] == "{0":
-                exact = False
-        elif c == "|" and stack:
-            exact = False
-        out.append(c)
-        i += 1
-    return JavaPattern("(?U)(?d)" + "".join(out), groups, exact)
+    """A Python pattern for the JVM: named groups become plain ones with their numbers kept by name.
+
+    In a pattern with alternatives or parts that may be left out, named groups get witnesses, as
+    the JVM's functions can't tell a group that takes no part from one that takes nothing.
+    """
+    pieces = list(PIECE.finditer(pattern))
+    optional = any(m["other"] == "|" for m in pieces) or re.search(r"\)(?:[?*]|\{0?,|\{0\})", pattern) is not None
+    out, groups, witnesses, numbers, count, stack = [], {}, {}, [0], 0, []
+    for m in pieces:
+        text = m[0]
+        if m["number"]:
+            text = f"(?:\\{numbers[int(text[1:])]})"
+        elif m["set"]:
+            start = 2 if text[1] == "^" else 1
+            text = text[:start] + text[start:-1].replace("[", r"\[") + "]" if text[start] != "]" else text[:start] + r"\]" + text[start + 1 : -1].replace("[", r"\[") + "]"
+        elif m["again"]:
+            text = f"(?:\\{groups[m['again']]})"
+        elif m["named"] or m["open"]:
+            count += 1
+            numbers.append(count)
+            stack.append(m["named"])
+            if m["named"]:
+                groups[m["named"]] = count
+                text = "(?:(" if optional else "("
+        elif m["special"]:
+            stack.append(None)
+        elif m["close"] and stack:
+            name = stack.pop()
+            if name and optional:
+                text += WITNESS + ")"
+                witnesses[name] = (count + 1, count + 2)
+                count += 2
+        out.append(text)
+    return JavaPattern("(?U)(?d)" + "".join(out), groups, witnesses)
 
 
 def pattern_errors(pattern: str) -> list[str]:
@@ -123,8 +131,8 @@ def last_values(pairs: Column) -> Column:
     return bound(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~later(all_, p, i))))
 
 
-def flatten_json(text: Column, depth: int = 4) -> Column:
-    """map<string,string> of a JSON object with nested keys joined by dots; lists and scalars as JSON text, nulls kept."""
+def flatten_json(text: Column, depth: int = 8) -> Column:
+    """map<string,string> of a JSON object with nested keys joined by dots; lists and scalars as JSON text, nulls kept. Objects in more than depth others stay JSON text."""
 
     def entries(value: Column, prefix: Column, left: int) -> Column:
         own = F.map_entries(F.from_json(value, "map<string,string>"))
@@ -158,11 +166,16 @@ def document(values: dict[str, Column], unmapped: Column, product: str = "logloo
     return bound(F.struct(*[values.get(t, null).alias(t) for t in TARGETS], unmapped.alias("unmapped")), build)
 
 
-def regex_document(raw: Column, rule: Rule) -> tuple[Column, Column]:
-    """(matches, document) of a regex rule: named groups, then pairs of the group extension, which win."""
+def plain_number(value: Column) -> Column:
+    """Digits as the number that they are: without leading zeros."""
+    return F.when(value.rlike(r"^0\d+$"), F.regexp_replace(value, r"^0+(?=\d)", "")).otherwise(value)
+
+
+def regex_document(raw: Column, rule: Rule) -> Column:
+    """The document of a line that a regex rule matches: named groups, then pairs of the group extension, which win."""
     java = translate(rule.pattern)
-    group = {name: F.regexp_extract(raw, java.pattern, k) for name, k in java.groups.items()}
-    pairs = key_values(group["extension"]) if "extension" in group else F.array().cast("array<struct<key:string,value:string>>")
+    group = {name: java.value(raw, name) for name in java.groups}
+    pairs = key_values(F.coalesce(group["extension"], F.lit(""))) if "extension" in group else F.array().cast("array<struct<key:string,value:string>>")
     targets = dict(rule.mappings)  # of several mappings of a field the last counts
     extra = [F.struct(F.lit(n).alias("key"), group[n].alias("value")) for n in group if n not in STRUCTURAL and n not in targets]
     known = [*STRUCTURAL, *targets]
@@ -176,30 +189,52 @@ def regex_document(raw: Column, rule: Rule) -> tuple[Column, Column]:
         for s, t in targets.items():
             values[t] = F.coalesce(source(s), values[t]) if t in values else source(s)
         rest = F.filter(all_, lambda p: ~p["key"].isin(known))
-        return document(values, last_values(F.concat(F.array(*extra), rest) if extra else rest))
+        rest = F.concat(F.filter(F.array(*extra), lambda p: p["value"].isNotNull()), rest) if extra else rest
+        return document(values, last_values(F.transform(rest, lambda p: F.struct(p["key"].alias("key"), plain_number(p["value"]).alias("value")))))
 
-    return raw.rlike(java.pattern), bound(pairs, build)
+    return bound(pairs, build)
 
 
-def json_document(raw: Column, rule: Rule) -> tuple[Column, Column]:
-    """(is an object, document) of a JSON rule: dotted paths through nested objects."""
-    path = lambda s: F.get_json_object(raw, "$" + "".join(f"['{p}']" for p in s.split(".")))
+def json_path(raw: Column, dotted: str) -> Column:
+    """The value at a dotted path through nested objects, as text; null if there is none."""
+    return F.get_json_object(raw, "$" + "".join(f"['{p}']" for p in dotted.split(".")))
+
+
+def json_document(raw: Column, rule: Rule) -> Column:
+    """The document of a line that is a JSON object: dotted paths through nested objects."""
+    path = lambda s: json_path(raw, s)
     values: dict[str, Column] = {}
     for s, t in rule.mappings:
         values[t] = F.coalesce(path(s), values[t]) if t in values else path(s)
     mapped = [s for s, _ in rule.mappings]
     unmapped = F.map_filter(flatten_json(raw), lambda k, v: ~(k.isin(mapped) & v.isNotNull()))
+    return document(values, unmapped)
+
+
+def matches(raw: Column, rule: Rule) -> Column:
+    """Whether a rule's pattern matches a line; for a JSON rule, whether the line is an object."""
+    if rule.pattern != JSON_RULE:
+        return F.coalesce(raw.rlike(translate(rule.pattern).pattern), F.lit(False))
     text = F.trim(raw)
-    return text.startswith("{") & text.endswith("}") & F.try_parse_json(raw).isNotNull(), document(values, unmapped)
+    return F.coalesce(text.startswith("{") & text.endswith("}") & F.try_parse_json(raw).isNotNull(), F.lit(False))
+
+
+def parse_error(raw: Column, rule: Rule) -> Column:
+    """Why a rule can't read a line, or null."""
+    wrong = "invalid JSON: expected an object" if rule.pattern == JSON_RULE else "rule pattern did not match line"
+    return F.when(F.length(raw) > LINE_CAP, F.lit(f"line exceeds {LINE_CAP} characters")).when(~matches(raw, rule), F.lit(wrong))
+
+
+def parsed_document(raw: Column, rule: Rule) -> Column:
+    """The document of a line that the rule can read."""
+    rule = rule.effective()
+    return json_document(raw, rule) if rule.pattern == JSON_RULE else regex_document(raw, rule)
 
 
 def parse(raw: Column, rule: Rule) -> Column:
     """struct<doc, error> of one rule on a line: exactly one of them is null."""
-    rule = rule.effective()
-    matches, doc = json_document(raw, rule) if rule.pattern == JSON_RULE else regex_document(raw, rule)
-    wrong = "invalid JSON: expected an object" if rule.pattern == JSON_RULE else "rule pattern did not match line"
-    error = F.when(F.length(raw) > LINE_CAP, F.lit(f"line exceeds {LINE_CAP} characters")).when(~F.coalesce(matches, F.lit(False)), F.lit(wrong))
-    return F.struct(F.when(error.isNull(), doc).alias("doc"), error.alias("error"))
+    error = parse_error(raw, rule)
+    return F.struct(F.when(error.isNull(), parsed_document(raw, rule)).alias("doc"), error.alias("error"))
 
 
 def load_rules(text: str) -> list[Rule]:

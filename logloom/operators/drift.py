@@ -19,15 +19,24 @@ def windows(view: DataFrame, count_window: int = 1000, time_window_s: int = 600)
 
     A window closes when it holds count_window rows, or when its first row is older than the
     newest row less time_window_s. So each row older than that is a window of its own, and the
-    others are cut into windows of count_window: no state, only window functions.
+    others are cut into windows of count_window: no state, only sums and numbers within a second.
     """
-    w = Window.partitionBy(*KEY)
-    order = w.orderBy("parsed_at", "event_id")
-    horizon = F.max("parsed_at").over(w) - F.make_interval(secs=F.lit(time_window_s))
-    out = view.where(F.col("rule_version").isNotNull()).withColumn("rn", F.row_number().over(order) - 1).withColumn("old", F.col("parsed_at") < horizon)
-    out = out.withColumn("n_old", F.count_if("old").over(w)).withColumn("wid", F.when(F.col("old"), F.col("rn")).otherwise(F.col("n_old") + F.floor((F.col("rn") - F.col("n_old")) / count_window)).cast("long"))
-    size = F.count("*").over(Window.partitionBy(*KEY, "wid"))
-    return out.withColumn("in_window", size).where(F.col("old") | (F.col("in_window") == count_window)).drop("rn", "old", "n_old", "in_window")
+    rows = view.where(F.col("rule_version").isNotNull()).withColumn("second", F.date_trunc("second", "parsed_at"))
+    counts = rows.groupBy(*KEY, "second").agg(F.count("*").alias("n"), F.max("parsed_at").alias("last"))
+    # Numbers of the rows before each second, from sums over seconds of an hour and over hours: no task orders a whole history.
+    counts = counts.withColumn("hour", F.date_trunc("hour", "second"))
+    earlier = lambda of, by: F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = counts.groupBy(*KEY, "hour").agg(F.sum("n").alias("n"), F.max("last").alias("last")).withColumn("hours_before", earlier(KEY, "hour"))
+    ends = hours.groupBy(*KEY).agg(F.sum("n").alias("total"), (F.max("last") - F.make_interval(secs=F.lit(time_window_s))).alias("horizon"))
+    before = counts.withColumn("seconds_before", earlier((*KEY, "hour"), "second")).join(hours.select(*KEY, "hour", "hours_before"), [*KEY, "hour"])
+    before = before.select(*KEY, "second", (F.col("hours_before") + F.col("seconds_before")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*KEY, "second").orderBy("parsed_at", "event_id")) - 1
+    out = rows.withColumn("nth", nth).join(before, [*KEY, "second"]).withColumn("rn", F.col("before") + F.col("nth")).join(ends, list(KEY)).withColumn("old", F.col("parsed_at") < F.col("horizon"))
+    old = rows.join(ends, list(KEY)).where(F.col("parsed_at") < F.col("horizon")).groupBy(*KEY).agg(F.count("*").alias("some_old"))
+    out = out.join(old, list(KEY), "left").withColumn("n_old", F.coalesce("some_old", F.lit(0)))
+    full = F.col("n_old") + F.floor((F.col("total") - F.col("n_old")) / count_window) * count_window
+    wid = F.when(F.col("old"), F.col("rn")).otherwise(F.col("n_old") + F.floor((F.col("rn") - F.col("n_old")) / count_window)).cast("long")
+    return out.withColumn("wid", wid).where(F.col("old") | (F.col("rn") < full)).select(*view.columns, "wid")
 
 
 def window_bounds(closed: DataFrame) -> DataFrame:

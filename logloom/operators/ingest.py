@@ -41,12 +41,11 @@ def batches(events: DataFrame, size: int = 500) -> DataFrame:
     A batch holds size rows at most, so the list that one task gathers is bounded. Chains are one
     a partition, as the partitions of the topic are.
     """
-    group = ["partition_id", "batch_seq"]
     rows = events.select(F.col("partition").alias("partition_id"), F.floor(F.col("offset") / size).alias("block"), "offset", "content_hash")
     found = rows.groupBy("partition_id", "block").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("offset", "content_hash"))).alias("h"))
     found = found.withColumn("row_hashes", F.transform("h", lambda x: x["content_hash"])).withColumn("merkle_root", merkle_root(F.col("row_hashes")))
     order = Window.partitionBy("partition_id").orderBy("block")
-    return found.select("partition_id", F.row_number().over(order).cast("long").alias("batch_seq"), F.coalesce(F.lag("merkle_root").over(order), F.lit(GENESIS)).alias("prev_hash"), "merkle_root", "row_hashes", "count", "first_offset", "last_offset").orderBy(*group)
+    return found.select("partition_id", F.row_number().over(order).cast("long").alias("batch_seq"), F.coalesce(F.lag("merkle_root").over(order), F.lit(GENESIS)).alias("prev_hash"), "merkle_root", "row_hashes", "count", "first_offset", "last_offset")
 
 
 def extend_chain(new: DataFrame, old: DataFrame) -> DataFrame:

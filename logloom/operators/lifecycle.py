@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -11,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import drift as D
-from ..functions.extract import JSON_RULE, Rule, flatten_json, parse, rule_errors, translate
+from ..functions.extract import JSON_RULE, TARGETS, Rule, flatten_json, json_path, matches, parse, rule_errors, translate
 from ..functions.mutate import mutate
 from .normalize import document_errors, normalize
+from .serve import AUDIT_ACTIONS
 
 PROMPT, HELD_OUT, READY, FRESH, PROBES, PREVIEWS = 5, 15, 20, 10, 20, 5
 #: Names of keys that stand for a target, in lower case.
@@ -27,7 +27,7 @@ ALIASES = {
     "action": ("action", "event_type"),
     "message": ("message", "msg", "signature"),
 }
-#: Literals in the order in which they claim text: times, addresses, host names; then numbers of three digits or more.
+#: Literals in the order in which they claim text: times, addresses, host names; then numbers of three digits or more.
 LITERALS = (r"\d{4}-\d{2}-\d{2}[T ][0-9:.]+Z?", r"\d{1,3}(?:\.\d{1,3}){3}", r"\b[a-z][a-z0-9-]*\d{1,4}\b")
 
 
@@ -117,6 +117,18 @@ def report(checks: dict[str, bool], rate: float, notes: list[str], previews: lis
     return {"passed": all(checks.values()), "checks": checks, "held_out_match_rate": rate, "notes": notes, "previews": previews, "prompt_count": prompt, "held_out_count": held}
 
 
+def gate(rule: Rule, samples: DataFrame | None) -> dict:
+    """The report of a rule that passes on the samples of its fingerprint; one that doesn't is a TransitionError. Without samples only the rule itself is checked."""
+    if samples is None:
+        wrong = rule_errors(rule)
+        found = {"passed": not wrong, "notes": wrong}
+    else:
+        found = validate_candidate(rule, samples)
+    if not found["passed"]:
+        raise TransitionError("; ".join(found["notes"]) or str(found["checks"]))
+    return found
+
+
 def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, t) for t, names in ALIASES.items() for a in names], "alias string, ocsf_path string")
 
@@ -138,11 +150,32 @@ def json_rule(samples: DataFrame, fingerprint: str, version: int = 1) -> Rule:
 
 
 def confidence(samples: DataFrame, rule: Rule, line_col: str = "raw_text") -> float:
-    """Share of the samples that the rule parses, to two decimals; 0 without samples."""
-    row = samples.agg(F.avg(parse(F.col(line_col), rule)["error"].isNull().cast("int")).alias("a")).first()
+    """Share of the samples that a rule reads whole, to two decimals; 0 without samples.
+
+    A JSON rule reads a line whole if every mapped path has a value that isn't null.
+    """
+    line = F.col(line_col)
+    good = matches(line, rule)
+    if rule.pattern == JSON_RULE:
+        for source, _ in rule.mappings:
+            good = good & json_path(line, source).isNotNull()
+    row = samples.agg(F.avg(F.coalesce(good, F.lit(False)).cast("int")).alias("a")).first()
     return round(row.a or 0.0, 2)
 
 
+def is_json(line: Column) -> Column:
+    """Whether a line is JSON, of any kind."""
+    return F.try_parse_json(line).isNotNull()
+
+
+def outer_object(text: str) -> str:
+    """As extract_json, for one text; an error where there are no braces."""
+    start, end = text.find("{"), text.rfind("}")
+    if start < 0 or end < start:
+        raise ValueError("the reply holds no JSON object")
+    return text[start : end + 1]
+
+
 def extract_json(text: Column) -> Column:
     """The outermost braces of a reply, fences left out."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
@@ -175,10 +208,16 @@ class Ledger:
         return max((r.version for r in self.rules if r.fingerprint_id == fingerprint), default=0) + 1
 
     def put(self, *changed: Rule, note: tuple[str, str, str] | None = None) -> Ledger:
+        if note and note[1] not in AUDIT_ACTIONS:
+            raise ValueError(f"{note[1]!r} is no audit action")
         keys = {(r.fingerprint_id, r.version) for r in changed}
         kept = tuple(r for r in self.rules if (r.fingerprint_id, r.version) not in keys)
         return Ledger(kept + changed, self.audit + ((note,) if note else ()))
 
+    def note(self, actor: str, action: str, entity: str) -> Ledger:
+        """An audit entry alone."""
+        return self.put(note=(actor, action, entity))
+
     def expect(self, fingerprint: str, version: int, *states: str) -> Rule:
         rule = self.find(fingerprint, version)
         if rule.status not in states:
@@ -201,7 +240,7 @@ class Ledger:
         else:
             if wrong := rule_errors(edited):
                 raise TransitionError("; ".join(wrong))
-            changed += [replace(draft, status="rejected"), replace(edited, fingerprint_id=fingerprint, version=self.next_version(fingerprint), status="active", provenance="human" if draft.provenance == "human" else "slm-edited")]
+            changed += [replace(draft, status="rejected"), replace(edited, fingerprint_id=fingerprint, version=self.next_version(fingerprint), status="active")]
         return self.put(*changed, note=(actor, "rule_approved", fingerprint))
 
     def reject(self, fingerprint: str, version: int, actor: str) -> Ledger:
@@ -278,10 +317,25 @@ def supersede_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("fingerprint_id").agg(F.count_if(F.col("superseded_by_event_id").isNotNull()).alias("superseded"), F.count_if(F.col("superseded_by_event_id").isNull()).alias("current"))
 
 
+#: Two formats and the replies wanted for them: a header that is skipped, and interface names that are left alone.
+EXAMPLES = (
+    ("ACME:1|North Works|Gate|2.0|77|flow|4|from=10.1.2.3 to=10.9.8.7 verb=deny", {"pattern": r"^.*\|(?P<extension>.*)$", "mappings": [{"source_field": "from", "ocsf_path": "src_endpoint.ip"}, {"source_field": "to", "ocsf_path": "dst_endpoint.ip"}, {"source_field": "verb", "ocsf_path": "action"}]}),
+    ("Mar 03 04:05:06 gate7 filter: PASS: IN=wan0 LEN=52 ORIG=10.4.4.4 OPORT=4242 DEST=10.5.5.5 DPORT=22", {"pattern": r"^.*?PASS:\s*(?P<extension>.*)$", "mappings": [{"source_field": "ORIG", "ocsf_path": "src_endpoint.ip"}, {"source_field": "OPORT", "ocsf_path": "src_endpoint.port"}, {"source_field": "DEST", "ocsf_path": "dst_endpoint.ip"}, {"source_field": "DPORT", "ocsf_path": "dst_endpoint.port"}]}),
+)
+
+
 def build_prompt(fingerprint: str, lines: list[str], error: str | None = None) -> str:
-    """The request to a language model for one rule; the model is the caller's."""
-    ask = "Write one regular expression with named groups and mappings to the targets " + ", ".join(("src_endpoint.ip", "dst_endpoint.ip", "action", "message")) + ". Reply with one JSON object: pattern, mappings."
-    return "\n".join([f"Format {fingerprint}", ask, *lines, *([f"The last reply was wrong: {error}"] if error else [])])
+    """The request to a language model for one rule: the task, the targets, two examples, the lines and what was wrong before."""
+    parts = [
+        f"The lines below are of one log format ({fingerprint}). Write a Python regular expression that reads any line of this format.",
+        "Skip the header as a whole: with ^.*\\| where pipes part it, with ^.*? where free text does. Take a run of key=value pairs whole, as (?P<extension>.*); each key is then known by its name. Give other parts named groups.",
+        "Names of interfaces, hardware addresses and packet lengths are no endpoints. Whatever may differ from line to line (hosts, times, numbers) must be matched in general, never as it stands here.",
+        f"Map what clearly is one of these and leave the rest: {', '.join(TARGETS)}.",
+        'Reply with one JSON object and nothing else: {"pattern": ..., "mappings": [{"source_field": ..., "ocsf_path": ...}]}.',
+        *(f"Example line:\n{line}\nExample reply:\n{json.dumps(reply)}" for line, reply in EXAMPLES),
+        "Lines:\n" + "\n".join(lines),
+    ]
+    return "\n\n".join(parts + ([f"Your last reply was wrong: {error}"] if error else []))
 
 
 def generate_candidate(fingerprint: str, samples: DataFrame, client, attempts: int = 3) -> Rule | None:
@@ -290,7 +344,7 @@ def generate_candidate(fingerprint: str, samples: DataFrame, client, attempts: i
     for attempt in range(attempts):
         reply = client(build_prompt(fingerprint, lines, error), 0.1 + 0.2 * attempt)
         try:
-            found = json.loads(re.search(r"\{.*\}", reply, re.S)[0])
+            found = json.loads(outer_object(reply))
             rule = Rule(fingerprint, 0, found["pattern"], tuple((m["source_field"], m["ocsf_path"]) for m in found["mappings"]), "slm", "pending_review")
         except (TypeError, ValueError, KeyError) as e:
             error = f"{type(e).__name__}: {e}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENDPOINT = "struct<ip:string,port:bigint,port_raw:string>"
@@ -47,9 +48,16 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def append_new(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
-    """Append the rows of df whose key isn't in the table; returns them. Repeated keys of df count once."""
+    """Append the rows of df whose key isn't in the table; returns them. Repeated keys of df count once.
+
+    In a table partitioned by day the key is looked for in the days of df alone, as ids follow
+    from a message, whose time of receipt doesn't change.
+    """
     spark = df.sparkSession
-    known = read(spark, root, name).select(*key)
+    known = read(spark, root, name)
+    if name in DAILY:  # a key belongs to one day: only the days of df are opened
+        known = known.where(F.col("day").isin([r.day for r in df.select("day").distinct().collect()]))
+    known = known.select(*key)
     fresh = df.dropDuplicates(key).join(known, key, "left_anti").select(*[f.name for f in schema(name)])
     writer = fresh.write.mode("append").partitionBy("day") if name in DAILY else fresh.write.mode("append")
     writer.parquet(f"{root}/{name}")
