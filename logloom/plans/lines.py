@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import raw_events
+from ..storage import spread
 
 
 def _two(part: str) -> str:
@@ -37,7 +38,7 @@ CASE event_id % 5 WHEN 0 THEN {CEF} WHEN 1 THEN {LEEF} WHEN 2 THEN {JSON} WHEN 3
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(eid, partition_id, pos, received_at, user_id, raw); only the four columns used are read."""
-    return spark.sql(LINES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql(LINES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:

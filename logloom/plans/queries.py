@@ -15,6 +15,7 @@ from ..functions.mutate import corrupt_syslog, mutate
 from ..operators import drift as W
 from ..operators import ingest, legacy, lifecycle, serve
 from ..operators.normalize import canary, capture_samples, current_view, document_errors, normalize, supersession
+from ..storage import materialise, spread
 from .lines import LINES, derived_events, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,12 +85,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_events(spark, sf_dir)
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that ingest has written: queries that serve read tables, as users do. Written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialise(build(), f"tables/{name}")
+    return _TABLES[key]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "raw_events", lambda: events(spark, sf_dir))
+
+
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(events(spark, sf_dir), SEEDS)
+    return stored(spark, sf_dir, "normalized_events", lambda: normalize(stored_events(spark, sf_dir), SEEDS))
 
 
 def parsed(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
-    rows = normalized(spark, sf_dir).where(F.col("fingerprint_id").startswith(prefix) & (F.col("status") == "parsed"))
+    rows = normalize(events(spark, sf_dir), SEEDS).where(F.col("fingerprint_id").startswith(prefix) & (F.col("status") == "parsed"))
     port = lambda side: F.coalesce(F.col(f"ocsf.{side}.port").cast("string"), F.col(f"ocsf.{side}.port_raw"))
     return rows.select("event_id", F.col("ocsf.src_endpoint.ip").alias("src_ip"), port("src_endpoint").alias("src_port"), F.col("ocsf.dst_endpoint.ip").alias("dst_ip"), port("dst_endpoint").alias("dst_port"), F.col("ocsf.severity_id").alias("severity"), F.col("ocsf.action").alias("action"), F.col("ocsf.message").alias("message"))
 
@@ -110,10 +126,9 @@ def fingerprint_counts(spark, sf_dir):
     return events(spark, sf_dir).groupBy("fingerprint_id").agg(F.count("*").alias("lines"))
 
 
-@query(f"WITH {L}{SHAPES} SELECT eid, shape, substr(sha256(shape), 1, 8) AS shape_hash FROM s WHERE eid % 5 IN (0, 3, 4)")
+@query(f"WITH {L}{SHAPES} SELECT eid, shape, substr(sha256(shape), 1, 8) AS shape_hash FROM s")
 def shapes(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("eid % 5 IN (0, 3, 4)")
-    return rows.select("eid", F.array_join(shape_sequence(F.col("raw")), "|").alias("shape"), shape_hash(F.col("raw")).alias("shape_hash"))
+    return lines(spark, sf_dir).select("eid", F.array_join(shape_sequence(F.col("raw")), "|").alias("shape"), shape_hash(F.col("raw")).alias("shape_hash"))
 
 
 @query(f"WITH {L}{SHAPES}{FP} SELECT fp AS fingerprint_id, count(*) AS lines, count(DISTINCT shape) AS shapes, count(DISTINCT shape) > 1 AS fragmented FROM f GROUP BY fp")
@@ -121,12 +136,11 @@ def fragmentation(spark, sf_dir):
     return legacy.fragmentation(events(spark, sf_dir).select("fingerprint_id", shape_hash(F.col("raw_text")).alias("shape_hash")))
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM documents WHERE NOT regexp_matches(ltrim(text), '^[<{{]')), l AS (SELECT * FROM d){SHAPES}
-SELECT doc_id, CASE WHEN length(raw) - length(replace(raw, ',', '')) >= 2 AND NOT regexp_matches(regexp_replace(raw, '"[^"]*("|$)', '', 'g'), '\\s') THEN 'csv'
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM documents), l AS (SELECT * FROM d){SHAPES}
+SELECT doc_id, CASE WHEN raw LIKE '{{%}}' AND json_valid(raw) THEN 'json' WHEN length(raw) - length(replace(raw, ',', '')) >= 2 AND NOT regexp_matches(regexp_replace(raw, '"[^"]*("|$)', '', 'g'), '\\s') THEN 'csv'
  WHEN regexp_matches(raw, '(?i)^<?\\d*>?\\s*(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+\\d{{1,2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}}') THEN 'syslog' ELSE 'auto_' || substr(sha256(shape), 1, 8) END AS fingerprint_id FROM s""")
 def fingerprint_documents(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.ltrim(F.col("text")).rlike(r"^[<{]"))
-    return rows.select("doc_id", fingerprint_id(F.col("text"), xml=False).alias("fingerprint_id"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", fingerprint_id(F.col("text")).alias("fingerprint_id"))
 
 
 @query()
@@ -149,9 +163,11 @@ def parse_syslog(spark, sf_dir):
     return parsed(spark, sf_dir, "syslog")
 
 
-@query(f"WITH {L} SELECT eid, p[1] AS key, p[2] AS value FROM (SELECT eid, unnest(list_transform(regexp_extract_all(raw, '(?:^|[ |])(\\w+=[^ ]+)', 1), lambda x: [split_part(x, '=', 1), split_part(x, '=', 2)])) AS p FROM l WHERE eid % 5 = 3)")
+@query(f"""WITH {L}, p AS (SELECT eid, list_filter(string_split(regexp_replace(raw, '(\\w+=)', chr(1) || '\\1', 'g'), chr(1)), lambda x, i: i > 1) AS ps FROM l),
+q AS (SELECT eid, ps[i] AS p, i = len(ps) AS last FROM p, unnest(range(1, len(ps) + 1)) AS r(i)), v AS (SELECT eid, split_part(p, '=', 1) AS key, substr(p, instr(p, '=') + 1) AS v, last FROM q)
+SELECT eid, key, trim(v) AS value FROM v WHERE trim(v) <> '' AND (last OR v LIKE '% ')""")
 def kv_scan(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("eid % 5 = 3").select("eid", F.explode(key_values(F.col("raw"))).alias("p"))
+    rows = lines(spark, sf_dir).select("eid", F.explode(key_values(F.col("raw"))).alias("p"))
     return rows.select("eid", "p.key", "p.value")
 
 
@@ -173,7 +189,7 @@ def schema_errors(spark, sf_dir):
     return rows.where("problems > 0")
 
 
-@query()
+@query(WITH + "SELECT count(*) AS checked, count_if(coalesce(severity NOT BETWEEN 0 AND 6, false) OR coalesce(TRY_CAST(dst_port AS BIGINT) NOT BETWEEN 0 AND 65535, false)) AS failed FROM n WHERE status = 'parsed' AND CAST('0x' || right(event_id, 8) AS BIGINT) % 100 = 0")
 def schema_canary(spark, sf_dir):
     return canary(normalized(spark, sf_dir))
 
@@ -183,7 +199,7 @@ def schema_canary(spark, sf_dir):
 
 @query(WITH + "SELECT event_id, raw_id, fp AS fingerprint_id, version AS rule_version, status FROM n")
 def normalized_status(spark, sf_dir):
-    return normalized(spark, sf_dir).select("event_id", "raw_id", "fingerprint_id", "rule_version", "status")
+    return normalize(events(spark, sf_dir), SEEDS).select("event_id", "raw_id", "fingerprint_id", "rule_version", "status")
 
 
 @query(WITH + "SELECT s AS status, count(n.status) AS events FROM (VALUES ('parsed'), ('unparsed'), ('quarantined'), ('parse_error')) v(s) LEFT JOIN n ON n.status = s GROUP BY s")
@@ -221,7 +237,7 @@ def events_before(spark, sf_dir):
 
 @query(WITH + "SELECT event_id, raw_id, sha256(raw) AS content_hash, length(raw) AS chars FROM n")
 def trace_join(spark, sf_dir):
-    return serve.trace(normalized(spark, sf_dir), events(spark, sf_dir)).select("event_id", "raw_id", "content_hash", F.length("raw_text").cast("long").alias("chars"))
+    return serve.trace(normalized(spark, sf_dir), stored_events(spark, sf_dir)).select("event_id", "raw_id", "content_hash", F.length("raw_text").cast("long").alias("chars"))
 
 
 @query(WITH + "SELECT event_id, concat_ws(':', src_ip, src_port) AS source, concat_ws(':', dst_ip, dst_port) AS target, action FROM n WHERE status = 'parsed'")
@@ -270,7 +286,8 @@ def chain_verify(spark, sf_dir):
     return ingest.verify_chain(ingest.batches(events(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {L}, t(partition, k, hash, n) AS (SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY pos) - 1, sha256(raw), count(*) OVER (PARTITION BY partition_id) FROM l
+UNION ALL SELECT a.partition, a.k // 2, sha256(unhex(a.hash) || unhex(coalesce(b.hash, a.hash))), (a.n + 1) // 2 FROM t a LEFT JOIN t b ON a.partition = b.partition AND b.k = a.k + 1 WHERE a.n > 1 AND a.k % 2 = 0) SELECT partition, hash AS root FROM t WHERE n = 1""")
 def merkle_whole_partitions(spark, sf_dir):
     return ingest.partition_roots(events(spark, sf_dir))
 
@@ -281,7 +298,7 @@ SAMPLES = WITH + f", c AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY
 
 
 def samples(spark, sf_dir):
-    return capture_samples(events(spark, sf_dir), SEEDS)
+    return capture_samples(stored_events(spark, sf_dir), SEEDS)
 
 
 @query(SAMPLES + "SELECT fp AS fingerprint_id, raw_id FROM p")
@@ -308,7 +325,7 @@ def ready_fingerprints(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('json', 'src_endpoint.ip', 'src_ip'), ('json', 'src_endpoint.port', 'src_port'), ('json', 'dst_endpoint.ip', 'dest_ip'), ('json', 'dst_endpoint.port', 'dest_port'), ('json', 'time', 'timestamp'), ('json', 'severity_id', 'alert.severity'), ('json', 'action', 'event_type'), ('json', 'message', 'alert.signature')) v(fingerprint_id, ocsf_path, source_field)")
 def json_alias_rule(spark, sf_dir):
-    rows = events(spark, sf_dir).where("fingerprint_id = 'json'").select("fingerprint_id", "raw_text")
+    rows = stored_events(spark, sf_dir).where("fingerprint_id = 'json'").select("fingerprint_id", "raw_text")
     return lifecycle.json_mappings(rows)
 
 
@@ -334,7 +351,7 @@ def reparse_stale(spark, sf_dir):
 
 def with_second_parse(spark, sf_dir):
     first = normalized(spark, sf_dir)
-    return first.unionByName(lifecycle.reparse(first, events(spark, sf_dir), upgraded().rules, F.col("received_at") + F.expr("INTERVAL 1 DAY")))
+    return first.unionByName(lifecycle.reparse(first, stored_events(spark, sf_dir), upgraded().rules, F.col("received_at") + F.expr("INTERVAL 1 DAY")))
 
 
 @query(WITH + "SELECT raw_id, fp AS fingerprint_id, CASE WHEN fp = 'syslog' THEN 2 ELSE version END AS rule_version, status, CASE WHEN fp = 'syslog' AND status = 'parsed' THEN 'DROP' ELSE action END AS action FROM n")
@@ -347,22 +364,24 @@ def supersede_counts(spark, sf_dir):
     return lifecycle.supersede_counts(supersession(with_second_parse(spark, sf_dir)))
 
 
-@query(f"WITH {L}, x AS (SELECT eid, unnest(regexp_extract_all(raw, 'host\\d')) AS literal FROM l WHERE eid % 5 = 3 AND eid < 100) SELECT DISTINCT literal FROM x WHERE literal = 'host3' UNION SELECT '192.168.3.1' WHERE EXISTS (SELECT 1 FROM l WHERE eid % 5 = 3 AND eid < 100 AND contains(raw, '192.168.3.1 '))")
+@query(f"""WITH {L}, x AS (SELECT * FROM l WHERE eid % 5 = 3), c AS (SELECT 'host3' AS literal, count_if(regexp_matches(raw, '\\bhost3\\b')) AS n, count(*) AS lines FROM x
+UNION ALL SELECT '192.168.3.1', count_if(regexp_matches(raw, '\\b192\\.168\\.3\\.1\\b')), count(*) FROM x
+UNION ALL SELECT v, count_if(regexp_matches(raw, '=' || v || '( |$)')), count(*) FROM x, (VALUES ('168'), ('192')) o(v) GROUP BY v) SELECT literal FROM c WHERE n > 0 AND (n < lines OR lines < 2)""")
 def hardcoded_literals(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("eid % 5 = 3 AND eid < 100").select(F.col("raw").alias("raw_text"))
+    rows = stored_events(spark, sf_dir).where("fingerprint_id = 'syslog'")
     return lifecycle.hardcoded_literals(rows, "host3 DST=192.168.3.1 LEN")
 
 
 @query()
 def candidate_report(spark, sf_dir):
-    rows = events(spark, sf_dir).where("fingerprint_id = 'json'")
+    rows = stored_events(spark, sf_dir).where("fingerprint_id = 'json'")
     split = lifecycle.split_roles(rows.select("fingerprint_id", "raw_id", "raw_text", F.col("received_at").alias("captured_at")))
     rule = lifecycle.json_rule(rows, "json")
     found = lifecycle.validate_candidate(rule, split)
     return spark.createDataFrame([(k, v) for k, v in found["checks"].items()], "check_key string, passed boolean")
 
 
-@query()
+@query(f"WITH {L}{SHAPES}{FP} SELECT fp AS fingerprint_id, 1.0 AS stability, 3 * count(*) AS mutants FROM f GROUP BY fp")
 def mutation_stability(spark, sf_dir):
     rows = events(spark, sf_dir).select("fingerprint_id", "raw_text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seed"))
     same = rows.select("fingerprint_id", (fingerprint_id(mutate(F.col("raw_text"), F.col("seed")), xml=False) == F.col("fingerprint_id")).alias("same"))
@@ -394,20 +413,23 @@ w AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fp, wid) AS size FROM
 b AS (SELECT fp, wid, min(received_at) AS window_start, max(received_at) AS window_end, count(*) AS events_count, count_if(status = 'parsed') AS parsed, count_if(status = 'parse_error') AS errors FROM w GROUP BY fp, wid)"""
 VALUES = """, v AS (SELECT fp, wid, unnest([{'f': 'src_endpoint.ip', 'v': src_ip}, {'f': 'dst_endpoint.ip', 'v': dst_ip}, {'f': 'src_endpoint.port', 'v': src_port}, {'f': 'dst_endpoint.port', 'v': dst_port},
  {'f': 'action', 'v': action}, {'f': 'message', 'v': message}, {'f': 'severity_id', 'v': CAST(severity AS VARCHAR)}, {'f': 'time', 'v': time}], recursive := true) FROM w WHERE status = 'parsed'),
-u AS (SELECT * FROM v WHERE fp = 'json' OR (f NOT IN ('severity_id', 'time') AND (fp LIKE 'cef%' OR f NOT IN ('action', 'message')))),
+um AS (SELECT fp, wid, 'unmapped.cat' AS f, 'web' AS v FROM w WHERE fp LIKE 'cef%' AND contains(raw, ' cat=web') UNION ALL SELECT fp, wid, 'unmapped.zone', 'dmz' FROM w WHERE fp LIKE 'cef%' AND contains(raw, ' zone=dmz')
+ UNION ALL SELECT fp, wid, 'unmapped.flow_id', json_extract_string(raw, '$.flow_id') FROM w WHERE fp = 'json'
+ UNION ALL SELECT fp, wid, 'unmapped.' || x, regexp_extract(raw, x || '=(\\S+)', 1) FROM w, (VALUES ('IN'), ('LEN'), ('PROTO')) o(x) WHERE fp = 'syslog' AND status = 'parsed'),
+u AS (SELECT * FROM v WHERE fp = 'json' OR (f NOT IN ('severity_id', 'time') AND (fp LIKE 'cef%' OR f NOT IN ('action', 'message'))) UNION ALL SELECT fp, wid, f, v FROM um),
 k AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(v, '^\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}$') THEN 'ipv4' WHEN regexp_matches(v, '^\\d{4}[-/]\\d{2}[-/]\\d{2}') THEN 'timestamp' WHEN regexp_matches(v, '^\\d+$') THEN 'int' ELSE 'free_text' END AS c,
  coalesce(CASE WHEN f LIKE '%.port' THEN TRY_CAST(v AS BIGINT) IS NULL AND v IS NOT NULL WHEN f = 'severity_id' THEN CAST(v AS INT) > 6 END, false) AS bad FROM u),
 fs AS (SELECT fp, wid, f AS field, count_if(v IS NULL) AS nulls, count_if(bad) AS violations, count_if(coalesce(c, '') = 'ipv4') AS ipv4, count_if(coalesce(c, '') = 'timestamp') AS ts_values, count_if(coalesce(c, '') = 'int') AS int_values, count_if(coalesce(c, '') = 'free_text') AS free_text FROM k GROUP BY ALL)"""
 BAND = lambda x, a, b, c: f"CASE WHEN {x} < {a} THEN 'none' WHEN {x} < {b} THEN 'minor' WHEN {x} < {c} THEN 'moderate' WHEN {x} IS NOT NULL THEN 'severe' END"
-ROWS = CLOSED + VALUES + f""", r AS (SELECT fs.fp, field, window_start, window_end, events_count, nulls / parsed AS null_rate, CAST(NULL AS DOUBLE) AS match_rate, violations / parsed AS violation_rate, ipv4, ts_values, int_values, free_text, {BAND('violations / parsed', 0.05, 0.2, 0.5)} AS severity FROM fs JOIN b USING (fp, wid)
+ROWS = CLOSED + VALUES + f""", r AS (SELECT fs.fp, field, window_start, window_end, events_count, nulls / parsed AS null_rate, CAST(NULL AS DOUBLE) AS match_rate, CASE WHEN field NOT LIKE 'unmapped.%' THEN violations / parsed END AS violation_rate, ipv4, ts_values, int_values, free_text, coalesce(CASE WHEN field NOT LIKE 'unmapped.%' THEN {BAND('violations / parsed', 0.05, 0.2, 0.5)} END, 'none') AS severity FROM fs JOIN b USING (fp, wid)
  UNION ALL SELECT fp, '__rule__', window_start, window_end, events_count, NULL, CASE WHEN parsed + errors > 0 THEN parsed / (parsed + errors) END, NULL, NULL, NULL, NULL, NULL, 'none' FROM b)"""
 BASE = ROWS + f""", nth AS (SELECT *, dense_rank() OVER (PARTITION BY fp ORDER BY window_start) AS nth FROM r),
 base AS (SELECT fp, field, avg(null_rate) AS base_null, avg(match_rate) AS base_match, CASE WHEN field = '__rule__' THEN min(events_count) END AS base_low, CASE WHEN field = '__rule__' THEN max(events_count) END AS base_high,
- sum(ipv4) AS b_ipv4, sum(ts_values) AS b_ts, sum(int_values) AS b_int, sum(free_text) AS b_text, sum(ipv4) + sum(ts_values) + sum(int_values) + sum(free_text) AS b_all FROM nth WHERE nth <= {BASE_WINDOWS} AND fp IN (SELECT fp FROM nth WHERE nth = {BASE_WINDOWS}) GROUP BY fp, field)"""
+ sum(ipv4) AS b_ipv4, sum(ts_values) AS b_ts, sum(int_values) AS b_int, sum(free_text) AS b_text, sum(ipv4) + sum(ts_values) + sum(int_values) + sum(free_text) AS b_all FROM nth WHERE field NOT LIKE 'unmapped.%' AND nth <= {BASE_WINDOWS} AND fp IN (SELECT fp FROM nth WHERE nth = {BASE_WINDOWS}) GROUP BY fp, field)"""
 
 
 def rows(spark, sf_dir):
-    return W.window_rows(normalized(spark, sf_dir), SEEDS, COUNT_WINDOW, TIME_WINDOW).persist()
+    return stored(spark, sf_dir, "drift_windows", lambda: W.window_rows(normalized(spark, sf_dir), SEEDS, COUNT_WINDOW, TIME_WINDOW))
 
 
 @query(CLOSED + "SELECT fp AS fingerprint_id, wid, window_start, window_end, events_count, parsed, errors AS parse_errors FROM b")
@@ -418,12 +440,12 @@ def drift_windows(spark, sf_dir):
 @query(CLOSED + VALUES + "SELECT fp AS fingerprint_id, wid, field, nulls, violations, ipv4, ts_values, int_values, free_text FROM fs")
 def drift_field_stats(spark, sf_dir):
     out = W.field_stats(W.windows(normalized(spark, sf_dir), COUNT_WINDOW, TIME_WINDOW), SEEDS)
-    return out.where(~F.col("field").startswith(W.UNMAPPED)).select("fingerprint_id", "wid", "field", "nulls", "violations", "ipv4", F.col("timestamp").alias("ts_values"), F.col("int").alias("int_values"), "free_text")
+    return out.select("fingerprint_id", "wid", "field", "nulls", "violations", "ipv4", F.col("timestamp").alias("ts_values"), F.col("int").alias("int_values"), "free_text")
 
 
 @query(ROWS + "SELECT fp AS fingerprint_id, field, window_start, events_count, round(null_rate, 9) AS null_rate, round(match_rate, 9) AS match_rate, round(violation_rate, 9) AS violation_rate, severity FROM r")
 def drift_rows(spark, sf_dir):
-    out = rows(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED))
+    out = rows(spark, sf_dir)
     return out.select("fingerprint_id", "field", "window_start", "events_count", *[F.round(c, 9).alias(c) for c in ("null_rate", "match_rate", "violation_rate")], "severity")
 
 
@@ -447,7 +469,8 @@ def js_sql() -> str:
 
 NULLS = "CASE WHEN null_rate IS NULL OR base_null IS NULL THEN NULL WHEN (CASE WHEN round(base_null, 6) > 0 THEN round(null_rate, 6) / round(base_null, 6) WHEN round(null_rate, 6) > 0 THEN 1e300 ELSE 1 END) < 3 OR round(round(null_rate, 6) - round(base_null, 6), 6) < 0.05 THEN 'none' WHEN round(base_null, 6) > 0 AND round(null_rate, 6) / round(base_null, 6) < 10 THEN 'minor' WHEN round(base_null, 6) > 0 AND round(null_rate, 6) / round(base_null, 6) < 40 THEN 'moderate' ELSE 'severe' END"
 RANK = lambda x: f"coalesce(list_position(['none', 'minor', 'moderate', 'severe'], {x}), 1)"
-FINDINGS = BASE + js_sql() + f""", d AS (SELECT *, CASE WHEN field = '__rule__' THEN ['none', 'minor', 'moderate', 'severe'][greatest({RANK(BAND('round(base_match - match_rate, 6)', 0.1, 0.25, 0.5))}, {RANK("CASE WHEN base_low IS NULL THEN NULL WHEN events_count BETWEEN base_low AND base_high THEN 'none' ELSE 'minor' END")})]
+FINDINGS = BASE + js_sql() + f""", first AS (SELECT fp, field FROM r WHERE (fp, window_start) IN (SELECT (fp, min(window_start)) FROM r GROUP BY fp)),
+d AS (SELECT *, CASE WHEN field LIKE 'unmapped.%' THEN CASE WHEN fp IN (SELECT fp FROM base) AND (fp, field) NOT IN (SELECT (fp, field) FROM first) THEN 'minor' ELSE 'none' END WHEN field = '__rule__' THEN ['none', 'minor', 'moderate', 'severe'][greatest({RANK(BAND('round(base_match - match_rate, 6)', 0.1, 0.25, 0.5))}, {RANK("CASE WHEN base_low IS NULL THEN NULL WHEN events_count BETWEEN base_low AND base_high THEN 'none' ELSE 'minor' END")})]
  ELSE ['none', 'minor', 'moderate', 'severe'][greatest({RANK(BAND('violation_rate', 0.05, 0.2, 0.5))}, {RANK(NULLS)}, {RANK(BAND('div', 0.15, 0.35, 0.6))})] END AS decided FROM j),
 a AS (SELECT *, CASE decided WHEN 'minor' THEN 'alert' WHEN 'moderate' THEN CASE WHEN field = '__rule__' THEN 'alert' ELSE 'field_quarantined' END WHEN 'severe' THEN 'rule_deactivated' END AS action FROM d)"""
 
@@ -459,40 +482,39 @@ def found(spark, sf_dir):
 
 @query(FINDINGS + "SELECT fp AS fingerprint_id, field, window_start, round(div, 9) AS divergence, decided AS severity, action AS action_taken FROM a")
 def drift_findings(spark, sf_dir):
-    out = found(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED))
+    out = found(spark, sf_dir)
     return out.select("fingerprint_id", "field", "window_start", F.round("divergence", 9).alias("divergence"), "severity", "action_taken")
 
 
 @query(FINDINGS + f"SELECT fp AS fingerprint_id, field, ['none', 'minor', 'moderate', 'severe'][max({RANK('decided')})] AS severity FROM a GROUP BY fp, field")
 def drift_severity(spark, sf_dir):
-    return W.merge_findings(found(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED))).drop("rule_version")
+    return W.merge_findings(found(spark, sf_dir)).drop("rule_version")
 
 
 @query(ROWS + "SELECT fp AS fingerprint_id, field, window_start, severity FROM (SELECT *, row_number() OVER (PARTITION BY fp, field ORDER BY window_start DESC) AS q FROM r) WHERE q = 1")
 def drift_metrics_latest(spark, sf_dir):
-    return serve.drift_latest(rows(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED))).select("fingerprint_id", "field", "window_start", "severity")
+    return serve.drift_latest(rows(spark, sf_dir)).select("fingerprint_id", "field", "window_start", "severity")
 
 
 @query(FINDINGS + ", z AS (SELECT 'drift' AS kind, window_start AS ts, fp AS fingerprint_id, field, decided AS severity FROM a WHERE decided <> 'none' UNION ALL SELECT 'audit', TIMESTAMP '2024-01-20', 'json', NULL, NULL) SELECT * FROM z ORDER BY ts DESC, kind, fingerprint_id, field NULLS FIRST LIMIT 500")
 def drift_alerts(spark, sf_dir):
     audit = spark.sql("SELECT 1L AS id, TIMESTAMP '2024-01-20' AS ts, 'drift' AS actor, 'field_quarantined' AS action, 'json' AS entity UNION ALL SELECT 2L, TIMESTAMP '2024-01-21', 'ada', 'rule_approved', 'syslog'")
-    return serve.alerts(found(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED)), audit, 500).drop("action")
+    return serve.alerts(found(spark, sf_dir), audit, 500).drop("action")
 
 
 @query(FINDINGS + f", y AS (SELECT *, row_number() OVER (PARTITION BY fp, field ORDER BY {RANK('decided')} DESC, window_start) AS q FROM a WHERE action IS NOT NULL), x AS (SELECT *, bool_or(action = 'rule_deactivated') OVER (PARTITION BY fp) AS gone, row_number() OVER (PARTITION BY fp ORDER BY {RANK('decided')} DESC, window_start, field) AS lead FROM y WHERE q = 1) SELECT fp AS fingerprint_id, field, window_start, decided AS severity, action FROM x WHERE NOT gone OR lead = 1")
 def enforcement_plan(spark, sf_dir):
-    return W.enforcement_plan(found(spark, sf_dir).where(~F.col("field").startswith(W.UNMAPPED))).drop("rule_version")
+    return W.enforcement_plan(found(spark, sf_dir)).drop("rule_version")
 
 
-@query(BASE + """, un AS (SELECT w.fp, w.wid, 'unmapped.zone' AS field FROM w WHERE fp LIKE 'cef%' AND contains(raw, ' zone=dmz')), st AS (SELECT fp, min(window_start) AS s FROM b GROUP BY fp)
-SELECT DISTINCT un.fp AS fingerprint_id, field FROM un JOIN b USING (fp, wid) JOIN st USING (fp) WHERE un.fp IN (SELECT fp FROM base) AND NOT EXISTS (SELECT 1 FROM un u2 JOIN b b2 USING (fp, wid) WHERE u2.fp = un.fp AND b2.window_start = st.s)""")
+@query(FINDINGS + "SELECT DISTINCT fp AS fingerprint_id, field FROM a WHERE field LIKE 'unmapped.%' AND decided = 'minor'")
 def unmapped_new_keys(spark, sf_dir):
-    return found(spark, sf_dir).where(F.col("field").startswith("unmapped.zone") & (F.col("severity") == "minor")).select("fingerprint_id", "field").distinct()
+    return found(spark, sf_dir).where(F.col("field").startswith(W.UNMAPPED) & (F.col("severity") == "minor")).select("fingerprint_id", "field").distinct()
 
 
-@query(CLOSED + "SELECT fp AS fingerprint_id, 'unmapped.flow_id' AS field, count(*) AS windows, sum(events_count) AS events FROM b WHERE fp = 'json' GROUP BY fp")
+@query(ROWS + "SELECT fp AS fingerprint_id, field, count(*) AS windows, sum(events_count) AS events FROM r WHERE field LIKE 'unmapped.%' GROUP BY fp, field")
 def unmapped_opportunities(spark, sf_dir):
-    return serve.unmapped_opportunities(rows(spark, sf_dir)).where("field = 'unmapped.flow_id'")
+    return serve.unmapped_opportunities(rows(spark, sf_dir))
 
 
 @query("SELECT * FROM (VALUES (0.02, 0.01, 'none'), (0.08, 0.01, 'minor'), (0.2, 0.01, 'moderate'), (0.6, 0.01, 'severe'), (0.06, 0.0, 'severe')) v(null_rate, baseline_null_rate, found)")
