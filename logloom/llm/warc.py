@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, map_arrow, shared_dir
+from .common import id_type, joined_by, map_arrow, materialise, shared_dir
 
 #: Payloads shorter than this are never revisits.
 LEAST_PAYLOAD = 100
 #: An archive file holds about this many bytes at most, or one capture.
 FILE_BYTES = 32 * 1024 * 1024
+#: Pages from these sizes on are written apart from smaller ones.
+SIZE_CLASSES = (64 * 1024, 1024 * 1024)
 #: Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,15 +51,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least least bytes, those with the smallest id are responses
     and the others revisits, which hold the HTTP head only and name the response. A null payload
-    is empty; a null id counts as the largest; a null url becomes urn:page:<id>.
+    is empty; a null id counts as the largest; a null url becomes urn:page:<id>. Repeated rows
+    give repeated records; an empty table gives an empty archive; other columns are ignored.
     """
     page, body = F.col("page"), F.col("body")
     rows = pages.select(F.col(id_col).alias("page"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), r"[\x00-\x20\x7F]", "%20").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("body"))
     rows = rows.withColumns({"digest": F.sha2(body, 256), "bytes": F.octet_length(body)})
-    largest = rows.agg(F.max("bytes")).first()[0] or 0
-    first = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("first_digest")).agg(F.min("page").alias("first_page"), F.count("*").alias("copies")).where("copies > 1")
-    # Only texts that occur more than once have a first page; the rest pass through the join unmatched.
-    rows = rows.join(first, F.col("digest") == F.col("first_digest"), "left")
+    first = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page").alias("first_page"), F.count("*").alias("copies")).where("copies > 1")
+    # Digests that occur more than once are next to the bodies: broadcast if they are few, else only those of very many pages.
+    rows = joined_by(rows, materialise(first, "warc-first"), "digest", "copies")
     revisit = F.col("first_page").isNotNull() & (page.isNull() | (page != F.col("first_page")))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
     own = record_id(F.lit("response"), page, F.col("url"), F.col("digest"))
@@ -75,9 +77,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), page.cast("string"), F.lit(CRLF)), F.lit("")), F.coalesce(F.when(revisit, F.concat(F.lit("refersToPageId: "), F.col("first_page").cast("string"), F.lit(CRLF))), F.lit("")))
     about = record("metadata", record_id(F.lit("metadata"), page, F.col("url"), F.col("digest")), [("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", at), ("Content-Type", F.lit("application/warc-fields"))], fields)
-    records = rows.select(F.explode(F.array(request, reply, about)).alias("value"))
-    per_file = 3 * max(1, file_bytes // (largest + 2048))
-    records.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    records = rows.select("bytes", F.explode(F.array(request, reply, about)).alias("value"))
+    # Captures are written by size class, so that one very long page doesn't make all files small; a class that is empty costs nothing.
+    size = F.col("bytes")
+    edges = [0, *SIZE_CLASSES]
+    classes = pages.agg(*[F.max(F.when((F.coalesce(F.octet_length(html_col), F.lit(0)) >= low) & (F.coalesce(F.octet_length(html_col), F.lit(0)) < (edges[k + 1] if k + 1 < len(edges) else 1 << 62)), F.coalesce(F.octet_length(html_col), F.lit(0)))).alias(f"c{k}") for k, low in enumerate(edges)]).first()
+    for k, low in enumerate(edges):
+        if classes[k] is not None or k == 0:
+            inside = (size >= low) & (size < edges[k + 1]) if k + 1 < len(edges) else size >= low
+            per_file = 3 * max(1, file_bytes // ((classes[k] or 0) + 2048))
+            records.where(inside).select("value").write.mode("append").option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 HEADER_END = re.compile(rb"\r\n\r\n")
