@@ -152,9 +152,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty table gives no rows. keep names further columns of docs to return.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    rows = materialise(rows, "mix-sizes") if not keep else rows
+    light = materialise(rows.select("id", "h", "source", "size"), "mix-sizes")  # texts are read once more at most, where they are kept
+    rows = rows if keep else light
     # One row for each source and length: as many as a source has lengths, however many documents.
-    histogram = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
+    histogram = materialise(light.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     aim = with_targets(ranked_sources(histogram), weights, most)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -168,21 +169,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     plan = histogram.alias("h").join(aim.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "size", "n", "source_size", "target")
     plan = materialise(plan.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, whole int, more long"), "mix-plan")
-    return pick(rows, plan).select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)], F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return pick(rows, light, plan).select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)], F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-def pick(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with repeats: of each (source, size) all n are taken whole times, and the more of them with the smallest hashes once more.
+def pick(rows: DataFrame, light: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with repeats (light: the same rows without what is kept): of each (source, size) all n are taken whole times, and the more of them with the smallest hashes once more.
 
     A large group is cut into slices by hash, so that none is ranked in one task: slices that
     lie wholly under the cut are taken, and only the slice that holds the cut is ranked. Groups
     that hold many of all rows are broadcast with their plan.
     """
     group = F.struct("source", "size")
-    rows, plan = rows.withColumn("g", group), plan.withColumn("g", group).drop("source", "size")
+    rows, light, plan = rows.withColumn("g", group), light.withColumn("g", group), plan.withColumn("g", group).drop("source", "size")
     open_plan = plan.where("more > 0 AND more < n").select("g", "n", "more")
     # Where all or none of a length is taken, nothing is ranked.
-    ranked = joined_by(rows.select("g", "id", "h"), open_plan, "g", "n", how="inner", keep=True).withColumn("slice", slice_of("n"))
+    ranked = joined_by(light.select("g", "id", "h"), open_plan, "g", "n", how="inner", keep=True).withColumn("slice", slice_of("n"))
     counts = ranked.groupBy("g", "slice").agg(F.count("*").alias("in_slice"), F.first("more").alias("more"))
     earlier = F.sum("in_slice").over(Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     cuts = materialise(counts.withColumn("left", F.col("more") - F.coalesce(earlier, F.lit(0))).where("left > 0").select("g", "slice", "left", "in_slice"), "mix-slices")
