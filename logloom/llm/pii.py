@@ -28,7 +28,6 @@ Span = tuple[int, int, str]
 # A match of these starts at the first character of a run, so looking behind changes no result
 # and spares a restart at each character of a long run.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
@@ -194,7 +193,7 @@ AT_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|punkt|punto|arroba|@|\.|ät)\s*[\])
 
 
 def spelled_number(text: str) -> str | None:
-    """The plain form of a run of spelled digits; null if fewer than three digits are spelled."""
+    """The plain form of a run of digits of which some are spelled: three, or any where all make ten digits or four dotted parts; else null."""
     out, spelled, gap = [], 0, ""
     for m in SPELLED_TOKEN.finditer(text):
         if m["gap"]:
@@ -212,7 +211,9 @@ def spelled_number(text: str) -> str | None:
             out.append(m["number"] or DIGITS[m["digit"].lower()] * TIMES.get((m["times"] or "").lower(), 1))
             spelled += bool(m["digit"])
         gap = ""
-    return "".join(out) if spelled >= 3 else None
+    plain_form = "".join(out)
+    enough = spelled >= 3 or (spelled and (sum(map(str.isdigit, plain_form)) >= 10 or IP.fullmatch(plain_form)))
+    return plain_form if enough else None
 
 
 def normalise(text: str) -> Aligned:
@@ -245,7 +246,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and those that only the normalised text shows.
 
     An added span must come from rewritten characters and overlap no base span of its kind;
-    added email addresses end in a domain of letters.
+    added email addresses end in a domain of letters. Spans of several kinds may overlap or be
+    equal: all are kept, in the order of KINDS where they start together.
     """
     text = text or ""
     base = detect(text)

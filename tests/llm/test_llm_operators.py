@@ -150,6 +150,57 @@ def test_pii_disguises(text):
     assert [text[a:b] for a, b, _ in spans] == DISGUISED[text] and set(base) <= set(spans)
 
 
+def planted(rng):
+    """(kind, identifier) with a value of each kind."""
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    yield "email", f"{name(6)}.{name(4)}@{name(7)}.{rng.choice(['com', 'org', 'net', 'co.uk'])}"
+    yield "ip", ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    digits = [rng.randint(1, 9) for _ in range(15)]
+    check = next(c for c in range(10) if pii.luhn("".join(map(str, [*digits, c]))))
+    card = "".join(map(str, [*digits, check]))
+    yield "card", " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    yield "phone", f"+{rng.randint(1, 9)} {rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+
+
+WORDS = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+LOOKS = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "x": "х", "i": "і", "1": "１", "2": "２", "3": "٣", "7": "７", "0": "０", "@": "＠"}
+
+
+def disguises(rng, kind, value):
+    """value in other dress: look-alikes, characters without width, spelled digits, at and dot in words or brackets."""
+    yield "".join(LOOKS.get(c, c) if rng.random() < 0.6 else c for c in value)
+    yield "\u200b".join(value)
+    if kind == "email":
+        local, domain = value.split("@")
+        yield f"{local} at {domain.replace('.', ' dot ')}"
+        yield f"{local.replace('.', ' dot ')} [at] {domain.replace('.', ' [dot] ')}"
+        yield f"{local}(at){domain.replace('.', '(dot)')}"
+    else:
+        say = lambda c: WORDS.get(c, {"+": "plus", ".": "dot"}.get(c, c))
+        yield " ".join(say(c) for c in value if c != " ")
+        if kind != "ip":
+            k = value.rindex(value.strip("+")[-1])
+            yield f"{value[:k]} {WORDS[value[k]]}" if value[k - 1] == " " else " ".join([*value.split()[:-1], *(WORDS[c] for c in value.split()[-1])])
+
+
+def test_pii_recall_of_planted_disguises():
+    rng = random.Random(12)
+    found, all_ = Counter(), Counter()
+    wrong = 0
+    for _ in range(120):
+        for kind, value in planted(rng):
+            for dressed in disguises(rng, kind, value):
+                text = f"Please note {dressed} , thanks"
+                base, spans = pii.find(text)
+                at = (text.index(dressed), text.index(dressed) + len(dressed), kind)
+                all_[kind] += 1
+                found[kind] += any(k == kind and abs(a - at[0]) <= 1 and abs(b - at[1]) <= 1 for a, b, k in spans)
+                wrong += any(b <= at[0] or a >= at[1] for a, b, k in spans)
+                assert set(base) <= set(spans)
+    assert all(found[k] >= 0.9 * all_[k] for k in pii.KINDS), (found, all_)
+    assert not wrong
+
+
 def test_pii_frame(spark, rows):
     got = by_id(pii.pii_digest(pii.find_pii(frame(spark, [*rows, (970, "mail a@b.co and +1 (555) 123-4567", "s")]))))
     assert got[900][0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[900][0].spans == ""
@@ -330,6 +381,10 @@ def test_warc_round_trip(spark):
     whole = [r.response.payload for r in captures.collect() if r.response.type == "response"]
     assert body.encode() in [bytes(x) for x in whole]
     assert warc.assemble(spark.createDataFrame([], warc.RECORD)).count() == 0
+    assert warc.round_trip(table.where("1 = 0").withColumn("digest", F.lit(1)).withColumn("body", F.lit("x"))).count() == 0
+    long = spark.createDataFrame([(1, "u", "é" * 1_500_000), (2, "u", "x" * 70_000), (3, "u", "é" * 1_500_000)], "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("page", F.lit("x"))
+    again = {r.page_id: r for r in warc.capture_digest(warc.round_trip(long), long).collect()}
+    assert (again[1].payload_bytes, again[2].payload_bytes, again[3].refers_to) == (3_000_000, 70_000, 1)
 
 
 def brute_suffix(rows):
