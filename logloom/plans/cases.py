@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import SEEDS, Rule, flatten_json, parse
 from ..functions.fingerprint import fingerprint_id
 from ..functions.mutate import drift_phase, escalation_span
+from ..functions.registry import register
 from ..jobs import establish_baselines
 from ..operators import drift as W
 from ..operators import ingest, legacy, lifecycle, serve
@@ -154,6 +155,13 @@ def legacy_drift(spark, sf_dir):
     return legacy.check_drift(rates).select("fingerprint_id", "lines", "with_source", F.when(F.col("severity") == "none", "none").otherwise("found").alias("drift"))
 
 
+@query(f"WITH {L}{SHAPES}{FP} SELECT eid, fp AS fingerprint_id, substr(sha256(shape), 1, 8) AS shape_hash, sha256(raw) AS content_hash, 'severe' AS severity FROM f")
+def sql_functions(spark, sf_dir):
+    """The functions by name, as a user of SQL calls them."""
+    register(spark)
+    return spark.sql("SELECT eid, log_fingerprint(raw) AS fingerprint_id, log_shape_hash(raw) AS shape_hash, log_content_hash(raw) AS content_hash, log_null_rate_severity(0.6D, 0.01D) AS severity FROM {lines}", lines=lines(spark, sf_dir))
+
+
 # --- chain ----------------------------------------------------------------------------------
 
 

@@ -105,7 +105,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
-    rows = normalize(events(spark, sf_dir), SEEDS).where(F.col("fingerprint_id").startswith(prefix) & (F.col("status") == "parsed"))
+    rows = normalize(stored_events(spark, sf_dir), SEEDS).where(F.col("fingerprint_id").startswith(prefix) & (F.col("status") == "parsed"))
     port = lambda side: F.coalesce(F.col(f"ocsf.{side}.port").cast("string"), F.col(f"ocsf.{side}.port_raw"))
     return rows.select("event_id", F.col("ocsf.src_endpoint.ip").alias("src_ip"), port("src_endpoint").alias("src_port"), F.col("ocsf.dst_endpoint.ip").alias("dst_ip"), port("dst_endpoint").alias("dst_port"), F.col("ocsf.severity_id").alias("severity"), F.col("ocsf.action").alias("action"), F.col("ocsf.message").alias("message"))
 
@@ -199,7 +199,7 @@ def schema_canary(spark, sf_dir):
 
 @query(WITH + "SELECT event_id, raw_id, fp AS fingerprint_id, version AS rule_version, status FROM n")
 def normalized_status(spark, sf_dir):
-    return normalize(events(spark, sf_dir), SEEDS).select("event_id", "raw_id", "fingerprint_id", "rule_version", "status")
+    return normalize(stored_events(spark, sf_dir), SEEDS).select("event_id", "raw_id", "fingerprint_id", "rule_version", "status")
 
 
 @query(WITH + "SELECT s AS status, count(n.status) AS events FROM (VALUES ('parsed'), ('unparsed'), ('quarantined'), ('parse_error')) v(s) LEFT JOIN n ON n.status = s GROUP BY s")
