@@ -78,6 +78,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+one AS (SELECT k, min(doc_id) AS class_id, min(n) AS n FROM c GROUP BY k),
+t AS (SELECT s.doc_id, g FROM s JOIN one ON s.doc_id = class_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN one x1 ON a = x1.class_id JOIN one x2 ON b = x2.class_id WHERE 100 * x >= 90 * (x1.n + x2.n - x)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(a, b) AS (SELECT class_id, class_id FROM one UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM walk GROUP BY a), q AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, one.class_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN one USING (k) LEFT JOIN m ON m.a = one.class_id LEFT JOIN q ON q.a = one.class_id""",
+    "op10_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS g FROM h, unnest(range(0, n - 99)) AS r(i) WHERE n >= 100),
+f AS (SELECT g, min({'d': doc_id, 'i': i}) AS first FROM w GROUP BY g HAVING count(*) > 1),
+again AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE {'d': doc_id, 'i': i} <> first),
+b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b) GROUP BY doc_id, run),
+k AS (SELECT doc_id, s, e, x, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS pe FROM r JOIN h USING (doc_id)),
+o AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * pe + 1, 2 * (s - pe)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN o USING (doc_id)""",
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

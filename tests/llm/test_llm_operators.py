@@ -301,6 +301,61 @@ def test_decontamination_both_ways(spark, rows, monkeypatch):
             assert all(tuple(r)[1:] == want for r in got[i]), i
 
 
+def test_lm_scores_of_texts_by_brute_force(spark):
+    """One round of expectation maximisation over all segmentations of the training words, then the sum over a text's words and its end."""
+    from logloom.llm.subword_lm import PIECE_PRIOR
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    pieces, logp, byte_ids = read_vocabulary(path)
+    at = {p: i for i, p in enumerate(pieces) if p}
+    texts = ["the cat sat", "a cat", "the hat the hat", "é日", "", None, "zq the", "hat a sat cat", "Cat"]
+    rows = [(i, t, "s") for i, t in enumerate(texts * 4)]
+
+    def paths(text):
+        """All segmentations as lists of piece numbers."""
+        if not text:
+            yield []
+        for j in range(1, len(text) + 1):
+            own = [at[text[:j]]] if text[:j] in at else [byte_ids[b] for b in text.encode()[: len(text[0].encode())]] if j == 1 else None
+            if own is not None:
+                yield from (own + rest for rest in paths(text[j:]))
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = Counter(w.decode() for i, t, _ in rows if not held(i) for w in words_of(t))
+    ends = sum(not held(i) for i, _, _ in rows)
+    counts = [PIECE_PRIOR if math.isfinite(x) else 0.0 for x in logp]
+    for word, n in train.items():
+        ways = list(paths("\u2581" + word))
+        weight = [math.exp(sum(logp[k] for k in way)) for way in ways]
+        for way, x in zip(ways, weight):
+            for k in way:
+                counts[k] += n * x / sum(weight)
+    total = sum(counts) + ends
+    prob = [c / total for c in counts]
+    for r in score_texts(frame(spark, rows), path).collect():
+        want = math.log10(1 - sum(prob))
+        for w in words_of(texts[r.doc_id % len(texts)]):
+            want += math.log10(sum(math.prod(prob[k] for k in way) for way in paths("\u2581" + w.decode())))
+        assert r.score == pytest.approx(want, rel=1e-6) and r.held_out == held(r.doc_id)
+
+
+LONG = ("word{} and{} more " * 60_000).format(*range(120_000))  # a text of 1.5 MB
+
+
+@pytest.mark.parametrize("name", ["tokens", "rules", "classifier", "pii", "jaccard", "lm", "mix", "suffix"])
+def test_a_very_long_text_beside_short_ones(spark, name):
+    rows = [(1, LONG, "a"), (2, LONG + "end", "b"), (3, "日" * 400_000, "a"), (4, "short text of a few words", None), (5, "x" * 1_200_000, "b")]
+    labels = spark.createDataFrame([(4, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(OPERATORS[name](frame(spark, rows), labels))
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    if name == "jaccard":
+        assert got[2][0].component_id == 1 and got[1][0].n_shingles == 180_000 - 4
+    if name == "suffix":
+        assert got[2][0].n_removed == len(LONG) and got[5][0].n_removed == 1_200_000 - 1
+    if name == "mix":
+        assert got[1][0]["size"] == 180_000
+
+
 def test_targets(spark):
     from logloom.llm.mixing import ranked_sources
 
