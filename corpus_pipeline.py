@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the result is
 written as Parquet and read again. All but the last return the columns of documents.
+
+In every stage: a null or empty text has no words (the first stage rejects it), a null source is
+a source of its own, other nulls are carried along; rows without an id and rows of one id are
+told apart by their texts; an empty table gives an empty one; columns beyond those of documents
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from logloom.llm.pii import find_pii
 from logloom.llm.quality_rules import quality_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: SQL can't express the isolation forest, the added PII spans or the seeded mix: tests/llm compares with brute force.
+#: SQL can't express the isolation forest, the added PII spans or the seeded mix: tests/llm/test_pipeline.py compares with a plain-Python version.
 ORACLE_SQL = None
 
 
