@@ -27,8 +27,6 @@ AXES = 64
 LEAF, LEAF_TOKENS = 160, 400_000
 #: Prefixes are longer than they must be by a share of the set, so that a link shares more than one of their tokens.
 SPARE = 16
-#: Word hashes that a worker remembers.
-CACHE = 150_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -40,20 +38,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, hashes: WordHash, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; with fewer words, of the whole sequence; empty without words."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(size, len(h))
     out = h[: len(h) - width + 1] ^ np.uint64(width)
     for k in range(1, width):
@@ -93,10 +83,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     """Per row: id, h (hash of the text where the id is null), node (hash of the set; null if empty), check (a second hash), n, least, keys."""
 
     def make():
-        hashes = WordHash()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(text, hashes, shingle) for text in batch.column(2).to_pylist()]
+            sets = [shingle_set(text, shingle) for text in batch.column(2).to_pylist()]
             node, check = zip(*map(class_hashes, sets), strict=True)
             keys = [s[: prefix_length(len(s), percent)].astype(np.int64) for s in sets]
             columns = [pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), percent) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
@@ -152,10 +140,8 @@ def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shing
     chosen = identified(docs, id_col, text_col).alias("d").join(bounded(wanted.select("id", "h").distinct()).alias("w"), same, "left_semi").select("text")
 
     def make():
-        hashes = WordHash()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes, shingle) for t in batch.column(0).to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
             axes = [np.bincount((s % np.uint64(AXES)).astype(np.int64), minlength=AXES).astype(np.int32) for s in sets]
             node, check = zip(*map(class_hashes, sets), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(axes, pa.list_(pa.int32()))], names=["node", "check", "n", "tokens", "axes"])
