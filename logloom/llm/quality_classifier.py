@@ -7,6 +7,7 @@ prior is estimated from scores of a first model that tells positives from unlabe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, id_type, map_arrow, materialise, tidy
-from .jaccard_join import M1, WordHash, mix
+from .jaccard_join import M1, mix
 from .text_stats import FEATURES, features, stats
 
 BINS = 400
@@ -40,24 +41,22 @@ class Scaler:
         return np.hstack([near, near**2 / 4, far, np.ones((len(rows), 1))])
 
 
-def grams(text: str | None, hashes: WordHash) -> np.ndarray:
+def grams(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of the words, and from BUCKETS on of the pairs of words, of a text."""
     words = (text or "").encode().lower().split()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * M1)
     pairs = mix(h[:-1] * M1 + h[1:]) % np.uint64(BUCKETS) + np.uint64(BUCKETS)
-    return np.unique(np.concatenate([mix(h) % np.uint64(BUCKETS), pairs])).astype(np.uint16)
+    return np.unique(np.concatenate([h % np.uint64(BUCKETS), pairs])).astype(np.uint16)
 
 
 def vectors(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
     """Per row: id, held_out, the statistics and, as 16-bit numbers, the buckets of its words and pairs."""
 
     def make():
-        hashes = WordHash()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(2).to_pylist()
             found = [features(stats(x)) for x in texts]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array([grams(x, hashes).tobytes() for x in texts], pa.binary())], names=["id", "held_out", "features", "grams"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array([grams(x).tobytes() for x in texts], pa.binary())], names=["id", "held_out", "features", "grams"])
 
         return each
 
