@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import drift as D
-from ..functions.extract import Rule, parse
+from ..functions.extract import Rule, document, parse, parse_error, parsed_document
 from ..functions.fingerprint import PRIORITY, SYSLOG, is_json_object, strip, vendor
+from . import lifecycle
 
 RESPONSES = {"none": "No action needed.", "minor": "Alert raised for review.", "moderate": "Field quarantined; the rule stays live.", "severe": "Rule deactivated; lines stay raw."}
 
@@ -67,3 +73,97 @@ def validate_rule(rule: Rule, samples: DataFrame, raw_col: str = "raw") -> dict:
 def fragmentation(lines: DataFrame, fingerprint_col: str = "fingerprint_id", shape_col: str = "shape_hash") -> DataFrame:
     """Distinct shapes of each fingerprint; more than one is a fragmented group."""
     return lines.groupBy(fingerprint_col).agg(F.count("*").alias("lines"), F.count_distinct(shape_col).alias("shapes")).withColumn("fragmented", F.col("shapes") > 1)
+
+
+def generate_rule(fingerprint_id: str, samples: DataFrame, client: Callable[[str, float], str] | None = None, attempts: int = 3) -> tuple[Rule, float]:
+    """A rule for a format and the share of all samples it reads whole. JSON goes by the names of its keys; if no reply passes, the last rule that could be read counts."""
+    if fingerprint_id == "json":
+        rule = lifecycle.json_rule(samples, fingerprint_id)
+        return rule, lifecycle.confidence(samples, rule)
+    if client is None:
+        raise ValueError("no language model is given")
+    rule, error, lines = None, None, [r.raw_text for r in samples.select("raw_text").limit(lifecycle.PROMPT).collect()]
+    for attempt in range(attempts):
+        try:
+            found = json.loads(lifecycle.outer_object(client(lifecycle.build_prompt(fingerprint_id, lines, error), 0.1 + 0.2 * attempt)))
+            rule = Rule(fingerprint_id, 1, found["pattern"], tuple((m["source_field"], m["ocsf_path"]) for m in found["mappings"]), "slm")
+        except (KeyError, TypeError, ValueError) as e:
+            error = f"{type(e).__name__}: {e}"
+            continue
+        checks = validate_rule(rule, samples, "raw_text")
+        if checks["passed"]:
+            break
+        error = str(checks["checks"])
+    if rule is None:
+        raise ValueError(f"no reply for {fingerprint_id} could be read: {error}")
+    return rule, lifecycle.confidence(samples, rule)
+
+
+class RuleStore:
+    """Rules in one JSON file, by fingerprint; the last one saved counts."""
+
+    def __init__(self, path: str) -> None:
+        self.path = Path(path)
+
+    def all(self) -> dict[str, Rule]:
+        if not self.path.exists():
+            return {}
+        return {k: Rule(k, r["version"], r["pattern"], tuple(map(tuple, r["mappings"])), r["provenance"]) for k, r in json.loads(self.path.read_text()).items()}
+
+    def get(self, fingerprint_id: str) -> Rule | None:
+        return self.all().get(fingerprint_id)
+
+    def save(self, rule: Rule) -> None:
+        rules = {**self.all(), rule.fingerprint_id: rule}
+        text = json.dumps({k: {"version": r.version, "pattern": r.pattern, "mappings": r.mappings, "provenance": r.provenance} for k, r in rules.items()}, indent=1)
+        part = self.path.with_name(self.path.name + ".part")
+        part.write_text(text)
+        part.replace(self.path)  # readers see the old rules or the new ones
+
+
+def ingest_lines(lines: DataFrame, root: str) -> DataFrame:
+    """Append lines (raw, source_id) under random raw_ ids; returns them as stored."""
+    rows = lines.select(F.concat(F.lit("raw_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("raw_id"), "raw", "source_id", F.current_timestamp().alias("received_at"))
+    path = f"{root}/legacy_raw_{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # ids are drawn once, when written
+    return lines.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def raw_event(stored: DataFrame, raw_id: str) -> DataFrame:
+    """The stored line of an id; no row for an unknown one."""
+    return stored.where(F.col("raw_id") == raw_id)
+
+
+def onboard_new_format(store: RuleStore, fingerprint_id: str, samples: DataFrame, client: Callable[[str, float], str] | None = None) -> Rule | None:
+    """The stored rule of a format, or a new one, saved; null where none can be made."""
+    if rule := store.get(fingerprint_id):
+        return rule
+    try:
+        rule, _ = generate_rule(fingerprint_id, samples, client)
+    except ValueError:
+        return None
+    store.save(rule)
+    return rule
+
+
+def process_lines(lines: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """lines (raw, fingerprint_id) with status (ok, failed, or unknown without a rule) and the document."""
+    fp, raw = F.col("fingerprint_id"), F.col("raw")
+    error, doc = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), document({}, F.create_map().cast("map<string,string>")))
+    for name, rule in rules.items():
+        error, doc = error.when(fp == name, parse_error(raw, rule)), doc.when(fp == name, parsed_document(raw, rule))
+    out = lines.withColumn("status", F.when(~fp.isin(list(rules)), "unknown").when(error.isNull(), "ok").otherwise("failed"))
+    return out.withColumn("doc", F.when(F.col("status") == "ok", doc))
+
+
+def three_passes(lines: DataFrame, store: RuleStore, client: Callable[[str, float], str] | None = None, base: float = 0.01) -> DataFrame:
+    """Fingerprint all lines (raw), onboard each format once, process all; by format: lines, ok, null rate of the source address, severity and response."""
+    marked = lines.select("raw", fingerprint(F.col("raw")).alias("fingerprint_id"))
+    rules = {}
+    for r in marked.select("fingerprint_id").distinct().orderBy("fingerprint_id").collect():  # formats
+        name = r.fingerprint_id
+        samples = marked.where(F.col("fingerprint_id") == name).select("fingerprint_id", F.col("raw").alias("raw_text")).limit(lifecycle.READY)
+        if name != "unknown" and (rule := onboard_new_format(store, name, samples, client)):
+            rules[name] = rule
+    done = process_lines(marked, rules).groupBy("fingerprint_id").agg(F.count("*").alias("lines"), F.count_if(F.col("status") == "ok").alias("ok"), F.avg(F.when(F.col("status") == "ok", F.col("doc.src_endpoint.ip").isNull().cast("int"))).alias("null_rate"))
+    return check_drift(done, base)

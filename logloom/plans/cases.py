@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import replace
 
@@ -162,6 +163,19 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT eid, log_fingerprint(raw) AS fingerprint_id, log_shape_hash(raw) AS shape_hash, log_content_hash(raw) AS content_hash, log_null_rate_severity(0.6D, 0.01D) AS severity FROM {lines}", lines=lines(spark, sf_dir))
 
 
+@query(WITH + """, g AS (SELECT *, CASE WHEN fp LIKE 'auto%' THEN 'unknown' ELSE fp END AS f FROM n)
+SELECT f AS fingerprint_id, count(*) AS lines, count_if(status = 'parsed') AS ok, round(avg(CASE WHEN status = 'parsed' THEN CAST(src_ip IS NULL AS INT) END), 9) AS null_rate FROM g GROUP BY f""")
+def legacy_three_passes(spark, sf_dir):
+    """Formats with seed rules are stored, JSON is onboarded by its keys, the others have no model to ask."""
+    with tempfile.TemporaryDirectory() as folder:  # the store is a file of the driver
+        store = legacy.RuleStore(f"{folder}/rules.json")
+        for rule in SEEDS:
+            if rule.fingerprint_id != "json":
+                store.save(rule)
+        found = legacy.three_passes(lines(spark, sf_dir), store)
+    return found.select("fingerprint_id", "lines", "ok", F.round("null_rate", 9).alias("null_rate"))
+
+
 # --- chain ----------------------------------------------------------------------------------
 
 

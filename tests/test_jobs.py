@@ -144,3 +144,24 @@ def test_settings_and_loop():
     assert jobs.repeat(job, 0.01, stop) == 3
 
 
+
+
+def test_predecessor_store_and_generator(spark, tmp_path):
+    from logloom.operators import legacy
+
+    store = legacy.RuleStore(str(tmp_path / "rules.json"))
+    assert store.get("f") is None
+    store.save(Rule("f", 1, "a", (("x", "message"),)))
+    store.save(Rule("f", 2, "b", ()))
+    assert store.get("f").pattern == "b" and list(store.all()) == ["f"]
+    stored = legacy.ingest_lines(spark.createDataFrame([("a line", "s"), ("a line", "s")], "raw string, source_id string"), str(tmp_path))
+    ids = [r.raw_id for r in stored.collect()]
+    assert len(set(ids)) == 2 and all(i.startswith("raw_") for i in ids) and ids == [r.raw_id for r in stored.collect()]
+    assert legacy.raw_event(stored, ids[0]).first().raw == "a line" and legacy.raw_event(stored, "raw_x").count() == 0
+    samples = spark.createDataFrame([("app", f"user{i} in") for i in range(4)], "fingerprint_id string, raw_text string")
+    wrong = json.dumps({"pattern": "^nobody$", "mappings": []})
+    rule, share = legacy.generate_rule("app", samples, lambda *_: wrong)
+    assert (rule.pattern, share) == ("^nobody$", 0.0)  # the last one counts though none passes
+    good = json.dumps({"pattern": r"^(?P<who>\w+) in", "mappings": [{"source_field": "who", "ocsf_path": "message"}]})
+    assert legacy.onboard_new_format(store, "app", samples, lambda *_: good).mappings == (("who", "message"),) and store.get("app")
+    assert legacy.onboard_new_format(store, "other", samples) is None
