@@ -184,7 +184,7 @@ def open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links between the points of a pair of leaves: a spanning forest of them, and how many each node has."""
+    """Links between the points of a pair of leaves: edges from the smallest node of each component to its others, and how many links each node has."""
     i, j = open_pairs(table, percent)
     if not len(i):
         return [], {}
@@ -209,7 +209,7 @@ def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], di
     a, b = np.searchsorted(used, i), np.searchsorted(used, j)
     common = overlap[a, b].astype(np.int64)
     linked = 100 * common >= percent * (n[i] + n[j] - common)
-    forest, counts, parent = [], {}, list(range(len(used)))
+    counts, parent = {}, list(range(len(used)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -220,9 +220,11 @@ def leaf_links(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], di
     for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
         for z in (x, y):
             counts[int(node[used[z]])] = counts.get(int(node[used[z]]), 0) + 1
-        if (p := root(x)) != (q := root(y)):
-            parent[p] = q
-            forest.append((int(node[used[x]]), int(node[used[y]])))
+        parent[root(x)] = root(y)
+    groups: dict[int, list[int]] = {}
+    for x in range(len(used)):
+        groups.setdefault(root(x), []).append(int(node[used[x]]))
+    forest = [(hub, x) for group in groups.values() for hub in [min(group)] for x in group if x != hub]
     return forest, counts
 
 
@@ -317,7 +319,7 @@ def candidates(pair: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(chosen: DataFrame, point: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, links): a link of the forest of two leaves (links 0), or how many links node a has in them (b null)."""
+    """Rows (a, b, links): two nodes of one component of two leaves (links 0), or how many links node a has in them (b null)."""
     visits = chosen.join(point.select("node", "n", "tokens", "axes"), "node").select("one", "two", "side", "node", "n", "tokens", "axes", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
