@@ -102,11 +102,11 @@ def shared_keys(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     frequent do not go through it: they are counted after partial aggregation, and the counts are
     broadcast. Any choice of such keys gives the same result.
     """
-    hot = hot_keys(sample.select("key"), "join-hot")
-    often = pairs.join(hot, "key", "left_semi").distinct()
+    hot = hot_keys(sample.select("key"))
+    often = pairs.where(hot).distinct()
     counted = materialise(often.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "join-hot-counts")
     often = often.join(F.broadcast(counted), "key").select("key", "node", "df")
-    seldom = pairs.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
+    seldom = pairs.where(~hot).repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the rows of the last key, which may go on

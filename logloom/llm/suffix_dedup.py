@@ -133,11 +133,11 @@ def meeting_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield several(held, True)
 
     schema = "key long, node long, packed long"
-    hot = hot_keys(map_arrow(rows.where(in_sample("id", "node")).select("node", "text"), make, schema), "suffix-hot")
+    hot = hot_keys(map_arrow(rows.where(in_sample("id", "node")).select("node", "text"), make, schema))
     found = map_arrow(rows.select("node", "text"), make, schema)
-    often = found.join(hot, "key", "left_semi").distinct()
+    often = found.where(hot).distinct()
     met_often = materialise(often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-hot-met")
-    seldom = found.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(tidy(run), schema)
+    seldom = found.where(~hot).repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(tidy(run), schema)
     return seldom.unionByName(often.join(F.broadcast(met_often), "key", "left_semi"))
 
 
