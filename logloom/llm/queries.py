@@ -76,7 +76,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_spans=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup)}
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .row_patterns import find_pattern, pattern_digest
+
+    return pattern_digest(find_pattern(table(spark, sf_dir, "clicks")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup, op11_row_patterns)}
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -115,6 +121,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(items_sha256, sha256('')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_row_patterns": """
+WITH RECURSIVE r AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+o AS (SELECT client_id, click_id, ts, kind, CAST(floor(100 * value + 0.5) AS BIGINT) AS c, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS k FROM r),
+p AS (SELECT *, c IS NOT NULL AND coalesce(lag(c) OVER w IS NOT NULL AND ts <= lag(ts) OVER w + INTERVAL 10 MINUTE, false) AS near, lag(c) OVER w AS pc FROM o WINDOW w AS (PARTITION BY client_id ORDER BY k)),
+f AS (SELECT *, near AND coalesce(kind <> 'error', false) AND c <> pc AS step, near AND coalesce(kind = 'purchase', false) AS goal FROM p),
+g AS (SELECT *, sum(CASE WHEN step THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY k) AS run FROM f),
+m AS (SELECT a.client_id, a.k AS s, min(b.k) AS e FROM g a JOIN g b ON a.client_id = b.client_id AND b.goal AND b.k > a.k AND b.c >= a.c AND (b.run = a.run OR b.run = a.run + 1 AND NOT b.step) WHERE a.c IS NOT NULL GROUP BY ALL),
+n AS (SELECT a.client_id, a.s, a.e, b.s AS then_s FROM m a ASOF LEFT JOIN m b ON a.client_id = b.client_id AND a.e < b.s),
+walk(client_id, s, e, then_s, match_no) AS (
+  SELECT client_id, s, e, then_s, CAST(1 AS BIGINT) FROM n WHERE (client_id, s) IN (SELECT (client_id, min(s)) FROM n GROUP BY client_id)
+  UNION ALL SELECT n.client_id, n.s, n.e, n.then_s, match_no + 1 FROM walk JOIN n ON n.client_id = walk.client_id AND n.s = walk.then_s)
+SELECT w.client_id, match_no, min_by(click_id, k) AS first_id, max_by(click_id, k) AS last_id, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS sum_cents,
+       sha256(string_agg(CASE WHEN k = s THEN 'A' WHEN k = e THEN 'P' WHEN c < pc THEN 'D' ELSE 'U' END, '' ORDER BY k)) AS labels_sha256
+FROM walk w JOIN g ON g.client_id = w.client_id AND g.k BETWEEN s AND e GROUP BY w.client_id, match_no""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
