@@ -88,7 +88,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digest(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup, op11_row_patterns, op12_fill_in_middle)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .common import shared_dir
+    from .token_files import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{shared_dir(spark)}/logloom/tokens-{uuid.uuid4().hex}")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_jaccard_join, op4_subword_lm, op5_decontamination, op6_mixing, op7_quality_rules, op8_token_counts, op9_warc, op10_suffix_dedup, op11_row_patterns, op12_fill_in_middle, op13_token_files)}
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
