@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,8 @@ from .common import joined_by, materialise
 
 #: The weights of the sources in order, repeating, and how often a document may be taken.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: The dynamic programme runs over at most this many words, whatever the size of the source.
-KNAPSACK_WORDS = 65_536
+#: The dynamic programme keeps at most about this many sums, whatever the size of the source.
+KNAPSACK_STATES = 65_536
 #: So many documents of a length, at most, are put back before the dynamic programme chooses among them again.
 GIVEN_BACK = 3
 #: A (source, length) group is ranked in slices of about this many documents.
@@ -26,90 +26,69 @@ def word_count(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill(lengths: list[int], counts: list[int], take: list[int], rest: int, limit: int) -> int:
-    """Add to take until at most limit words are left of rest, or nothing more can come in; returns what is left.
+def programme(lengths: list[int], counts: list[int], budget: int, states: int) -> list[int]:
+    """How many documents of each length to take for the most words within budget: a bounded knapsack.
 
-    Long documents go first. Once all documents that fit are taken, a longer one comes in for a
-    taken one, for documents of at most limit words, or for both: single exchanges, best first.
+    Sums are kept by their multiple of a unit, one for each, so that there are about states of
+    them whatever the budget; up to states words (of which the lengths' common divisor is one)
+    the result is the best there is, beyond that it misses little more than a unit. Copies come
+    in powers of two. by[b] is the item that made the sum kept for b; what it added to was made
+    by earlier items, as a sum is never replaced.
     """
-    order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
-    for i in order:
-        if rest > limit:
-            k = min(counts[i] - take[i], rest // lengths[i], -(-(rest - limit) // lengths[i]))
-            take[i] += k
-            rest -= k * lengths[i]
-    short = [i for i in order if lengths[i] <= limit]
-    while rest > limit:
-        spare = sum(lengths[i] * take[i] for i in short)
-        into = sorted((lengths[i], i) for i in order if take[i] < counts[i])
-        best = (0, None, None)  # (words gained, out, in)
-        for y, out in [(0, None), *((lengths[i], i) for i in order if take[i] and lengths[i] > limit)]:
-            at = bisect_left(into, (y + rest,))
-            if at < len(into) and into[at][0] - y - rest <= spare:
-                best = (into[at][0] - y, out, into[at][1])
-                break
-            if at and into[at - 1][0] - y > best[0]:
-                best = (into[at - 1][0] - y, out, into[at - 1][1])
-        gain, out, new = best
-        if not gain:
-            break
-        take[new] += 1
-        if out is not None:
-            take[out] -= 1
-        rest -= gain
-        for i in short:  # given back until the budget holds again
-            if rest < 0:
-                k = min(take[i], -(rest // lengths[i]))
-                take[i] -= k
-                rest += k * lengths[i]
-    return rest
-
-
-def subset(lengths: list[int], counts: list[int], budget: int, limit: int = KNAPSACK_WORDS) -> list[int]:
+    step = math.gcd(*lengths) or 1
+    best = budget - budget % step
+    unit = step * -(-best // (step * states)) or 1
+    reached, by, items = np.full(best // unit + 1, -1, np.int64), np.full(best // unit + 1, -1, np.int32), []
+    reached[0], last = 0, best // unit
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        left, power = min(counts[i], best // lengths[i]) if lengths[i] else 0, 1
+        while left > 0 and reached[last] < 0:
+            k = min(power, left)
+            sums = reached[reached >= 0] + k * lengths[i]
+            sums = sums[sums <= best]
+            sums = sums[reached[sums // unit] < 0]
+            reached[sums // unit], by[sums // unit] = sums, len(items)
+            items.append((i, k))
+            left, power = left - k, power * 2
+    take, words = [0] * len(lengths), int(reached.max())
+    while words:
+        i, k = items[by[words // unit]]
+        take[i] += k
+        words -= k * lengths[i]
+    return take
+
+
+def subset(lengths: list[int], counts: list[int], budget: int, states: int = KNAPSACK_STATES) -> list[int]:
     """How many documents of each length to take so that their words come nearest under budget.
 
-    Every length gives its proportional share first. Then single documents are added, those with
-    the largest remainders first, until the budget left is at most limit words. If more is left,
-    fill() takes as many of each length as fit and exchanges. A bounded knapsack over the rest
-    fills it: bit w of a big integer tells whether w words can be had.
+    Every length gives its proportional share first. A few documents of each go back, and the
+    programme chooses among them and all others; then again with no more given back than it
+    settles exactly. What misses the budget is compared with the programme over the whole budget, and the
+    nearer of the two counts.
     """
     total = sum(x * n for x, n in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [n * budget // total for n in counts]
-    rest = budget - sum(x * k for x, k in zip(lengths, take, strict=True))
-    for i in sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), lengths[i])):
-        if rest <= limit:
+    words = lambda take: sum(x * k for x, k in zip(lengths, take, strict=True))
+
+    def improved(take: list[int], window: int | None) -> list[int]:
+        rest, kept = budget - words(take), list(take)
+        for i, x in enumerate(lengths):
+            k = min(take[i], GIVEN_BACK, (window - rest) // x if window is not None else GIVEN_BACK) if x else 0
+            if k > 0:
+                kept[i], rest = kept[i] - k, rest + k * x
+        more = programme(lengths, [n - k for n, k in zip(counts, kept, strict=True)], rest, states)
+        found = [a + b for a, b in zip(kept, more, strict=True)]
+        return found if words(found) > words(take) else take
+
+    found = []
+    for first in ([n * budget // total for n in counts], [0] * len(counts)):
+        found.append(improved(improved(first, None), states))
+        if words(found[-1]) == budget - budget % math.gcd(*lengths):
             break
-        if take[i] < counts[i] and 0 < lengths[i] <= rest:
-            take[i] += 1
-            rest -= lengths[i]
-    rest = fill(lengths, counts, take, rest, limit)
-    if rest > limit:  # no document that is left fits
-        return take
-    for i, x in enumerate(lengths):  # a few of each length go back, as far as the limit holds: more sums can be had with them
-        k = min(take[i], GIVEN_BACK, (limit - rest) // x) if x else 0
-        take[i], rest = take[i] - k, rest + k * x
-    # Copies come in powers of two. Bit w of reach tells whether w words can be had, and by[w] which item made them so first:
-    # without it, what it adds to was to be had from earlier items.
-    items, by, reach, window = [], np.full(rest + 1, -1, np.int32), 1, (1 << (rest + 1)) - 1
-    for i, x in enumerate(lengths):
-        left, power = min(counts[i] - take[i], rest // x) if x else 0, 1
-        while left > 0 and not reach >> rest & 1:
-            k = min(power, left)
-            new = (reach << (k * x)) & window & ~reach
-            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(items)
-            items.append((i, k))
-            reach |= new
-            left, power = left - power, power * 2
-    words = reach.bit_length() - 1
-    while words:
-        i, k = items[by[words]]
-        take[i] += k
-        words -= k * lengths[i]
-    return take
+    return max(found, key=words)
 
 
 def ranked_sources(histogram: DataFrame) -> DataFrame:
@@ -144,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources stand in code-point order, null last, and weigh 1, 2, 3 in turn. A source's documents
     are all taken as often as its target holds its size; for the rest of the target, documents are
-    counted by exact length, a bounded knapsack says how many of each length to take, and those
+    counted by exact length, a bounded knapsack over the whole rest says how many of each length to take, and those
     with the smallest seeded hashes are taken. The same rows give the same mix, in any order.
 
     A text without words, or null, has size 0 and is never taken. Rows without an id are told
