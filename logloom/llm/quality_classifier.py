@@ -90,7 +90,11 @@ def gram_counts(train: DataFrame) -> np.ndarray:
 
 
 def with_evidence(table: DataFrame, counts: np.ndarray, positives: int, rows: int, prior_rows: float = 2.0) -> DataFrame:
-    """table with the mean evidence of its words and of its pairs behind the statistics; a training row doesn't count itself."""
+    """table with the mean evidence of its words and of its pairs behind the statistics: features, from the text alone, for scores.
+
+    In own, a training row doesn't count itself: the model is fitted on that, or else it would
+    trust words that only one row has.
+    """
     kinds = table.schema["id"].dataType.simpleString()
 
     def make():
@@ -98,21 +102,23 @@ def with_evidence(table: DataFrame, counts: np.ndarray, positives: int, rows: in
             held, positive = (np.array(batch.column(c).to_pylist(), bool) for c in ("held_out", "positive"))
             flat, row = buckets_of(batch.column("grams"))
             share = positives / max(rows, 1)
-            evidence = np.log((counts[0][flat] - positive[row] + prior_rows) / ((counts[1][flat] - ~held[row]) * share + prior_rows))
-            means = []
-            for part in (flat < BUCKETS, flat >= BUCKETS):
-                n = np.bincount(row[part], minlength=len(batch))
-                means.append(np.bincount(row[part], evidence[part], minlength=len(batch)) / (n + 5))
-            whole = np.hstack([np.array(batch.column("features").to_pylist(), float).reshape(len(batch), -1), np.array(means).T])
-            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), batch.column("positive"), pa.array(whole.tolist(), pa.list_(pa.float64()))], names=["id", "held_out", "positive", "features"])
+            parts = [(part, np.bincount(row[part], minlength=len(batch)) + 5) for part in (flat < BUCKETS, flat >= BUCKETS)]
+            statistics = np.array(batch.column("features").to_pylist(), float).reshape(len(batch), -1)
+
+            def whole(less_p: np.ndarray, less_u: np.ndarray) -> pa.ListArray:
+                evidence = np.log((counts[0][flat] - less_p + prior_rows) / ((counts[1][flat] - less_u) * share + prior_rows))
+                means = [np.bincount(row[part], evidence[part], minlength=len(batch)) / n for part, n in parts]
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * INPUTS, pa.int32()), pa.array(np.hstack([statistics, np.array(means).T]).ravel()))
+
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), batch.column("positive"), whole(np.zeros(1), np.zeros(1)), whole(positive[row], ~held[row])], names=["id", "held_out", "positive", "features", "own"])
 
         return each
 
-    return map_arrow(table.select("id", "held_out", "positive", "features", "grams"), make, f"id {kinds}, held_out boolean, positive boolean, features array<double>")
+    return map_arrow(table.select("id", "held_out", "positive", "features", "grams"), make, f"id {kinds}, held_out boolean, positive boolean, features array<double>, own array<double>")
 
 
 def rows_of(column: pa.ListArray) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), INPUTS)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), INPUTS)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -175,7 +181,7 @@ def score(table: DataFrame, scaler: Scaler, weights: np.ndarray, extra: str, kin
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = sigmoid(scaler.expand(rows_of(batch.column("features"))) @ weights)
+            p = sigmoid((scaler.expand(rows_of(batch.column("features"))) * weights).sum(axis=1))  # row by row: equal texts have equal scores to the last bit
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], names=[*names, "score"])
 
         return each
@@ -207,8 +213,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Per row: id, held_out, score (0 to 1, higher: of quality), predicted, prior.
 
     Positives are the rows of label 1 outside the held-out fold; unlabelled text is every row
-    outside it, whatever its label; both enter the risk in full. Ids and labels only choose rows:
-    the score sees the text alone.
+    outside it, whatever its label; both enter the risk in full. Ids and labels only choose the
+    rows to learn from: the score is one function of the text, for training rows as for others,
+    so equal texts have equal scores.
 
     A null text is empty and scored like one. Null ids are unlabelled. Several labels of one id:
     the largest. Without positives the score is 0.5. Repeated rows give repeated rows; an empty
@@ -220,7 +227,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     table = materialise(table.join(known, "id", "left").select("id", "held_out", (F.coalesce("known", F.lit(False)) & ~F.col("held_out")).alias("positive"), "features", "grams"), "quality-vectors")
     size = table.where("NOT held_out").agg(F.count("*").alias("rows"), F.count_if("positive").alias("positives")).first()
     table = materialise(with_evidence(table, gram_counts(table.where("NOT held_out")), size.positives, size.rows), "quality-inputs")
-    train = table.where("NOT held_out")
+    train = table.where("NOT held_out").select("positive", F.col("own").alias("features"))
     moments = train.where("positive").select(*[f(F.col("features")[k]).alias(f"{name}{k}") for k in range(INPUTS) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if moments["m0"] is None:
         return table.select(F.col("id").alias(id_col), "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
