@@ -131,20 +131,40 @@ def last_values(pairs: Column) -> Column:
     return bound(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~later(all_, p, i))))
 
 
-def flatten_json(text: Column, depth: int = 8) -> Column:
-    """map<string,string> of a JSON object with nested keys joined by dots; lists and scalars as JSON text, nulls kept. Objects in more than depth others stay JSON text."""
+def json_depth(text: Column) -> Column:
+    """How deep the braces of a JSON text are nested: those inside strings don't count."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"|[^{}"]+', "")
+    step = lambda at, c: bound(at["now"] + F.when(c == "{", 1).otherwise(-1), lambda now: F.struct(now.alias("now"), F.greatest(now, at["most"]).alias("most")))
+    return F.aggregate(F.regexp_extract_all(bare, F.lit("([{}])")), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda at: at["most"])
 
-    def entries(value: Column, prefix: Column, left: int) -> Column:
-        own = F.map_entries(F.from_json(value, "map<string,string>"))
-        name = lambda e: F.concat(prefix, e["key"])
-        leaf = lambda e: F.array(F.struct(name(e).alias("key"), e["value"].alias("value")))
-        if not left:
-            return F.flatten(F.transform(own, leaf))
-        deeper = lambda e: F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), entries(e["value"], F.concat(name(e), F.lit(".")), left - 1)).otherwise(leaf(e))
-        return F.flatten(F.transform(own, deeper))
 
-    return last_values(entries(text, F.lit(""), depth))
+def flatten_json(text: Column) -> Column:
+    """map<string,string> of a JSON object with nested keys joined by dots, at any depth; null or no object: null.
 
+    Which values are objects is known from their VARIANT, so a string with braces in it is a
+    string. Lists and scalars are JSON text as it stands, strings their content, nulls are kept;
+    an empty object adds nothing. Each round opens the objects of one level more.
+    """
+    none = F.array().cast("array<struct<key:string,value:string,deeper:boolean>>")
+
+    def level(value: Column, prefix: Column) -> Column:
+        def opened(own: Column) -> Column:
+            # Only a text that opens with a brace can be an object, so objects without such values aren't read as VARIANT.
+            braces = F.exists(F.map_values(own), lambda v: F.coalesce(v.startswith("{"), F.lit(False)))
+            inside = F.when(braces, F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>"))
+            return bound(inside, lambda kinds: F.transform(F.map_entries(own), lambda e: entry(e, kinds)))
+
+        def entry(e: Column, kinds: Column) -> Column:
+            deeper = F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.coalesce(~F.to_json(F.element_at(kinds, e["key"])).startswith('"'), F.lit(False))).otherwise(False)
+            return F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), deeper.alias("deeper"))
+
+        return F.coalesce(bound(F.from_json(value, "map<string,string>"), opened), none)
+
+    first = F.array(F.struct(F.lit("").alias("key"), text.alias("value"), F.lit(True).alias("deeper")))
+    more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["deeper"], level(e["value"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))).otherwise(F.array(e))))
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(json_depth(text), F.lit(1))), first, lambda at, _: more(at))
+    pairs = F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return F.when(F.coalesce(F.trim(text).startswith("{"), F.lit(False)) & F.try_parse_json(text).isNotNull(), last_values(pairs))
 
 
 def document(values: dict[str, Column], unmapped: Column, product: str = "logloom") -> Column:

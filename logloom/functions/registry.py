@@ -72,7 +72,7 @@ FUNCTIONS: dict[str, tuple[tuple[tuple[str, str], ...], str, Callable[..., Colum
     "log_event_id": ((("x", "STRING"), ("y", "INT")), "STRING", ids.event_id),
     "log_merkle_root": ((("x", "ARRAY<STRING>"),), "STRING", ids.merkle_root),
     "log_key_values": (TEXT, "ARRAY<STRUCT<key: STRING, value: STRING>>", extract.key_values),
-    "log_flatten": (TEXT, "MAP<STRING, STRING>", lambda x: extract.flatten_json(x, 4)),
+    "log_flatten": (TEXT, "MAP<STRING, STRING>", extract.flatten_json),
     "log_value_class": (TEXT, "STRING", drift.classify_value),
     "log_null_rate_severity": ((("x", "DOUBLE"), ("y", "DOUBLE")), "STRING", drift.null_rate_severity),
     "log_match_rate_severity": ((("x", "DOUBLE"), ("y", "DOUBLE")), "STRING", drift.match_rate_severity),
