@@ -14,13 +14,17 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from bisect import bisect_right
+from collections import ChainMap
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +33,16 @@ from .common import id_type, materialise, tidy
 from .row_patterns import levels, scanned
 
 MAGIC = b"logloom wavelet 1\n"
-#: Bits of a block; a shard holds at most so many tokens, or one document; so many pieces of text are remembered with their ids.
-BLOCK_BITS, SHARD_TOKENS, KNOWN_PIECES = 1 << 17, 1 << 22, 1 << 18
+#: Bits of a block; a shard holds at most so many tokens, or one document.
+BLOCK_BITS, SHARD_TOKENS = 1 << 17, 1 << 22
+#: So many pieces of text, of so many characters at most, are remembered with their ids.
+KNOWN_PIECES, KNOWN_CHARS = 1 << 20, 64
 #: White space after anything else starts a piece: no token of a byte-level vocabulary runs across that.
-PIECE = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+PIECE, SPACES = re.compile(r"(?<=\S)(?=[ \n\t\r])"), re.compile(r"\s")
+#: A line feed, letters with a blank before them, and signs: each begins a token of its own. An apostrophe may stand with the letters after it.
+WORD = re.compile(r"(\n)?( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s']+)?")
+#: Blanks beside other white space or at an end (for RE2, all white space of Unicode): there a single blank doesn't start a piece.
+ODD_BLANKS = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}] | [\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]|^ | $"
 FAN = 64
 
 
@@ -156,8 +166,14 @@ def open_shard(content: bytes) -> tuple[dict, np.ndarray, WaveletMatrix]:
     return head, lengths, WaveletMatrix(head["tokens"], head["bits"], head["sizes"], head["ones"], view[at:])
 
 
-def encoder(content: bytes) -> tuple[Callable[[list[str]], list[bytes]], int]:
-    """A function from texts to their ids (little-endian, 32 bits), and the size of the vocabulary.
+def remembered(content: bytes) -> dict[str, bytes]:
+    """Pieces and their ids that this worker process has met with a vocabulary: it serves many tasks."""
+    holder = sys.modules.setdefault("_logloom_pieces", types.ModuleType("_logloom_pieces"))
+    return holder.__dict__.setdefault(f"v{zlib.crc32(content)}_{len(content)}", {})
+
+
+def encoder(content: bytes) -> tuple[Callable[[pa.Array], list[np.ndarray]], int]:
+    """A function from texts to their ids (32 bits), and the size of the vocabulary.
 
     Where the library splits texts at white space anyway, each distinct piece of a text is
     encoded by it once and remembered; texts with added tokens, and other vocabularies, go to it whole.
@@ -171,7 +187,7 @@ def encoder(content: bytes) -> tuple[Callable[[list[str]], list[bytes]], int]:
     splitter = tokenizer.pre_tokenizer
     by_piece = type(splitter).__name__ == "ByteLevel" and tokenizer.normalizer is None and splitter.use_regex and not splitter.add_prefix_space
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
+    known = remembered(content)
 
     def asked(texts: list[str]) -> list[bytes]:
         out = []
@@ -179,15 +195,56 @@ def encoder(content: bytes) -> tuple[Callable[[list[str]], list[bytes]], int]:
             out += [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
         return out
 
-    def encode(texts: list[str]) -> list[bytes]:
-        whole = [not by_piece or any(s in x for s in special) for x in texts]
-        pieces = [[x] if w else PIECE.split(x) for x, w in zip(texts, whole, strict=True)]
-        new = list({p for ps in pieces for p in ps if p not in known})
-        now = known
-        if len(known) + len(new) > KNOWN_PIECES:
-            now = {p: known[p] for ps in pieces for p in ps if p in known}
-        now.update(zip(new, asked(new), strict=True))
-        return [b"".join(map(now.__getitem__, ps)) for ps in pieces]
+    def ids_of(words: list[str]) -> list[bytes]:
+        """Ids of pieces; of a plain word its letters and the signs behind it are looked up apart."""
+        out = list(map(known.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        parts: list[tuple[str, ...]] = []
+        for word in (words[k] for k in missing):
+            plain = WORD.fullmatch(word)
+            parts.append(tuple(x for x in plain.groups() if x) if plain else (word,) if word.isascii() and not SPACES.search(word, 1) else tuple(PIECE.split(word)))
+        new = list({x for xs in parts for x in xs if x not in known})
+        look = ChainMap(dict(zip(new, asked(new), strict=True)), known)
+        for k, xs in zip(missing, parts, strict=True):
+            out[k] = look[xs[0]] if len(xs) == 1 else b"".join([look[x] for x in xs])
+        room = KNOWN_PIECES - len(known)
+        if room > 0:  # parts first: other words have them too
+            known.update((x, ids) for x, ids in chain(look.maps[0].items(), ((words[k], out[k]) for k in missing)) if len(x) <= KNOWN_CHARS)
+            for x in list(islice(reversed(known), max(0, len(known) - KNOWN_PIECES))):
+                del known[x]
+        return out
+
+    def split(texts: pa.Array) -> list[np.ndarray]:
+        """Arrow cuts at each single blank and numbers the distinct pieces; the first piece of a text has no blank before it."""
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(coded.dictionary)
+        code[starts[:-1]] -= len(coded.dictionary)
+        used, code = np.unique(code, return_inverse=True)
+        words = coded.dictionary.take(pa.array(used % len(coded.dictionary))).to_pylist()
+        found = ids_of([w if k < len(coded.dictionary) else " " + w for k, w in zip(used.tolist(), words, strict=True)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, place = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        many = size[code]
+        ends = np.cumsum(many)
+        ids = pool[np.arange(int(ends[-1])) + np.repeat(place[code] - (ends - many), many)]
+        edges = np.append(0, ends)[starts]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def encode(column: pa.Array) -> list[np.ndarray]:
+        column = column.fill_null("")
+        whole = np.full(len(column), not by_piece)
+        for text in special:
+            whole |= pc.match_substring(column, text).to_numpy(zero_copy_only=False)
+        odd = ~whole & pc.match_substring_regex(column, ODD_BLANKS).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(column)
+        for which, how in ((whole, lambda a: [np.frombuffer(x, "<u4") for x in asked(a.to_pylist())]), (odd, lambda a: [np.frombuffer(b"".join(ids_of(PIECE.split(x))), "<u4") for x in a.to_pylist()]), (~whole & ~odd, split)):
+            places = np.flatnonzero(which)
+            if len(places):
+                for k, ids in zip(places.tolist(), how(column.take(pa.array(places))), strict=True):
+                    out[k] = ids
+        return out
 
     return encode, tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -211,14 +268,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, vocabulary = encoder(content)
         bits = max(vocabulary - 1, end_id, 1).bit_length()
-        end, partition, nth, before = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        end, partition, nth, before = np.array([end_id], "<u4"), TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []
         documents: list = []
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal nth, before
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             found = shard_file(ids, documents, lengths, bits, {"partition": partition, "nth": nth, "before": before})
             nth, before = nth + 1, before + len(ids)
             for kept in (held, documents, lengths):
@@ -227,8 +284,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
 
         total = 0
         for batch in batches:
-            for row_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                size = len(ids) // 4 + 1
+            for row_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                size = len(ids) + 1
                 if held and total + size > shard_tokens:
                     yield flush()
                     total = 0
