@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, map_arrow, materialise, tidy
+from .common import fold, id_type, joined_by, map_arrow, materialise, tidy
 from .jaccard_join import M1, mix
 from .text_stats import FEATURES, features, stats
 
@@ -223,8 +223,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     kind = id_type(docs, id_col)
     table = vectors(docs, id_col, text_col, fold(id_col, folds) == held_fold)
-    known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("known"))
-    table = materialise(table.join(known, "id", "left").select("id", "held_out", (F.coalesce("known", F.lit(False)) & ~F.col("held_out")).alias("positive"), "features", "grams"), "quality-vectors")
+    known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("known"), F.lit(1).alias("times"))
+    # Vectors are long, labels short: labels that fit a broadcast, measured, spare the vectors the shuffle.
+    table = materialise(joined_by(table, known, "id", "times").select("id", "held_out", (F.coalesce("known", F.lit(False)) & ~F.col("held_out")).alias("positive"), "features", "grams"), "quality-vectors")
     size = table.where("NOT held_out").agg(F.count("*").alias("rows"), F.count_if("positive").alias("positives")).first()
     table = materialise(with_evidence(table, gram_counts(table.where("NOT held_out")), size.positives, size.rows), "quality-inputs")
     train = table.where("NOT held_out").select("positive", F.col("own").alias("features"))
