@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .backtracking import growth
 from .fingerprint import bound
 
 #: The pattern of rules that read a line as JSON.
@@ -19,8 +20,12 @@ TARGETS = ("src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpo
 STRUCTURAL = ("extension", "vendor", "product", "version", "sig_id", "name", "severity")
 MOST_CHARS, MOST_GROUPS, MOST_DEPTH, LINE_CAP = 1000, 32, 5, 65_536
 CLASS_UID, CLASS_NAME, ACTIVITY_ID = 4001, "Network Activity", 99
-#: key="value" or key=value up to the next key. A match never starts inside a word, where it could only fail again.
-PAIR = r'(?U)(?<!\w)(\w++)=(?:"([^"]*)"|([^=]+?)(?=\s+\w+=|$))'
+#: Lines longer than this are too long for a pattern whose cost may grow with their square: 16 million steps are about 50 ms.
+SQUARE_CAP = 4_096
+SQUARE_ERROR = f"line exceeds {SQUARE_CAP} characters for a pattern of quadratic cost"
+#: key="value" or key=value up to the next key. A match never starts inside a word, where it could only fail again, and looks
+#: for the next key only where blanks begin (or after the blank that a value may consist of): the cost is linear.
+PAIR = r'(?U)(?<!\w)(\w++)=(?:"([^"]*+)"|([^=]+?)(?=(?:(?<!\s)|(?<==\s))\s++\w++=|$))'
 
 
 @dataclass(frozen=True)
@@ -107,12 +112,39 @@ def pattern_errors(pattern: str) -> list[str]:
     return [f"pattern {what} {n} exceeds cap {cap}" for n, cap, what in found if n > cap]
 
 
+def cost_error(power: float) -> str:
+    return "pattern may take exponential time" if power == float("inf") else f"pattern may take time that grows with the power {power} of a line's length"
+
+
+def too_costly(raw: Column, pattern: str) -> Column:
+    """Why a pattern isn't tried on a line, or null: a match that has begun can't be stopped.
+
+    Patterns of unbounded cost, which the gate refuses, read nothing. Patterns of quadratic cost
+    read lines of up to SQUARE_CAP characters, as do those whose cost is linear only in lines
+    without an inner line feed where a line has one. Patterns that repeat a group read lines
+    that the JVM's stack is sure to bear.
+    """
+    power, single, most = growth(pattern)
+    if power > 2:
+        return F.lit(cost_error(power))
+    found, long = F.when(F.lit(False), F.lit("")), F.length(raw) > SQUARE_CAP
+    if most:
+        found = found.when(F.length(raw) > most, F.lit(f"line exceeds {most} characters for a pattern that repeats a group"))
+    if power > 1:
+        found = found.when(long, F.lit(SQUARE_ERROR))
+    elif single:
+        found = found.when(long & raw.rlike(r"\n[\s\S]"), F.lit(SQUARE_ERROR))
+    return found
+
+
 def rule_errors(rule: Rule) -> list[str]:
     """What forbids a rule whatever the samples: caps, a pattern that doesn't compile, targets outside the list."""
     errors = pattern_errors(rule.pattern)
     if rule.pattern != JSON_RULE:
         try:
             re.compile(rule.pattern)
+            if not errors and (power := growth(rule.pattern)[0]) > 2:
+                errors.append(cost_error(power))
         except re.error as e:
             errors.append(f"pattern does not compile: {e}")
     return errors + [f"mapping target {t!r} is not allowed" for _, t in rule.mappings if t not in TARGETS]
@@ -121,7 +153,7 @@ def rule_errors(rule: Rule) -> list[str]:
 def key_values(text: Column) -> Column:
     """array<struct<key, value>> of the pairs in a text, in order; values stripped."""
     part = lambda k: F.regexp_extract_all(text, F.lit(PAIR), F.lit(k))
-    plain = F.zip_with(part(2), part(3), lambda quoted, bare: F.regexp_replace(F.when(bare == "", quoted).otherwise(bare), r"(?U)^\s+|\s+$", ""))
+    plain = F.zip_with(part(2), part(3), lambda quoted, bare: F.regexp_replace(F.when(bare == "", quoted).otherwise(bare), r"(?U)^\s++|(?<!\s)\s++$", ""))
     return F.zip_with(part(1), plain, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
 
 
@@ -232,9 +264,10 @@ def json_document(raw: Column, rule: Rule) -> Column:
 
 
 def matches(raw: Column, rule: Rule) -> Column:
-    """Whether a rule's pattern matches a line; for a JSON rule, whether the line is an object."""
+    """Whether a rule's pattern matches a line and isn't too costly for it; for a JSON rule, whether the line is an object."""
     if rule.pattern != JSON_RULE:
-        return F.coalesce(raw.rlike(translate(rule.pattern).pattern), F.lit(False))
+        found = raw.rlike(translate(rule.pattern).pattern)
+        return F.coalesce(found if growth(rule.pattern) == (1, False, None) else F.when(too_costly(raw, rule.pattern).isNull(), found), F.lit(False))
     text = F.trim(raw)
     return F.coalesce(text.startswith("{") & text.endswith("}") & F.try_parse_json(raw).isNotNull(), F.lit(False))
 
@@ -242,7 +275,11 @@ def matches(raw: Column, rule: Rule) -> Column:
 def parse_error(raw: Column, rule: Rule) -> Column:
     """Why a rule can't read a line, or null."""
     wrong = "invalid JSON: expected an object" if rule.pattern == JSON_RULE else "rule pattern did not match line"
-    return F.when(F.length(raw) > LINE_CAP, F.lit(f"line exceeds {LINE_CAP} characters")).when(~matches(raw, rule), F.lit(wrong))
+    found = F.when(F.length(raw) > LINE_CAP, F.lit(f"line exceeds {LINE_CAP} characters"))
+    if rule.pattern != JSON_RULE and growth(rule.pattern) != (1, False, None):
+        cost = too_costly(raw, rule.pattern)
+        found = found.when(cost.isNotNull(), cost)
+    return found.when(~matches(raw, rule), F.lit(wrong))
 
 
 def parsed_document(raw: Column, rule: Rule) -> Column:

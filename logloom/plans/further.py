@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.extract import flatten_json
+from ..functions.extract import Rule, flatten_json, parse
 from ..functions.registry import register
 from .lines import lines
 from .queries import L, query
@@ -36,3 +36,20 @@ def flatten_deep(spark, sf_dir):
     text = lines(spark, sf_dir).select("eid", F.expr(ODD).alias("js"))
     both = text.select("eid", flatten_json(F.col("js")).alias("m"), F.expr("log_flatten(js)").alias("s"))
     return both.select("eid", (F.to_json("m") == F.to_json("s")).alias("same"), F.explode("m").alias("key", "value"))
+
+
+# --- pattern costs --------------------------------------------------------------------------
+
+#: Each start may read to the end of a run without blanks: quadratic. Words in words: exponential.
+SQUARE = Rule("syslog", 1, r"SRC=(?P<s>\S+) DST=(?P<d>\S+)", (("s", "src_endpoint.ip"), ("d", "dst_endpoint.ip")))
+ENDLESS = Rule("syslog", 1, r"^(?P<s>(?:\w+[ :=.-]*)+)$", (("s", "message"),))
+PADDED = "CASE WHEN eid % 7 = 3 THEN concat(raw, repeat(' pad', 1024)) ELSE raw END"
+
+
+@query(f"""WITH {L}, p AS (SELECT eid, {PADDED} AS raw FROM l), m AS (SELECT *, regexp_extract(raw, 'SRC=(\S+) DST=(\S+)', ['s', 'd']) AS g, regexp_matches(raw, 'SRC=\S+ DST=\S+') AS ok, length(raw) > 4096 AS long FROM p)
+SELECT eid, CASE WHEN long THEN 'line exceeds 4096 characters for a pattern of quadratic cost' WHEN NOT ok THEN 'rule pattern did not match line' END AS error, CASE WHEN ok AND NOT long THEN g.s END AS src, CASE WHEN ok AND NOT long THEN g.d END AS dst, 'pattern may take exponential time' AS endless FROM m""")
+def costly_patterns(spark, sf_dir):
+    """A rule of quadratic cost on short and long lines, and one of exponential cost, which is never tried."""
+    raw = F.expr(PADDED)
+    both = lines(spark, sf_dir).select("eid", parse(raw, SQUARE).alias("p"), parse(raw, ENDLESS)["error"].alias("endless"))
+    return both.select("eid", F.col("p.error").alias("error"), F.col("p.doc.src_endpoint.ip").alias("src"), F.col("p.doc.dst_endpoint.ip").alias("dst"), "endless")
