@@ -11,6 +11,8 @@ from ..functions.drift import iso_time
 from ..functions.extract import Rule, document, parse_error, parsed_document
 from ..functions.fingerprint import bound
 from ..functions.ids import event_id
+from ..functions.json_schema import compile_schema
+from ..schemas import DOCUMENT_RULE
 
 #: Samples are captured for a fingerprint without an active rule up to this many.
 SAMPLE_CAP = 200
@@ -90,23 +92,21 @@ def supersession(normalized: DataFrame) -> DataFrame:
     return normalized.withColumn("current", top).withColumn("superseded_by_event_id", F.when(F.col("current") != F.col("event_id"), F.col("current"))).drop("current")
 
 
-def document_errors(doc: Column, product: str = "logloom") -> Column:
-    """What is wrong with a document against its schema, as an array of texts; never left out."""
+def document_variant(doc: Column) -> Column:
+    """A document as a VARIANT of its JSON: all keys but those that an endpoint lacks, and a port that is no integer as text."""
 
-    def build(d: Column) -> Column:
-        port = lambda side: F.when(d[side]["port"].isNotNull() & ~d[side]["port"].between(0, 65_535), F.lit(f"{side}.port out of range"))
-        checks = [
-            F.when(d["class_uid"] != 4001, F.lit("class_uid is not 4001")),
-            F.when(d["class_name"] != "Network Activity", F.lit("class_name is wrong")),
-            F.when(d["activity_id"] != 99, F.lit("activity_id is not 99")),
-            F.when(d["severity_id"].isNotNull() & ~d["severity_id"].between(0, 6), F.lit("severity_id out of range")),
-            F.when(d["metadata"]["product"] != product, F.lit("metadata.product is wrong")),
-            F.when(d["unmapped"].isNull(), F.lit("unmapped is missing")),
-            port("src_endpoint"), port("dst_endpoint"),
-        ]
-        return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    def built(d: Column) -> Column:
+        port = lambda e: F.coalesce(e["port"].cast("variant"), e["port_raw"].cast("variant"))
+        side = lambda e: F.when(e.isNotNull(), F.parse_json(F.to_json(F.struct(e["ip"].alias("ip"), port(e).alias("port")))))
+        fields = ("class_uid", "class_name", "activity_id", "severity_id", "time", "action", "message", "metadata", "unmapped")
+        return F.parse_json(F.to_json(F.struct(*[d[f].alias(f) for f in fields], *[side(d[f]).alias(f) for f in ("src_endpoint", "dst_endpoint")]), {"ignoreNullFields": "false"}))
 
-    return bound(doc, build)
+    return F.when(doc.isNotNull(), bound(doc, built))
+
+
+def document_errors(doc: Column, rule: dict = DOCUMENT_RULE) -> Column:
+    """What is wrong with a document by its schema, as an array of texts."""
+    return bound(document_variant(doc), compile_schema(rule))
 
 
 def canary(normalized: DataFrame, every: int = 100) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.extract import Rule, flatten_json, parse
+from ..functions.json_schema import compile_schema
 from ..functions.registry import register
+from ..schemas import DOCUMENT_RULE
 from .lines import lines
 from .queries import L, query
 
@@ -46,10 +48,29 @@ ENDLESS = Rule("syslog", 1, r"^(?P<s>(?:\w+[ :=.-]*)+)$", (("s", "message"),))
 PADDED = "CASE WHEN eid % 7 = 3 THEN concat(raw, repeat(' pad', 1024)) ELSE raw END"
 
 
-@query(f"""WITH {L}, p AS (SELECT eid, {PADDED} AS raw FROM l), m AS (SELECT *, regexp_extract(raw, 'SRC=(\S+) DST=(\S+)', ['s', 'd']) AS g, regexp_matches(raw, 'SRC=\S+ DST=\S+') AS ok, length(raw) > 4096 AS long FROM p)
+@query(f"""WITH {L}, p AS (SELECT eid, {PADDED} AS raw FROM l), m AS (SELECT *, regexp_extract(raw, 'SRC=(\\S+) DST=(\\S+)', ['s', 'd']) AS g, regexp_matches(raw, 'SRC=\\S+ DST=\\S+') AS ok, length(raw) > 4096 AS long FROM p)
 SELECT eid, CASE WHEN long THEN 'line exceeds 4096 characters for a pattern of quadratic cost' WHEN NOT ok THEN 'rule pattern did not match line' END AS error, CASE WHEN ok AND NOT long THEN g.s END AS src, CASE WHEN ok AND NOT long THEN g.d END AS dst, 'pattern may take exponential time' AS endless FROM m""")
 def costly_patterns(spark, sf_dir):
     """A rule of quadratic cost on short and long lines, and one of exponential cost, which is never tried."""
     raw = F.expr(PADDED)
     both = lines(spark, sf_dir).select("eid", parse(raw, SQUARE).alias("p"), parse(raw, ENDLESS)["error"].alias("endless"))
     return both.select("eid", F.col("p.error").alias("error"), F.col("p.doc.src_endpoint.ip").alias("src"), F.col("p.doc.dst_endpoint.ip").alias("dst"), "endless")
+
+
+# --- schema ---------------------------------------------------------------------------------
+
+#: Documents of which each of eleven has another fault, by eid: the right one is the first.
+PARTS = {
+    1: '"severity_id":150', 2: '"severity_id":-1', 3: '"severity_id":"high"', 4: '"src_endpoint":{"ip":7,"port":true}', 5: '"action":3,"message":{}', 6: '"more":1,"also":null', 7: '"src_endpoint":{"ip":"10.0.0.1","port":70000}', 8: '"severity_id":7.0', 9: '"dst_endpoint":{"port":"http","why":[]}',
+}
+FAULTY = "CASE eid % 13 WHEN 10 THEN '{\"class_uid\":4002,\"class_name\":null,\"activity_id\":99.5,\"unmapped\":[]}' WHEN 11 THEN '[]' WHEN 12 THEN 'no JSON' ELSE concat('{\"class_uid\":4001,\"class_name\":\"Network Activity\",\"activity_id\":99,\"time\":null,\"metadata\":{\"product\":\"logloom\",\"version\":2},\"unmapped\":{\"eid\":', CAST(eid AS STRING), '}', CASE eid % 13 " + " ".join(f"WHEN {k} THEN ',{v}'" for k, v in PARTS.items()) + " ELSE '' END, '}') END"
+
+
+@query(f"""WITH {L} SELECT eid, unnest(CASE eid % 13 WHEN 1 THEN ['$.severity_id is greater than 99'] WHEN 2 THEN ['$.severity_id is less than 0'] WHEN 3 THEN ['$.severity_id is not of type integer or null']
+ WHEN 4 THEN ['$.src_endpoint.ip is not of type string', '$.src_endpoint.port is not of type integer or string'] WHEN 5 THEN ['$.action is not of type string or null', '$.message is not of type string or null'] WHEN 6 THEN ['$.also is not allowed', '$.more is not allowed']
+ WHEN 10 THEN ['$.time is missing', '$.metadata is missing', '$.class_uid is not 4001', '$.class_name is not "Network Activity"', '$.activity_id is not of type integer', '$.activity_id is greater than 99', '$.unmapped is not of type object']
+ WHEN 11 THEN ['$ is not of type object'] WHEN 12 THEN ['$ is no JSON'] END) AS problem FROM l""")
+def schema_faults(spark, sf_dir):
+    """What the compiled schema finds in documents with known faults; severity 7 and port 70,000 are none."""
+    rule = compile_schema(DOCUMENT_RULE)
+    return lines(spark, sf_dir).select("eid", F.explode(rule(F.try_parse_json(F.expr(FAULTY)))).alias("problem"))

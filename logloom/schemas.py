@@ -21,6 +21,16 @@ TABLES = {
     "drift_windows": "fingerprint_id string, rule_version int, field string, window_start timestamp, window_end timestamp, events_count bigint, null_rate double, match_rate double, violation_rate double, shape_dist map<string,bigint>, severity string, action_taken string",
     "baseline_profiles": "fingerprint_id string, rule_version int, field string, base_null double, base_match double, base_low bigint, base_high bigint, base_shape map<string,double>, windows_seen int",
 }
+#: What a document must be, as JSON Schema.
+_ENDPOINT_RULE = {"type": ["object", "null"], "properties": {"ip": {"type": "string"}, "port": {"type": ["integer", "string"]}}}
+DOCUMENT_RULE = {
+    "type": "object", "additionalProperties": False, "required": ["class_uid", "activity_id", "time", "metadata", "unmapped"],
+    "properties": {
+        "class_uid": {"const": 4001}, "class_name": {"const": "Network Activity"}, "activity_id": {"type": "integer", "minimum": 0, "maximum": 99}, "severity_id": {"type": ["integer", "null"], "minimum": 0, "maximum": 99},
+        "time": {"type": ["string", "null"]}, "action": {"type": ["string", "null"]}, "message": {"type": ["string", "null"]}, "src_endpoint": _ENDPOINT_RULE, "dst_endpoint": _ENDPOINT_RULE,
+        "metadata": {"type": "object", "properties": {"product": {"const": "logloom"}}, "required": ["product"]}, "unmapped": {"type": "object", "additionalProperties": True},
+    },
+}
 #: Tables partitioned by day: readers with a predicate on it open those days alone.
 DAILY = ("raw_events", "normalized_events")
 
