@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from .fingerprint import MONTHS
 
-#: What varies in a line, one class each; a line is read once, from the left, and the first class that fits takes the text.
+#: Which parts of a line mutants differ in (stability is stated for these). A line is read once, from the left, and the first class that fits takes the text.
 VARIABLE = re.compile(
     rf"""(?P<stamp>\d{{4}}-\d\d-\d\d(?:T\d\d:\d\d:\d\d)?)(?P<zone>Z|[+-]\d\d:?\d\d)?
     |\b(?P<month>{MONTHS})(?P<gap>\s+)\d{{1,2}}\s+\d\d:\d\d:\d\d\b

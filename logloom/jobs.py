@@ -5,18 +5,20 @@ from __future__ import annotations
 import logging
 import os
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Batch, filter_of
 from .functions.extract import Rule
 from .operators import drift as W
 from .operators import lifecycle as L
-from .operators.normalize import current_view
+from .operators.normalize import replaced_by
 from .rulebook import RuleBook
-from .schemas import append_new, read, schema
+from .schemas import append_new, new_rows, read, read_current, schema
 from .storage import materialise
 
 log = logging.getLogger("logloom.jobs")
@@ -105,7 +107,7 @@ def reparse_job(spark: SparkSession, root: str) -> dict[str, int]:
     All rules go in one job. Parsing time is the time of receipt, so a second run finds nothing to do.
     """
     book = RuleBook(spark, root)
-    view = current_view(read(spark, root, "normalized_events"))
+    view = read_current(spark, root)
     behind = [r.fingerprint_id for r in L.stale(view, book.frame()).collect()]
     if not behind:
         return {}
@@ -113,7 +115,11 @@ def reparse_job(spark: SparkSession, root: str) -> dict[str, int]:
     done = L.reparse(view, read(spark, root, "raw_events"), live, F.col("received_at")).persist()
     try:
         counts = {r.fingerprint_id: r["count"] for r in done.groupBy("fingerprint_id").count().collect()}
-        append_new(done, root, "normalized_events", ["event_id"])
+        batch = Batch(spark, root, f"reparse-{uuid.uuid4().hex}")
+        fresh = batch.add("normalized_events", new_rows(done, root, "normalized_events", ["event_id"]))
+        batch.add("key_filters_normalized_events", filter_of(fresh, ["event_id"]))
+        batch.add("superseded", replaced_by(fresh, view))
+        batch.commit()  # the new events and what they replace are seen together
     finally:
         done.unpersist()
     for name in sorted(counts):
@@ -142,7 +148,7 @@ def drift_job(spark: SparkSession, root: str, settings: Settings | None = None)
     live = [r for r in book.ledger().rules if r.status == "active"]
     if not live:
         return {"windows": 0, "actions": 0}
-    view = current_view(read(spark, root, "normalized_events"))
+    view = read_current(spark, root)
     keys = spark.createDataFrame([(r.fingerprint_id, r.version) for r in live], "fingerprint_id string, rule_version int")
     view = view.join(F.broadcast(keys), list(W.KEY), "left_semi")  # one row a rule
     rows = W.window_rows(view, live, settings.window_count, settings.window_time_s)

@@ -82,7 +82,7 @@ def generate_rule(fingerprint_id: str, samples: DataFrame, client: Callable[[str
         return rule, lifecycle.confidence(samples, rule)
     if client is None:
         raise ValueError("no language model is given")
-    rule, error, lines = None, None, [r.raw_text for r in samples.select("raw_text").limit(lifecycle.PROMPT).collect()]
+    rule, error, lines = None, None, [r.raw_text for r in lifecycle.first_samples(samples).select("raw_text").limit(lifecycle.PROMPT).collect()]
     for attempt in range(attempts):
         try:
             found = json.loads(lifecycle.outer_object(client(lifecycle.build_prompt(fingerprint_id, lines, error), 0.1 + 0.2 * attempt)))
@@ -162,7 +162,7 @@ def three_passes(lines: DataFrame, store: RuleStore, client: Callable[[str, floa
     rules = {}
     for r in marked.select("fingerprint_id").distinct().orderBy("fingerprint_id").collect():  # formats
         name = r.fingerprint_id
-        samples = marked.where(F.col("fingerprint_id") == name).select("fingerprint_id", F.col("raw").alias("raw_text")).limit(lifecycle.READY)
+        samples = marked.where(F.col("fingerprint_id") == name).select("fingerprint_id", F.col("raw").alias("raw_text")).orderBy("raw_text").limit(lifecycle.READY)
         if name != "unknown" and (rule := onboard_new_format(store, name, samples, client)):
             rules[name] = rule
     done = process_lines(marked, rules).groupBy("fingerprint_id").agg(F.count("*").alias("lines"), F.count_if(F.col("status") == "ok").alias("ok"), F.avg(F.when(F.col("status") == "ok", F.col("doc.src_endpoint.ip").isNull().cast("int"))).alias("null_rate"))

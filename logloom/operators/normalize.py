@@ -13,6 +13,7 @@ from ..functions.fingerprint import bound
 from ..functions.ids import event_id
 from ..functions.json_schema import compile_schema
 from ..schemas import DOCUMENT_RULE
+from ..storage import small
 
 #: Samples are captured for a fingerprint without an active rule up to this many.
 SAMPLE_CAP = 200
@@ -80,16 +81,36 @@ def capture_samples(events: DataFrame, rules: Iterable[Rule], existing: DataFram
     return taken.select("fingerprint_id", "raw_id", "raw_text", F.col("received_at").alias("captured_at"))
 
 
-def current_view(normalized: DataFrame) -> DataFrame:
-    """Of each raw event the row of the highest rule version: what has not been superseded."""
-    order = Window.partitionBy("raw_id").orderBy(F.coalesce("rule_version", F.lit(0)).desc(), "event_id")
-    return normalized.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+def superseded(normalized: DataFrame) -> DataFrame:
+    """(day, event_id, superseded_by_event_id) of the events that are not current: of each raw event the row of the highest rule version is.
+
+    Only ids, versions and days are read and shuffled; documents stay where they are.
+    """
+    ids = normalized.select("raw_id", "event_id", "day", F.coalesce("rule_version", F.lit(0)).alias("version"))
+    top = ids.groupBy("raw_id").agg(F.max(F.struct("version", "event_id")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    return ids.join(top, "raw_id").where("event_id <> top.event_id").select("day", "event_id", F.col("top.event_id").alias("superseded_by_event_id"))
+
+
+def current_view(normalized: DataFrame, delta: DataFrame | None = None) -> DataFrame:
+    """What has not been superseded: the events without those of a delta (day, event_id), found from the events where none is given.
+
+    A delta holds only what later rules have replaced; up to 16 MB of it go to all executors, so
+    that documents are not shuffled. A larger one is joined by day and event.
+    """
+    delta = superseded(normalized) if delta is None else delta
+    return normalized.join(small(delta.select("day", "event_id"), 96), ["day", "event_id"], "left_anti").select(normalized.columns)
+
+
+def replaced_by(new: DataFrame, view: DataFrame) -> DataFrame:
+    """The delta of new events: the current events of the same raw events, of lower versions."""
+    by = new.select("raw_id", F.col("event_id").alias("superseded_by_event_id"), F.coalesce("rule_version", F.lit(0)).alias("to"))
+    old = view.select("raw_id", "event_id", "day", F.coalesce("rule_version", F.lit(0)).alias("version"))
+    return old.join(small(by, 160), "raw_id").where("version < to").select("day", "event_id", "superseded_by_event_id")
 
 
 def supersession(normalized: DataFrame) -> DataFrame:
     """normalized with superseded_by_event_id: the current event of the same raw event, null for that one itself."""
-    top = F.max_by("event_id", F.coalesce("rule_version", F.lit(0))).over(Window.partitionBy("raw_id"))
-    return normalized.withColumn("current", top).withColumn("superseded_by_event_id", F.when(F.col("current") != F.col("event_id"), F.col("current"))).drop("current")
+    return normalized.join(small(superseded(normalized), 160), ["day", "event_id"], "left").select(*normalized.columns, "superseded_by_event_id")
 
 
 def document_variant(doc: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,20 @@ def events_page(view: DataFrame, status: str | None = None, fingerprint: str | N
     return view.orderBy(F.desc("parsed_at"), F.desc("event_id")).limit(clamp(limit))
 
 
+def newest_page(view: DataFrame, status: str | None = None, fingerprint: str | None = None, before: tuple[datetime, str] | datetime | None = None, limit: int | None = None) -> DataFrame:
+    """events_page of a table partitioned by day of parsed_at, without reading all of it: days are opened from the newest on, twice as many each time, until a page is full."""
+    first = (before[0] if isinstance(before, tuple) else before).date() if before is not None else view.agg(F.max("day")).first()[0]
+    if first is None:
+        return events_page(view, status, fingerprint, before, limit)
+    days = 1
+    while days < 1 << 14:
+        page = events_page(view.where(F.col("day").between(first - timedelta(days - 1), first)), status, fingerprint, before, limit)
+        if page.count() == clamp(limit):
+            return page
+        days *= 2
+    return events_page(view, status, fingerprint, before, limit)
+
+
 def trace(view: DataFrame, raw: DataFrame) -> DataFrame:
     """Each event with the raw line it came from; both keys of the join prune day partitions."""
     r = raw.select("raw_id", F.col("received_at").alias("raw_received_at"), "source_id", "content_hash", "raw_text")

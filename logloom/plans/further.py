@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..commits import Batch
 from ..functions.extract import Rule, flatten_json, parse
 from ..functions.json_schema import compile_schema
 from ..functions.registry import register
-from ..schemas import DOCUMENT_RULE
+from ..operators import serve
+from ..operators.normalize import replaced_by
+from ..schemas import DOCUMENT_RULE, append_new, read, read_current
+from ..sources.readers import stream_messages
+from ..streaming.pipeline import start
+from .cases import fresh_root, messages
 from .lines import lines
-from .queries import L, query
+from .queries import ACTIVE, SEEDS, WITH, L, normalized, query, with_second_parse
 
 # --- flattening -----------------------------------------------------------------------------
 
@@ -74,3 +80,62 @@ def schema_faults(spark, sf_dir):
     """What the compiled schema finds in documents with known faults; severity 7 and port 70,000 are none."""
     rule = compile_schema(DOCUMENT_RULE)
     return lines(spark, sf_dir).select("eid", F.explode(rule(F.try_parse_json(F.expr(FAULTY)))).alias("problem"))
+
+
+# --- commits --------------------------------------------------------------------------------
+
+USED = "eid % 11 > 3"
+
+
+@query("SELECT name, CAST(n AS BIGINT) AS n, CAST(ids AS BIGINT) AS ids FROM (" + WITH + f"""SELECT 'raw_events' AS name, count(*) AS n, count(DISTINCT raw_id) AS ids FROM n WHERE {USED} UNION ALL SELECT 'normalized_events', count(*), count(DISTINCT event_id) FROM n WHERE {USED}
+UNION ALL SELECT 'onboarding_samples', sum(least(c, 200)), sum(least(c, 200)) FROM (SELECT count(*) AS c FROM n WHERE {USED} AND fp NOT IN {ACTIVE} GROUP BY fp)
+UNION ALL SELECT 'raw_batches', sum(b), sum(b) FROM (SELECT count(DISTINCT pos // 500) AS b FROM n WHERE {USED} AND eid % 2 = 0 GROUP BY partition_id UNION ALL SELECT count(DISTINCT pos // 500) FROM n WHERE {USED} AND eid % 2 = 1 GROUP BY partition_id)
+UNION ALL SELECT 'chain_heads', count(DISTINCT partition_id), count(DISTINCT partition_id) FROM n WHERE {USED})""")
+def failed_batch(spark, sf_dir):
+    """Two micro-batches of which the second dies after its raw events and chain are written, and runs again: each row once."""
+    root, found = fresh_root(spark), messages(spark, sf_dir)
+    for half in (0, 1):
+        found.where(f"eid % 2 = {half}").drop("eid").coalesce(1).write.mode("append").parquet(f"{root}/messages")
+    calls = []
+
+    def rules():
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("dies between two tables")
+        return SEEDS
+
+    for attempt in (1, 2):
+        try:
+            start(stream_messages(spark, f"{root}/messages"), root, f"{root}/checkpoint", rules).awaitTermination()
+        except Exception:
+            if attempt == 2 or len(calls) != 2:
+                raise
+    ids = {"raw_events": "raw_id", "normalized_events": "event_id", "onboarding_samples": "raw_id", "raw_batches": "struct(partition_id, batch_seq)", "chain_heads": "partition_id"}
+    parts = [read(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(F.expr(key)).alias("ids")) for name, key in ids.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# --- serving from stored tables -------------------------------------------------------------
+
+
+@query(WITH + "SELECT event_id, fp AS fingerprint_id, status FROM n WHERE fp <> 'json' ORDER BY received_at DESC, event_id DESC LIMIT 120")
+def newest_days(spark, sf_dir):
+    """The newest page of a table by days: most days are never opened."""
+    root = fresh_root(spark)
+    normalized(spark, sf_dir).where("fingerprint_id <> 'json'").write.mode("append").partitionBy("day").parquet(f"{root}/normalized_events")
+    return serve.newest_page(read(spark, root, "normalized_events"), limit=120).select("event_id", "fingerprint_id", "status")
+
+
+@query(WITH + "SELECT raw_id, fp AS fingerprint_id, CASE WHEN fp = 'syslog' THEN 2 ELSE version END AS rule_version, status, CASE WHEN fp = 'syslog' AND status = 'parsed' THEN 'DROP' ELSE action END AS action FROM n")
+def current_from_delta(spark, sf_dir):
+    """Stored events parsed again under a second rule; the view is read with the delta that the second parse has left."""
+    root, first = fresh_root(spark), normalized(spark, sf_dir)
+    append_new(first, root, "normalized_events", ["event_id"])
+    again = with_second_parse(spark, sf_dir).where("rule_version = 2")
+    batch = Batch(spark, root, "second")
+    batch.add("superseded", replaced_by(batch.add("normalized_events", again), read_current(spark, root)))
+    batch.commit()
+    return read_current(spark, root).select("raw_id", "fingerprint_id", "rule_version", "status", F.col("ocsf.action").alias("action"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,12 @@ TABLES = {
     "raw_events": "raw_id string, received_at timestamp, source_id string, transport string, format_hint string, fingerprint_id string, content_hash string, raw_text string, day date",
     "raw_batches": "partition_id int, batch_seq bigint, prev_hash string, merkle_root string, row_hashes array<string>, count bigint, first_offset bigint, last_offset bigint",
     "normalized_events": f"event_id string, raw_id string, raw_received_at timestamp, parsed_at timestamp, fingerprint_id string, rule_version int, status string, ocsf {DOCUMENT}, error string, day date",
+    "commits": "batch string, name string, path string, days array<date>, dropped boolean",
+    "chain_heads": "partition_id int, batch_seq bigint, merkle_root string",
+    "key_filters_raw_events": "day date, block bigint, bits binary",
+    "key_filters_normalized_events": "day date, block bigint, bits binary",
+    "superseded": "day date, event_id string, superseded_by_event_id string",
+    "emit_log": "batch string, error string",
     "rules": "fingerprint_id string, version int, pattern string, mappings array<struct<source_field:string,ocsf_path:string>>, provenance string, confidence double, status string, quarantined_fields array<string>",
     "rule_log": "seq bigint, ts timestamp, fingerprint_id string, version int, status string, actor string, action string",
     "audit_log": "id bigint, ts timestamp, actor string, action string, entity string, detail string",
@@ -32,7 +40,7 @@ DOCUMENT_RULE = {
     },
 }
 #: Tables partitioned by day: readers with a predicate on it open those days alone.
-DAILY = ("raw_events", "normalized_events")
+DAILY = ("raw_events", "normalized_events", "superseded", "key_filters_raw_events", "key_filters_normalized_events")
 
 
 def schema(table: str) -> T.StructType:
@@ -53,22 +61,51 @@ def bootstrap(spark: SparkSession, root: str) -> None:
         writer.parquet(f"{root}/{name}")
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(schema(name)).parquet(f"{root}/{name}")
+def read(spark: SparkSession, root: str, name: str, days: list[date] | None = None) -> DataFrame:
+    """A table: the rows appended to it and those of committed batches. days: of a daily table only parts with rows of these days are opened."""
+    from .commits import read_parts
 
+    found = spark.read.schema(schema(name)).parquet(f"{root}/{name}")
+    if name == "commits":
+        return found
+    parts = read_parts(spark, root, name, days)
+    found = found if parts is None else found.unionByName(parts)
+    return found if days is None else found.where(F.col("day").isin(days))
 
-def append_new(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
-    """Append the rows of df whose key isn't in the table; returns them. Repeated keys of df count once.
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The normalized events that no later one has superseded, by the delta that is kept with them."""
+    from .operators.normalize import current_view
+
+    return current_view(read(spark, root, "normalized_events"), read(spark, root, "superseded"))
+
+
+def new_rows(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
+    """The rows of df whose key isn't in the table; repeated keys of df count once.
 
     In a table partitioned by day the key is looked for in the days of df alone, as ids follow
-    from a message, whose time of receipt doesn't change.
+    from a message, whose time of receipt doesn't change; and there only if the filters of these
+    days may hold it.
     """
+    from .commits import split_known
+
     spark = df.sparkSession
-    known = read(spark, root, name)
-    if name in DAILY:  # a key belongs to one day: only the days of df are opened
-        known = known.where(F.col("day").isin([r.day for r in df.select("day").distinct().collect()]))
-    known = known.select(*key)
-    fresh = df.dropDuplicates(key).join(known, key, "left_anti").select(*[f.name for f in schema(name)])
+    if name not in DAILY:
+        return df.dropDuplicates(key).join(read(spark, root, name).select(*key), key, "left_anti")
+    days = [r.day for r in df.select("day").distinct().collect()]
+    return split_known(df, key, read(spark, root, f"key_filters_{name}", days), read(spark, root, name, days))
+
+
+def append_new(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
+    """Append the rows of df whose key isn't in the table; returns them.
+
+    The filters come first: a filter may hold keys that the table lacks, never the other way round.
+    """
+    from .commits import filter_of
+
+    fresh = new_rows(df, root, name, key).select(*[f.name for f in schema(name)])
+    if name in DAILY:
+        filter_of(fresh, key).write.mode("append").option("compression", "zstd").partitionBy("day").parquet(f"{root}/key_filters_{name}")
     writer = fresh.write.mode("append").partitionBy("day") if name in DAILY else fresh.write.mode("append")
     writer.parquet(f"{root}/{name}")
     return fresh

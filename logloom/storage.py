@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it comes from fewer files than there are cores; many files are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 16 * 1024 * 1024) -> DataFrame:
+    """df, whose rows take at most about row_bytes, marked for broadcast if all of them, counted, take at most limit bytes; else joins shuffle it."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
