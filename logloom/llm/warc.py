@@ -75,7 +75,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         [("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", at), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), F.lit(" HTTP/1.1" + CRLF + "Host: "), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1), F.lit(CRLF + CRLF)),
     )
-    fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), page.cast("string"), F.lit(CRLF)), F.lit("")), F.coalesce(F.when(revisit, F.concat(F.lit("refersToPageId: "), F.col("first_page").cast("string"), F.lit(CRLF))), F.lit("")))
+    fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.url_encode(page.cast("string")), F.lit(CRLF)), F.lit("")), F.coalesce(F.when(revisit, F.concat(F.lit("refersToPageId: "), F.url_encode(F.col("first_page").cast("string")), F.lit(CRLF))), F.lit("")))
     about = record("metadata", record_id(F.lit("metadata"), page, F.col("url"), F.col("digest")), [("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", at), ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = rows.select("bytes", F.explode(F.array(request, reply, about)).alias("value"))
     # Captures are written by size class, so that one very long page doesn't make all files small; a class that is empty costs nothing.
@@ -188,5 +188,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def capture_digest(captures: DataFrame, pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Per capture: the page's id, length and digest of the full payload, record type, and which page a revisit refers to."""
-    field = lambda name: F.get_json_object("metadata.fields", f"$.{name}").cast(id_type(pages, id_col))
+    field = lambda name: F.url_decode(F.get_json_object("metadata.fields", f"$.{name}")).cast(id_type(pages, id_col))
     return captures.select(field("pageid").alias(id_col), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), field("referstopageid").alias("refers_to"))
