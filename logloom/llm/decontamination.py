@@ -15,8 +15,6 @@ from pyspark.sql import Window
 from .common import bounded, materialise
 
 WINDOW = 13
-#: A side with at most this many rows is broadcast (of at most WINDOW words each); a larger one is shuffled.
-BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The words before lower-casing: for counting alone.
@@ -52,13 +50,13 @@ def prefix_tokens(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFra
 def window_matches(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """Verified occurrences: (id, h, start, len, win), start counted from 0; h tells rows of one id apart by text."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), words(text_col).alias("w"))
-    small = tokens.count() <= BROADCAST_ROWS
-    if small:
+    measured = bounded(tokens)
+    if measured is not tokens:
         # The build side is broadcast: a document's words never leave its row.
         each = rows.select("id", "h", F.size("w").alias("n"), "w", F.posexplode("w").alias("pos", "key"))
         fits = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("len") <= F.col("n"))
         same = F.slice("w", F.col("pos") - F.col("off") + 1, F.col("len")) == F.col("win")
-        tokens = F.broadcast(tokens)
+        tokens = measured
     else:
         # Both sides are shuffled by the token: each occurrence carries only the words that a window around it can hold.
         each = rows.select("id", "h", "w", F.posexplode("w").alias("pos", "key"))
