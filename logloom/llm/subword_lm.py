@@ -23,6 +23,8 @@ from .common import fold, id_type, map_arrow, materialise, tidy
 TASK_WORDS = 300_000
 #: At most this many words, the most frequent, are sent to every worker; the others are joined.
 KNOWN_WORDS = 200_000
+#: And at most so many bytes of words; and words of one length are scored together up to so many characters.
+KNOWN_BYTES, GROUP_CHARS = 8 * 1024 * 1024, 400_000
 #: Additive smoothing of word counts (fixed by the contract) and of piece counts.
 WORD_PRIOR, PIECE_PRIOR = 0.1, 0.1
 SPACE = "▁"
@@ -129,8 +131,9 @@ class Lattice:
         order = np.argsort(lengths, kind="stable")
         edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            for at in range(a, b, most):
-                part = order[at : min(b, at + most)]
+            step = max(1, min(most, GROUP_CHARS // int(lengths[order[a]])))
+            for at in range(a, b, step):
+                part = order[at : min(b, at + step)]
                 yield part, np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), -1).astype(np.uint64)
 
     def score(self, words: list[bytes]) -> np.ndarray:
@@ -253,13 +256,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
         return each
 
     words = materialise(map_arrow(words, scorer, "word binary, c long, all long, marginal double"), "lm-scored-words")
-    # The most frequent words, down to a count that keeps their number within bounds.
+    # The most frequent words, down to a count that keeps their number and their bytes within bounds.
     level = F.floor(F.log2("all") * 16)
-    bins, top, kept = sorted(((r.level, r.n) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True), None, 0
-    for at, number in bins:
-        if kept + number > KNOWN_WORDS:
+    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # some hundred levels
+    top, kept, taken = None, 0, 0
+    for at, number, size in sorted(((r.level, r.n, r["size"] or 0) for r in sizes), reverse=True):
+        if kept + number > KNOWN_WORDS or taken + size > KNOWN_BYTES:
             break
-        top, kept = at, kept + number
+        top, kept, taken = at, kept + number, taken + size
     known = words.where(level >= top).select("word", "c", "marginal").collect() if top is not None else []
     per_word = log10(n + WORD_PRIOR * (v + 1)) if n + v else 0.0
     spark = docs.sparkSession

@@ -1,5 +1,6 @@
 """Cases of the review: whole results where a bound, a null or a repeated id once cut them."""
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from logloom.llm.jaccard_join import jaccard_join
 from logloom.llm.mixing import subset
 from logloom.llm.quality_rules import quality_rules
 
+TABLES = "/root/testdata/sf0.01"
 
 
 def words_taken(lengths, counts, budget, limit=65_536):
@@ -135,3 +137,35 @@ def test_jaccard_chain_through_a_null_id(spark):
     rows = [(i, " ".join(x)) for i, x in chain] + [(None, prose(5)), (None, prose(6)), (9, prose(7))]
     got = {(r.doc_id, r.n_links): r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=90).collect()}
     assert got == {(1, 1): 1, (None, 2): 1, (3, 1): 1, (None, 0): None, (9, 0): 9}
+
+
+def test_text_ids_survive_the_archive(spark):
+    from logloom.llm.warc import capture_digest, round_trip
+
+    ids = [" a", "a ", "b\r\nc", "x: y", "100%", "a+b", "é/ü", "", "\t", "plain"]
+    pages = spark.createDataFrame([(i, "http://h/", "same page " * 20) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: r.refers_to for r in capture_digest(round_trip(pages), pages).collect()}
+    assert set(got) == set(ids) and {v for k, v in got.items() if v is not None} == {min(ids)}
+
+
+def test_long_words_are_scored_in_small_groups():
+    from logloom.llm.subword_lm import GROUP_CHARS, Lattice
+
+    words = [b"w" * 300_000] * 3 + [b"ab"] * 50_000
+    sizes = [(len(part), codes.shape[1]) for part, codes in Lattice.groups(words)]
+    assert sum(n for n, _ in sizes) == len(words) and all(n == 1 or n * width <= GROUP_CHARS for n, width in sizes)
+
+
+def test_decontamination_by_both_joins(spark, monkeypatch):
+    """Windows that fit a broadcast and windows that don't, also of very long words and texts."""
+    from logloom.llm import decontamination
+    from logloom.llm.decontamination import decontaminate
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)] + ["x" * 100_000]
+    items = [(k, " ".join(rng.choice(words[:40]) for _ in range(rng.randint(1, 30)))) for k in range(20)] + [(99, " ".join(["x" * 100_000] * 14))]
+    docs = [(k, " ".join([*(rng.choice(words[:40]) for _ in range(30)), rng.choice(items)[1]])) for k in range(30)] + [(200, "w1 " * 400_000), (201, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    first = sorted(map(str, decontaminate(d, b).collect()))
+    monkeypatch.setattr(decontamination, "bounded", lambda df: df)
+    assert sorted(map(str, decontaminate(d, b).collect())) == first and len(first) == 32
