@@ -9,9 +9,10 @@ from ..functions.extract import Rule, flatten_json, parse
 from ..functions.json_schema import compile_schema
 from ..functions.registry import register
 from ..operators import serve
-from ..operators.normalize import replaced_by
+from ..operators.normalize import dead_letters, envelopes, replaced_by
 from ..schemas import DOCUMENT_RULE, append_new, read, read_current
 from ..sources.readers import stream_messages
+from ..streaming.outbox import LETTERS, NORMALIZED, to_outbox
 from ..streaming.pipeline import start
 from .cases import fresh_root, messages
 from .lines import lines
@@ -139,3 +140,16 @@ def current_from_delta(spark, sf_dir):
     batch.add("superseded", replaced_by(batch.add("normalized_events", again), read_current(spark, root)))
     batch.commit()
     return read_current(spark, root).select("raw_id", "fingerprint_id", "rule_version", "status", F.col("ocsf.action").alias("action"))
+
+
+@query(WITH + "SELECT topic, key, CAST(count(*) AS BIGINT) AS messages, CAST(count(DISTINCT id) AS BIGINT) AS ids FROM (SELECT 'normalized.events' AS topic, fp AS key, event_id AS id FROM n UNION ALL SELECT 'pipeline.dlq', NULL, raw_id FROM n WHERE status = 'parse_error') GROUP BY ALL")
+def outbox_once(spark, sf_dir):
+    """Messages of two batches of which one comes again: each is in the outbox once."""
+    root, done = fresh_root(spark), normalized(spark, sf_dir)
+    for half in (0, 1, 0):
+        part = done.where(F.pmod(F.xxhash64("raw_id"), F.lit(2)) == half)
+        to_outbox(envelopes(part), root, NORMALIZED, f"events-{half}")
+        to_outbox(dead_letters(part), root, LETTERS, f"letters-{half}")
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    found = read(spark, root, "outbox").withColumn("id", F.when(F.col("topic") == NORMALIZED, field("event_id")).otherwise(field("raw_id")))
+    return found.groupBy("topic", "key").agg(F.count("*").alias("messages"), F.count_distinct("id").alias("ids"))

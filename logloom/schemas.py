@@ -20,6 +20,7 @@ TABLES = {
     "key_filters_raw_events": "day date, block bigint, bits binary",
     "key_filters_normalized_events": "day date, block bigint, bits binary",
     "superseded": "day date, event_id string, superseded_by_event_id string",
+    "outbox": "topic string, key string, value string, batch string",
     "emit_log": "batch string, error string",
     "rules": "fingerprint_id string, version int, pattern string, mappings array<struct<source_field:string,ocsf_path:string>>, provenance string, confidence double, status string, quarantined_fields array<string>",
     "rule_log": "seq bigint, ts timestamp, fingerprint_id string, version int, status string, actor string, action string",

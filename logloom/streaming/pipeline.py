@@ -15,16 +15,19 @@ from ..functions.extract import Rule
 from ..operators.ingest import batches, chain_heads, decode, extend_chain, raw_events
 from ..operators.normalize import capture_samples, dead_letters, envelopes, normalize, replaced_by
 from ..schemas import bootstrap, new_rows, read, read_current, schema
+from .outbox import LETTERS, NORMALIZED
+from .outbox import messages as messages_of
 
 
-def process(messages: DataFrame, root: str, rules: Callable[[], Iterable[Rule]], emit: Callable[[DataFrame, DataFrame], None] | None = None, batch_rows: int = 500, key: str | None = None) -> None:
+def process(messages: DataFrame, root: str, rules: Callable[[], Iterable[Rule]], emit: Callable[[DataFrame, DataFrame], None] | None = None, batch_rows: int = 500, key: str | None = None, outbox: bool = False) -> None:
     """One micro-batch: raw events and their chain, then normalized events and samples, in one commit.
 
     A batch whose key is committed already adds nothing. Ids follow from topic, partition and
     offset, and tables take only keys they don't have, so messages that come again in another
     batch add no raw or normalized rows; the chain does grow, as a record of the replay. It
     goes on from the heads that the last commit left, whatever its length. Rules are read when
-    lines are parsed. A failed emit doesn't fail the batch; it leaves a row in emit_log.
+    lines are parsed. A failed emit doesn't fail the batch; it leaves a row in emit_log. With
+    outbox, what goes to the topics is committed with the tables, for a relay to hand on.
     """
     spark, batch = messages.sparkSession, Batch(messages.sparkSession, root, key or uuid.uuid4().hex)
     if key and batch.done():
@@ -45,6 +48,9 @@ def process(messages: DataFrame, root: str, rules: Callable[[], Iterable[Rule]],
         if late:  # messages that came before, maybe under another rule: older versions give way
             batch.add("superseded", replaced_by(fresh, read_current(spark, root)))
         batch.add("onboarding_samples", capture_samples(events, found, read(spark, root, "onboarding_samples")))
+        if outbox:
+            sent = messages_of(envelopes(done), NORMALIZED).unionByName(messages_of(dead_letters(done), LETTERS))
+            batch.add("outbox", sent.withColumn("batch", F.lit(batch.key)))
         batch.commit()
         if emit:
             try:

@@ -9,6 +9,7 @@ from logloom.functions.extract import SEEDS
 from logloom.operators.normalize import current_view, superseded
 from logloom.operators.serve import events_page, newest_page
 from logloom.schemas import append_new, bootstrap, read, read_current, schema
+from logloom.streaming.outbox import relay, wire
 from logloom.streaming.pipeline import process
 from pyspark.sql import functions as F
 
@@ -118,3 +119,31 @@ def test_pages_by_day(spark, tmp_path):
     assert "2024-06-06" in plan and "2024-05" not in plan  # the newest days alone
 
 
+
+
+def test_outbox_and_relay(spark, root):
+    line = "Mar 03 04:05:06 gate7 kernel: IPTABLES-DROP: SRC=10.0.0.1 DST=10.0.0.2"
+    for n in (0, 1, 0):
+        process(message(spark, [(3 * n + k, line if k else "Mar 03 04:05:06 gate7 sshd: x") for k in range(3)]), root, lambda: SEEDS, key=f"s-{n}", outbox=True)
+    box = read(spark, root, "outbox")
+    assert sorted((r.topic, r["count"]) for r in box.groupBy("topic").count().collect()) == [("normalized.events", 6), ("pipeline.dlq", 2)]
+    got, calls = [], []
+
+    def send(frame):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("no broker")
+        got.extend(r.value for r in frame.collect())
+
+    assert relay(spark, root, send) == 1 and [r.error for r in read(spark, root, "emit_log").collect()] == ["OSError: no broker"]
+    assert relay(spark, root, send) == 1 and relay(spark, root, send) == 0
+    assert sorted(got) == sorted(r.value for r in box.collect())
+
+
+def test_wire_raises_on_types_without_a_form(spark):
+    good = spark.range(1).select("id", F.lit(None).cast("string").alias("s"), F.create_map(F.lit("a"), F.array(F.lit(1.5))).alias("m"), F.lit("2024-05-01 01:02:03").cast("timestamp").alias("t"))
+    assert good.select(wire(good, "id", "s", "m", "t").alias("v")).first().v == '{"id":0,"s":null,"m":{"a":[1.5]},"t":"2024-05-01T01:02:03.000000Z"}'
+    for bad in ("X'00'", "INTERVAL 1 DAY", "map(1, 2)", "array(named_struct('a', X'00'))", "parse_json('1')"):
+        frame = spark.sql(f"SELECT {bad} AS b")
+        with pytest.raises(TypeError):
+            wire(frame, "b")
