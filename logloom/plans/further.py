@@ -16,7 +16,7 @@ from ..streaming.outbox import LETTERS, NORMALIZED, to_outbox
 from ..streaming.pipeline import start
 from .cases import fresh_root, messages
 from .lines import lines
-from .queries import ACTIVE, SEEDS, WITH, L, normalized, query, with_second_parse
+from .queries import ACTIVE, SEEDS, WITH, L, normalized, query, sql_uuid, with_second_parse
 
 # --- flattening -----------------------------------------------------------------------------
 
@@ -153,3 +153,27 @@ def outbox_once(spark, sf_dir):
     field = lambda name: F.get_json_object("value", f"$.{name}")
     found = read(spark, root, "outbox").withColumn("id", F.when(F.col("topic") == NORMALIZED, field("event_id")).otherwise(field("raw_id")))
     return found.groupBy("topic", "key").agg(F.count("*").alias("messages"), F.count_distinct("id").alias("ids"))
+
+
+# --- the functions by name ------------------------------------------------------------------
+
+#: Rates and counts that follow from a line's number; every 23rd has no baseline.
+RATES = "SELECT eid, raw, partition_id, pos, (eid % 101) / 100.0 AS now, CASE WHEN eid % 23 = 0 THEN NULL WHEN eid % 7 = 0 THEN 0.0 ELSE (eid % 13) / 100.0 END AS base, eid % 40 AS n"
+LADDER = lambda x, a, b, c: f"CASE WHEN {x} < {a} THEN 'none' WHEN {x} < {b} THEN 'minor' WHEN {x} < {c} THEN 'moderate' WHEN {x} IS NOT NULL THEN 'severe' END"
+
+
+@query(f"""WITH {L}, r AS ({RATES} FROM l), q AS (SELECT *, round(base - now, 6) AS lost, round(now - base, 6) AS grown FROM r), s AS (SELECT *,
+ CASE WHEN base IS NULL THEN NULL WHEN grown < 0.05 OR (base > 0 AND now / base < 3) THEN 'none' WHEN base > 0 AND now / base < 10 THEN 'minor' WHEN base > 0 AND now / base < 40 THEN 'moderate' ELSE 'severe' END AS null_rate,
+ {LADDER('lost', 0.10, 0.25, 0.50)} AS match_rate, {LADDER('now', 0.15, 0.35, 0.60)} AS shape, {LADDER('now', 0.05, 0.20, 0.50)} AS tier1,
+ CASE WHEN n = 0 THEN 'severe' WHEN base IS NULL THEN NULL WHEN n BETWEEN 10 AND 30 THEN 'none' ELSE 'minor' END AS volume, {sql_uuid("'raw.logs:' || CAST(partition_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR)")} AS raw_id FROM q)
+SELECT eid, null_rate, match_rate, shape, tier1, volume, CASE tier1 WHEN 'minor' THEN 'alert' WHEN 'moderate' THEN 'field_quarantined' WHEN 'severe' THEN 'rule_deactivated' END AS action, raw_id, {sql_uuid("raw_id || ':' || CAST(partition_id AS VARCHAR)")} AS event_id,
+ CASE WHEN regexp_matches(raw, '^\\d+$') THEN 'int' WHEN regexp_matches(raw, '^\\d{{4}}[-/]\\d{{2}}[-/]\\d{{2}}') THEN 'timestamp' ELSE 'free_text' END AS value_class,
+ sha256(unhex(sha256(raw)) || unhex(sha256('x'))) AS root, (SELECT count(*) FROM unnest(regexp_extract_all(raw, '(?:^|[^\\w])\\w+=')) t(x)) > 0 AS has_pairs FROM s""")
+def functions_by_name(spark, sf_dir):
+    """The ladders, ids, roots and classes as a user of SQL calls them, on values of each line."""
+    register(spark)
+    text = f"""SELECT eid, log_null_rate_severity(now, base) AS null_rate, log_match_rate_severity(now, base) AS match_rate, log_shape_severity(now) AS shape, log_tier1_severity(now) AS tier1,
+      log_volume_severity(n, CASE WHEN base IS NOT NULL THEN 10L END, CASE WHEN base IS NOT NULL THEN 30L END) AS volume, log_decide_action(log_tier1_severity(now)) AS action, log_raw_id('raw.logs', partition_id, pos) AS raw_id,
+      log_event_id(log_raw_id('raw.logs', partition_id, pos), partition_id) AS event_id, log_value_class(raw) AS value_class, log_merkle_root(array(log_content_hash(raw), log_content_hash('x'))) AS root, size(log_key_values(raw)) > 0 AS has_pairs
+      FROM ({RATES.replace("/ 100.0", "/ 100.0D").replace("THEN 0.0", "THEN 0.0D")} FROM {{lines}})"""
+    return spark.sql(text, lines=lines(spark, sf_dir))
