@@ -165,3 +165,25 @@ def test_predecessor_store_and_generator(spark, tmp_path):
     good = json.dumps({"pattern": r"^(?P<who>\w+) in", "mappings": [{"source_field": "who", "ocsf_path": "message"}]})
     assert legacy.onboard_new_format(store, "app", samples, lambda *_: good).mappings == (("who", "message"),) and store.get("app")
     assert legacy.onboard_new_format(store, "other", samples) is None
+
+
+def test_a_commit_that_is_still_being_written_is_waited_for(spark, tmp_path):
+    """Half a file isn't an empty commit while its writer lives; once it is lost, it is."""
+    import os
+    import threading
+    import time
+
+    book = RuleBook(spark, str(tmp_path))
+    book.write(lambda ledger: ledger.note("engine", "reparse_complete", "a"))
+    path = tmp_path / "rule_commits" / "000000000001.json"
+    whole = (tmp_path / "rule_commits" / "000000000000.json").read_text()
+    path.write_text(whole[:10])
+    writer = threading.Timer(1.5, lambda: path.write_text(whole))
+    writer.start()
+    assert len(book.ledger().audit) == 2
+    writer.join()
+    lost = tmp_path / "rule_commits" / "000000000002.json"
+    lost.write_text("{")
+    old = time.time() - 60
+    os.utime(lost, (old, old))
+    assert len(book.ledger().audit) == 2 and len(book.write(lambda ledger: ledger.note("engine", "reparse_complete", "b")).audit) == 3
