@@ -379,8 +379,18 @@ def hardcoded_literals(spark, sf_dir):
     return lifecycle.hardcoded_literals(rows, "host3 DST=192.168.3.1 LEN")
 
 
-@query()
+VALID = lambda c, low, high: f"count_if({c} IS NOT NULL AND NOT coalesce(TRY_CAST({c} AS BIGINT) BETWEEN {low} AND {high}, false)) = 0"
+DOTTED = lambda c: f"count_if({c} IS NOT NULL AND NOT regexp_full_match({c}, '(\\d{{1,3}}\\.){{3}}\\d{{1,3}}')) = 0"
+CHECKS = {
+    "caps_and_allowlist": VALID("severity", 0, 99), "samples_parse": "count_if(status <> 'parsed') = 0 AND " + VALID("severity", 0, 6), "held_out_match_all": f"count_if(k > {lifecycle.PROMPT} AND status <> 'parsed') = 0",
+    "ip_fields_valid": f"{DOTTED('src_ip')} AND {DOTTED('dst_ip')}", "port_fields_valid": f"{VALID('src_port', 0, 65535)} AND {VALID('dst_port', 0, 65535)}",
+    "no_orphan_mappings": " AND ".join(f"count({c}) > 0" for c in ("src_ip", "dst_ip", "src_port", "dst_port", "time", "severity", "action", "message")), "adversarial_probe": "count_if(NOT json_valid(raw)) = 0", "no_hardcoded_literals": "count_if(contains(raw, '__JSON__')) = 0",
+}
+
+
+@query(WITH + f", u AS (SELECT *, row_number() OVER (ORDER BY received_at, raw_id) AS k FROM n WHERE fp = 'json'), kept AS (SELECT * FROM u WHERE k <= {lifecycle.PROMPT + lifecycle.HELD_OUT}) " + " UNION ALL ".join(f"SELECT '{k}' AS check_key, {v} AS passed FROM kept" for k, v in CHECKS.items()))
 def candidate_report(spark, sf_dir):
+    """The eight checks of the rule that aliases give JSON lines, on the lines that its fingerprint keeps as samples."""
     rows = stored_events(spark, sf_dir).where("fingerprint_id = 'json'")
     split = lifecycle.split_roles(rows.select("fingerprint_id", "raw_id", "raw_text", F.col("received_at").alias("captured_at")))
     rule = lifecycle.json_rule(rows, "json")
