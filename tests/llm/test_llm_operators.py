@@ -283,8 +283,8 @@ def test_decontamination_both_ways(spark, rows, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     plain = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in "".join(c.lower() if c.isascii() else c for c in t or "")).split()
     results = []
-    for limit in (200_000, 0):
-        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    for side in (decontamination.bounded, lambda df: df):  # then nothing is small enough
+        monkeypatch.setattr(decontamination, "bounded", side)
         results.append(by_id(contamination_digest(decontaminate(frame(spark, rows), table))))
     for i, text, _ in rows:
         w, hit, found = plain(text), set(), set()
