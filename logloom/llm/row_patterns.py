@@ -413,14 +413,16 @@ def find_pattern(events: DataFrame, key: str = "client_id", time: str = "ts", ro
 
     landed = materialise(stairs.join(located(walks, tree, fan).hint("shuffle_hash"), "at").mapInArrow(landing, "at long, start long, goal_at long, goal_entry long"), "pattern-landed")
     # A goal that is its chunk's last row lets the search go on in the next chunk: that entry leads there by itself.
-    nodes = chain.join(landed.hint("shuffle_hash"), ["at", "start"], "left").join(around.select("at", F.get_json_object("before", "$.last[0]").alias("before_key")).hint("shuffle_hash"), "at").join(states.select("at", F.get_json_object("state", "$.first[0]").alias("first_key")).hint("shuffle_hash"), "at")
-    nodes = materialise(nodes.select("at", "entry", "start", "goal_at", "goal_entry", F.coalesce("goal_at", "to_at").alias("to_at"), F.when(F.col("goal_at").isNotNull(), F.col("goal_entry")).when(F.col("to_at").isNotNull(), 0).alias("to_entry"), ((F.col("entry") == 0) & ~F.col("before_key").eqNullSafe(F.col("first_key"))).alias("root")), "pattern-nodes")
+    nodes = chain.join(landed.hint("shuffle_hash"), ["at", "start"], "left").join(around.select("at", F.get_json_object("before", "$.last[0]").alias("before_key")).hint("shuffle_hash"), "at").join(states.select("at", F.get_json_object("state", "$.first[0]").alias("first_key"), F.get_json_object("state", "$.last[0]").alias("last_key")).hint("shuffle_hash"), "at")
+    # A root is where a key begins: as its chunk's first row, or inside, by which every search of the chunk comes. So no chain to follow is longer than a key.
+    begins = ~F.col("before_key").eqNullSafe(F.col("first_key")) | (F.col("first_key") != F.col("last_key"))
+    nodes = materialise(nodes.select("at", "entry", "start", "goal_at", "goal_entry", F.coalesce("goal_at", "to_at").alias("to_at"), F.when(F.col("goal_at").isNotNull(), F.col("goal_entry")).when(F.col("to_at").isNotNull(), 0).alias("to_entry"), ((F.col("entry") == 0) & begins).alias("root")), "pattern-nodes")
     longest = states.groupBy(F.get_json_object("state", "$.last[0]").alias("k")).count().agg(F.max("count")).first()[0] or 1
     reached = taken_entries(nodes, int(longest + 1).bit_length())
     spans = nodes.join(reached.hint("shuffle_hash"), ["at", "entry"], "left_semi").where("goal_at IS NOT NULL").select("at", "start", "goal_at", "goal_entry").distinct()
     covers = spans.select(F.col("at").alias("cover_at"), F.col("start").alias("cover_start"), "goal_at", "goal_entry", F.explode(F.sequence(F.col("at") + 1, "goal_at")).alias("at"))
     covers = covers.select("at", "cover_at", "cover_start", F.when(F.col("at") == F.col("goal_at"), F.col("goal_entry") - 1).otherwise(-1).alias("cover_to"))
-    # A chunk is entered once; where it is entered both at a goal and, by a chain that ends there, nowhere else.
+    # A chunk is entered once, at a goal or at 0; where a key begins inside, 0 is a root too, and the goal counts.
     around = around.join(reached.groupBy("at").agg(F.max("entry").alias("entry")).hint("shuffle_hash"), "at", "left").join(covers.hint("shuffle_hash"), "at", "left")
     schema = f"at long, key {key_type}, nth long, first_id {ids_type}, last_id {ids_type}, n_rows long, sum_cents long, labels string, span_at long, span_start long, state string"
     parts = materialise(packed.drop("state", "stair_rows", "stair_amounts").join(materialise(around, "pattern-around").hint("shuffle_hash"), "at").mapInArrow(tidy(emit(key_kind, id_kind)), schema), "pattern-parts")
