@@ -130,10 +130,10 @@ def document_errors(doc: Column, rule: dict = DOCUMENT_RULE) -> Column:
     return bound(document_variant(doc), compile_schema(rule))
 
 
-def canary(normalized: DataFrame, every: int = 100) -> DataFrame:
+def canary(normalized: DataFrame, every: int = 100, rule: dict = DOCUMENT_RULE) -> DataFrame:
     """Checked and failed counts of the documents of about one event in so many, chosen by the last digits of their id."""
     chosen = normalized.where("status = 'parsed'").where(F.conv(F.substring("event_id", -8, 8), 16, 10).cast("long") % every == 0)
-    return chosen.agg(F.count("*").alias("checked"), F.count_if(F.size(document_errors(F.col("ocsf"))) > 0).alias("failed"))
+    return chosen.agg(F.count("*").alias("checked"), F.count_if(F.size(document_errors(F.col("ocsf"), rule)) > 0).alias("failed"))
 
 
 def readable_time(doc: Column) -> Column:

@@ -15,6 +15,7 @@ from ..functions.mutate import corrupt_syslog, mutate
 from ..operators import drift as W
 from ..operators import ingest, legacy, lifecycle, serve
 from ..operators.normalize import canary, capture_samples, current_view, document_errors, normalize, supersession
+from ..schemas import NETWORK_RULE
 from ..storage import materialise, spread
 from .lines import LINES, derived_events, lines
 
@@ -183,15 +184,18 @@ def time_fill(spark, sf_dir):
     return normalized(spark, sf_dir).where("status = 'parsed'").select("event_id", F.col("ocsf.time").alias("time"))
 
 
-@query(WITH + "SELECT event_id, CAST(coalesce(severity NOT BETWEEN 0 AND 99, false) AS BIGINT) AS problems FROM n WHERE status = 'parsed'")
+BEYOND = ("coalesce(severity NOT BETWEEN 0 AND 6, false)", *(f"coalesce(TRY_CAST({c} AS BIGINT) NOT BETWEEN 0 AND 65535, false)" for c in ("src_port", "dst_port")))
+
+
+@query(WITH + "SELECT event_id, " + " + ".join(f"CAST({x} AS BIGINT)" for x in BEYOND) + " AS problems FROM n WHERE status = 'parsed'")
 def schema_errors(spark, sf_dir):
-    """Every parsed document against the schema: severities up to 99 and ports of any number or text are within it."""
-    return normalized(spark, sf_dir).where("status = 'parsed'").select("event_id", F.size(document_errors(F.col("ocsf"))).cast("long").alias("problems"))
+    """Every parsed document against the schema with the limits of network events: severities up to 6, ports up to 65,535."""
+    return normalized(spark, sf_dir).where("status = 'parsed'").select("event_id", F.size(document_errors(F.col("ocsf"), NETWORK_RULE)).cast("long").alias("problems"))
 
 
-@query(WITH + "SELECT count(*) AS checked, CAST(count_if(coalesce(severity NOT BETWEEN 0 AND 99, false)) AS BIGINT) AS failed FROM n WHERE status = 'parsed' AND CAST('0x' || right(event_id, 8) AS BIGINT) % 100 = 0")
+@query(WITH + f"SELECT count(*) AS checked, CAST(count_if({' OR '.join(BEYOND)}) AS BIGINT) AS failed FROM n WHERE status = 'parsed' AND CAST('0x' || right(event_id, 8) AS BIGINT) % 100 = 0")
 def schema_canary(spark, sf_dir):
-    return canary(normalized(spark, sf_dir))
+    return canary(normalized(spark, sf_dir), rule=NETWORK_RULE)
 
 
 @query(WITH + "SELECT event_id, coalesce(regexp_full_match(src_ip, '(\\d{1,3}\\.){3}\\d{1,3}'), true) AND coalesce(regexp_full_match(dst_ip, '(\\d{1,3}\\.){3}\\d{1,3}'), true) AS ip_fields_valid, coalesce(TRY_CAST(src_port AS BIGINT) BETWEEN 0 AND 65535, src_port IS NULL) AND coalesce(TRY_CAST(dst_port AS BIGINT) BETWEEN 0 AND 65535, dst_port IS NULL) AS port_fields_valid, coalesce(severity BETWEEN 0 AND 6, true) AS severity_valid FROM n WHERE status = 'parsed'")

@@ -40,6 +40,9 @@ DOCUMENT_RULE = {
         "metadata": {"type": "object", "properties": {"product": {"const": "logloom"}}, "required": ["product"]}, "unmapped": {"type": "object", "additionalProperties": True},
     },
 }
+_NETWORK_ENDPOINT = {**_ENDPOINT_RULE, "properties": {**_ENDPOINT_RULE["properties"], "port": {**_ENDPOINT_RULE["properties"]["port"], "minimum": 0, "maximum": 65_535}}}
+#: The same with the limits that values of a network event have: severities up to 6, numbers of ports up to 65,535.
+NETWORK_RULE = {**DOCUMENT_RULE, "properties": {**DOCUMENT_RULE["properties"], "severity_id": {"type": ["integer", "null"], "minimum": 0, "maximum": 6}, "src_endpoint": _NETWORK_ENDPOINT, "dst_endpoint": _NETWORK_ENDPOINT}}
 #: Tables partitioned by day: readers with a predicate on it open those days alone.
 DAILY = ("raw_events", "normalized_events", "superseded", "key_filters_raw_events", "key_filters_normalized_events")
 
