@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .backtracking import growth
@@ -175,28 +175,32 @@ def flatten_json(text: Column) -> Column:
 
     Which values are objects is known from their VARIANT, so a string with braces in it is a
     string. Lists and scalars are JSON text as it stands, strings their content, nulls are kept;
-    an empty object adds nothing. Each round opens the objects of one level more.
+    an empty object adds nothing. Each round opens the objects of one level more; the text is
+    read as VARIANT once, and each object in it is opened once.
     """
-    none = F.array().cast("array<struct<key:string,value:string,deeper:boolean>>")
-
-    def level(value: Column, prefix: Column) -> Column:
-        def opened(own: Column) -> Column:
-            # Only a text that opens with a brace can be an object, so objects without such values aren't read as VARIANT.
-            braces = F.exists(F.map_values(own), lambda v: F.coalesce(v.startswith("{"), F.lit(False)))
-            inside = F.when(braces, F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>"))
-            return bound(inside, lambda kinds: F.transform(F.map_entries(own), lambda e: entry(e, kinds)))
-
-        def entry(e: Column, kinds: Column) -> Column:
-            deeper = F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.coalesce(~F.to_json(F.element_at(kinds, e["key"])).startswith('"'), F.lit(False))).otherwise(False)
-            return F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), deeper.alias("deeper"))
-
-        return F.coalesce(bound(F.from_json(value, "map<string,string>"), opened), none)
-
-    first = F.array(F.struct(F.lit("").alias("key"), text.alias("value"), F.lit(True).alias("deeper")))
-    more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["deeper"], level(e["value"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))).otherwise(F.array(e))))
-    found = F.aggregate(F.sequence(F.lit(1), F.greatest(json_depth(text), F.lit(1))), first, lambda at, _: more(at))
-    pairs = F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return F.when(F.coalesce(F.trim(text).startswith("{"), F.lit(False)) & F.try_parse_json(text).isNotNull(), last_values(pairs))
+    members = "map<string,variant>"
+    none = F.array().cast(f"array<struct<key:string,value:string,inside:{members}>>")
+    braces = lambda v: F.coalesce(v.startswith("{"), F.lit(False))
+
+    def level(value: Column, inside: Column, prefix: Column) -> Column:
+        # Only a text that opens with a brace can be an object.
+        opened = lambda e: F.when(braces(e["value"]), F.try_variant_get(F.element_at(inside, e["key"]), "$", members))
+        entry = lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), opened(e).alias("inside"))
+        return F.coalesce(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), entry), none)
+
+    more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["inside"].isNotNull(), level(e["value"], e["inside"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))).otherwise(F.array(e))))
+
+    def flat(top: Column) -> Column:
+        first = F.array(F.struct(F.lit("").alias("key"), text.alias("value"), top.alias("inside")))
+        found = F.aggregate(F.sequence(F.lit(1), F.greatest(json_depth(text), F.lit(1))), first, lambda at, _: more(at))
+        return F.when(top.isNotNull(), last_values(F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))))
+
+    return bound(F.when(braces(F.trim(text)), F.try_variant_get(F.try_parse_json(text), "$", members)), flat)
+
+
+def pairs_of(columns: list[str], pairs: Column, rows: DataFrame) -> DataFrame:
+    """rows' columns with a row (key, value) for each entry of a map. A plain explode would add filters that work the map out twice more."""
+    return rows.select(*columns, F.explode_outer(pairs).alias("key", "value")).where(F.col("key").isNotNull())
 
 
 def document(values: dict[str, Column], unmapped: Column, product: str = "logloom") -> Column:

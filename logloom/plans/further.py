@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..commits import Batch
-from ..functions.extract import Rule, flatten_json, parse
+from ..functions.extract import Rule, flatten_json, pairs_of, parse
 from ..functions.json_schema import compile_schema
 from ..functions.registry import register
 from ..operators import serve
@@ -28,7 +28,7 @@ LEAVES = "replace(substr(fullkey, 3), '\"', '') AS key, CASE type WHEN 'NULL' TH
 def flatten_props(spark, sf_dir):
     """The JSON of each click: nested objects, lists, broken and missing texts."""
     clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
-    return clicks.select("click_id", F.explode(flatten_json(F.col("props"))).alias("key", "value"))
+    return pairs_of(["click_id"], flatten_json(F.col("props")), clicks)
 
 
 DEPTH = 20
@@ -44,7 +44,7 @@ def flatten_deep(spark, sf_dir):
     register(spark)
     text = lines(spark, sf_dir).select("eid", F.expr(ODD).alias("js"))
     both = text.select("eid", flatten_json(F.col("js")).alias("m"), F.expr("log_flatten(js)").alias("s"))
-    return both.select("eid", (F.to_json("m") == F.to_json("s")).alias("same"), F.explode("m").alias("key", "value"))
+    return pairs_of(["eid", "same"], F.col("m"), both.withColumn("same", F.to_json("m") == F.to_json("s")))
 
 
 # --- pattern costs --------------------------------------------------------------------------
