@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import drift as D
 from ..functions.extract import Rule
+from ..storage import small
 
 KEY = ("fingerprint_id", "rule_version")
 RULE_FIELD, UNMAPPED = "__rule__", "unmapped."
+#: Rows with documents that a task sorts or groups: about 1 KB each.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """rows by hash in as many parts as hold TASK_ROWS of n, and no fewer than there are cores: parts don't grow with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *by)
 
 
 def windows(view: DataFrame, count_window: int = 1000, time_window_s: int = 600) -> DataFrame:
@@ -27,16 +35,21 @@ def windows(view: DataFrame, count_window: int = 1000, time_window_s: int = 600)
     counts = counts.withColumn("hour", F.date_trunc("hour", "second"))
     earlier = lambda of, by: F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hours = counts.groupBy(*KEY, "hour").agg(F.sum("n").alias("n"), F.max("last").alias("last")).withColumn("hours_before", earlier(KEY, "hour"))
+    # One row a rule version: broadcast, as a shuffle by a handful of keys would give each task the whole history of one.
     ends = hours.groupBy(*KEY).agg(F.sum("n").alias("total"), (F.max("last") - F.make_interval(secs=F.lit(time_window_s))).alias("horizon"))
     before = counts.withColumn("seconds_before", earlier((*KEY, "hour"), "second")).join(hours.select(*KEY, "hour", "hours_before"), [*KEY, "hour"])
     before = before.select(*KEY, "second", (F.col("hours_before") + F.col("seconds_before")).alias("before"))
     nth = F.row_number().over(Window.partitionBy(*KEY, "second").orderBy("parsed_at", "event_id")) - 1
-    out = rows.withColumn("nth", nth).join(before, [*KEY, "second"]).withColumn("rn", F.col("before") + F.col("nth")).join(ends, list(KEY)).withColumn("old", F.col("parsed_at") < F.col("horizon"))
-    old = rows.join(ends, list(KEY)).where(F.col("parsed_at") < F.col("horizon")).groupBy(*KEY).agg(F.count("*").alias("some_old"))
-    out = out.join(old, list(KEY), "left").withColumn("n_old", F.coalesce("some_old", F.lit(0)))
+    known = F.broadcast(ends)
+    n = rows.count()
+    parts = dealt(rows, [*KEY, "second"], n)
+    out = parts.withColumn("nth", nth).join(before, [*KEY, "second"]).withColumn("rn", F.col("before") + F.col("nth")).join(known, list(KEY)).withColumn("old", F.col("parsed_at") < F.col("horizon"))
+    old = rows.select(*KEY, "parsed_at").join(known, list(KEY)).where(F.col("parsed_at") < F.col("horizon")).groupBy(*KEY).agg(F.count("*").alias("some_old"))
+    out = out.join(F.broadcast(old), list(KEY), "left").withColumn("n_old", F.coalesce("some_old", F.lit(0)))
     full = F.col("n_old") + F.floor((F.col("total") - F.col("n_old")) / count_window) * count_window
     wid = F.when(F.col("old"), F.col("rn")).otherwise(F.col("n_old") + F.floor((F.col("rn") - F.col("n_old")) / count_window)).cast("long")
-    return out.withColumn("wid", wid).where(F.col("old") | (F.col("rn") < full)).select(*view.columns, "wid")
+    closed = out.withColumn("wid", wid).where(F.col("old") | (F.col("rn") < full)).select(*view.columns, "wid")
+    return dealt(closed, [*KEY, "wid"], n)  # bounds, fields and their join all go by window
 
 
 def window_bounds(closed: DataFrame) -> DataFrame:
@@ -72,9 +85,9 @@ def window_rows(view: DataFrame, rules: Iterable[Rule], count_window: int = 1000
     Null rates are over the parsed documents. Where timestamps tie, windows may share their
     start: the first of them is kept.
     """
-    rules = list(rules)
+    rules, n = list(rules), view.where(F.col("rule_version").isNotNull()).count()
     closed = windows(view, count_window, time_window_s)
-    bounds = window_bounds(closed)
+    bounds = dealt(window_bounds(closed), [*KEY, "window_start"], n)
     first = bounds.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, "window_start").orderBy("wid"))).where("n = 1").drop("n")
     fields = field_stats(closed, rules).join(first, [*KEY, "wid"])
     hidden = F.col("field").startswith(UNMAPPED)
@@ -90,9 +103,13 @@ def baseline(rows: DataFrame, n_windows: int = 10) -> DataFrame:
     Mean null and match rate, least and most events, and value classes summed and then scaled to
     shares; unmapped keys have no profile.
     """
+    # The first n_windows hours that have windows hold the first n_windows of them: the others needn't be ordered.
+    hours = rows.select(*KEY, F.date_trunc("hour", "window_start").alias("hour")).distinct()
+    early = hours.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("hour"))).where(F.col("nth") <= n_windows).groupBy(*KEY).agg(F.max("hour").alias("until"))
+    rows = rows.join(F.broadcast(early), list(KEY)).where(F.date_trunc("hour", "window_start") <= F.col("until")).drop("until")
     ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("window_start"))).where(F.col("nth") <= n_windows)
     enough = ranked.groupBy(*KEY).agg(F.max("nth").alias("seen")).where(F.col("seen") >= n_windows)
-    used = ranked.where(~F.col("field").startswith(UNMAPPED)).join(enough, list(KEY))
+    used = ranked.where(~F.col("field").startswith(UNMAPPED)).join(F.broadcast(enough), list(KEY))
     count = lambda c: F.coalesce(F.sum(F.coalesce(F.try_element_at("shape_dist", F.lit(c)), F.lit(0))), F.lit(0))
     classes = ("ipv4", "timestamp", "int", "free_text")
     rule = F.col("field") == RULE_FIELD
@@ -106,7 +123,7 @@ def baseline(rows: DataFrame, n_windows: int = 10) -> DataFrame:
 def first_unmapped(rows: DataFrame) -> DataFrame:
     """The unmapped keys of the earliest window of each rule version."""
     first = rows.groupBy(*KEY).agg(F.min("window_start").alias("window_start"))
-    return rows.where(F.col("field").startswith(UNMAPPED)).join(first, [*KEY, "window_start"]).select(*KEY, "field").distinct()
+    return rows.where(F.col("field").startswith(UNMAPPED)).join(F.broadcast(first), [*KEY, "window_start"]).select(*KEY, "field").distinct()
 
 
 def findings(rows: DataFrame, profiles: DataFrame, rules: Iterable[Rule] = ()) -> DataFrame:
@@ -116,9 +133,10 @@ def findings(rows: DataFrame, profiles: DataFrame, rules: Iterable[Rule] = ()) -
     for the rule itself, which alerts where a field would be quarantined. A new unmapped key
     alerts. A field that is quarantined already isn't again.
     """
-    known = first_unmapped(rows).withColumn("known", F.lit(True))
+    known = small(first_unmapped(rows).withColumn("known", F.lit(True)), 256)
     has_base = profiles.select(*KEY).distinct().withColumn("has_base", F.lit(True))
-    out = rows.join(profiles, [*KEY, "field"], "left").join(known, [*KEY, "field"], "left").join(has_base, list(KEY), "left")
+    # Profiles are a row a rule and target: broadcast, so that the rows of a field don't meet in one task.
+    out = rows.join(F.broadcast(profiles), [*KEY, "field"], "left").join(known, [*KEY, "field"], "left").join(F.broadcast(has_base), list(KEY), "left")
     hist, rule, hidden = F.col("shape_dist"), F.col("field") == RULE_FIELD, F.col("field").startswith(UNMAPPED)
     total = F.aggregate(F.map_values(hist), F.lit(0.0), lambda s, x: s + x)
     scaled = F.transform_values("base_shape", lambda _, share: share * total)
@@ -145,8 +163,8 @@ def merge_findings(found: DataFrame) -> DataFrame:
 
 def enforcement_plan(found: DataFrame) -> DataFrame:
     """What to do, worst first: one deactivation of a rule at most and then nothing else for it; else one action a field."""
-    order = Window.partitionBy(*KEY, "field").orderBy(D.rank(F.col("severity")).desc(), "window_start")
-    worst = found.where(F.col("action_taken").isNotNull()).withColumn("n", F.row_number().over(order)).where("n = 1")
+    first = F.min(F.struct((-D.rank(F.col("severity"))).alias("order"), "window_start", "severity", "action_taken")).alias("f")  # the worst, of equals the earliest
+    worst = found.where(F.col("action_taken").isNotNull()).groupBy(*KEY, "field").agg(first).select(*KEY, "field", "f.*")
     gone = F.max(F.col("action_taken") == "rule_deactivated").over(Window.partitionBy(*KEY))
     lead = F.row_number().over(Window.partitionBy(*KEY).orderBy(D.rank(F.col("severity")).desc(), "window_start", "field"))
     return worst.withColumn("gone", gone).withColumn("lead", lead).where(~F.col("gone") | (F.col("lead") == 1)).select(*KEY, "field", "window_start", "severity", F.col("action_taken").alias("action"))
