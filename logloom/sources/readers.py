@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import Rule, load_rules
 from ..functions.fingerprint import strip
 from ..operators.ingest import envelope
+from ..storage import materialise
 
 MESSAGE = "topic string, partition int, offset bigint, value string"
 #: Which corpora come by datagram and which by request.
 ROUTES = {"cef": "udp", "syslog": "udp", "acmegw": "udp", "newapp": "udp", "json": "http"}
 REQUEST_LINES, LINE_CHARS, HINT_CHARS = 1000, 65_536, 64
+#: Lines that a task of a replay orders.
+REPLAY_ROWS = 200_000
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -65,14 +68,24 @@ def stream_socket(spark: SparkSession, host: str, port: int, transport: str = "t
     return good.select(envelope(F.col("raw"), F.lit(f"{transport}-{host}"), transport).alias("value"))
 
 
-def replay(corpora: DataFrame, copies: int = 1) -> DataFrame:
-    """Corpus lines as messages of a simulator, in turn: topic, partition, offset and envelope."""
-    rows = corpora.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    keyed = rows.withColumn("partition", F.pmod(F.xxhash64("corpus"), F.lit(6)).cast("int"))
-    from pyspark.sql import Window
-
-    offset = F.row_number().over(Window.partitionBy("partition").orderBy("copy", "corpus", "raw")) - 1
-    return keyed.select(F.lit("raw.logs").alias("topic"), "partition", offset.cast("long").alias("offset"), envelope(F.col("raw"), F.concat(F.lit("sim-"), F.col("corpus")), "udp").alias("value"))
+def replay(corpora: DataFrame, copies: int = 1, rows_a_part: int = REPLAY_ROWS) -> DataFrame:
+    """Corpus lines as messages of a simulator, in turn: topic, partition, offset and envelope.
+
+    An offset is a line's place among those of its partition, by copy, corpus and text. Lines are
+    numbered once, in ranges of the order of about rows_a_part, also where very many are alike;
+    what lies before a range is a sum of counts. So no task orders a whole partition.
+    """
+    rows = corpora.select("corpus", "raw", F.pmod(F.xxhash64("corpus"), F.lit(6)).cast("int").alias("partition")).withColumn("nth", F.monotonically_increasing_id())
+    order = [F.col(c).asc_nulls_first() for c in ("partition", "corpus", "raw", "nth")]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-corpora.count() // rows_a_part))
+    placed = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("partition", "corpus", "raw", F.monotonically_increasing_id().alias("at")), "replayed")
+    ranges = placed.groupBy("partition", F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    whole = Window.partitionBy("partition")  # one row a range
+    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = ranges.select("partition", "range", (before - F.col("first")).alias("shift"), F.sum("n").over(whole).alias("size"))
+    numbered = placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(known), ["partition", "range"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    offset = F.col("copy") * F.col("size") + F.col("at") + F.col("shift")
+    return numbered.select(F.lit("raw.logs").alias("topic"), "partition", offset.cast("long").alias("offset"), envelope(F.col("raw"), F.concat(F.lit("sim-"), F.col("corpus")), "udp").alias("value"))
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
