@@ -18,7 +18,7 @@ from ..operators import ingest, legacy, lifecycle, serve
 from ..operators.normalize import capture_samples, normalize
 from ..rulebook import RuleBook
 from ..schemas import append_new, bootstrap, read, schema
-from ..sources.readers import replay, request_messages, route, stream_messages
+from ..sources.readers import read_messages, replay, request_messages, route, stream_messages
 from ..storage import shared_dir
 from ..streaming.pipeline import start
 from .lines import lines
@@ -64,14 +64,21 @@ def appended_twice(spark, sf_dir):
     return read(spark, root, "raw_events").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("raw_id").alias("ids"))
 
 
+def streamed(spark, root, rules, part=None):
+    """Write a lot of messages and stream all its files as one micro-batch; without one, stream what is still waiting."""
+    if part is not None:
+        part.drop("eid").write.mode("append").parquet(f"{root}/messages")
+    files = len(read_messages(spark, f"{root}/messages").inputFiles())
+    start(stream_messages(spark, f"{root}/messages", max(files, 1)), root, f"{root}/checkpoint", rules).awaitTermination()
+
+
 @query(WITH + f"""SELECT 'normalized_events' AS name, status, count(*) AS n FROM n WHERE eid % 11 > 3 GROUP BY status UNION ALL SELECT 'raw_events', NULL, count(*) FROM n WHERE eid % 11 > 3
 UNION ALL SELECT 'onboarding_samples', NULL, sum(least(c, 200)) FROM (SELECT count(*) AS c FROM n WHERE eid % 11 > 3 AND fp NOT IN {ACTIVE} GROUP BY fp)""")
 def streamed_tables(spark, sf_dir):
-    """Two files of messages that overlap, one micro-batch each, to tables."""
+    """Two lots of messages that overlap, one micro-batch each, to tables."""
     root, found = fresh_root(spark), messages(spark, sf_dir)
     for part in (found.where("eid % 3 <> 0"), found.where("eid % 3 <> 1")):
-        part.drop("eid").coalesce(1).write.mode("append").parquet(f"{root}/messages")
-    start(stream_messages(spark, f"{root}/messages"), root, f"{root}/checkpoint", lambda: SEEDS).awaitTermination()
+        streamed(spark, root, lambda: SEEDS, part)
     none = F.lit(None).cast("string").alias("status")
     count = lambda name, by: read(spark, root, name).groupBy(by).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "status", "n")
     return count("normalized_events", "status").unionByName(count("raw_events", none)).unionByName(count("onboarding_samples", none))

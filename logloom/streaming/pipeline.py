@@ -15,6 +15,7 @@ from ..functions.extract import Rule
 from ..operators.ingest import batches, chain_heads, decode, extend_chain, raw_events
 from ..operators.normalize import capture_samples, dead_letters, envelopes, normalize, replaced_by
 from ..schemas import bootstrap, new_rows, read, read_current, schema
+from ..storage import spread
 from .outbox import LETTERS, NORMALIZED
 from .outbox import messages as messages_of
 
@@ -32,7 +33,7 @@ def process(messages: DataFrame, root: str, rules: Callable[[], Iterable[Rule]],
     spark, batch = messages.sparkSession, Batch(messages.sparkSession, root, key or uuid.uuid4().hex)
     if key and batch.done():
         return
-    events = raw_events(decode(messages)).persist()
+    events = raw_events(decode(spread(messages))).persist()  # a batch may come in one file
     try:
         fresh = batch.add("raw_events", new_rows(events, root, "raw_events", ["raw_id"]))
         batch.add("key_filters_raw_events", filter_of(fresh, ["raw_id"]))
