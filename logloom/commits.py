@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import DAILY, schema
+from .storage import materialise, small
 
 #: A day's filter has this many blocks of 32,768 bits (64 MB, or 33 million keys at 16 bits); a key sets so many bits of one block.
 BLOCKS, BLOCK_BITS, BITS = 1 << 14, 32_768, 4
@@ -123,13 +124,16 @@ def with_suspicion(rows: DataFrame, filters: DataFrame, key: list[str]) -> DataF
 
 
 def split_known(df: DataFrame, key: list[str], filters: DataFrame | None, known: DataFrame) -> DataFrame:
-    """The rows of df, one a key, whose key the table (known) doesn't hold; the table is opened only if the filter suspects a key of df."""
+    """The rows of df, one a key, whose key the table (known) doesn't hold; the table is opened only if the filter suspects a key of df.
+
+    Keys alone meet the filters and the table, once; whole rows are shuffled once, when the result is written.
+    """
     rows = df.dropDuplicates(key)
     if filters is None:
         return rows
-    rows = with_suspicion(rows, filters, key)
-    suspects = rows.where("suspect")
+    keys = ["day", *key]
+    suspects = materialise(with_suspicion(df.select(*keys).distinct(), filters, key).where("suspect").select(*keys), "suspects")
     if not suspects.limit(1).count():
-        return rows.drop("suspect")
-    held = known.select("day", *key).join(suspects.select("day", *key), ["day", *key], "left_semi")
-    return rows.where("NOT suspect").unionByName(suspects.join(held, ["day", *key], "left_anti")).drop("suspect")
+        return rows
+    held = materialise(known.select(*keys).join(suspects, keys, "left_semi").distinct(), "held")
+    return rows.join(small(held, 48 + 48 * len(key)), keys, "left_anti").select(*df.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import materialise
+
 ENDPOINT = "struct<ip:string,port:bigint,port_raw:string>"
 DOCUMENT = f"struct<class_uid:int,class_name:string,activity_id:int,severity_id:bigint,time:string,src_endpoint:{ENDPOINT},dst_endpoint:{ENDPOINT},action:string,message:string,metadata:struct<product:string>,unmapped:map<string,string>>"
 ENVELOPE = "source_id string, transport string, received_at string, raw string, format_hint string"
@@ -101,13 +103,13 @@ def new_rows(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
 
 
 def append_new(df: DataFrame, root: str, name: str, key: list[str]) -> DataFrame:
-    """Append the rows of df whose key isn't in the table; returns them.
+    """Append the rows of df whose key isn't in the table; returns them. They are found once and kept beside the table for both writes.
 
     The filters come first: a filter may hold keys that the table lacks, never the other way round.
     """
     from .commits import filter_of
 
-    fresh = new_rows(df, root, name, key).select(*[f.name for f in schema(name)])
+    fresh = materialise(new_rows(df, root, name, key).select(*[f.name for f in schema(name)]), f"fresh/{name}")
     if name in DAILY:
         filter_of(fresh, key).write.mode("append").option("compression", "zstd").partitionBy("day").parquet(f"{root}/key_filters_{name}")
     writer = fresh.write.mode("append").partitionBy("day") if name in DAILY else fresh.write.mode("append")
