@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_type, map_arrow
+from .token_files import encoder
 
 #: A piece of a long text has about this many characters.
 PIECE_CHARS = 16_384
@@ -41,22 +42,18 @@ def batch_counter(path: str, content: bytes, piece_chars: int, batch_bytes: int)
         pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
         # Pieces of sentencepiece may depend on what stands before a space: texts stay whole.
         return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(content.decode("utf-8"))
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    encode, _ = encoder(content)
+    made = json.loads(content)
     # Only the byte-level splitter is known to restart at SAFE; others get whole texts.
-    whole = type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.normalizer is not None
+    whole = (made.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or made.get("normalizer") is not None
 
     def count(texts: list[str]) -> list[int]:
         counts, pending, owners, size = [0] * len(texts), [], [], 0
 
         def flush() -> None:
             nonlocal size
-            for owner, encoding in zip(owners, tokenizer.encode_batch_fast(pending, add_special_tokens=False), strict=True):
-                counts[owner] += len(encoding)
+            for owner, ids in zip(owners, encode(pa.array(pending, pa.string())), strict=True):
+                counts[owner] += len(ids)
             pending.clear()
             owners.clear()
             size = 0
@@ -80,8 +77,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     The vocabulary file is read once on the driver and travels with the function, so that
-    executors need no file. Batches are filled by size, long texts are cut at safe boundaries,
-    and only lengths come back. Special strings in a text follow the library's default.
+    executors need no file. Batches are filled by size, long texts are cut at safe boundaries, each
+    distinct piece between white space is encoded once a worker and remembered, and only lengths
+    come back. Special strings in a text follow the library's default.
     Nulls and empty texts have 0 bytes and tokens; repeated rows give repeated rows; an empty
     table gives none; other columns of docs are ignored.
     """
