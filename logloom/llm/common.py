@@ -78,11 +78,17 @@ def in_sample(*row: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), *map(F.col, row)), F.lit(SAMPLE)) == 0
 
 
+def one_of(column: str, numbers: list[int]) -> Column:
+    """Whether a number column is one of so many; the least long has no literal and is none of them."""
+    found = [k for k in numbers if k > -(2**63)]
+    return F.expr(f"{column} IN ({', '.join(f'{k}L' for k in found)})") if found else F.lit(False)
+
+
 def hot_keys(sample: DataFrame) -> Column:
     """Whether the number key is met HOT_TIMES times or more in a sample (key), among the most frequent HOT_KEYS of it; others are dealt by hash."""
     times = sample.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= HOT_TIMES)
     found = [r.key for r in times.orderBy(F.desc("times"), "key").limit(HOT_KEYS).collect()]  # at most HOT_KEYS numbers
-    return F.expr(f"key IN ({', '.join(f'{k}L' for k in found if k > -(2**63))})") if any(k > -(2**63) for k in found) else F.lit(False)
+    return one_of("key", found)
 
 
 def fold(id_column: str | Column, buckets: int) -> Column:

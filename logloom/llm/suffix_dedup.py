@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, tidy
+from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, one_of, tidy
 from .jaccard_join import M1, M3, mix
 
 LENGTH, GRAM = 100, 24
@@ -136,9 +136,9 @@ def meeting_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     hot = hot_keys(map_arrow(rows.where(in_sample("id", "node")).select("node", "text"), make, schema))
     found = map_arrow(rows.select("node", "text"), make, schema)
     often = found.where(hot).distinct()
-    met_often = materialise(often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-hot-met")
+    met_often = one_of("key", [r.key for r in often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").collect()])  # of at most HOT_KEYS
     seldom = found.where(~hot).repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(tidy(run), schema)
-    return seldom.unionByName(often.join(F.broadcast(met_often), "key", "left_semi"))
+    return seldom.unionByName(often.where(met_often))
 
 
 class Suffixes:
