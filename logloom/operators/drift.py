@@ -163,8 +163,10 @@ def merge_findings(found: DataFrame) -> DataFrame:
 
 def enforcement_plan(found: DataFrame) -> DataFrame:
     """What to do, worst first: one deactivation of a rule at most and then nothing else for it; else one action a field."""
+    # A minimum of structs sorts what it reads: first the earliest time of each severity and action, by hash, which leaves a few rows a field.
+    few = found.where(F.col("action_taken").isNotNull()).groupBy(*KEY, "field", "severity", "action_taken").agg(F.min("window_start").alias("window_start"))
     first = F.min(F.struct((-D.rank(F.col("severity"))).alias("order"), "window_start", "severity", "action_taken")).alias("f")  # the worst, of equals the earliest
-    worst = found.where(F.col("action_taken").isNotNull()).groupBy(*KEY, "field").agg(first).select(*KEY, "field", "f.*")
+    worst = few.groupBy(*KEY, "field").agg(first).select(*KEY, "field", "f.*")
     gone = F.max(F.col("action_taken") == "rule_deactivated").over(Window.partitionBy(*KEY))
     lead = F.row_number().over(Window.partitionBy(*KEY).orderBy(D.rank(F.col("severity")).desc(), "window_start", "field"))
     return worst.withColumn("gone", gone).withColumn("lead", lead).where(~F.col("gone") | (F.col("lead") == 1)).select(*KEY, "field", "window_start", "severity", F.col("action_taken").alias("action"))
