@@ -99,13 +99,13 @@ def shared_keys(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     """(key, node, df) of pairs (key, node) whose key df nodes have, two or more.
 
     One shuffle by key, streamed in its order. Keys that a sample of the rows shows to be very
-    frequent do not go through it: they are counted after partial aggregation, and the counts are
-    broadcast. Any choice of such keys gives the same result.
+    frequent do not go through it: they are counted after partial aggregation, and the counts, of
+    at most HOT_KEYS keys, go with the function. Any choice of such keys gives the same result.
     """
     hot = hot_keys(sample.select("key"))
     often = pairs.where(hot).distinct()
-    counted = materialise(often.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "join-hot-counts")
-    often = often.join(F.broadcast(counted), "key").select("key", "node", "df")
+    counted = sorted((r.key, r.df) for r in often.groupBy("key").agg(F.count("*").alias("df")).collect())  # of at most HOT_KEYS
+    hot_key, hot_df = (np.array([r[k] for r in counted], np.int64) for k in range(2))
     seldom = pairs.where(~hot).repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +122,13 @@ def shared_keys(pairs: DataFrame, sample: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(df[keep].astype(np.int64))], names=["key", "node", "df"])
 
         for batch in batches:
+            if len(hot_key) and batch.num_rows:
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                counted_apart = hot_key[at] == key
+                if counted_apart.any():
+                    yield batch.append_column("df", pa.array(hot_df[at])).filter(pa.array(counted_apart & (hot_df[at] > 1)))
+                    batch = batch.filter(pa.array(~counted_apart))
             if batch.num_rows:
                 key, node = (np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest))
                 end = int(np.searchsorted(key, key[-1]))
@@ -131,7 +138,7 @@ def shared_keys(pairs: DataFrame, sample: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield several(*rest)
 
-    return seldom.mapInArrow(tidy(run), "key long, node long, df long").unionByName(often)
+    return seldom.unionByName(often).mapInArrow(tidy(run), "key long, node long, df long")
 
 
 def points(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

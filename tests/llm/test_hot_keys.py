@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from logloom.llm import common, suffix_dedup
+from logloom.llm import common, jaccard_join, suffix_dedup
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,16 @@ def few(monkeypatch):
     monkeypatch.setattr(common, "HOT_TIMES", 5)
 
 
+def test_counts_of_frequent_tokens_need_no_join(spark, few):
+    """Keys below 3 are frequent; of key 0 all rows are of one node, so that no other node has it."""
+    rows = [(k, 0 if k == 0 else node) for k in range(3) for node in range(40) for _ in range(2)] + [(k, node) for k in range(3, 60) for node in range(k % 4)]
+    pairs = spark.createDataFrame(rows, "key long, node long").repartition(3)
+    met = jaccard_join.shared_keys(pairs, pairs)
+    assert "Join" not in met._jdf.queryExecution().executedPlan().toString()
+    df = Counter(k for k, _ in set(rows))
+    assert sorted(map(tuple, met.collect())) == sorted((k, n, df[k]) for k, n in set(rows) if df[k] > 1)
+
+
 def test_frequent_anchors_need_no_join(spark, few):
     line = "the same passage of well over a hundred bytes that stands in each of the texts, whatever is said before or after it "
     docs = spark.createDataFrame([(k, f"{k} {k * 7919} opens " + line * 2 + f"ends {k * 104729}") for k in range(200)], "id long, text string").withColumn("node", F.xxhash64("text"))
