@@ -10,6 +10,7 @@ BLOCK_BITS bits, each compressed by itself, so that a rank or select reads one b
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -18,9 +19,8 @@ import sys
 import types
 import zlib
 from bisect import bisect_right
-from collections import ChainMap
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,12 @@ class WaveletMatrix:
         return values
 
 
+def squeezed(block: bytes) -> bytes:
+    """A block compressed: bits repeat in runs of bytes, so that longer matches aren't looked for."""
+    made = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL, zlib.Z_RLE)
+    return made.compress(block) + made.flush()
+
+
 def planes(ids: np.ndarray, bits: int) -> tuple[list[list[int]], list[list[int]], list[bytes]]:
     """Sizes and earlier ones of the blocks of each plane (ones: with the total at the end), and the compressed blocks."""
     ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
@@ -136,7 +142,7 @@ def planes(ids: np.ndarray, bits: int) -> tuple[list[list[int]], list[list[int]]
         ones = (ids & ids.dtype.type(1 << (bits - 1 - plane))) != 0
         packed = np.packbits(ones, bitorder="little").tobytes()
         step = BLOCK_BITS // 8
-        parts = [zlib.compress(packed[k : k + step], 1) for k in range(0, len(packed), step)]
+        parts = [squeezed(packed[k : k + step]) for k in range(0, len(packed), step)]
         sizes.append([len(x) for x in parts])
         before.append([0, *np.cumsum([int(np.count_nonzero(ones[k : k + BLOCK_BITS])) for k in range(0, len(ids), BLOCK_BITS)]).tolist()])
         blocks += parts
@@ -166,6 +172,13 @@ def open_shard(content: bytes) -> tuple[dict, np.ndarray, WaveletMatrix]:
     return head, lengths, WaveletMatrix(head["tokens"], head["bits"], head["sizes"], head["ones"], view[at:])
 
 
+def ranked(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers below most among code, and for each of code its place among them: np.unique without a sort."""
+    met = np.zeros(most, bool)
+    met[code] = True
+    return np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - np.int32(1))[code]
+
+
 def remembered(content: bytes) -> dict[str, bytes]:
     """Pieces and their ids that this worker process has met with a vocabulary: it serves many tasks."""
     holder = sys.modules.setdefault("_logloom_pieces", types.ModuleType("_logloom_pieces"))
@@ -192,24 +205,38 @@ def encoder(content: bytes) -> tuple[Callable[[pa.Array], list[np.ndarray]], int
     def asked(texts: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(texts), 4096):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+            ends = list(accumulate(map(len, found), lambda at, n: at + 4 * n, initial=0))
+            whole = np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4).tobytes()  # one array for all: most texts are a piece of a few ids
+            out += [whole[a:b] for a, b in pairwise(ends)]
         return out
 
     def ids_of(words: list[str]) -> list[bytes]:
         """Ids of pieces; of a plain word its letters and the signs behind it are looked up apart."""
         out = list(map(known.get, words))
-        missing = [k for k, x in enumerate(out) if x is None]
-        parts: list[tuple[str, ...]] = []
-        for word in (words[k] for k in missing):
-            plain = WORD.fullmatch(word)
-            parts.append(tuple(x for x in plain.groups() if x) if plain else (word,) if word.isascii() and not SPACES.search(word, 1) else tuple(PIECE.split(word)))
-        new = list({x for xs in parts for x in xs if x not in known})
-        look = ChainMap(dict(zip(new, asked(new), strict=True)), known)
-        for k, xs in zip(missing, parts, strict=True):
-            out[k] = look[xs[0]] if len(xs) == 1 else b"".join([look[x] for x in xs])
+        plain, others, new = [], [], {}
+        for k in [k for k, x in enumerate(out) if x is None]:
+            word = words[k]
+            if word[1:].isalpha() and word.isascii() and (word[0] == " " or word[0].isalpha()):  # as most are: letters, with a blank before them or not
+                plain.append(k)
+                new[word] = None
+                continue
+            found = WORD.fullmatch(word)
+            xs = [x for x in found.groups() if x] if found else [word] if word.isascii() and not SPACES.search(word, 1) else PIECE.split(word)
+            others.append((k, xs))
+            for x in xs:
+                if x not in known:
+                    new[x] = None
+        names = list(new)
+        new = dict(zip(names, asked(names), strict=True))
+        for k in plain:
+            out[k] = new[words[k]]
+        for k, xs in others:
+            out[k] = b"".join([new[x] if x in new else known[x] for x in xs])
         room = KNOWN_PIECES - len(known)
         if room > 0:  # parts first: other words have them too
-            known.update((x, ids) for x, ids in chain(look.maps[0].items(), ((words[k], out[k]) for k in missing)) if len(x) <= KNOWN_CHARS)
+            known.update({x: ids for x, ids in new.items() if len(x) <= KNOWN_CHARS})
+            known.update({words[k]: out[k] for k, _ in others if len(words[k]) <= KNOWN_CHARS})
             for x in list(islice(reversed(known), max(0, len(known) - KNOWN_PIECES))):
                 del known[x]
         return out
@@ -219,21 +246,32 @@ def encoder(content: bytes) -> tuple[Callable[[pa.Array], list[np.ndarray]], int
         lists = pc.split_pattern(texts, " ")
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False) + np.int32(len(coded.dictionary))
         code[starts[:-1]] -= len(coded.dictionary)
-        used, code = np.unique(code, return_inverse=True)
-        words = coded.dictionary.take(pa.array(used % len(coded.dictionary))).to_pylist()
+        used, code = ranked(code, 2 * len(coded.dictionary))
+        words = coded.dictionary.take(pa.array(used % len(coded.dictionary))).to_numpy(zero_copy_only=False).tolist()
         found = ids_of([w if k < len(coded.dictionary) else " " + w for k, w in zip(used.tolist(), words, strict=True)])
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, place = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
         many = size[code]
         ends = np.cumsum(many)
-        ids = pool[np.arange(int(ends[-1])) + np.repeat(place[code] - (ends - many), many)]
+        at = np.repeat((place[code] - (ends - many)).astype(np.int32), many)  # a batch has far fewer ids than 2**31
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[at]
         edges = np.append(0, ends)[starts]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def encode(column: pa.Array) -> list[np.ndarray]:
-        column = column.fill_null("")
+        """Millions of small objects are made and none in circles: the collector, which would look through them again and again, waits."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return encoded(column.fill_null(""))
+        finally:
+            if collects:
+                gc.enable()
+
+    def encoded(column: pa.Array) -> list[np.ndarray]:
         whole = np.full(len(column), not by_piece)
         for text in special:
             whole |= pc.match_substring(column, text).to_numpy(zero_copy_only=False)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from logloom.llm import common, jaccard_join, suffix_dedup
+from logloom.llm.token_files import planes, ranked
 from pyspark.sql import functions as F
 
 
@@ -31,3 +32,10 @@ def test_frequent_anchors_need_no_join(spark, few):
     every = [(int(k), r.node, int(p)) for r in docs.collect() for k, p in zip(*(x.view(np.int64) for x in suffix_dedup.anchors(r.text.encode())), strict=True)]
     places = Counter(k for k, _, _ in set(every))
     assert sorted(map(tuple, met.distinct().collect())) == sorted(x for x in set(every) if places[x[0]] > 1)
+
+
+def test_ranked_is_unique():
+    code = np.array([7, 3, 3, 9, 0, 7], np.int32)
+    used, place = ranked(code, 10)
+    assert used.tolist() == [0, 3, 7, 9] and place.tolist() == [2, 1, 1, 3, 0, 2]
+    assert [len(x) for x in planes(code, 4)[:2]] == [4, 4]
