@@ -9,9 +9,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .backtracking import growth
-from .fingerprint import bound
+from .fingerprint import SPACES, bound, strip
 
 #: The pattern of rules that read a line as JSON.
 JSON_RULE = "__JSON__"
@@ -27,6 +28,10 @@ SQUARE_ERROR = f"line exceeds {SQUARE_CAP} characters for a pattern of quadratic
 #: for the next key only where blanks begin (or after the blank that a value may consist of): the cost is linear.
 PAIR = r'(?U)(?<!\w)(\w++)=(?:"([^"]*+)"|([^=]+?)(?=(?:(?<!\s)|(?<==\s))\s++\w++=|$))'
 
+#: The members of a JSON object as VARIANTs, and texts that may be a list, an object or a number with a sign, a fraction or an exponent.
+MEMBERS = "map<string,variant>"
+UNSURE = r"^(?:[\[{-]|\d+(?:[eE]|\.\d+(?:[eE]|$)))"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -151,16 +156,27 @@ def rule_errors(rule: Rule) -> list[str]:
 
 
 def key_values(text: Column) -> Column:
-    """array<struct<key, value>> of the pairs in a text, in order; values stripped."""
-    part = lambda k: F.regexp_extract_all(text, F.lit(PAIR), F.lit(k))
-    plain = F.zip_with(part(2), part(3), lambda quoted, bare: F.regexp_replace(F.when(bare == "", quoted).otherwise(bare), r"(?U)^\s++|(?<!\s)\s++$", ""))
-    return F.zip_with(part(1), plain, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    """array<struct<key, value>> of the pairs in a text, in order; values stripped.
+
+    The text is searched once: a key has no =, and only a value in quotes begins and ends with one.
+    """
+    def parts(pair: Column) -> Column:
+        key = F.substring_index(pair, "=", 1)
+        value = F.substring(pair, F.length(key) + 2, F.length(pair))
+        return F.struct(key.alias("key"), bound(value, plain).alias("value"))
+
+    def plain(value: Column) -> Column:
+        quoted = value.startswith('"') & value.endswith('"') & (F.length(value) > 1)
+        return F.when(quoted, strip(F.substring(value, F.lit(2), F.length(value) - 2), SPACES)).otherwise(strip(value, SPACES))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), parts)
 
 
 def last_values(pairs: Column) -> Column:
     """map<string,string> in which the last of equal keys counts."""
     later = lambda all_, p, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])
-    return bound(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~later(all_, p, i))))
+    differ = lambda all_: F.size(F.array_distinct(all_["key"])) == F.size(all_)
+    return bound(pairs, lambda all_: F.map_from_entries(F.when(differ(all_), all_).otherwise(F.filter(all_, lambda p, i: ~later(all_, p, i)))))
 
 
 def json_depth(text: Column) -> Column:
@@ -178,24 +194,28 @@ def flatten_json(text: Column) -> Column:
     an empty object adds nothing. Each round opens the objects of one level more; the text is
     read as VARIANT once, and each object in it is opened once.
     """
-    members = "map<string,variant>"
-    none = F.array().cast(f"array<struct<key:string,value:string,inside:{members}>>")
-    braces = lambda v: F.coalesce(v.startswith("{"), F.lit(False))
+    known = F.when(F.trim(text).startswith("{"), F.try_variant_get(F.try_parse_json(text), "$", MEMBERS))
+    whole = lambda inside: F.array(F.struct(F.lit("").alias("key"), text.alias("value"), inside.alias("inside")))
+    return bound(known, lambda inside: F.when(inside.isNotNull(), open_objects(text, whole(inside), 0)))
 
-    def level(value: Column, inside: Column, prefix: Column) -> Column:
-        # Only a text that opens with a brace can be an object.
-        opened = lambda e: F.when(braces(e["value"]), F.try_variant_get(F.element_at(inside, e["key"]), "$", members))
-        entry = lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), opened(e).alias("inside"))
-        return F.coalesce(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), entry), none)
 
-    more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["inside"].isNotNull(), level(e["value"], e["inside"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))).otherwise(F.array(e))))
+def members_of(members: Column, inside: Column, prefix: Column) -> Column:
+    """The members of an object, as texts and as VARIANTs, with those of members that are objects themselves."""
+    # Only a text that opens with a brace can be an object.
+    opened = lambda e: F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.try_variant_get(F.element_at(inside, e["key"]), "$", MEMBERS))
+    entry = lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), opened(e).alias("inside"))
+    return F.coalesce(F.transform(F.map_entries(members), entry), F.array().cast(f"array<struct<key:string,value:string,inside:{MEMBERS}>>"))
 
-    def flat(top: Column) -> Column:
-        first = F.array(F.struct(F.lit("").alias("key"), text.alias("value"), top.alias("inside")))
-        found = F.aggregate(F.sequence(F.lit(1), F.greatest(json_depth(text), F.lit(1))), first, lambda at, _: more(at))
-        return F.when(top.isNotNull(), last_values(F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))))
 
-    return bound(F.when(braces(F.trim(text)), F.try_variant_get(F.try_parse_json(text), "$", members)), flat)
+def open_objects(text: Column, found: Column, made: int) -> Column:
+    """The map of what is found in a text, after so many rounds, when all objects in it are opened."""
+    members = lambda e: members_of(F.from_json(e["value"], "map<string,string>"), e["inside"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))
+    more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["inside"].isNotNull(), members(e)).otherwise(F.array(e))))
+    # The depth is at most the number of braces, which is counted faster.
+    count = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    rounds = F.when(count > 4, json_depth(text)).otherwise(count) - made
+    found = F.aggregate(F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>")), found, lambda at, _: more(at))
+    return last_values(F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def pairs_of(columns: list[str], pairs: Column, rows: DataFrame) -> DataFrame:
@@ -224,7 +244,7 @@ def document(values: dict[str, Column], unmapped: Column, product: str = "logloo
 
 def plain_number(value: Column) -> Column:
     """Digits as the number that they are: without leading zeros."""
-    return F.when(value.rlike(r"^0\d+$"), F.regexp_replace(value, r"^0+(?=\d)", "")).otherwise(value)
+    return F.when(value.startswith("0") & value.rlike(r"^0\d+$"), F.regexp_replace(value, r"^0+(?=\d)", "")).otherwise(value)
 
 
 def regex_document(raw: Column, rule: Rule) -> Column:
@@ -236,19 +256,19 @@ def regex_document(raw: Column, rule: Rule) -> Column:
     extra = [F.struct(F.lit(n).alias("key"), group[n].alias("value")) for n in group if n not in STRUCTURAL and n not in targets]
     known = [*STRUCTURAL, *targets]
 
-    def build(all_: Column) -> Column:
+    def build(found: Column) -> Column:
         def source(s: str) -> Column:
-            last = F.get(F.filter(all_, lambda p: p["key"] == s), F.size(F.filter(all_, lambda p: p["key"] == s)) - 1)["value"]
-            return F.coalesce(last, group[s]) if s in group else last
+            return F.coalesce(found[s], group[s]) if s in group else found[s]
 
         values: dict[str, Column] = {}
         for s, t in targets.items():
             values[t] = F.coalesce(source(s), values[t]) if t in values else source(s)
-        rest = F.filter(all_, lambda p: ~p["key"].isin(known))
-        rest = F.concat(F.filter(F.array(*extra), lambda p: p["value"].isNotNull()), rest) if extra else rest
-        return document(values, last_values(F.transform(rest, lambda p: F.struct(p["key"].alias("key"), plain_number(p["value"]).alias("value")))))
+        rest = F.map_filter(found, lambda k, v: ~k.isin(known))
+        if extra:
+            rest = last_values(F.concat(F.filter(F.array(*extra), lambda p: p["value"].isNotNull()), F.map_entries(rest)))
+        return document(values, F.transform_values(rest, lambda k, v: plain_number(v)))
 
-    return bound(pairs, build)
+    return bound(last_values(pairs), build)
 
 
 def json_path(raw: Column, dotted: str) -> Column:
@@ -257,14 +277,36 @@ def json_path(raw: Column, dotted: str) -> Column:
 
 
 def json_document(raw: Column, rule: Rule) -> Column:
-    """The document of a line that is a JSON object: dotted paths through nested objects."""
-    path = lambda s: json_path(raw, s)
-    values: dict[str, Column] = {}
-    for s, t in rule.mappings:
-        values[t] = F.coalesce(path(s), values[t]) if t in values else path(s)
-    mapped = [s for s, _ in rule.mappings]
-    unmapped = F.map_filter(flatten_json(raw), lambda k, v: ~(k.isin(mapped) & v.isNotNull()))
-    return document(values, unmapped)
+    """The document of a line that is a JSON object: dotted paths through nested objects.
+
+    The line is read once for the members of the object and once for those of the objects in it
+    that the paths name, not once a path.
+    """
+    paths = [s.split(".") for s, _ in rule.mappings]
+    outer = list(dict.fromkeys(p[0] for p in paths if len(p) == 2))
+    # Lists, objects and numbers that are not written as get_json_object gives them are asked of it.
+    sure = lambda v, s: F.when(v.rlike(UNSURE), json_path(raw, s)).otherwise(v)
+
+    def build(found: Column) -> Column:
+        def path(s: str) -> Column:
+            at = s.split(".")
+            if len(at) == 1:
+                return sure(found["top"][s], s)
+            if len(at) > 2:
+                return json_path(raw, s)
+            return F.when(found["top"][at[0]].startswith("{"), sure(found["inner"][at[0]][at[1]], s)).otherwise(json_path(raw, s))
+
+        values: dict[str, Column] = {}
+        for s, t in rule.mappings:
+            values[t] = F.coalesce(path(s), values[t]) if t in values else path(s)
+        mapped = [s for s, _ in rule.mappings]
+        unmapped = F.map_filter(open_objects(raw, members_of(found["top"], found["inside"], F.lit("")), 1), lambda k, v: ~(k.isin(mapped) & v.isNotNull()))
+        return document(values, unmapped)
+
+    nested = T.StructType([T.StructField(k, T.MapType(T.StringType(), T.StringType())) for k in outer])
+    inner = [F.from_json(raw, nested).alias("inner")] if outer else []
+    parts = F.struct(F.from_json(raw, "map<string,string>").alias("top"), F.try_variant_get(F.try_parse_json(raw), "$", MEMBERS).alias("inside"), *inner)
+    return bound(parts, build)
 
 
 def matches(raw: Column, rule: Rule) -> Column:

@@ -38,7 +38,16 @@ CASE event_id % 5 WHEN 0 THEN {CEF} WHEN 1 THEN {LEEF} WHEN 2 THEN {JSON} WHEN 3
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(eid, partition_id, pos, received_at, user_id, raw); only the four columns used are read."""
-    return spark.sql(LINES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return spark.sql(shared_parts(LINES).replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def shared_parts(sql: str) -> str:
+    """sql with the parts that several formats share worked out once a row: else the generated method is longer than what the JVM compiles (8,000 bytes)."""
+    parts = {"iso_text": ISO, "clock_text": CLOCK, "src_text": SRC, "dst_text": DST, "spt_text": SPT}
+    made = ", ".join(f"concat({part}) AS {name}" for name, part in parts.items())
+    for name, part in parts.items():
+        sql = sql.replace(part, name)
+    return sql.replace("FROM events", f"FROM (SELECT *, {made} FROM events)")
 
 
 def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
