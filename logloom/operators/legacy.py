@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import drift as D
 from ..functions.extract import Rule, document, parse, parse_error, parsed_document
-from ..functions.fingerprint import PRIORITY, SYSLOG, is_json_object, strip, vendor
+from ..functions.fingerprint import PRIORITY, SYSLOG, bound, is_json_object, strip, vendor
+from ..storage import materialise
 from . import lifecycle
 
 RESPONSES = {"none": "No action needed.", "minor": "Alert raised for review.", "moderate": "Field quarantined; the rule stays live.", "severe": "Rule deactivated; lines stay raw."}
@@ -20,8 +21,8 @@ RESPONSES = {"none": "No action needed.", "minor": "Alert raised for review.", "
 
 def fingerprint(line: Column) -> Column:
     """CEF, LEEF, JSON and syslog; anything else is unknown."""
-    text = strip(line)
-    return F.when(text.startswith("CEF:"), vendor(text, "cef")).when(text.startswith("LEEF:"), vendor(text, "leef")).when(is_json_object(text), "json").when(text.rlike(SYSLOG) | text.rlike(PRIORITY), "syslog").otherwise("unknown")
+    found = lambda text: F.when(text.startswith("CEF:"), vendor(text, "cef")).when(text.startswith("LEEF:"), vendor(text, "leef")).when(is_json_object(text), "json").when(text.rlike(SYSLOG) | text.rlike(PRIORITY), "syslog").otherwise("unknown")
+    return bound(strip(line), found)
 
 
 def apply_rule(rows: DataFrame, rule: Rule, raw_col: str = "raw", ingest_col: str = "received_at") -> DataFrame:
@@ -135,9 +136,10 @@ def raw_event(stored: DataFrame, raw_id: str) -> DataFrame:
 
 
 def onboard_new_format(store: RuleStore, fingerprint_id: str, samples: DataFrame, client: Callable[[str, float], str] | None = None) -> Rule | None:
-    """The stored rule of a format, or a new one, saved; null where none can be made."""
+    """The stored rule of a format, or a new one, saved; null where none can be made. Samples are looked for once, and only for a new rule."""
     if rule := store.get(fingerprint_id):
         return rule
+    samples = materialise(samples, "samples")
     try:
         rule, _ = generate_rule(fingerprint_id, samples, client)
     except ValueError:
@@ -158,7 +160,7 @@ def process_lines(lines: DataFrame, rules: dict[str, Rule]) -> DataFrame:
 
 def three_passes(lines: DataFrame, store: RuleStore, client: Callable[[str, float], str] | None = None, base: float = 0.01) -> DataFrame:
     """Fingerprint all lines (raw), onboard each format once, process all; by format: lines, ok, null rate of the source address, severity and response."""
-    marked = lines.select("raw", fingerprint(F.col("raw")).alias("fingerprint_id"))
+    marked = materialise(lines.select("raw", fingerprint(F.col("raw")).alias("fingerprint_id")), "marked")  # each pass reads it
     rules = {}
     for r in marked.select("fingerprint_id").distinct().orderBy("fingerprint_id").collect():  # formats
         name = r.fingerprint_id
