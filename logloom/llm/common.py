@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialise, shared_dir  # noqa: F401
+from ..storage import materialise, materialise_parts, shared_dir, shuffles_dropped  # noqa: F401
 
 #: Arrow batches hold at most this many bytes, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 4 * 1024 * 1024

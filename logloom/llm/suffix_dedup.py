@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, one_of, tidy
+from .common import bounded, hot_keys, id_type, in_sample, joined_by, map_arrow, materialise, materialise_parts, one_of, shuffles_dropped, tidy
 from .jaccard_join import M1, M3, mix
 
 LENGTH, GRAM = 100, 24
@@ -28,6 +28,8 @@ LENGTH, GRAM = 100, 24
 BLOCK = 1 << 19
 #: Suffixes are sorted in batches of about this many, and crowds of one anchor are dealt in parts of about CROWD.
 BATCH, CROWD = 40_000, 1_000
+#: Texts and contexts go through shuffles in up to SLICES slices, one after the other, of so many bytes and rows at least: that bounds the disk.
+SLICES, SLICE_BYTES, SLICE_ROWS = 4, 128 * 1024 * 1024, 1_000_000
 LOW = np.uint64((1 << 20) - 1)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M1)
 
@@ -135,7 +137,7 @@ def meeting_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     schema = "key long, node long, packed long"
     hot = hot_keys(map_arrow(rows.where(in_sample("id", "node")).select("node", "text"), make, schema))
     found = map_arrow(rows.select("node", "text"), make, schema)
-    often = found.where(hot).distinct()
+    often = materialise(found.where(hot).distinct(), "suffix-often")
     met_often = one_of("key", [r.key for r in often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").collect()])  # of at most HOT_KEYS
     seldom = found.where(~hot).repartition("key").sortWithinPartitions("key", "node", "packed").mapInArrow(tidy(run), schema)
     return seldom.unionByName(often.where(met_often))
@@ -282,14 +284,34 @@ def intervals(pos: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarr
     return row, pos[row] - (high - 1), pos[row] - low + length
 
 
-def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """(key, part, id, node, packed, content) of each meeting anchor: the bytes of all its strings; part is over 0 parts of crowds."""
-    crowd = met.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("parts")).where("parts > 2")
+def sliced(rows: DataFrame, column: str, size: int, least: int) -> list[DataFrame]:
+    """rows in slices by a number column: as many as size holds least, at least one and at most SLICES."""
+    many = max(1, min(SLICES, -(-size // least)))
+    return [rows.where(F.pmod(F.col(column), F.lit(many)) == k) for k in range(many)] if many > 1 else [rows]
+
+
+def with_texts(docs: DataFrame, sizes: DataFrame, names: DataFrame, found: DataFrame, length: int) -> list[DataFrame]:
+    """found (node, id and more) with text, in slices; names are its nodes and sizes (node, n_bytes) those of all rows.
+
+    Texts without a node among names don't go through the shuffle, where names can be broadcast; else one shuffle is all there is.
+    """
+    rows, few = docs.where(F.octet_length("text") >= length), bounded(names)
+    if few is not names:
+        rows, sizes = rows.join(few, "node", "left_semi"), sizes.join(few, "node", "left_semi")
+    size = sizes.where(F.col("n_bytes") >= length).agg(F.sum("n_bytes")).first()[0] or 0
+    more = [F.col(f"l.{c}") for c in found.columns if c not in ("node", "id")]
+    return [part.alias("d").join(found.alias("l"), (F.col("d.node") == F.col("l.node")) & F.col("d.id").eqNullSafe(F.col("l.id"))).select("d.id", "d.node", "d.text", *more) for part in sliced(rows, "node", size, SLICE_BYTES)]
+
+
+def anchor_lists(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, found, id) of the texts with meeting anchors: found lists (key, part, packed), where part is over 0 parts of crowds."""
+    crowd = bounded(materialise(met.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("parts")).where("parts > 2"), "suffix-crowds"))
     dealt = met.join(crowd, "key", "left").select("key", "node", "packed", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node", "packed"), F.col("parts"))).cast("int").alias("part"))
-    lists = dealt.groupBy("node").agg(F.collect_list(F.struct("key", "part", "packed")).alias("found")).join(classes.select("node", "id"), "node")
-    names = met.select("node").distinct()
-    rows = docs.where(F.octet_length("text") >= length)
-    rows = rows.join(bounded(names), "node", "left_semi").alias("d").join(lists.alias("l"), (F.col("d.node") == F.col("l.node")) & F.col("d.id").eqNullSafe(F.col("l.id"))).select("d.id", "d.node", "d.text", "l.found")
+    return dealt.groupBy("node").agg(F.collect_list(F.struct("key", "part", "packed")).alias("found")).join(classes.select("node", "id"), "node")
+
+
+def contexts(rows: DataFrame, length: int) -> DataFrame:
+    """(key, part, id, node, packed, content) of each meeting anchor in rows (id, node, text, found): the bytes of all its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +326,7 @@ def contexts(docs: DataFrame, met: DataFrame, classes: DataFrame, length: int) -
                     take = pa.array([i] * len(low[piece]), pa.int32())
                     yield pa.RecordBatch.from_arrays([found.field("key").slice(at, BATCH), found.field("part").slice(at, BATCH), batch.column(0).take(take), batch.column(1).take(take), pa.array(packed[piece]), pa.array([text[a:b] for a, b in zip(low[piece], high[piece], strict=True)], pa.binary())], names=["key", "part", "id", "node", "packed", "content"])
 
-    return rows.mapInArrow(tidy(run), f"key long, part int, id {id_type(docs, 'id')}, node long, packed long, content binary")
+    return rows.mapInArrow(tidy(run), f"key long, part int, id {id_type(rows, 'id')}, node long, packed long, content binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.Table]:
@@ -393,10 +415,12 @@ def crowd_repeats(found: DataFrame) -> DataFrame:
     return strings.join(first, "string").where("place > first").select("node", "start", "end")
 
 
-def removed_spans(docs: DataFrame, classes: DataFrame, length: int, gram: int) -> DataFrame:
+def removed_spans(docs: DataFrame, hashed: DataFrame, classes: DataFrame, length: int, gram: int) -> DataFrame:
     """(node, spans): for texts in which strings are repeated from earlier, the intervals to remove, not merged."""
     met = materialise(meeting_anchors(docs, length, gram), "suffix-anchors")
-    found = materialise(compare(contexts(docs, met, classes, length), length, gram), "suffix-repeats")
+    lists = materialise(anchor_lists(met, classes), "suffix-lists")
+    places = materialise_parts([contexts(rows, length) for rows in with_texts(docs, hashed.select("node", "n_bytes"), lists.select("node"), lists, length)], "suffix-contexts")
+    found = materialise_parts([compare(rows, length, gram) for rows in sliced(places, "key", met.count(), SLICE_ROWS)], "suffix-repeats")
     spans = found.where("string IS NULL").select("node", "start", "end").unionByName(crowd_repeats(found))
     return spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -408,20 +432,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[np.append(new[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_spans: bool = True) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_spans: spans (start, end) of the bytes removed.
-
-    A byte goes if a string of length bytes that covers it also starts earlier: in a row with a
-    smaller id (nulls are the largest; of one id, the text with the smaller hash is first), or
-    earlier in the same text. Null and empty texts have no bytes; rows equal in id and text are
-    one document and have equal results; an empty table gives none; other columns are ignored.
-    length - gram must be at most 255.
-    """
-    docs, hashed = told_apart(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+def removed_facts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hashes of docs (id, text), their classes (node, id, copies), and (node, removed, kept, cut) of texts of which bytes go; all written."""
+    docs, hashed = told_apart(docs)
     classes = materialise(hashed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "suffix-classes")
-    spans = materialise(removed_spans(docs, classes, length, gram), "suffix-spans")
-    rows = docs.join(bounded(spans.select("node")), "node", "left_semi")
-    rows = rows.alias("d").join(spans.join(classes.drop("copies"), "node").alias("s"), (F.col("d.node") == F.col("s.node")) & F.col("d.id").eqNullSafe(F.col("s.id"))).select("d.node", "d.text", "s.spans")
+    spans = materialise(removed_spans(docs, hashed, classes, length, gram), "suffix-spans")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -440,9 +455,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return each
 
-    facts = materialise(map_arrow(rows, make, "node long, removed long, kept string, cut array<struct<start:long,end:long>>").dropDuplicates(["node"]), "suffix-facts")
+    rows = with_texts(docs, hashed.select("node", "n_bytes"), spans.select("node"), spans.join(classes.drop("copies"), "node"), length)
+    facts = [map_arrow(part.select("node", "text", "spans"), make, "node long, removed long, kept string, cut array<struct<start:long,end:long>>").dropDuplicates(["node"]) for part in rows]
+    return hashed, classes, materialise_parts(facts, "suffix-facts")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_spans: bool = True) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_spans: spans (start, end) of the bytes removed.
+
+    A byte goes if a string of length bytes that covers it also starts earlier: in a row with a
+    smaller id (nulls are the largest; of one id, the text with the smaller hash is first), or
+    earlier in the same text. Null and empty texts have no bytes; rows equal in id and text are
+    one document and have equal results; an empty table gives none; other columns are ignored.
+    length - gram must be at most 255.
+    """
+    with shuffles_dropped(docs.sparkSession):
+        hashed, classes, facts = removed_facts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), length, gram)
+        out = joined_by(hashed, classes.withColumnRenamed("id", "first").join(facts, "node", "left"), "node", "copies")
     whole = (F.col("n_bytes") >= length) & ~F.col("id").eqNullSafe(F.col("first"))
-    out = joined_by(hashed, classes.withColumnRenamed("id", "first").join(facts, "node", "left"), "node", "copies")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:long,end:long>>")
     out = out.select(F.col("id").alias(id_col), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"), F.when(whole, all_of_it).otherwise(F.coalesce("cut", none)).alias("spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
