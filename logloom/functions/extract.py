@@ -32,6 +32,24 @@ PAIR = r'(?U)(?<!\w)(\w++)=(?:"([^"]*+)"|([^=]+?)(?=(?:(?<!\s)|(?<==\s))\s++\w++
 MEMBERS = "map<string,variant>"
 UNSURE = r"^(?:[\[{-]|\d+(?:[eE]|\.\d+(?:[eE]|$)))"
 
+#: The parts of what follows the brace of a JSON object: braces that close; keys with the braces that their values open, one in the
+#: other; members side by side that open none; the whole rest, if it is none of these. All repetitions are possessive, so that a search
+#: is linear and calls itself no deeper than lists are nested, of which LISTS levels are told.
+GAP, STRING, LISTS = r"[ \t\n\r]*+", r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"', 4
+LIST = "(?!)"
+for _ in range(LISTS):
+    LIST = rf'\[(?:[^\[\]"]++|{STRING}|{LIST})*+\]'
+VALUE = rf'(?:{STRING}|{LIST}|[^ \t\n\r,:{{}}\[\]"]++)'
+NAME = rf"{STRING}{GAP}:{GAP}"
+INNER = f'"({STRING[1:-1]})"'
+PART = rf"\}}(?:{GAP}\}})*+|{NAME}(?:\{{(?:{GAP}{NAME}\{{)*+|{VALUE}(?:{GAP},{GAP}{NAME}{VALUE})*+)|[^ \t\n\r,][\s\S]*+"
+#: Texts of more parts than this are opened level by level: what is found is copied with each part.
+MOST_PARTS = 256
+#: As are longer texts: the reader takes no name of more than so many characters, and names of nested objects are joined.
+LONGEST = 50_000
+#: What numbers that are too large for a double have: three digits of an exponent or 200 digits side by side.
+LARGE = r"\d[eE]\+?\d{3}|(?<!\d)\d{200}"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -189,31 +207,72 @@ def json_depth(text: Column) -> Column:
 def flatten_json(text: Column) -> Column:
     """map<string,string> of a JSON object with nested keys joined by dots, at any depth; null or no object: null.
 
+    Lists and scalars are JSON text as it stands, strings their content, nulls are kept; an empty
+    object adds nothing. A text of few parts is made that of one flat object, whatever its depth;
+    others are opened level by level.
+    """
+    known = F.trim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+    flat = lambda t: object_of(t, F.expr(f"CAST(map() AS {MEMBERS})"), F.lit(1))
+    start = bound(flat_text(text), lambda t: F.when(t.isNotNull(), flat(t)).otherwise(object_of(text, F.try_variant_get(F.try_parse_json(text), "$", MEMBERS), levels(text))))
+    return F.when(known, bound(start, lambda s: opened(s["rounds"], s["found"])))
+
+
+def object_of(text: Column, inside: Column, rounds: Column) -> Column:
+    """An object as the one to open, and in how many rounds.
+
     Which values are objects is known from their VARIANT, so a string with braces in it is a
-    string. Lists and scalars are JSON text as it stands, strings their content, nulls are kept;
-    an empty object adds nothing. Each round opens the objects of one level more; the text is
-    read as VARIANT once, and each object in it is opened once.
+    string. Each round opens the objects of one level more; the text is read as VARIANT once,
+    and each object in it is opened once.
     """
-    known = F.when(F.trim(text).startswith("{"), F.try_variant_get(F.try_parse_json(text), "$", MEMBERS))
-    whole = lambda inside: F.array(F.struct(F.lit("").alias("key"), text.alias("value"), inside.alias("inside")))
-    return bound(known, lambda inside: F.when(inside.isNotNull(), open_objects(text, whole(inside), 0)))
+    return F.struct(F.array(F.struct(F.lit("").alias("key"), text.alias("value"), inside.alias("inside"))).alias("found"), rounds.alias("rounds"))
+
+
+def flat_text(text: Column) -> Column:
+    """A text that opens with a valid JSON object as that of one flat object, with the names of nested objects before those in them.
+
+    Null if the text is long or has many parts, deep lists, empty outer names, numbers that no
+    double holds or more after the object: those are opened level by level. One search finds the
+    parts. Names with braces and closing braces tell what stands before the names of the members
+    that follow.
+    """
+    names = lambda p: F.regexp_extract_all(p, F.lit(INNER), F.lit(1))
+    literal = lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    below = lambda above, p: F.when(F.size(above) == 0, p).otherwise(F.regexp_replace(p, F.lit(rf"{INNER}({GAP}:{GAP}{VALUE})"), F.concat(F.lit('"'), literal(F.array_join(above, ".")), F.lit('.$1"$2'))))
+
+    def step(at: Column, p: Column) -> Column:
+        closes, opens, above, found = p.startswith("}"), p.endswith("{"), at["above"], at["found"]
+        # many: braces that are open, the first one too; -1 if there is more after it closes.
+        many = F.when(at["many"] <= 0, -1).when(closes, at["many"] - F.length(F.translate(p, " \t\n\r", ""))).otherwise(at["many"])
+        upward = bound(many, lambda m: F.struct(F.slice(above, F.lit(1), F.greatest(m - 1, F.lit(0))).alias("above"), m.alias("many"), found.alias("found")))
+        downward = bound(F.concat(above, names(p)), lambda now: F.struct(now.alias("above"), F.when(many < 0, many).otherwise(F.size(now) + 1).alias("many"), found.alias("found")))
+        return F.when(closes, upward).when(opens, downward).otherwise(F.struct(above.alias("above"), many.alias("many"), F.concat(found, F.array(below(above, p))).alias("found")))
+
+    # A name begins with a dot where an outer one is empty: level by level there is no dot after it.
+    end = lambda at: F.when((at["many"] == 0) & ~F.exists(at["found"], lambda f: f.startswith('".')), F.concat(F.lit("{"), F.array_join(at["found"], ","), F.lit("}")))
+    start = F.struct(F.array().cast("array<string>").alias("above"), F.lit(1).alias("many"), F.array().cast("array<string>").alias("found"))
+    whole = lambda parts: (F.size(parts) <= MOST_PARTS) & F.coalesce(F.try_element_at(parts, F.lit(-1)).startswith("}"), F.lit(False))
+    parts = bound(F.trim(text), lambda t: F.when((F.length(t) <= LONGEST) & t.endswith("}") & ~t.rlike(LARGE), F.regexp_extract_all(F.substring(t, F.lit(2), F.length(t)), F.lit(f"({PART})"), F.lit(1))))
+    return bound(parts, lambda parts: F.when(whole(parts), F.aggregate(parts, start, step, end)))
 
 
 def members_of(members: Column, inside: Column, prefix: Column) -> Column:
     """The members of an object, as texts and as VARIANTs, with those of members that are objects themselves."""
     # Only a text that opens with a brace can be an object.
-    opened = lambda e: F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.try_variant_get(F.element_at(inside, e["key"]), "$", MEMBERS))
-    entry = lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), opened(e).alias("inside"))
+    object_in = lambda e: F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.try_variant_get(F.element_at(inside, e["key"]), "$", MEMBERS))
+    entry = lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), object_in(e).alias("inside"))
     return F.coalesce(F.transform(F.map_entries(members), entry), F.array().cast(f"array<struct<key:string,value:string,inside:{MEMBERS}>>"))
 
 
-def open_objects(text: Column, found: Column, made: int) -> Column:
-    """The map of what is found in a text, after so many rounds, when all objects in it are opened."""
+def levels(text: Column) -> Column:
+    """How deep a JSON text is at most: the number of braces, which is counted faster, or its depth."""
+    count = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    return F.when(count > 4, json_depth(text)).otherwise(count)
+
+
+def opened(rounds: Column, found: Column) -> Column:
+    """The map of what is found after so many rounds, each of which opens all objects found so far."""
     members = lambda e: members_of(F.from_json(e["value"], "map<string,string>"), e["inside"], F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))))
     more = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["inside"].isNotNull(), members(e)).otherwise(F.array(e))))
-    # The depth is at most the number of braces, which is counted faster.
-    count = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    rounds = F.when(count > 4, json_depth(text)).otherwise(count) - made
     found = F.aggregate(F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>")), found, lambda at, _: more(at))
     return last_values(F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
@@ -300,7 +359,7 @@ def json_document(raw: Column, rule: Rule) -> Column:
         for s, t in rule.mappings:
             values[t] = F.coalesce(path(s), values[t]) if t in values else path(s)
         mapped = [s for s, _ in rule.mappings]
-        unmapped = F.map_filter(open_objects(raw, members_of(found["top"], found["inside"], F.lit("")), 1), lambda k, v: ~(k.isin(mapped) & v.isNotNull()))
+        unmapped = F.map_filter(opened(levels(raw) - 1, members_of(found["top"], found["inside"], F.lit(""))), lambda k, v: ~(k.isin(mapped) & v.isNotNull()))
         return document(values, unmapped)
 
     nested = T.StructType([T.StructField(k, T.MapType(T.StringType(), T.StringType())) for k in outer])

@@ -42,7 +42,7 @@ def flatten_deep(spark, sf_dir):
     register(spark)
     text = lines(spark, sf_dir).select("eid", F.expr(ODD).alias("js"))
     both = text.select("eid", flatten_json(F.col("js")).alias("m"), F.expr("log_flatten(js)").alias("s"))
-    return pairs_of(["eid", "same"], F.col("m"), both.withColumn("same", F.to_json("m") == F.to_json("s")))
+    return pairs_of(["eid", "same"], F.col("m"), both.withColumn("same", F.map_entries("m") == F.map_entries("s")))
 
 
 # --- pattern costs --------------------------------------------------------------------------
